@@ -96,7 +96,7 @@ NORMAL_UPPER_SQL = (
 )
 
 
-def round_doubles(df: DataFrame, digits: int = 7) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 8) -> DataFrame:
     """Round floating columns for display; adding 0.0 removes the sign of a negative zero."""
     return df.select(
         *[

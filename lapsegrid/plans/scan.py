@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lapsegrid.plans.heavy import has_heavy_key
+
 BUCKET = "__bucket"
 FRAMES_PER_BUCKET = 4096
 
@@ -27,6 +29,7 @@ def ordered_scan(
     remaining: dict[str, tuple[str, str]] | None = None,
     fill_forward: dict[str, str] | None = None,
     fill_backward: dict[str, str] | None = None,
+    two_level: bool | None = None,
 ) -> DataFrame:
     """Add order-dependent columns to ``df`` within ``keys``.
 
@@ -38,13 +41,18 @@ def ordered_scan(
     * ``fill_forward`` / ``fill_backward``: ``{new: column}``, latest / earliest non-null value at
       or before / at or after this row.
 
-    Rows are shuffled once on (keys, bucket). What crosses buckets is one summary row per (key,
+    ``two_level`` None measures the largest key first. Where every key is small, these are plain windows
+    and one shuffle. Otherwise rows are shuffled on (keys, bucket); what crosses buckets is one summary row per (key,
     bucket), reached by partial aggregation, and joined back on (keys, bucket).
     """
     keys, order = list(keys), list(order)
     lag, lead = lag or {}, lead or {}
     running, remaining = running or {}, remaining or {}
     fill_forward, fill_backward = fill_forward or {}, fill_backward or {}
+    if two_level is None:
+        two_level = has_heavy_key(df, keys)
+    if not two_level:
+        return _one_level(df, keys, order, lag, lead, running, remaining, fill_forward, fill_backward)
 
     rows = df.withColumn(BUCKET, bucket)
     stamp = F.struct(*[F.col(c) for c in order])
@@ -116,30 +124,54 @@ def ordered_scan(
     return joined.select(*out)
 
 
+def _one_level(df, keys, order, lag, lead, running, remaining, fill_forward, fill_backward) -> DataFrame:
+    asc = Window.partitionBy(*keys).orderBy(*order)
+    desc = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    upto, downto = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (asc, desc))
+    return df.select(
+        "*",
+        *[F.lag(c, 1).over(asc).alias(a) for a, c in lag.items()],
+        *[F.lead(c, 1).over(asc).alias(a) for a, c in lead.items()],
+        *[getattr(F, how)(F.col(c)).over(upto).alias(a) for a, (how, c) in running.items()],
+        *[getattr(F, how)(F.col(c)).over(downto).alias(a) for a, (how, c) in remaining.items()],
+        *[F.last(F.col(c), ignorenulls=True).over(upto).alias(a) for a, c in fill_forward.items()],
+        *[F.last(F.col(c), ignorenulls=True).over(downto).alias(a) for a, c in fill_backward.items()],
+    )
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: Sequence[str],
     starts: Column,
     bucket: Column,
     lag: dict[str, str] | None = None,
     alias: str = "island",
+    two_level: bool | None = None,
 ) -> DataFrame:
     """Number the runs of each key. ``starts`` may use the lagged columns named in ``lag``."""
-    stepped = ordered_scan(df, keys, [order], bucket, lag=lag) if lag else df
+    if two_level is None:
+        two_level = has_heavy_key(df, keys)
+    stepped = ordered_scan(df, keys, order, bucket, lag=lag, two_level=two_level) if lag else df
     marked = stepped.withColumn("__start", F.coalesce(starts.cast("int"), F.lit(1)))
-    return ordered_scan(marked, keys, [order], bucket, running={alias: ("sum", "__start")}).drop("__start")
+    return ordered_scan(
+        marked, keys, order, bucket, running={alias: ("sum", "__start")}, two_level=two_level
+    ).drop("__start")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, alias: str = "position") -> DataFrame:
-    """1-based row number within a key, in two levels."""
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, alias: str = "position", two_level: bool | None = None
+) -> DataFrame:
+    """1-based row number within a key."""
     return ordered_scan(
-        df.withColumn("__one", F.lit(1).cast("long")), keys, order, bucket, running={alias: ("sum", "__one")}
+        df.withColumn("__one", F.lit(1).cast("long")), keys, order, bucket, running={alias: ("sum", "__one")}, two_level=two_level
     ).drop("__one")
 
 
-def hash_numbered(df: DataFrame, keys: Sequence[str], seed: Column, alias: str = "draw", tie: Sequence[str] = ()) -> DataFrame:
+def hash_numbered(
+    df: DataFrame, keys: Sequence[str], seed: Column, alias: str = "draw", tie: Sequence[str] = (), two_level: bool | None = None
+) -> DataFrame:
     """Row number in the order of an md5 text; uniform digests make its leading digits even buckets."""
     hashed = df.withColumn("__md5", F.md5(seed.cast("string")))
     bucket = F.conv(F.substring("__md5", 1, 2), 16, 10).cast("long")
-    return numbered(hashed, keys, ["__md5", *tie], bucket, alias).drop("__md5")
+    return numbered(hashed, keys, ["__md5", *tie], bucket, alias, two_level).drop("__md5")

@@ -22,7 +22,7 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 7):
+def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 8):
     """Register a query. ``doubles`` names the floating columns, rounded alike on both sides."""
 
     def register(build: Callable[[Inputs], DataFrame]):
