@@ -36,7 +36,8 @@ def classify(df: DataFrame, keys: Sequence[str], size: str, movement: str, cuts:
     options = F.array(
         *[
             F.struct(
-                F.hypot(F.col("size_position") - centre[s], F.col("movement_position") - centre[m]).alias("distance"),
+                # rounded, so that mirror-image classes tie and the lower one is the runner-up
+                F.round(F.hypot(F.col("size_position") - centre[s], F.col("movement_position") - centre[m]), 9).alias("distance"),
                 F.lit(s * 3 + m).alias("regime"),
             )
             for s in range(3)

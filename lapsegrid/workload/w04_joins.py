@@ -65,7 +65,7 @@ FACTORS = {
 }
 CONTROLS = {"size": "small", "colour": "black", "shape": "other"}
 _ASSIGN = "asg AS (" + " UNION ALL ".join(
-    f"SELECT p_partkey, '{f}' AS factor, list_filter([{', '.join(f"CASE WHEN regexp_matches(p_name, '{p}') THEN '{lv}' END" for lv, p in pats.items())}], x -> x IS NOT NULL) AS h FROM part"
+    f"SELECT p_partkey, '{f}' AS factor, [x FOR x IN [{', '.join(f"CASE WHEN regexp_matches(p_name, '{p}') THEN '{lv}' END" for lv, p in pats.items())}] IF x IS NOT NULL] AS h FROM part"
     for f, pats in FACTORS.items()
 ) + """), lev AS (SELECT a.p_partkey, a.factor, coalesce(d.level, CASE WHEN len(h)=1 THEN h[1] END) AS level,
  CASE WHEN d.level IS NOT NULL THEN 'declared' WHEN len(h)=1 THEN 'derived' WHEN len(h)=0 THEN 'unassigned' ELSE 'ambiguous' END AS status, len(h) AS hits

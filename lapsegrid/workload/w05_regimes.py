@@ -15,7 +15,7 @@ CLASSED = f"""k0 AS (SELECT stem, identity, frame_index, hours, area_px, step_px
  k1 AS (SELECT *, {_P.format(c='area_px')} AS size_position, {_P.format(c='step_px_gapless')} AS movement_position FROM k0),
  k2 AS (SELECT *, CAST(({_LV.format(c='size_position')})*3 + ({_LV.format(c='movement_position')}) AS INTEGER) AS regime FROM k1),
  ctr AS (SELECT s*3+m AS r, (2*s+1)/6.0 AS cs, (2*m+1)/6.0 AS cm FROM range(3) a(s), range(3) b(m)),
- kd AS (SELECT k2.*, r, sqrt((size_position-cs)**2+(movement_position-cm)**2) AS d FROM k2, ctr),
+ kd AS (SELECT k2.*, r, round(sqrt((size_position-cs)**2+(movement_position-cm)**2),9) AS d FROM k2, ctr),
  cl AS (SELECT stem, identity, frame_index, any_value(hours) AS hours, any_value(area_px) AS area_px, any_value(step_px_gapless) AS step_px_gapless, any_value(size_position) AS size_position, any_value(movement_position) AS movement_position,
  any_value(regime) AS regime, min(d) FILTER (WHERE r=regime) AS centre_distance, CAST(first(r ORDER BY d, r) FILTER (WHERE r<>regime) AS INTEGER) AS runner_up,
  min(d) FILTER (WHERE r<>regime) - min(d) FILTER (WHERE r=regime) AS margin FROM kd GROUP BY 1,2,3)"""
@@ -43,7 +43,7 @@ def _(i):
     return G.percentile_position(i.daily().select("stem", "identity", "frame_index", "signal"), ["stem"], "signal", "position").drop("signal")
 
 
-@query("regime_classes", f"{BASE} SELECT * FROM cl", "hours area_px step_px_gapless size_position movement_position centre_distance margin")
+@query("regime_classes", f"{BASE} SELECT * FROM cl", "hours area_px step_px_gapless size_position movement_position centre_distance margin", digits=9)
 def _(i):
     return classed(i)
 
