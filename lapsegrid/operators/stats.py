@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import normal_upper, ratio, safe_corr
+from lapsegrid.plans.durable import cut
 from lapsegrid.plans.heavy import has_heavy_key
 from lapsegrid.plans.ranks import quantiles, value_positions, with_average_rank
 from lapsegrid.plans.scan import hash_numbered, numbered, ordered_scan
@@ -150,26 +151,31 @@ def permuted_difference(units: DataFrame, family: Sequence[str], group: str, pai
 
 
 def corrected(tests: DataFrame, family: Sequence[str], p: str) -> DataFrame:
-    """All four corrections in a family. A test without a p keeps its slot as 1, and stays NULL in the result."""
+    """All four corrections in a family. A test without a p keeps its slot as 1, and stays NULL in the result.
+
+    Small families are ranked by windows on the rows themselves. A large one is written once first: its ranks
+    are joined back on p, and a p computed twice may differ in its last bit.
+    """
     keys = list(family)
     slotted = tests.withColumn("__p", F.coalesce(F.col(p), F.lit(1.0)))
-    pos = value_positions(slotted, keys, "__p") if has_heavy_key(tests, keys) else _plain_positions(slotted, keys)
-    at = pos.withColumn("__raw", F.col("__p") * F.col("total") / (F.col("before") + F.col("ties")))
-    q = ordered_scan(at, keys, ["__p"], F.floor(F.col("__p") * 4096).cast("long"), remaining={"__q": ("min", "__raw")})
-    joined = slotted.join(q.select(*keys, "__p", "__q", F.col("total").alias("family_size")), [*keys, "__p"])
-    known = F.col(p).isNotNull()
-    m = F.col("family_size")
-    return joined.withColumn("q_bh", F.when(known, F.least("__q", F.lit(1.0)))).withColumn(
+    if has_heavy_key(tests, keys):
+        slotted = cut(slotted)
+        pos = value_positions(slotted, keys, "__p").withColumn("__raw", F.col("__p") * F.col("total") / (F.col("before") + F.col("ties")))
+        slot = F.floor(F.col("__p") * 4096).cast("long")
+        q = ordered_scan(pos, keys, ["__p"], slot, remaining={"__q": ("min", "__raw")}, two_level=True)
+        ranked = slotted.join(q.select(*keys, "__p", "__q", F.col("total").alias("family_size")), [*keys, "__p"])
+    else:
+        w = Window.partitionBy(*keys)
+        sized = slotted.withColumn("family_size", F.count(F.lit(1)).over(w)).withColumn(
+            "__raw", F.col("__p") * F.col("family_size") / F.count(F.lit(1)).over(w.orderBy("__p"))
+        )
+        ranked = sized.withColumn("__q", F.min("__raw").over(w.orderBy(F.col("__p").desc()))).drop("__raw")
+    known, m = F.col(p).isNotNull(), F.col("family_size")
+    return ranked.withColumn("q_bh", F.when(known, F.least("__q", F.lit(1.0)))).withColumn(
         "p_bonferroni", F.when(known, F.least(F.col(p) * m, F.lit(1.0)))
     ).withColumn("p_sidak", F.when(known, 1 - F.pow(1 - F.col(p), m))).drop("__p", "__q")
 
 
-def _plain_positions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counts = df.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("ties"))
-    w = Window.partitionBy(*keys)
-    return counts.withColumn("before", F.sum("ties").over(w.orderBy("__p")) - F.col("ties")).withColumn("total", F.sum("ties").over(w))
-
-
 def bootstrap_band(aligned: DataFrame, value: str, group: Sequence[str], event: Sequence[str], replicates: int, seed: int) -> DataFrame:
     """Mean curve with a 95 % band from resampled events. A replicate draws as many events as there are, by
     digest, and keeps only how often each was drawn, so no event's rows are copied."""
@@ -386,10 +392,12 @@ def select_recipes(summary: DataFrame, support: float, coverage: float, false_al
     )
     ok = (F.col("support_gate") == "pass") & (F.col("coverage_gate") == "pass") & (F.col("false_alarm_gate") == "pass")
     admissible = gated.withColumn("admissible", ok)
-    best = admissible.where("admissible").groupBy("scope", "false_alarm").agg(F.max("recovery").alias("__top"))
-    w = Window.partitionBy("scope").orderBy("false_alarm")  # one row per distinct rate of the declared recipes
-    front = best.withColumn("__before", F.max("__top").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = admissible.join(front, ["scope", "false_alarm"], "left")
+    # the recipes of a scope are a declared, short list
+    w = Window.partitionBy("scope")
+    value = F.when(F.col("admissible"), F.col("recovery"))
+    marked = admissible.withColumn("__top", F.max(value).over(Window.partitionBy("scope", "false_alarm"))).withColumn(
+        "__before", F.max(value).over(w.orderBy("false_alarm").rangeBetween(Window.unboundedPreceding, -1e-12))
+    )
     kept = F.col("admissible") & (F.col("recovery") == F.col("__top")) & (F.col("__before").isNull() | (F.col("recovery") > F.col("__before")))
     chosen = marked.withColumn("undominated", F.coalesce(kept, F.lit(False))).drop("__top", "__before")
     n = chosen.groupBy("scope").agg(F.sum(F.col("undominated").cast("long")).alias("__k"), F.max((F.col("support_gate") == "insufficient").cast("int")).alias("__i"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lapsegrid.plans.durable import cut
 from lapsegrid.plans.heavy import has_heavy_key
 from lapsegrid.plans.scan import ordered_scan
 
@@ -22,7 +23,9 @@ CUTS = 512
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
     """One row per (keys, value): ``ties``, ``before`` (rows below it) and ``total`` rows of the key."""
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+    # Written once: later steps meet again on the value and its bucket, and a value computed twice from
+    # floating sums may differ in its last bit.
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties")))
     summary = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__distinct"), F.sum("ties").alias("total"))
     # Only keys with many distinct values are sketched and cut; there are at most rows / limit of them.
     heavy = summary.where(F.col("__distinct") > values_per_bucket).select(*keys)
@@ -120,6 +123,7 @@ def with_average_rank(
             F.when(known, parts["before"] + (parts["ties"] + 1) / 2.0).alias(alias),
             *[F.when(known, parts[c]).alias(n) for c, n in extra.items()],
         )
+    df = cut(df)
     picked = value_positions(df, keys, value).select(
         *keys,
         value,
