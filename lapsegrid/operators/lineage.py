@@ -128,6 +128,7 @@ def components(edges: DataFrame, key: str, a: str, b: str, nodes: DataFrame, nod
 
 def families(rows: DataFrame) -> DataFrame:
     """Families linked by division and absorption, numbered per recording by their earliest start."""
+    rows = cut(rows)
     links = rows.where(F.col("parent_identity").isNotNull()).select("stem", "identity", F.col("parent_identity").alias("other")).unionByName(
         rows.where(F.col("absorbed_into_identity").isNotNull()).select("stem", "identity", F.col("absorbed_into_identity").alias("other"))
     )

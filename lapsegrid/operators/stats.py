@@ -395,9 +395,10 @@ def select_recipes(summary: DataFrame, support: float, coverage: float, false_al
     # the recipes of a scope are a declared, short list
     w = Window.partitionBy("scope")
     value = F.when(F.col("admissible"), F.col("recovery"))
-    marked = admissible.withColumn("__top", F.max(value).over(Window.partitionBy("scope", "false_alarm"))).withColumn(
-        "__before", F.max(value).over(w.orderBy("false_alarm").rangeBetween(Window.unboundedPreceding, -1e-12))
-    )
+    placed = admissible.withColumn("__step", F.dense_rank().over(w.orderBy("false_alarm")))
+    marked = placed.withColumn("__top", F.max(value).over(Window.partitionBy("scope", "__step"))).withColumn(
+        "__before", F.max(value).over(w.orderBy("__step").rangeBetween(Window.unboundedPreceding, -1))
+    ).drop("__step")
     kept = F.col("admissible") & (F.col("recovery") == F.col("__top")) & (F.col("__before").isNull() | (F.col("recovery") > F.col("__before")))
     chosen = marked.withColumn("undominated", F.coalesce(kept, F.lit(False))).drop("__top", "__before")
     n = chosen.groupBy("scope").agg(F.sum(F.col("undominated").cast("long")).alias("__k"), F.max((F.col("support_gate") == "insufficient").cast("int")).alias("__i"))

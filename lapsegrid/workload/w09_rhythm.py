@@ -155,7 +155,7 @@ def _(i):
  b AS (SELECT stem, identity, CAST(first(start ORDER BY round(score,9) DESC, start) AS INTEGER) AS o, first(score ORDER BY round(score,9) DESC, start) AS score FROM s GROUP BY 1,2)
  SELECT stem, identity, o AS onset_bin, CAST((o+8)%24 AS INTEGER) AS offset_bin, score, o AS from_bin, CAST(least(o+8,24) AS INTEGER) AS to_bin FROM b UNION ALL SELECT stem, identity, o, CAST((o+8)%24 AS INTEGER), score, 0, CAST(o+8-24 AS INTEGER) FROM b WHERE o+8>24""",
     "score",
-    digits=6,
+    digits=10,
 )
 def _(i):
     return Y.active_spans(Y.day_profile(raw(i).withColumn("stem", F.lit("all")), E2, "signal", 24), E2, 24, 8)

@@ -73,8 +73,8 @@ def _(i):
     return N.families(rows(i))
 
 
-# A third of the identities blink out on some frames, so that their gaps can be judged.
-_BLINK = f"{PIXELS_SQL}, bk AS (SELECT * EXCLUDE (identity), CASE WHEN identity IS NOT NULL AND NOT (identity % 3 = 0 AND (frame_index + identity) % 5 = 2) AND NOT (identity = 6 AND frame_index BETWEEN 10 AND 16) THEN identity END AS identity FROM px), bm AS (SELECT * FROM bk WHERE identity IS NOT NULL)"
+# Every third identity is tracked, the rest is background; the tracked ones blink out on some frames.
+_BLINK = f"{PIXELS_SQL}, bk AS (SELECT * EXCLUDE (identity), CASE WHEN identity % 3 = 0 AND NOT ((frame_index + identity) % 5 = 2) AND NOT (identity = 6 AND frame_index BETWEEN 10 AND 16) THEN identity END AS identity FROM px), bm AS (SELECT * FROM bk WHERE identity IS NOT NULL)"
 _GAPS = f"""{_BLINK}, fr AS (SELECT *, lead(frame_index) OVER (PARTITION BY stem, identity ORDER BY frame_index) AS nf FROM (SELECT DISTINCT stem, identity, frame_index FROM bm)),
  gp AS (SELECT stem, identity, frame_index AS left_frame, nf AS right_frame, CAST(frame_index+1 AS INTEGER) AS gap_start, CAST(nf-1 AS INTEGER) AS gap_end, CAST(nf-frame_index-1 AS BIGINT) AS gap_frames FROM fr WHERE nf-frame_index>1),
  l AS (SELECT gp.stem, gp.identity, gap_start, y, x FROM gp JOIN bm ON bm.stem=gp.stem AND bm.identity=gp.identity AND bm.frame_index=left_frame), r AS (SELECT gp.stem, gp.identity, gap_start, y, x FROM gp JOIN bm ON bm.stem=gp.stem AND bm.identity=gp.identity AND bm.frame_index=right_frame),
@@ -89,7 +89,7 @@ _GAPS = f"""{_BLINK}, fr AS (SELECT *, lead(frame_index) OVER (PARTITION BY stem
 
 def _gap_audit(i):
     fr, e = F.col("frame_index"), F.col("identity")
-    gone = ((e % 3 == 0) & ((fr + e) % 5 == 2)) | ((e == 6) & fr.between(10, 16))
+    gone = (e % 3 != 0) | ((fr + e) % 5 == 2) | ((e == 6) & fr.between(10, 16))
     px = i.pixels().withColumn("identity", F.when(~gone, e))
     blocked = px.where(e == 9).select("stem", "identity").distinct()
     return N.gap_additions(px, blocked, 4, 0.0, 3.0, 2.0, 0, 1.0, 3.0)
