@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio
@@ -107,9 +109,6 @@ def fit_mixture(vectors: DataFrame, features: str, counts: Sequence[int], select
 
 def log_density(rows: DataFrame, model, features: str) -> DataFrame:
     """Log density of each row under a fitted mixture, in Arrow batches (the model is a few small matrices)."""
-    import numpy as np
-    import pandas as pd
-
     weights = np.array(model.weights)
     parts = [(np.array(g.mean.toArray()), np.array(g.cov.toArray())) for g in model.gaussians]
     solved = []

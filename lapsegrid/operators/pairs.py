@@ -326,8 +326,11 @@ def recurrence(vectors: DataFrame, quantile: float, max_lag: int, block: int = B
 # --- sequences -------------------------------------------------------------------------------------------
 
 
-def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band: int, chunk: int = 512, vector: bool = False) -> DataFrame:
-    """Banded alignment of two symbol (or value-vector) sequences on one frame axis, -1 where missing.
+def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band: int, chunk: int = 512, dims: int = 0) -> DataFrame:
+    """Banded alignment of two symbol sequences on one frame axis, -1 where missing.
+
+    With ``dims`` the symbols are vectors of that length, the cost is the squared distance, and the result is
+    the root of the total per frame; both sequences must then be complete.
 
     Moves are tried up, left, diagonal and the first cheapest wins. Frames are taken a chunk at a time: a round
     sees one chunk of the first sequence, the matching stretch of the second and the band's running state, and
@@ -365,12 +368,13 @@ def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band:
             first_b = lo - band
             for pdf in batches:
                 n = len(pdf)
-                left = np.full((n, hi - lo), -1)
-                right = np.full((n, hi - lo + 2 * band), -1)
+                tail = (dims,) if dims else ()
+                left = np.full((n, hi - lo, *tail), -1.0)
+                right = np.full((n, hi - lo + 2 * band, *tail), -1.0)
                 for dest, f, s, base in ((left, "fa", "sa", lo), (right, "fb", "sb", first_b)):
                     for row, (frames, values) in enumerate(zip(pdf[f], pdf[s])):
                         if frames is not None and len(frames):
-                            dest[row, np.asarray(frames, int) - base] = np.asarray(values, int)
+                            dest[row, np.asarray(frames, int) - base] = np.array(list(values), float)
                 prev = {s: np.array(pdf[s].tolist(), float) for s in names}
                 for i in range(lo, hi):
                     cur = {s: np.zeros((n, width)) for s in names}
@@ -386,8 +390,8 @@ def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band:
                         diag = prev["cost"][:, k] if (i > 0 and j > 0) or (i == 0 and j == 0) else inf
                         choice = np.argmin(np.stack([up, back, diag]), axis=0)
                         a, b = left[:, i - lo], right[:, j - first_b]
-                        cur["cost"][:, k] = np.choose(choice, [up, back, diag]) + (a != b)
-                        both = ((a >= 0) & (b >= 0)).astype(float)
+                        cur["cost"][:, k] = np.choose(choice, [up, back, diag]) + (((a - b) ** 2).sum(axis=1) if dims else (a != b))
+                        both = np.ones(n) if dims else ((a >= 0) & (b >= 0)).astype(float)
                         for s, add in (("steps", 1.0), ("shift", both * (j - i)), ("both", both)):
                             u = prev[s][:, k + 1] if k + 1 < width else np.zeros(n)
                             v = cur[s][:, k - 1] if k > 0 else np.zeros(n)
@@ -399,6 +403,8 @@ def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band:
         if r + 1 < rounds:
             state = cut(state)
     end = {s: F.element_at(s, band + 1) for s in names}
+    if dims:
+        return state.select("stem", "identity_a", "identity_b", F.sqrt(end["cost"] / F.lit(float(n_frames))).alias("trajectory_distance"))
     return state.select(
         "stem", "identity_a", "identity_b", F.when(end["cost"] < float("inf"), ratio(end["cost"], end["steps"])).alias("dtw_distance"),
         ratio(end["shift"], end["both"]).alias("alignment_offset_frames"), end["both"].cast("long").alias("alignment_overlap_steps"),

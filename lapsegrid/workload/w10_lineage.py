@@ -9,17 +9,18 @@ from lapsegrid.sources.canonical import PIXELS_SQL
 from lapsegrid.workload.registry import query
 
 # Names change every seven frames, at a time of their own, so that lives begin and end inside the recording.
-RENAMED = f"{PIXELS_SQL}, ln AS (SELECT stem, frame_index, y, x, CASE WHEN identity IS NOT NULL THEN identity + 100*((frame_index+identity)//7) END AS identity, raw, unclaimed FROM px WHERE y BETWEEN 3 AND 11 OR identity IS NULL), lm AS (SELECT * FROM ln WHERE identity IS NOT NULL)"
+# Places are moved in by one from the upper and left border, so that only some masks touch a border.
+RENAMED = f"{PIXELS_SQL}, ln AS (SELECT stem, frame_index, y+1 AS y, x+1 AS x, CASE WHEN identity IS NOT NULL THEN identity + 100*((frame_index+identity)//7) END AS identity, raw, unclaimed FROM px), lm AS (SELECT * FROM ln WHERE identity IS NOT NULL)"
 
 
 def named(i):
-    px = i.pixels().where(F.col("y").between(3, 11) | F.col("identity").isNull())
+    px = i.pixels()
     era = F.floor((F.col("frame_index") + F.col("identity")) / 7)
-    return px.select("stem", "frame_index", "y", "x", (F.col("identity") + 100 * era).cast("long").alias("identity"), "raw", "unclaimed")
+    return px.select("stem", "frame_index", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), (F.col("identity") + 100 * era).cast("long").alias("identity"), "raw", "unclaimed")
 
 
 LIVES = f"""{RENAMED}, sp AS (SELECT stem, identity, min(frame_index) AS first_frame, max(frame_index) AS last_frame, count(DISTINCT frame_index) AS frames_named FROM lm GROUP BY 1,2),
- ar AS (SELECT stem, identity, frame_index, count(*) AS area_px, bool_or(y=0 OR x=0 OR y={H - 1} OR x={W - 1}) AS tb FROM lm GROUP BY 1,2,3),
+ ar AS (SELECT stem, identity, frame_index, count(*) AS area_px, bool_or(y=0 OR x=0 OR y={H} OR x={W}) AS tb FROM lm GROUP BY 1,2,3),
  fs AS (SELECT ar.*, last_frame FROM sp JOIN ar ON ar.stem=sp.stem AND ar.identity=sp.identity AND ar.frame_index=first_frame), ls AS (SELECT ar.* FROM sp JOIN ar ON ar.stem=sp.stem AND ar.identity=sp.identity AND ar.frame_index=last_frame),
  ed AS (SELECT m.stem, m.identity, m.frame_index, m.y, m.x FROM lm m LEFT JOIN lm o ON o.stem=m.stem AND o.frame_index=m.frame_index AND o.identity=m.identity AND abs(o.y-m.y)<=1 AND abs(o.x-m.x)<=1 AND NOT (o.y=m.y AND o.x=m.x) GROUP BY ALL HAVING count(o.y)<8),
  tc AS (SELECT DISTINCT e.stem, e.frame_index, e.identity, o.identity AS partner FROM ed e JOIN lm o ON o.stem=e.stem AND o.frame_index=e.frame_index AND o.identity<>e.identity AND abs(o.y-e.y)<=1 AND abs(o.x-e.x)<=1),
@@ -44,7 +45,7 @@ LROWS = """lr AS (SELECT le.stem, le.identity, max(event) FILTER (WHERE event IN
 
 
 def events(i):
-    return N.life_events(named(i), 28, H, W, 1, 0.3, 2, 0.3)
+    return N.life_events(named(i), 28, H + 1, W + 1, 1, 0.3, 2, 0.3)
 
 
 def rows(i):

@@ -144,10 +144,12 @@ def _(i):
 
 
 def label_centres(i, dims=64):
-    """Mean vector of each label: as many rows as labels."""
+    """Mean vector of each label. Refused where labels are too many to be a list of centres."""
     e = i.table("embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
     rows = e.groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c"))
-    return sorted((r["label"], [p["m"] for p in r["c"]]) for r in rows.limit(1000).collect())
+    if rows.count() > 1000:
+        raise ValueError("too many labels for a list of centres")
+    return sorted((r["label"], [p["m"] for p in r["c"]]) for r in rows.collect())
 
 
 _CENT = """ct AS (SELECT label, dim, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(range(64)) AS dim, unnest(embedding) AS v FROM embeddings) GROUP BY 1,2), ev AS (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
