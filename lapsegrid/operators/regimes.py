@@ -15,9 +15,9 @@ from lapsegrid.plans.scan import frame_bucket, numbered, ordered_scan
 LEVELS = ("low", "mid", "high")
 
 
-def percentile_position(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
+def percentile_position(df: DataFrame, keys: Sequence[str], value: str, alias: str, two_level: bool | None = None) -> DataFrame:
     """Average-rank position of each value among the key's values, 0 to 1; a single value sits at 0.5."""
-    ranked = with_average_rank(df, keys, value, "__rank", {"total": "__total"})
+    ranked = with_average_rank(df, keys, value, "__rank", {"total": "__total"}, two_level)
     at = F.when(F.col("__total") == 1, F.lit(0.5)).otherwise((F.col("__rank") - 1) / F.greatest(F.col("__total") - 1, F.lit(1)))
     return ranked.withColumn(alias, F.when(F.col("__rank").isNotNull(), at)).drop("__rank", "__total")
 
@@ -26,7 +26,8 @@ def classify(df: DataFrame, keys: Sequence[str], size: str, movement: str, cuts:
     """Nine classes from two percentile axes, with the distance to the class centre, the runner-up class and
     the margin between them."""
     complete = df.where(F.col(size).isNotNull() & F.col(movement).isNotNull())
-    placed = percentile_position(percentile_position(complete, keys, size, "size_position"), keys, movement, "movement_position")
+    big = has_heavy_key(complete, keys)
+    placed = percentile_position(percentile_position(complete, keys, size, "size_position", big), keys, movement, "movement_position", big)
 
     def level(c: str) -> Column:
         return F.when(F.col(c) < cuts[0], 0).when(F.col(c) < cuts[1], 1).otherwise(2)

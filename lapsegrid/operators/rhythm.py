@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio, safe_corr
 from lapsegrid.operators.stats import corrected
+from lapsegrid.plans.heavy import has_heavy_key
 from lapsegrid.plans.ranks import quantiles
 
 ENTITY = ["stem", "identity"]
@@ -66,7 +67,7 @@ def screen(df: DataFrame, keys: Sequence[str], family: Sequence[str], value: str
     )
     cycles = F.col("span_hours") / F.col("period")
     return (
-        corrected(rows, family, "p_value").drop("p_bonferroni", "p_sidak", "family_size").withColumnRenamed("q_bh", "q_value")
+        corrected(rows, family, "p_value", has_heavy_key(df.select(*keys).distinct(), family)).drop("p_bonferroni", "p_sidak", "family_size").withColumnRenamed("q_bh", "q_value")
         .withColumn("period_class", F.when(F.col("period") < 20, "ultradian").when(F.col("period") <= 28, "circadian").when(F.col("period").isNotNull(), "infradian"))
         .withColumn("cycles_covered", cycles).withColumn("underdetermined", cycles < 2)
         .withColumn("supported", F.coalesce((F.col("q_value") <= alpha) & ~F.col("search_edge") & (cycles >= 2), F.lit(False)))

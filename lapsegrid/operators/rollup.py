@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsegrid.functions.numeric import ratio
-from lapsegrid.plans.ranks import metric_quantiles, quantiles
+from lapsegrid.plans.heavy import has_heavy_key
+from lapsegrid.plans.ranks import metric_quantiles, quantile_columns, quantiles
 
 ENTITY = ["stem", "identity"]
 
@@ -38,7 +39,12 @@ def in_windows(df: DataFrame, windows: Sequence[DeclaredWindow]) -> DataFrame:
 def summarise(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Median, inter-quartile range, mean and sample deviation of each metric, with the observed span."""
     keys = list(keys)
+    wanted = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    heavy = has_heavy_key(df, keys)
+    # small groups: quantiles ride in the same aggregate as everything else
+    inline = [] if heavy else quantile_columns(metrics, wanted)
     basics = df.groupBy(*keys).agg(
+        *inline,
         F.count(F.lit(1)).alias("observed_frames"),
         F.min("frame_index").alias("first_frame_index"),
         F.max("frame_index").alias("last_frame_index"),
@@ -47,11 +53,11 @@ def summarise(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Dat
         *[F.avg(m).alias(f"{m}_mean") for m in metrics],
         *[F.stddev_samp(m).alias(f"{m}_sd") for m in metrics],
     )
-    quartiles = metric_quantiles(df, keys, metrics, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    if heavy:
+        basics = basics.join(metric_quantiles(df, keys, metrics, wanted, True), keys, "left")
     span = F.col("last_frame_index") - F.col("first_frame_index") + 1
     return (
-        basics.join(quartiles, keys, "left")
-        .withColumn("span_frames", span.cast("long"))
+        basics.withColumn("span_frames", span.cast("long"))
         .withColumn("gap_frames", (span - F.col("observed_frames")).cast("long"))
         .withColumn("coverage", ratio("observed_frames", span))
         .withColumns({f"{m}_iqr": F.col(f"{m}_q75") - F.col(f"{m}_q25") for m in metrics})
@@ -66,12 +72,15 @@ def entity_rollup(observations: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def frame_rollup(observations: DataFrame, frames: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Per frame of the clock: entities present, median and mean of each metric; empty frames stay."""
     keys = ["stem", "frame_index"]
+    heavy = has_heavy_key(observations, keys)
+    inline = [] if heavy else quantile_columns(metrics, {"median": 0.5})
     basics = observations.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("entities"), *[F.avg(m).alias(f"{m}_mean") for m in metrics]
+        F.count(F.lit(1)).alias("entities"), *[F.avg(m).alias(f"{m}_mean") for m in metrics], *inline
     )
-    medians = metric_quantiles(observations, keys, metrics, {"median": 0.5})
+    if heavy:
+        basics = basics.join(metric_quantiles(observations, keys, metrics, {"median": 0.5}, True), keys, "left")
     return (
-        frames.join(basics, keys, "left").join(medians, keys, "left")
+        frames.join(basics, keys, "left")
         .withColumn("entities", F.coalesce(F.col("entities"), F.lit(0).cast("long")))
     )
 
@@ -116,15 +125,18 @@ def windowed_rollup(observations: DataFrame, windows: Sequence[DeclaredWindow],
 def window_changes(rolled: DataFrame, windows: Sequence[DeclaredWindow], statistics: Sequence[str]) -> DataFrame:
     """Each window's statistic against its baseline window: value, baseline, difference, ratio. An entity
     missing from either window has no row."""
+    keys = [*ENTITY, "statistic"]
     long = rolled.select(*ENTITY, "window", *statistics).unpivot(
         [*ENTITY, "window"], list(statistics), "statistic", "value"
     ).where(F.col("value").isNotNull())
-    with_base = [w for w in windows if w.baseline]
-    baseline_of = F.coalesce(*[F.when(F.col("window") == w.name, F.lit(w.baseline)) for w in with_base])
-    current = long.withColumn("baseline_window", baseline_of).where(F.col("baseline_window").isNotNull())
-    base = long.select(*ENTITY, F.col("window").alias("baseline_window"), "statistic", F.col("value").alias("baseline"))
+    # windows are a declared list: one row per entity holds all of them, so no self-join is needed
+    wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col("window") == w.name, F.col("value"))).alias(f"__{w.name}") for w in windows])
+    pairs = F.array(*[
+        F.struct(F.lit(w.name).alias("window"), F.col(f"__{w.name}").alias("value"), F.lit(w.baseline).alias("baseline_window"), F.col(f"__{w.baseline}").alias("baseline"))
+        for w in windows if w.baseline
+    ])
     return (
-        current.join(base, [*ENTITY, "baseline_window", "statistic"])
+        wide.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull() & F.col("baseline").isNotNull())
         .withColumn("difference", F.col("value") - F.col("baseline"))
         .withColumn("ratio", ratio("value", "baseline"))
     )

@@ -150,7 +150,7 @@ def permuted_difference(units: DataFrame, family: Sequence[str], group: str, pai
     )
 
 
-def corrected(tests: DataFrame, family: Sequence[str], p: str) -> DataFrame:
+def corrected(tests: DataFrame, family: Sequence[str], p: str, two_level: bool | None = None) -> DataFrame:
     """All four corrections in a family. A test without a p keeps its slot as 1, and stays NULL in the result.
 
     Small families are ranked by windows on the rows themselves. A large one is written once first: its ranks
@@ -158,7 +158,7 @@ def corrected(tests: DataFrame, family: Sequence[str], p: str) -> DataFrame:
     """
     keys = list(family)
     slotted = tests.withColumn("__p", F.coalesce(F.col(p), F.lit(1.0)))
-    if has_heavy_key(tests, keys):
+    if has_heavy_key(tests, keys) if two_level is None else two_level:
         slotted = cut(slotted)
         pos = value_positions(slotted, keys, "__p").withColumn("__raw", F.col("__p") * F.col("total") / (F.col("before") + F.col("ties")))
         slot = F.floor(F.col("__p") * 4096).cast("long")

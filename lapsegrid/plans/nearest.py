@@ -36,6 +36,10 @@ def k_nearest(
     cells, so only sparse points ever look far. Rounds are cut by a reliable checkpoint.
     """
     keys, point_id = list(keys), list(point_id)
+    # every round reads both sides again
+    same = points is targets
+    points = cut(points)
+    targets = points if same else cut(targets)
     furthest = F.max(F.greatest(F.abs("y"), F.abs("x")))
     reach = 1.0 + 2.0 * max(float(df.agg(furthest).first()[0] or 0.0) for df in (points, targets))
     left = points

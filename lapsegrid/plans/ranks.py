@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.plans.durable import cut
 from lapsegrid.plans.heavy import has_heavy_key
@@ -42,6 +42,11 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, values_per_b
     return scanned.select(*keys, value, "ties", (F.col("__upto") - F.col("ties")).alias("before"), "total")
 
 
+def quantile_columns(metrics: Sequence[str], wanted: dict[str, float]) -> list[Column]:
+    """Built-in exact quantiles as aggregate columns, for groups measured to be small."""
+    return [F.percentile(F.col(m).cast("double"), F.lit(float(q))).alias(f"{m}_{a}") for m in metrics for a, q in wanted.items()]
+
+
 def metric_quantiles(
     df: DataFrame, keys: Sequence[str], metrics: Sequence[str], wanted: dict[str, float], two_level: bool | None = None
 ) -> DataFrame:
@@ -50,9 +55,7 @@ def metric_quantiles(
     if two_level is None:
         two_level = has_heavy_key(df, keys)
     if not two_level:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(F.col(m).cast("double"), F.lit(float(q))).alias(f"{m}_{a}") for m in metrics for a, q in wanted.items()]
-        )
+        return df.groupBy(*keys).agg(*quantile_columns(metrics, wanted))
     slim = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])
     long = slim.unpivot(keys, list(metrics), "__metric", "__value")
     positions = value_positions(long, [*keys, "__metric"], "__value")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lapsegrid.plans.durable import cut
+
 ORIGIN = "2024-01-01 00:00:00"
 DAY_FRAMES = 30
 SIX_HOUR_FRAMES = 120
@@ -21,6 +23,13 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build) -> DataFrame:
+        """A derived table that several branches of one query read: written once to the shared folder."""
+        if name not in self._kept:
+            self._kept[name] = cut(build())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -103,6 +112,9 @@ class Inputs:
         return self.pixels().where(F.col("identity").isNotNull())
 
     def tracks(self) -> DataFrame:
+        return self.kept("tracks", self._tracks)
+
+    def _tracks(self) -> DataFrame:
         """Entity x frame positions: mask centroid and area."""
         return (
             self.masks()

@@ -67,12 +67,13 @@ def _(i):
 )
 def _(i):
     obs = i.daily()
-    return R.recording_rollup(R.summarise(obs, R.ENTITY, []) if False else obs.groupBy(*R.ENTITY).agg(
+    entities = obs.groupBy(*R.ENTITY).agg(
         F.count(F.lit(1)).alias("observed_frames"),
         F.min("frame_index").alias("first_frame_index"),
         F.max("frame_index").alias("last_frame_index"),
         (F.max("frame_index") - F.min("frame_index") + 1 - F.count(F.lit(1))).alias("gap_frames"),
-    ), obs, 30)
+    )
+    return R.recording_rollup(entities, obs, 30)
 
 
 @query("windowed_rollup", f"WITH {DAILY_SQL}, {WIN} SELECT * FROM win", _DOUBLES + " window_hours window_coverage")

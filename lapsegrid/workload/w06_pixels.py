@@ -9,6 +9,11 @@ from lapsegrid.sources.canonical import PIXELS_SQL, TRACKS_SQL
 from lapsegrid.workload.registry import query
 
 PX = f"WITH {PIXELS_SQL}"
+
+
+def masks(i):
+    return i.kept("masks", i.masks)
+
 STATS = """mst AS (SELECT stem, identity, frame_index, count(*) AS area_px, avg(y) AS centroid_y, avg(x) AS centroid_x, min(y) AS min_y, max(y) AS max_y, min(x) AS min_x, max(x) AS max_x,
  var_pop(y)+1.0/12 AS vy, var_pop(x)+1.0/12 AS vx, CASE WHEN abs(covar_pop(y,x))>1e-9 THEN covar_pop(y,x) ELSE 0.0 END AS c FROM mk GROUP BY 1,2,3),
  mse AS (SELECT *, (vy+vx)/2+sqrt(((vy-vx)/2)**2+c*c) AS big, greatest((vy+vx)/2-sqrt(((vy-vx)/2)**2+c*c),0.0) AS small FROM mst)"""
@@ -34,7 +39,7 @@ _INTD = "signal_mean signal_median signal_std signal_p10 signal_p90 signal_max i
 
 @query("mask_intensity", f"{PX}, " + _INT.format(k="stem, identity, frame_index", t="mk"), _INTD)
 def _(i):
-    return X.mask_intensity(i.masks(), 1.5)
+    return X.mask_intensity(masks(i), 1.5)
 
 
 @query("field_channel", f"""{PX} SELECT stem, frame_index, count(raw) AS valid_px, avg(raw) AS mean, median(raw) AS median, stddev_pop(raw) AS sd, avg(raw) FILTER (WHERE identity IS NOT NULL) AS inside_mean,
@@ -91,12 +96,12 @@ PAIRED = """fr AS (SELECT *, lag(frame_index) OVER (PARTITION BY stem, identity
     "turnover_index jaccard extension_bias balanced_turnover_fraction",
 )
 def _(i):
-    return X.turnover(X.paired_places(i.masks(), 2))
+    return X.turnover(X.paired_places(masks(i), 2))
 
 
 @query("mask_change_places", f"{PX}, {PAIRED} SELECT * FROM pp")
 def _(i):
-    return X.paired_places(i.masks(), 2)
+    return X.paired_places(masks(i), 2)
 
 
 _SHIFTED = """ct AS (SELECT stem, identity, frame_index, avg(y) AS cy, avg(x) AS cx FROM mk GROUP BY 1,2,3),
@@ -108,7 +113,7 @@ _SHIFTED = """ct AS (SELECT stem, identity, frame_index, avg(y) AS cy, avg(x) AS
 
 @query("mask_change_aligned", f"{PX}, {_SHIFTED}")
 def _(i):
-    m = i.masks()
+    m = masks(i)
     moved = X.centroid_shifts(m)
     consecutive = m.join(moved.select("stem", "identity", "frame_index"), ["stem", "identity", "frame_index"], "left_semi")
     places = X.paired_places(m, 1, moved)
@@ -122,7 +127,7 @@ _CURVE = """fs AS (SELECT stem, identity, y, x, min(frame_index) AS frame_index
 
 @query("coverage_curve", f"{PX}, {_CURVE} SELECT * FROM cv", "revisit_fraction")
 def _(i):
-    return X.coverage_curve(i.masks())
+    return X.coverage_curve(masks(i))
 
 
 @query(
@@ -133,7 +138,7 @@ def _(i):
     "half_coverage_hours saturation_hours core_share",
 )
 def _(i):
-    return X.territory(i.masks(), 0.2, 0.05, 0.5)
+    return X.territory(masks(i), 0.2, 0.05, 0.5)
 
 
 @query(
@@ -230,12 +235,12 @@ CONTACTS = f"""{_EDGE}, nb AS (SELECT e.stem, e.frame_index, e.identity AS own,
 
 @query("mask_boundary", f"{PX}, {_EDGE} SELECT * FROM ed")
 def _(i):
-    return X.boundary(i.masks())
+    return X.boundary(masks(i))
 
 
 @query("contacts", f"{PX}, {CONTACTS} SELECT * FROM ctc", "share_a share_b")
 def _(i):
-    return X.contacts(i.masks(), [1, 2])
+    return X.contacts(masks(i), [1, 2])
 
 
 @query(
@@ -246,7 +251,7 @@ def _(i):
     "contact_hours first_hour last_hour mean_boundary_px",
 )
 def _(i):
-    return X.contact_summary(X.contacts(i.masks(), [1, 2]), 0.5)
+    return X.contact_summary(X.contacts(masks(i), [1, 2]), 0.5)
 
 
 RADII = "rd AS (SELECT mk.*, cy, cx, sqrt((y-cy)**2+(x-cx)**2) AS radius FROM mk JOIN (SELECT stem, identity, frame_index, avg(y) AS cy, avg(x) AS cx FROM mk GROUP BY 1,2,3) USING (stem, identity, frame_index))"
@@ -266,7 +271,7 @@ RINGS = f"""{RADII}, ow AS (SELECT stem, identity, frame_index, quantile_cont(ra
 
 @query("radial_rings", f"{PX}, {RINGS} SELECT * FROM rg", "ring_width occupancy")
 def _(i):
-    return X.rings(i.masks(), 5, H, W)
+    return X.rings(masks(i), 5, H, W)
 
 
 @query(
@@ -277,7 +282,7 @@ def _(i):
     "enclosing_radius mean_radius median_radius occupancy_inner occupancy_outer occupancy_ratio",
 )
 def _(i):
-    return X.ring_profile(X.rings(i.masks(), 5, H, W))
+    return X.ring_profile(X.rings(masks(i), 5, H, W))
 
 
 @query(
@@ -289,7 +294,7 @@ def _(i):
 def _(i):
     from lapsegrid.operators.filters import supported_profile
 
-    r = X.rings(i.masks(), 5, H, W).where(F.col("scaling") == "cell").withColumn("usable", (F.col("annulus_px") > 0).cast("double"))
+    r = X.rings(masks(i), 5, H, W).where(F.col("scaling") == "cell").withColumn("usable", (F.col("annulus_px") > 0).cast("double"))
     return supported_profile(r, ["stem", "identity", "frame_index"], 5, 0.9)
 
 
@@ -319,7 +324,7 @@ def _evidence_rows(i):
     "evidence_sum motion_fraction",
 )
 def _(i):
-    return X.evidence(i.masks(), _evidence_rows(i), 10.0)
+    return X.evidence(masks(i), _evidence_rows(i), 10.0)
 
 
 _RAMP = f"""{_EVROWS}, dv AS (SELECT DISTINCT stem, channel, CAST(value AS DOUBLE) AS value FROM evr WHERE value>0), ds AS (SELECT *, value-lag(value) OVER (PARTITION BY stem, channel ORDER BY value) AS g FROM dv),
@@ -379,7 +384,7 @@ def _(i):
     "contact_share median_overlap_px contact_hours",
 )
 def _(i):
-    return X.object_tracks(X.object_overlap(i.masks(), objects(i)), 0.5)
+    return X.object_tracks(X.object_overlap(masks(i), objects(i)), 0.5)
 
 
 _CEN = "cen AS (SELECT stem, identity, frame_index, CAST(floor(y+0.5) AS INTEGER) AS y, CAST(floor(x+0.5) AS INTEGER) AS x FROM tk)"
@@ -426,7 +431,7 @@ def _(i):
     "domain_occupancy",
 )
 def _(i):
-    return X.domains(i.masks(), H, W, 4.0)
+    return X.domains(masks(i), H, W, 4.0)
 
 
 @query(
@@ -436,7 +441,7 @@ def _(i):
     "nearest_edge_px",
 )
 def _(i):
-    return X.edge_distances(i.masks(), 4.0)
+    return X.edge_distances(masks(i), 4.0)
 
 
 @query(

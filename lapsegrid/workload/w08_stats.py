@@ -252,7 +252,7 @@ _CP = f"""{CONTACTS}, lv AS (SELECT stem, identity, avg(raw) AS m FROM mk GROUP
     "observed null_mean p_value",
 )
 def _(i):
-    m = i.masks()
+    m = i.kept("masks", i.masks)
     touching = X.contacts(m, [1, 2]).groupBy("stem", "identity_a", "identity_b").agg(
         (F.max(((F.col("dilation_px") == 1) & (F.coalesce(F.col("boundary_a_px"), F.lit(0)) >= 4)).cast("int")) == 1).alias("contact")
     )

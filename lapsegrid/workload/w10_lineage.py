@@ -14,6 +14,10 @@ RENAMED = f"{PIXELS_SQL}, ln AS (SELECT stem, frame_index, y+1 AS y, x+1 AS x, C
 
 
 def named(i):
+    return i.kept("named", lambda: _named(i))
+
+
+def _named(i):
     px = i.pixels()
     era = F.floor((F.col("frame_index") + F.col("identity")) / 7)
     return px.select("stem", "frame_index", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), (F.col("identity") + 100 * era).cast("long").alias("identity"), "raw", "unclaimed")
@@ -89,11 +93,15 @@ _GAPS = f"""{_BLINK}, fr AS (SELECT *, lead(frame_index) OVER (PARTITION BY stem
 
 
 def _gap_audit(i):
+    px = i.kept("blinking", lambda: _blinking(i))
+    blocked = px.where(F.col("identity") == 9).select("stem", "identity").distinct()
+    return N.gap_additions(px, blocked, 4, 0.0, 3.0, 2.0, 0, 1.0, 3.0)
+
+
+def _blinking(i):
     fr, e = F.col("frame_index"), F.col("identity")
     gone = (e % 3 != 0) | ((fr + e) % 5 == 2) | ((e == 6) & fr.between(10, 16))
-    px = i.pixels().withColumn("identity", F.when(~gone, e))
-    blocked = px.where(e == 9).select("stem", "identity").distinct()
-    return N.gap_additions(px, blocked, 4, 0.0, 3.0, 2.0, 0, 1.0, 3.0)
+    return i.pixels().withColumn("identity", F.when(~gone, e))
 
 
 @query("gap_audit", f"WITH {_GAPS} SELECT * FROM au", "endpoint_iou centroid_shift_px")
