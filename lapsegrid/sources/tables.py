@@ -52,12 +52,10 @@ def read_table(spark: SparkSession, path: str, spec: TableSpec | None = None) ->
 
 def read_trace_csv(spark: SparkSession, path: str, time_column: str = "hours", offset_h: float = 0.0) -> DataFrame:
     """Wide trace file: one time column and one column per trace, ``#`` lines skipped."""
-    df = spark.read.csv(path, header=True, inferSchema=True, comment="#", encoding="UTF-8")
-    for name in df.columns:
-        bare = name.lstrip("﻿").strip()
-        if bare != name:
-            df = df.withColumnRenamed(name, bare)
-    return clean_doubles(df.withColumn(time_column, F.col(time_column).cast("double") + F.lit(offset_h)))
+    raw = spark.read.csv(path, header=True, comment="#", encoding="UTF-8")
+    names = [c.lstrip("\ufeff").strip() for c in raw.columns]
+    numbers = raw.toDF(*names).select(*[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in names])
+    return clean_doubles(numbers.withColumn(time_column, F.col(time_column) + F.lit(offset_h)))
 
 
 def trace_panels(df: DataFrame, pattern: str = "*", time_column: str = "hours") -> DataFrame:
