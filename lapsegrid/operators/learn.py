@@ -54,11 +54,11 @@ def capped_membership(rows: DataFrame, group: str, entity: Sequence[str], row_id
     hashed = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), *row_id)))
     we = Window.partitionBy(group, *entity).orderBy("__h", *row_id)
     capped = hashed.withColumn("turn", F.row_number().over(we)).where(F.col("turn") <= per_entity)
-    sizes = capped.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).agg(F.min(F.least(F.col("__n"), F.lit(per_group))).alias("budget"))
+    # one number: the smallest group's share, so that every group gives equally many rows
+    budget = capped.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).agg(F.min(F.least(F.col("__n"), F.lit(per_group)))).first()[0]
     wg = Window.partitionBy(group).orderBy("turn", "__h", *row_id)
     taken = capped.withColumn("place", F.row_number().over(wg)).where(F.col("place") <= per_group)
-    # one row
-    return taken.join(F.broadcast(sizes)).where(F.col("place") <= F.col("budget")).drop("__h")
+    return taken.withColumn("budget", F.lit(budget).cast("long")).where(F.col("place") <= F.col("budget")).drop("__h")
 
 
 def nearest_centre(vectors: DataFrame, row: str, vector: str, centres: Sequence[tuple[int, Sequence[float]]], outlier: float) -> DataFrame:
@@ -82,11 +82,11 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labellings of the same rows, from their contingency table."""
     cell = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
-    s = cell.agg(two("n").alias("both"), F.sum("n").alias("total"))
-    left = cell.groupBy(a).agg(F.sum("n").alias("n")).agg(two("n").alias("sa"))
-    right = cell.groupBy(b).agg(F.sum("n").alias("n")).agg(two("n").alias("sb"))
-    # three single rows
-    j = s.join(F.broadcast(left)).join(F.broadcast(right))
+    one = F.lit(0).alias("__k")
+    s = cell.groupBy(one).agg(two("n").alias("both"), F.sum("n").alias("total"))
+    left = cell.groupBy(a).agg(F.sum("n").alias("n")).groupBy(one).agg(two("n").alias("sa"))
+    right = cell.groupBy(b).agg(F.sum("n").alias("n")).groupBy(one).agg(two("n").alias("sb"))
+    j = s.join(left, "__k").join(right, "__k")  # three single rows
     expected = F.col("sa") * F.col("sb") / (F.col("total") * (F.col("total") - 1) / 2.0)
     return j.select(F.col("total").alias("rows"), ratio(F.col("both") - expected, (F.col("sa") + F.col("sb")) / 2 - expected).alias("adjusted_rand"))
 

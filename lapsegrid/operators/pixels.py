@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio
+from lapsegrid.plans.blocks import entity_pair_moments
 from lapsegrid.plans.ranks import quantiles
 from lapsegrid.plans.scan import frame_bucket, ordered_scan
 
@@ -186,15 +187,19 @@ def coverage_curve(masks: DataFrame) -> DataFrame:
 
 def territory_overlap(masks: DataFrame) -> DataFrame:
     """Places two entities both ever held, for pairs that share any, with the share of either territory and how
-    many of those places a third entity also held. Owners of one place are listed once, so pairs come from the
-    place itself and never from a recording's whole entity list."""
+    many of those places a third entity also held.
+
+    Blocks of entities are multiplied over stretches of places, so a crowded place costs one matrix row and its
+    owners are never paired off one by one.
+    """
     owners = masks.select(*ENTITY, "y", "x").distinct()
     sizes = owners.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("union_px"))
-    crowd = owners.groupBy("stem", "y", "x").agg(F.count(F.lit(1)).alias("__owners"))
-    a = owners.withColumnRenamed("identity", "identity_a").join(crowd, ["stem", "y", "x"])
-    b = owners.withColumnRenamed("identity", "identity_b")
-    shared = a.join(b, ["stem", "y", "x"]).where(F.col("identity_a") < F.col("identity_b")).groupBy("stem", "identity_a", "identity_b").agg(
-        F.count(F.lit(1)).alias("shared_px"), F.sum((F.col("__owners") > 2).cast("long")).alias("contested_px")
+    crowd = owners.groupBy("stem", "y", "x").agg((F.count(F.lit(1)) > 2).cast("double").alias("contested"))
+    # a field is at most 65,536 places wide
+    held = owners.join(crowd, ["stem", "y", "x"]).withColumn("place", F.col("y").cast("long") * 65536 + F.col("x"))
+    m = entity_pair_moments(held, ["stem"], "identity", "place", "contested", times_per_chunk=65536)
+    shared = m.select(
+        "stem", F.col("a").alias("identity_a"), F.col("b").alias("identity_b"), F.col("n").cast("long").alias("shared_px"), F.col("sxy").cast("long").alias("contested_px")
     )
     for side in ("a", "b"):
         shared = shared.join(

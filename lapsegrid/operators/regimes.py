@@ -217,9 +217,10 @@ def transition_curves(classed: DataFrame, value: str, half: int) -> DataFrame:
 
 def low_events(df: DataFrame, value: str, quantile: float) -> tuple[DataFrame, DataFrame]:
     """Observations at or under a quantile of all values, and each entity's event rate with its rank."""
-    cut = quantiles(df, [], value, {"cut": quantile}).drop("total")
-    # one row
-    events = df.join(F.broadcast(cut)).where(F.col(value) <= F.col("cut"))
+    # one number, read first so that the scan below is a plain filter
+    found = quantiles(df, [], value, {"cut": quantile}).first()
+    cut = None if found is None else found["cut"]
+    events = df.withColumn("cut", F.lit(cut).cast("double")).where(F.col(value) <= F.col("cut"))
     n = df.where(F.col(value).isNotNull()).groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("observed"))
     e = events.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("events"))
     rates = n.join(e, ENTITY, "left").withColumn("events", F.coalesce("events", F.lit(0).cast("long"))).withColumn("rate", ratio("events", "observed"))

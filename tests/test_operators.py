@@ -196,3 +196,29 @@ def test_contrast_refusals_are_rows(spark):
     c = dict(name="c", metrics=["v", "nope"], test="mann_whitney", family="fam", group="g", pair=("a", "b"), unit=["unit"], aggregate="mean", minimum=9)
     got = {r["metric"]: r["note"] for r in contrasts.declared_contrasts(rows, [c]).collect()}
     assert got == {"v": "too few units", "nope": "no such metric"}
+
+
+def test_derivations_fold_and_skip(spark, gappy):
+    from lapsegrid.operators import extension
+    from lapsegrid.sources.tables import TableSpec
+
+    grain = ("stem", "identity", "frame_index")
+    extension.register(extension.Derivation(
+        "double", lambda df, p: {"double": df.select(*grain, (F.col("signal") * p["by"]).alias("scaled"))}, (TableSpec("double", grain, fold=True),), ("signal",), {"by": 2}))
+    extension.register(extension.Derivation(
+        "count", lambda df, p: {"count": df.groupBy("stem", "identity").agg(F.count("scaled").alias("n"))}, (TableSpec("count", ("stem", "identity")),), ("scaled",)))
+    extension.register(extension.Derivation("other", lambda df, p: {}, (), ("absent",)))
+    base, found, skipped = extension.derive(gappy, ["double", "count", "other"], {"double": {"by": 3}})
+    assert base.where("frame_index = 2").first()["scaled"] == 60 and skipped == {"other": "needs absent"}
+    assert {r["identity"]: r["n"] for r in found["count"].collect()} == {1: 6, 2: 0}
+    with pytest.raises(KeyError):
+        extension.derive(gappy, ["nothing"])
+
+
+def test_column_groups(spark):
+    from lapsegrid.operators.features import columns_for
+
+    groups = {"shape": ["area", "width"]}
+    assert columns_for(groups, ["hours", "@shape", "area"], ["hours", "area", "width"]) == ["hours", "area", "width"]
+    with pytest.raises(ValueError):
+        columns_for(groups, ["@missing"], ["hours"])
