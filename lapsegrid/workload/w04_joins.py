@@ -56,6 +56,7 @@ for _mode in ("keep", "exclude"):
             f"cohort_filter_{_mode}_unknown_{_unknown}",
             f"WITH {FACTS} SELECT *, {_EVID}, ({_MATCH}) AS matched, coalesce({_dec}, {'true' if _unknown == 'keep' else 'false'}) AS kept FROM facts",
             "missing_share signal_mean signal_max signal_floor",
+            digits=9,
         )(lambda i, m=_mode, u=_unknown: L.cohort(facts(i), RULE, m, u))
 
 FACTORS = {
