@@ -9,16 +9,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsegrid.llm import quality, simhash, suffix_dedup
-from lapsegrid.llm.common import slices, table
+from lapsegrid.llm import ann, id_files, packing, pii, quality, sharding, simhash, suffix_dedup, url_filter
+from lapsegrid.llm import pieces as piece_models
+from lapsegrid.llm.common import map_texts, slices, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = id_files.write_ids(table(spark, sf_dir, "documents"))
+    return id_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+TREE = sharding.cluster(16)
+LARGER = sharding.grown(TREE, 16)
+
+
+def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_documents(table(spark, sf_dir, "documents"), TREE, LARGER)
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_quality(table(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.personal_data(docs, pii.fit_on(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+RULES: list[url_filter.Rule] = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.flagged_urls(pages), RULES)
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def work(texts: list) -> list[pa.Array]:
+        model = piece_models.pieces("piece_bpe_32k.model")
+        ids = model.encode(texts)
+        written = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+        decoded = [hashlib.sha256(t.encode()).hexdigest() for t in model.decode(ids)]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())]
+
+    docs = table(spark, sf_dir, "documents")
+    return map_texts(docs, [F.col("doc_id").cast("long"), F.col("text")], work, schema)
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,5 +93,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.mapInArrow(run, schema)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_repetition_quality, op8_simhash_components, op10_suffix_dedup)}
-SQL: dict[str, str] = {}
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_id_files, op2_hash_tree, op3_packing, op4_repetition_quality, op5_personal_data, op6_url_filter, op7_pieces, op8_simhash_components,
+        op9_forest, op10_suffix_dedup,
+    )
+}
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_KEY = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+
+SQL: dict[str, str] = {
+    "op2_hash_tree": f"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, text,
+    {sharding.descend_sql(_KEY, TREE)} AS shard, {sharding.descend_sql(_KEY, LARGER)} AS grown_shard
+  FROM documents
+)
+SELECT 1""",
+}
+SQL.clear()
