@@ -35,7 +35,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repetition_quality(table(spark, sf_dir, "documents")).drop("repeat_spans")
+    return quality.repetition_quality(table(spark, sf_dir, "documents")).drop("repeat_spans", "longest_repeat")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,16 +106,71 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-_WORDS = r"[^\x20\x09-\x0D]+"
+
+def _windows(name: str, size: int) -> str:
+    """Positions of words in windows of `size` words that the document holds at least twice."""
+    return f"""
+{name}_all AS (SELECT doc_id, i, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS s FROM words),
+{name}_seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM {name}_all WHERE i <= n - {size - 1}),
+{name} AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {size})) AS p FROM {name}_seen WHERE n > 1) GROUP BY doc_id)"""
+
+
+_RULES = quality.RepetitionRules()
+_HOST = r"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_QUERY = r"regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1)"
+_FLAGS = "|".join(url_filter.FLAGGED)
+
+
+def _rule_sql(value: int) -> str:
+    """The rule that fits (or its verdict), longest first."""
+    found = "NULL"
+    for verdict, host, path in sorted(RULES, key=lambda r: len(r[1] + r[2])):
+        result = (verdict, host + path)[value]
+        found = f"CASE WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN '{result}' ELSE {found} END"
+    return found
+
+
 _KEY = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
 
+#: Where SQL can say the whole answer. Tokenizers, XXH64 fingerprints, boosted trees and packing
+#: have none, and windows of 400 bytes are too slow in SQL on whole tables: those queries are tested against brute force.
 SQL: dict[str, str] = {
     "op2_hash_tree": f"""
-WITH d AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, text,
-    {sharding.descend_sql(_KEY, TREE)} AS shard, {sharding.descend_sql(_KEY, LARGER)} AS grown_shard
-  FROM documents
+WITH RECURSIVE step AS (
+  SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, {sharding.descend_sql(_KEY, TREE)} AS shard, {sharding.descend_sql(_KEY, LARGER)} AS grown_shard FROM documents),
+b AS (SELECT *, len(h) // 2 + 1 AS size, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS bytes FROM d),
+c AS (SELECT b.*, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM b, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, size, text_crc32) - 1 AS slot, grown_shard FROM c
+""",
+    "op4_repetition_quality": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),{_windows("eight", 8)},{_windows("least", _RULES.min_words)},{_windows("longer", _RULES.most_longest + 1)},
+f AS (
+  SELECT d.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(eight.n, 0) AS n_repeat_words, coalesce(least.n, 0) AS covered_words, longer.n IS NOT NULL AS too_long
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN eight USING (doc_id) LEFT JOIN least USING (doc_id) LEFT JOIN longer USING (doc_id)
 )
-SELECT 1""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND covered_words <= {_RULES.most_covered} * n_words AND NOT too_long AS kept
+FROM f
+""",
+    "op6_url_filter": f"""
+WITH u AS (SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages),
+c AS (
+  SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|\\.html)$', '') AS place,
+    array_to_string(list_filter(string_split({_QUERY}, '&'), lambda p: NOT regexp_matches(p, '^(utm_|ref=)') AND p <> ''), '&') AS q FROM u
+),
+k AS (SELECT *, coalesce(place || CASE WHEN q <> '' THEN '?' || q ELSE '' END, '') AS canonical FROM c),
+l AS (SELECT DISTINCT canonical FROM k WHERE regexp_matches(host, '(^|[.-])({_FLAGS})([.-]|$)') AND canonical <> '')
+SELECT page_id, host, path, {_rule_sql(1)} AS rule, coalesce({_rule_sql(0)}, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN l USING (canonical)
+""",
 }
-SQL.clear()
