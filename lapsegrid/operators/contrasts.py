@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio
 from lapsegrid.operators import stats as S
 from lapsegrid.operators.learn import unit_draw
 from lapsegrid.operators.rollup import unit_ledger
+from lapsegrid.plans.compose import entering
+from lapsegrid.plans.durable import cut
 from lapsegrid.plans.scan import frame_bucket, ordered_scan
 
 ENTITY = ["stem", "identity"]
@@ -81,73 +83,105 @@ def persistence_caveat(rhythms: DataFrame, dynamics: DataFrame, threshold: float
     )
 
 
-def autoregressive_surrogates(df: DataFrame, value: str, replicates: int, seed: int) -> DataFrame:
-    """First-order surrogates of each entity: its own lag-one correlation and spread, innovations from digests.
+#: Frames of a chunk whose steps are composed in one row.
+CHUNK = 64
 
-    A value is a finite sum of past innovations with geometric weights; terms beyond the declared depth weigh
-    under 1e-6 and are left out, so no entity is walked row by row in one task.
+
+def autoregressive_surrogates(df: DataFrame, value: str, replicates: int, seed: int, chunk: int = CHUNK) -> DataFrame:
+    """First-order surrogates of each entity: its own mean, spread and lag-one correlation, innovations from digests.
+
+    ``x_t = phi x_(t-1) + sqrt(1 - phi^2) e_t``, started from the stationary spread at the first frame and again
+    after every missing one. A step is an affine map; chunks of steps are composed apart and joined by doubling,
+    so an entity of any length is exact and never one task. ``phi`` is held just inside the unit interval.
     """
     keys = list(ENTITY)
-    lagged = ordered_scan(df.where(F.col(value).isNotNull()).select(*keys, "frame_index", value), keys, ["frame_index"], frame_bucket(), lag={"__p": value, "__pf": "frame_index"})
-    s = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    near = F.col("frame_index") - F.col("__pf") == 1
     from lapsegrid.functions.numeric import safe_corr
 
-    phi = lagged.where(near).groupBy(*keys).agg(F.least(F.greatest(F.coalesce(safe_corr(F.col(value), F.col("__p")), F.lit(0.0)), F.lit(-0.75)), F.lit(0.75)).alias("phi"))
-    depth = 48  # 0.75 ** 48 < 1e-6
-    reps = df.select(*keys, "frame_index").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    terms = reps.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(depth)))).join(s, keys).join(phi, keys, "left")
-    source = F.concat_ws("|", F.lit(str(seed)), "replicate", *keys, F.col("frame_index") - F.col("k"))
+    known = df.where(F.col(value).isNotNull()).select(*keys, "frame_index", F.col(value).cast("double").alias("v"))
+    lagged = cut(ordered_scan(known, keys, ["frame_index"], frame_bucket(), lag={"__p": "v", "__pf": "frame_index"}))
+    near = F.coalesce(F.col("frame_index") - F.col("__pf") == 1, F.lit(False))
+    edge = F.lit(1 - 1e-6)
+    s = lagged.groupBy(*keys).agg(
+        F.avg("v").alias("__m"), F.stddev_pop("v").alias("__s"),
+        F.greatest(F.least(F.coalesce(safe_corr(F.when(near, F.col("v")), F.when(near, F.col("__p"))), F.lit(0.0)), edge), -edge).alias("phi"),
+    )
+    reps = lagged.select(*keys, "frame_index", near.alias("near")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    source = F.concat_ws("|", F.lit(str(seed)), "replicate", *keys, "frame_index")
     normal = F.sqrt(-2 * F.ln(unit_draw(source))) * F.cos(F.lit(6.283185307179586) * unit_draw(F.concat_ws("|", F.lit("b"), source)))
-    p = F.coalesce(F.col("phi"), F.lit(0.0))
-    part = normal * F.when(F.col("k") == 0, F.lit(1.0)).otherwise(F.when(p == 0, 0.0).otherwise(F.pow(p, F.col("k")))) * F.sqrt(1 - p * p)
-    return terms.groupBy(*keys, "replicate", "frame_index").agg((F.max("__m") + F.max("__s") * F.sum(part)).alias(value))
-
-
-def persistence_resample(transitions: DataFrame, frames: DataFrame, states: Sequence[str], seed: int, chunk: int = 64) -> DataFrame:
-    """A first-order walk of each entity over its own frames, drawn by digest.
-
-    Every frame is a map from each state to its drawn successor. Maps are composed inside chunks, the chunk
-    maps along the entity, and the composition is applied to the starting state.
+    drawn = reps.withColumn("e", normal).join(s, keys)
+    a = F.when(F.col("near"), F.col("phi")).otherwise(0.0)
+    b = F.when(F.col("near"), F.sqrt(1 - F.col("phi") * F.col("phi")) * F.col("e")).otherwise(F.col("e"))
+    steps = drawn.select(*keys, "replicate", "__m", "__s", F.floor(F.col("frame_index") / chunk).alias("chunk"), F.struct("frame_index", a.alias("a"), b.alias("b")).alias("step"))
+    rk = [*keys, "replicate"]
+    lists = cut(steps.groupBy(*rk, "chunk").agg(F.first("__m").alias("__m"), F.first("__s").alias("__s"), F.array_sort(F.collect_list("step")).alias("steps")))
+
+    def through(first: Column, then: Column) -> Column:
+        return F.struct((then["a"] * first["a"]).alias("a"), (then["a"] * first["b"] + then["b"]).alias("b"))
+
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    whole = lists.select(*rk, "chunk", F.aggregate("steps", same, lambda acc, e: through(acc, e)).alias("effect"))
+    came = entering(whole, rk, "chunk", "effect", through)
+    begin = F.coalesce(F.col("entering")["b"], F.lit(0.0))  # every chain starts with a restart, whose map forgets what came before
+    grown = F.aggregate(
+        "steps", F.struct(begin.alias("x"), F.array().cast("array<struct<frame_index:int,x:double>>").alias("out")),
+        lambda acc, e: F.struct(
+            (e["a"] * acc["x"] + e["b"]).alias("x"),
+            F.concat(acc["out"], F.array(F.struct(e["frame_index"].cast("int").alias("frame_index"), (e["a"] * acc["x"] + e["b"]).alias("x")))).alias("out"),
+        ),
+    )["out"]
+    walked = lists.join(came, [*rk, "chunk"]).select(*rk, "__m", "__s", F.inline(grown))
+    return walked.select(*rk, "frame_index", (F.col("__m") + F.col("__s") * F.col("x")).alias(value))
+
+
+def persistence_resample(rows: DataFrame, state: str, states: Sequence[str], seed: int, chunk: int = CHUNK) -> DataFrame:
+    """A first-order walk of each entity over its own frames, drawn by digest: the first frame, and each frame after
+    a missing one, from the entity's own state shares; every other from the transitions out of the walk's state.
+    A state that the entity never leaves at consecutive frames stays.
+
+    A step maps each state to its drawn successor; chunks of steps are composed apart and joined by doubling.
     """
-    names = list(states)
-    t = transitions.where(F.col("from_state").isin(names) & F.col("to_state").isin(names))
-    total = t.groupBy(*ENTITY, "from_state").agg(F.sum("n").alias("__t"))
-    # one row per declared state pair
-    w = Window.partitionBy(*ENTITY, "from_state").orderBy("to_state")
-    cumulative = t.join(total, [*ENTITY, "from_state"]).withColumn("upto", F.sum("n").over(w) / F.col("__t"))
-    per = cumulative.groupBy(*ENTITY, "from_state").agg(F.array_sort(F.collect_list(F.struct("upto", "to_state"))).alias("c"))
-    tables = per.groupBy(*ENTITY).agg(F.map_from_entries(F.collect_list(F.struct("from_state", "c"))).alias("rules"))
-    drawn = frames.select(*ENTITY, "frame_index").join(tables, ENTITY).withColumn("u", unit_draw(F.concat_ws("|", F.lit(str(seed)), *ENTITY, "frame_index")))
-
-    def successor(name: str):
-        options = F.filter(F.try_element_at("rules", F.lit(name)), lambda e: e["upto"] >= F.col("u"))
-        return F.coalesce(F.try_element_at(options, F.lit(1))["to_state"], F.lit(name)).alias(name)
-
-    step = F.struct(*[successor(n) for n in names])
-    placed = drawn.select(*ENTITY, "frame_index", F.floor(F.col("frame_index") / chunk).cast("long").alias("chunk"), step.alias("step"))
-
-    def follow(state, map_):
+    names, keys = list(states), list(ENTITY)
+    seen = rows.where(F.col(state).isin(names)).select(*keys, "frame_index", F.col(state).alias("s"))
+    lagged = cut(ordered_scan(seen, keys, ["frame_index"], frame_bucket(), lag={"__ps": "s", "__pf": "frame_index"}))
+    near = F.coalesce(F.col("frame_index") - F.col("__pf") == 1, F.lit(False))
+
+    def cumulative(counts: DataFrame, by: list[str], name: str) -> DataFrame:
+        """Running shares over the declared states, at most one row per state."""
+        w = Window.partitionBy(*by)
+        upto = F.sum("n").over(w.orderBy(name)) / F.sum("n").over(w)
+        return counts.select(*by, F.struct(upto.alias("upto"), F.col(name).alias("to")).alias("c")).groupBy(*by).agg(F.array_sort(F.collect_list("c")).alias("c"))
+
+    moves = lagged.where(near).groupBy(*keys, F.col("__ps").alias("from"), F.col("s").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    rules = cumulative(moves, [*keys, "from"], "to").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("from", "c"))).alias("rules"))
+    shares = cumulative(lagged.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("n")), keys, "s").withColumnRenamed("c", "shares")
+    drawn = lagged.select(*keys, "frame_index", near.alias("near")).join(shares, keys).join(rules, keys, "left")
+    drawn = drawn.withColumn("u", unit_draw(F.concat_ws("|", F.lit(str(seed)), *keys, "frame_index")))
+    pick = lambda options: F.try_element_at(F.filter(options, lambda e: e["upto"] >= F.col("u")), F.lit(1))["to"]
+    step = F.struct(*[F.when(~F.col("near"), pick(F.col("shares"))).otherwise(F.coalesce(pick(F.try_element_at("rules", F.lit(n))), F.lit(n))).alias(n) for n in names])
+    placed = drawn.select(*keys, F.floor(F.col("frame_index") / chunk).alias("chunk"), F.struct("frame_index", step.alias("step")).alias("step"))
+    lists = cut(placed.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list("step")).alias("steps")))
+
+    def follow(at: Column, map_: Column) -> Column:
         out = F.lit(None).cast("string")
         for n in names:
-            out = F.when(state == n, map_[n]).otherwise(out)
+            out = F.when(at == n, map_[n]).otherwise(out)
         return out
 
-    lists = placed.groupBy(*ENTITY, "chunk").agg(F.array_sort(F.collect_list(F.struct("frame_index", "step"))).alias("steps"))
-
-    def run(start):
-        return F.aggregate("steps", start, lambda acc, e: follow(acc, e["step"]))
-
-    whole = lists.withColumn("across", F.struct(*[run(F.lit(n)).alias(n) for n in names]))
-    # the chunk maps of one entity: as many as its frames over the chunk length
-    before = whole.select(*ENTITY, "chunk", F.collect_list("across").over(Window.partitionBy(*ENTITY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    entered = before.withColumn("start", F.aggregate("earlier", F.lit(names[0]), lambda acc, m: follow(acc, m))).drop("earlier")
-    walked = whole.join(entered, [*ENTITY, "chunk"])
-    states_at = F.transform(
-        F.sequence(F.lit(1), F.size("steps")),
-        lambda k: F.struct(F.element_at("steps", k)["frame_index"].alias("frame_index"), F.aggregate(F.slice("steps", F.lit(1), k), F.col("start"), lambda acc, e: follow(acc, e["step"])).alias("state")),
-    )
-    return walked.select(*ENTITY, F.inline(states_at))
+    def through(first: Column, then: Column) -> Column:
+        return F.struct(*[follow(first[n], then).alias(n) for n in names])
+
+    same = F.struct(*[F.lit(n).alias(n) for n in names])
+    whole = lists.select(*keys, "chunk", F.aggregate("steps", same, lambda acc, e: through(acc, e["step"])).alias("effect"))
+    came = entering(whole, keys, "chunk", "effect", through)
+    begin = F.coalesce(F.col("entering")[names[0]], F.lit(names[0]))  # a chain starts with a restart, which is the same from every state
+    walk = F.aggregate(
+        "steps", F.struct(begin.alias("s"), F.array().cast("array<struct<frame_index:int,state:string>>").alias("out")),
+        lambda acc, e: F.struct(
+            follow(acc["s"], e["step"]).alias("s"),
+            F.concat(acc["out"], F.array(F.struct(e["frame_index"].cast("int").alias("frame_index"), follow(acc["s"], e["step"]).alias("state")))).alias("out"),
+        ),
+    )["out"]
+    return lists.join(came, [*keys, "chunk"]).select(*keys, F.inline(walk))
 
 
 def moving_neighbours(tracks: DataFrame, k: int, cell: float) -> DataFrame:

@@ -29,9 +29,10 @@ def columns_for(groups: dict[str, Sequence[str]], wanted: Sequence[str], availab
     return out
 
 
-def dense_grid(df: DataFrame, value: str, n_frames: int) -> DataFrame:
-    """Every entity at every frame of the clock; absent cells are NULL."""
-    grid = df.select(*ENTITY).distinct().withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))))
+def dense_grid(df: DataFrame, value: str, recordings: DataFrame) -> DataFrame:
+    """Every entity at every frame of its recording's clock; absent cells are NULL."""
+    grid = df.select(*ENTITY).distinct().join(recordings.select("stem", "n_frames"), "stem")
+    grid = grid.select(*ENTITY, F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame_index"))
     return grid.join(df.select(*ENTITY, "frame_index", value), [*ENTITY, "frame_index"], "left")
 
 
@@ -151,10 +152,11 @@ def spread_snapshots(clock: DataFrame, count: int) -> DataFrame:
     return want.join(placed, ["stem", "position"]).select("stem", "frame_index", "hours").distinct()
 
 
-def complete_hours(observed: DataFrame, n_frames: int, hours_per_frame: float) -> DataFrame:
+def complete_hours(observed: DataFrame, recordings: DataFrame, hours_per_frame: float) -> DataFrame:
     """Hours of every frame from the median origin of those observed; a frame that disagrees is refused by name."""
     origin = quantiles(observed.withColumn("__o", F.col("hours") - F.col("frame_index") * hours_per_frame), ["stem"], "__o", {"origin": 0.5}).drop("total")
-    grid = origin.withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))))
+    clock = recordings.select("stem", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame_index"))
+    grid = origin.join(clock, "stem")
     seen = observed.groupBy("stem", "frame_index").agg(F.min("hours").alias("__h"))
     joined = grid.join(seen, ["stem", "frame_index"], "left")
     guess = F.col("origin") + F.col("frame_index") * hours_per_frame

@@ -17,7 +17,7 @@ def life_spans(masks: DataFrame) -> DataFrame:
     )
 
 
-def life_events(pixels: DataFrame, n_frames: int, height: int, width: int, dilation: int, tolerance: float, together: int, residual: float) -> DataFrame:
+def life_events(pixels: DataFrame, recordings: DataFrame, height: int, width: int, dilation: int, tolerance: float, together: int, residual: float) -> DataFrame:
     """How each name begins and ends, with what the frames can settle.
 
     Beginnings: present at the start, entered at the border, born beside a parent whose earlier area the two
@@ -76,7 +76,8 @@ def life_events(pixels: DataFrame, n_frames: int, height: int, width: int, dilat
     left_over = after.groupBy(*ENTITY).agg(F.sum((F.col("taker").isNotNull() | F.col("unclaimed")).cast("long")).alias("residual_px"))
     closing = last.join(takers, ENTITY, "left").join(left_over, ENTITY, "left").withColumn("residual_px", F.coalesce("residual_px", F.lit(0).cast("long")))
     taken = -F.col("t.m") >= F.col("area_px") * (1 - residual)
-    done = F.col("frame_index") == n_frames - 1
+    closing = closing.join(recordings.select("stem", "n_frames"), "stem")
+    done = F.col("frame_index") == F.col("n_frames") - 1
     faded = F.col("residual_px") <= F.col("area_px") * residual
     end_event = (
         F.when(done, "present_at_end").when(F.col("touches_border"), "left_field").when(taken, "absorbed").when(faded, "died").otherwise("lost")

@@ -48,10 +48,11 @@ def clustering_index(neighbours: DataFrame, field_px: float) -> DataFrame:
     return m.withColumn("expected_px", expected).withColumn("index", ratio("observed_px", "expected_px"))
 
 
-def closest_approach(neighbours: DataFrame, n_frames: int) -> DataFrame:
+def closest_approach(neighbours: DataFrame, recordings: DataFrame) -> DataFrame:
     """Closest any other came over the recording; unknown unless every frame was measured."""
     m = neighbours.groupBy(*ENTITY).agg(F.min("nearest_px").alias("__m"), F.count("nearest_px").alias("measured_frames"))
-    return m.withColumn("closest_px", F.when(F.col("measured_frames") == n_frames, F.col("__m"))).drop("__m")
+    timed = m.join(recordings.select("stem", "n_frames"), "stem")
+    return timed.withColumn("closest_px", F.when(F.col("measured_frames") == F.col("n_frames"), F.col("__m"))).drop("__m", "n_frames")
 
 
 def pair_correlations(df: DataFrame, value: str, minimum: int) -> DataFrame:
@@ -185,6 +186,7 @@ def _slopes(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
     ta, va, tb, vb = (d[c].to_numpy(float) for d in (left, right) for c in ("t", "v"))
     dt, dv = tb[None, :] - ta[:, None], vb[None, :] - va[:, None]
     keep = np.triu(np.ones(dt.shape, bool), 1) if same else np.ones(dt.shape, bool)
+    keep &= dt != 0  # two values at one time have no slope
     return dv[keep] / dt[keep]
 
 
@@ -199,8 +201,9 @@ def robust_trend(df: DataFrame, value: str, minimum: int = 5, block: int = BLOCK
     tie = counts.groupBy(*ENTITY).agg(F.sum("k").alias("n"), F.sum(k * (k - 1) * (2 * k + 5)).alias("__tie")).where(n >= minimum)
     z = 1.959963984540054  # fixed value: upper normal quantile at 0.025
     sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("__tie")) / 18.0)
-    pairs = (n * (n - 1) / 2).cast("long")
-    sized = tie.withColumn("pairs", pairs)
+    same_time = rows.groupBy(*ENTITY, "t").agg(F.count(F.lit(1)).alias("k")).groupBy(*ENTITY).agg(F.sum(k * (k - 1)).alias("__same"))
+    pairs = ((n * (n - 1) - F.col("__same")) / 2).cast("long")
+    sized = tie.join(same_time, ENTITY).withColumn("pairs", pairs).where("pairs > 0").drop("__same")
     hi = F.least(F.bround((F.col("pairs") + z * sigma) / 2).cast("long"), F.col("pairs") - 1)
     lo = F.greatest(F.bround((F.col("pairs") - z * sigma) / 2).cast("long") - 1, F.lit(0).cast("long"))
     mid0, mid1 = F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2)
@@ -244,8 +247,9 @@ def state_vectors(df: DataFrame, metrics: Sequence[str], minimum: int) -> DataFr
 
 
 def _distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Distances to nine digits: a closest share of pairs is cut at one of them, and ties must not depend on the last bits."""
     a, b = np.array(left["state"].tolist(), float), np.array(right["state"].tolist(), float)
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
+    return np.round(np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0)), 9)
 
 
 def _upper_distances(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
@@ -260,6 +264,7 @@ def recurrence(vectors: DataFrame, quantile: float, max_lag: int, block: int = B
     Each block carries the row before and after it, so whether a return has a neighbour on its diagonal or
     column is known inside one task.
     """
+    vectors = cut(vectors)  # the cutoff and the hits must see the same bits
     sizes = vectors.groupBy(*ENTITY).agg(F.max("position").alias("n")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
     at = (F.col("pairs") - 1) * F.lit(float(quantile))
     ranks = sizes.select(*ENTITY, F.inline(F.array(*[
@@ -442,9 +447,10 @@ def cycle_vector(binned: DataFrame, keys: Sequence[str], weight: str, bins: int)
     )
 
 
-def symbol_sequences(classed: DataFrame, n_frames: int) -> DataFrame:
-    """One row per entity and frame of the clock with its class, -1 where it has none."""
-    grid = classed.select(*ENTITY).distinct().withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))))
+def symbol_sequences(classed: DataFrame, recordings: DataFrame) -> DataFrame:
+    """One row per entity and frame of its recording's clock with its class, -1 where it has none."""
+    timed = classed.select(*ENTITY).distinct().join(recordings.select("stem", "n_frames"), "stem")
+    grid = timed.select(*ENTITY, F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame_index"))
     return grid.join(classed.select(*ENTITY, "frame_index", "regime"), [*ENTITY, "frame_index"], "left").select(
         *ENTITY, "frame_index", F.coalesce("regime", F.lit(-1)).alias("symbol")
     )

@@ -249,15 +249,16 @@ def event_footprints(masks: DataFrame, events: DataFrame) -> DataFrame:
     return places.groupBy("stem", "y", "x").agg(F.count(F.lit(1)).alias("events"))
 
 
-def place_fates(masks: DataFrame, frames_per_window: int, core: float, transient: float, n_frames: int) -> DataFrame:
+def place_fates(masks: DataFrame, frames_per_window: int, core: float, transient: float) -> DataFrame:
     """State of each place in each window of the clock from how often it was held and by whom."""
     window = F.floor(F.col("frame_index") / frames_per_window).cast("int")
     votes = masks.withColumn("window", window).groupBy("stem", "y", "x", "window", "identity").agg(F.count(F.lit(1)).alias("n"))
     held = votes.groupBy("stem", "y", "x", "window").agg(
         F.sum("n").alias("n"), F.min_by("identity", F.struct(-F.col("n"), F.col("identity"))).alias("owner")
     )
-    windows = -(-n_frames // frames_per_window)
-    grid = held.select("stem", "y", "x").distinct().withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    # the windows of a recording end with the last that holds anything
+    windows = held.groupBy("stem").agg(F.max("window").alias("__last"))
+    grid = held.select("stem", "y", "x").distinct().join(windows, "stem").select("stem", "y", "x", F.explode(F.sequence(F.lit(0), F.col("__last"))).alias("window"))
     full = grid.join(held, ["stem", "y", "x", "window"], "left")
     # one row per window of a declared list
     w = Window.partitionBy("stem", "y", "x").orderBy("window")

@@ -137,10 +137,11 @@ def event_ledger(events: DataFrame, censored: bool = True) -> DataFrame:
     return kept.groupBy("event", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def event_clock(events: DataFrame, bin_hours: float, bins: int) -> DataFrame:
-    """Events per fixed bin of the clock; empty bins are rows."""
+def event_clock(events: DataFrame, bin_hours: float) -> DataFrame:
+    """Events per fixed bin of the clock, which ends with the last event of any kind; empty bins are rows."""
     hits = events.groupBy("event", F.floor(F.col("hours") / F.lit(bin_hours)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = events.select("event").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    last = hits.agg(F.max("bin")).first()[0]
+    grid = hits.select("event").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
     return grid.join(hits, ["event", "bin"], "left").select(
         "event", "bin", (F.col("bin") * F.lit(bin_hours)).alias("from_hours"), F.coalesce("n", F.lit(0).cast("long")).alias("n")
     )

@@ -85,18 +85,18 @@ def frame_rollup(observations: DataFrame, frames: DataFrame, metrics: Sequence[s
     )
 
 
-def recording_rollup(entities: DataFrame, observations: DataFrame, n_frames: int) -> DataFrame:
-    """One row per recording with nested structure for the observed span."""
+def recording_rollup(entities: DataFrame, observations: DataFrame, recordings: DataFrame) -> DataFrame:
+    """One flat row per recording; ``recordings`` gives the length of each clock."""
     per_frame = observations.groupBy("stem", "frame_index").agg(F.count(F.lit(1)).alias("present"))
     frame_part = per_frame.groupBy("stem").agg(
         F.count(F.lit(1)).alias("frames_with_data"), F.max("present").alias("most_present")
     )
     medians = quantiles(per_frame.withColumn("present", F.col("present").cast("double")), ["stem"], "present", {"median_present": 0.5})
-    entity_part = entities.groupBy("stem").agg(
+    entity_part = entities.join(recordings.select("stem", "n_frames"), "stem").groupBy("stem").agg(
         F.count(F.lit(1)).alias("entities"),
         F.sum("observed_frames").alias("observations"),
         F.sum("gap_frames").alias("gap_frames"),
-        F.sum((F.col("observed_frames") == n_frames).cast("long")).alias("present_every_frame"),
+        F.sum((F.col("observed_frames") == F.col("n_frames")).cast("long")).alias("present_every_frame"),
         F.min("first_frame_index").alias("first_frame_index"),
         F.max("last_frame_index").alias("last_frame_index"),
     )

@@ -1,26 +1,56 @@
-"""Cutting lineage between rounds of an iterative job."""
+"""Cutting lineage between rounds of an iterative job, and making the package known to executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "spark.checkpoint.dir"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a private one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    Only a session whose executor is the driver itself may go without: it gets a folder of its own. Elsewhere a
+    missing name is an error, since a machine-local folder loses files.
+    """
+    named = spark.conf.get(FOLDER, None)
     if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rsplit("/", 1)[0]
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"name a folder that driver and executors share in {FOLDER}")
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set(FOLDER, folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a cached copy."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df written once as Parquet in the shared folder and read back: survives lost executors, and keeps pruning and filters."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per application, so that Python tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "lapsegrid.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(os.path.join(root, "lapsegrid")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)

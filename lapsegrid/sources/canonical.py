@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lapsegrid.plans.durable import cut
 
 ORIGIN = "2024-01-01 00:00:00"
-DAY_FRAMES = 30
-SIX_HOUR_FRAMES = 120
-QUARTER_FRAMES = 28
 FIELD_HEIGHT, FIELD_WIDTH = 15, 20
 
 
+def clock_of(rows: DataFrame) -> DataFrame:
+    """(stem, n_frames): each recording's clock runs from frame 0 to the last frame in the data."""
+    return rows.groupBy("stem").agg((F.max("frame_index") + 1).cast("int").alias("n_frames"))
+
+
+def longest_clock(rows: DataFrame) -> int:
+    """Frames of the longest clock: one number."""
+    return (rows.agg(F.max("frame_index")).first()[0] or 0) + 1
+
+
 class Inputs:
     """Lazy access to the tables of one data folder."""
 
@@ -72,9 +79,8 @@ class Inputs:
         return self._observations(F.lit("all"), 6)
 
     def recordings(self) -> DataFrame:
-        return self.table("events").groupBy(F.col("event_type").alias("stem")).agg(
-            F.lit(DAY_FRAMES).cast("int").alias("n_frames"), F.lit(1440.0).alias("minutes_per_frame")
-        )
+        """One row per recording; its clock ends with the last day that holds an event."""
+        return clock_of(self.daily()).withColumn("minutes_per_frame", F.lit(1440.0))
 
     def pixels(self) -> DataFrame:
         """Occupancy rows: parts are places (300 to a field), quarters are frames, the first line item of a
@@ -131,6 +137,11 @@ class Inputs:
 
 # --- SQL twins -------------------------------------------------------------------------------------
 
+
+def clock_sql(rows: str) -> str:
+    return f"(SELECT stem, CAST(max(frame_index) + 1 AS INTEGER) AS n_frames FROM {rows} GROUP BY 1)"
+
+
 EVENTS_SQL = """ev AS (SELECT event_type AS stem, user_id AS identity, event_id,
   epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS micros,
   (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))/3.6e9::DOUBLE AS hours,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lapsegrid.operators import rollup as R
-from lapsegrid.sources.canonical import DAILY_SQL, TRACES_SQL
+from lapsegrid.sources.canonical import DAILY_SQL, TRACES_SQL, clock_sql
 from lapsegrid.workload.registry import query
 
 WINDOWS = [
@@ -34,8 +34,8 @@ def _entities(i):
     return R.entity_rollup(i.daily(), METRICS)
 
 
-def _frames(i, n=30, hours=24.0):
-    return i.recordings().select("stem", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("frame_index"))
+def _frames(i):
+    return i.recordings().select("stem", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame_index"))
 
 
 @query("entity_rollup", f"WITH {DAILY_SQL}, {ENT} SELECT * FROM ent", _DOUBLES)
@@ -46,7 +46,7 @@ def _(i):
 @query(
     "frame_rollup",
     f"""WITH {DAILY_SQL} SELECT c.stem, c.frame_index, coalesce(n, 0) AS entities, signal_mean, activity_mean, signal_median, activity_median
- FROM (SELECT DISTINCT event_type AS stem, CAST(unnest(range(30)) AS INTEGER) AS frame_index FROM events) c
+ FROM (SELECT stem, CAST(unnest(range(n_frames)) AS INTEGER) AS frame_index FROM {clock_sql('obs')}) c
  LEFT JOIN (SELECT stem, frame_index, count(*) AS n, avg(signal) AS signal_mean, avg(activity) AS activity_mean,
  quantile_cont(signal, 0.5) AS signal_median, quantile_cont(activity, 0.5) AS activity_median FROM obs GROUP BY 1,2) o
  ON c.stem=o.stem AND c.frame_index=o.frame_index""",
@@ -61,7 +61,7 @@ def _(i):
     f"""WITH {DAILY_SQL}, {ENT}, pf AS (SELECT stem, frame_index, count(*) AS present FROM obs GROUP BY 1,2),
  f AS (SELECT stem, count(*) AS frames_with_data, max(present) AS most_present, quantile_cont(CAST(present AS DOUBLE), 0.5) AS median_present FROM pf GROUP BY 1),
  e AS (SELECT stem, count(*) AS entities, CAST(sum(observed_frames) AS BIGINT) AS observations, CAST(sum(gap_frames) AS BIGINT) AS gap_frames,
- count(*) FILTER (WHERE observed_frames = 30) AS present_every_frame, min(first_frame_index) AS first_frame_index, max(last_frame_index) AS last_frame_index FROM ent GROUP BY 1)
+ count(*) FILTER (WHERE observed_frames = n_frames) AS present_every_frame, min(first_frame_index) AS first_frame_index, max(last_frame_index) AS last_frame_index FROM ent JOIN {clock_sql('obs')} USING (stem) GROUP BY 1)
  SELECT * FROM e JOIN f USING (stem)""",
     "median_present",
 )
@@ -73,7 +73,7 @@ def _(i):
         F.max("frame_index").alias("last_frame_index"),
         (F.max("frame_index") - F.min("frame_index") + 1 - F.count(F.lit(1))).alias("gap_frames"),
     )
-    return R.recording_rollup(entities, obs, 30)
+    return R.recording_rollup(entities, obs, i.recordings())
 
 
 @query("windowed_rollup", f"WITH {DAILY_SQL}, {WIN} SELECT * FROM win", _DOUBLES + " window_hours window_coverage")

@@ -3,18 +3,18 @@
 from pyspark.sql import functions as F
 
 from lapsegrid.operators import presence as P
-from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL
+from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, clock_sql
 from lapsegrid.workload.registry import query
 
-LIFE = "life AS (SELECT stem, identity, min(frame_index) AS f0, max(frame_index) AS f1, count(*) AS observed FROM obs GROUP BY 1,2)"
+LIFE = "life AS (SELECT stem, identity, min(frame_index) AS f0, max(frame_index) AS f1, count(*) AS observed FROM obs GROUP BY 1,2), rec AS " + clock_sql("obs")
 CALLS = f"""{LIFE}, calls AS (SELECT g.stem, g.identity, g.frame_index, CASE WHEN o.stem IS NOT NULL THEN 'named'
  WHEN g.frame_index BETWEEN f0 AND f1 THEN 'unclaimed' ELSE 'outside_lifespan' END AS state, f0 AS first_frame_index, f1 AS last_frame_index
- FROM (SELECT *, CAST(unnest(range(30)) AS INTEGER) AS frame_index FROM life) g LEFT JOIN obs o USING (stem, identity, frame_index))"""
+ FROM (SELECT life.*, CAST(unnest(range(n_frames)) AS INTEGER) AS frame_index FROM life JOIN rec USING (stem)) g LEFT JOIN obs o USING (stem, identity, frame_index))"""
 GAPS = """stp AS (SELECT *, lead(frame_index) OVER (PARTITION BY stem, identity ORDER BY frame_index) AS nf FROM obs),
  gaps AS (SELECT stem, identity, CAST(frame_index+1 AS INTEGER) AS gap_start, CAST(nf-1 AS INTEGER) AS gap_end, CAST(nf-frame_index-1 AS BIGINT) AS gap_frames FROM stp WHERE nf-frame_index>1)"""
-AUDIT = f"""{LIFE}, {GAPS}, audit AS (SELECT l.stem, l.identity, observed, 30-observed AS missing, (30-observed)/30.0 AS missing_fraction,
- coalesce(lg,0) AS longest_gap, coalesce(ng,0) AS gaps, coalesce(im,0) AS internal_missing, CAST(f0 AS BIGINT) AS leading_missing, CAST(29-f1 AS BIGINT) AS trailing_missing
- FROM life l LEFT JOIN (SELECT stem, identity, max(gap_frames) AS lg, count(*) AS ng, CAST(sum(gap_frames) AS BIGINT) AS im FROM gaps GROUP BY 1,2) g USING (stem, identity)),
+AUDIT = f"""{LIFE}, {GAPS}, audit AS (SELECT l.stem, l.identity, observed, n_frames-observed AS missing, (n_frames-observed)/CAST(n_frames AS DOUBLE) AS missing_fraction,
+ coalesce(lg,0) AS longest_gap, coalesce(ng,0) AS gaps, coalesce(im,0) AS internal_missing, CAST(f0 AS BIGINT) AS leading_missing, CAST(n_frames-1-f1 AS BIGINT) AS trailing_missing
+ FROM life l JOIN rec USING (stem) LEFT JOIN (SELECT stem, identity, max(gap_frames) AS lg, count(*) AS ng, CAST(sum(gap_frames) AS BIGINT) AS im FROM gaps GROUP BY 1,2) g USING (stem, identity)),
  elig AS (SELECT *, concat_ws(';', CASE WHEN longest_gap > 8 THEN 'gap_frames' END, CASE WHEN longest_gap*24.0 > 168 THEN 'gap_hours' END,
  CASE WHEN missing > 22 THEN 'missing_frames' END, CASE WHEN missing_fraction >= 0.6 THEN 'missing_fraction' END) AS reasons FROM audit)"""
 
@@ -259,7 +259,7 @@ def _(i):
 
 @query(
     "frame_clock",
-    """WITH s AS (SELECT event_type AS stem, CAST(unnest(range(30)) AS INTEGER) AS frame_index FROM (SELECT DISTINCT event_type FROM events)),
+    """WITH s AS (SELECT event_type AS stem, CAST(unnest(range(n)) AS INTEGER) AS frame_index FROM (SELECT event_type, max((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))//86400000000) + 1 AS n FROM events GROUP BY 1)),
  a AS (SELECT event_type AS stem, CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))//86400000000 AS INTEGER) AS frame_index, min(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))/3.6e9 AS acquired FROM events GROUP BY 1,2)
  SELECT stem, frame_index, frame_index+1 AS frame_label, frame_index+100 AS source_frame_index, coalesce(acquired, frame_index*24.0) AS hours FROM s LEFT JOIN a USING (stem, frame_index)""",
     "hours",

@@ -7,7 +7,7 @@ from lapsegrid.operators import joins as J
 from lapsegrid.operators import presence as P
 from lapsegrid.operators import tracks as K
 from lapsegrid.sources import tables as S
-from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL
+from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, clock_of, clock_sql
 from lapsegrid.workload.registry import query
 from lapsegrid.workload.w02_presence import GAPS, LIFE, STATE_SQL
 
@@ -18,9 +18,9 @@ HOUR = 3_600_000_000
 def facts(i):
     """Per-entity facts: presence, metric summaries, events; the signal floor of quiet entities is unknown."""
     tr = i.traces()
-    base = tr.groupBy("stem", "identity").agg(
+    base = tr.join(clock_of(tr), "stem").groupBy("stem", "identity").agg(
         F.count(F.lit(1)).alias("observed"),
-        ((120 - F.count(F.lit(1))) / F.lit(120.0)).alias("missing_share"),
+        ((F.max("n_frames") - F.count(F.lit(1))) / F.max("n_frames").cast("double")).alias("missing_share"),
         F.avg("signal").alias("signal_mean"),
         F.max("signal").alias("signal_max"),
         F.when(F.min("signal") < 1, F.min("signal")).alias("signal_floor"),
@@ -30,9 +30,9 @@ def facts(i):
     return L.event_fact(with_event, ["identity"], None, "had_fusion")
 
 
-FACTS = f"""{TRACES_SQL}, facts AS (SELECT stem, identity, count(*) AS observed, (120-count(*))/120.0 AS missing_share, avg(signal) AS signal_mean, max(signal) AS signal_max,
+FACTS = f"""{TRACES_SQL}, facts AS (SELECT stem, identity, count(*) AS observed, (max(n_frames)-count(*))/CAST(max(n_frames) AS DOUBLE) AS missing_share, avg(signal) AS signal_mean, max(signal) AS signal_max,
  CASE WHEN min(signal) < 1 THEN min(signal) END AS signal_floor,
- identity IN (SELECT identity FROM ev WHERE stem='error' AND cents > 20000) AS had_large_error, CAST(NULL AS BOOLEAN) AS had_fusion FROM tr GROUP BY 1,2)"""
+ identity IN (SELECT identity FROM ev WHERE stem='error' AND cents > 20000) AS had_large_error, CAST(NULL AS BOOLEAN) AS had_fusion FROM tr JOIN {clock_sql('tr')} USING (stem) GROUP BY 1,2)"""
 
 RULE = {"op": "or", "args": [
     {"op": "and", "args": [{"field": "missing_share", "cmp": "lt", "value": 0.6}, {"op": "not", "args": [{"field": "signal_floor", "cmp": "between", "value": (0.2, 0.8)}]}]},
@@ -315,7 +315,7 @@ def _(i):
 
 @query(
     "lifespan_endings",
-    f"""WITH {DAILY_SQL}, {LIFE} SELECT l.stem, l.identity, l.f1 AS last_frame_index, f1=29 AS reaches_end, e.m AS mechanism FROM life l LEFT JOIN
+    f"""WITH {DAILY_SQL}, {LIFE} SELECT l.stem, l.identity, l.f1 AS last_frame_index, f1=n_frames-1 AS reaches_end, e.m AS mechanism FROM life l JOIN rec USING (stem) LEFT JOIN
  (SELECT a.stem, a.identity, min(b.stem) AS m FROM life a JOIN obs b ON a.identity=b.identity AND b.frame_index=a.f1+1 AND a.stem<>b.stem GROUP BY 1,2) e USING (stem, identity)""",
 )
 def _(i):
@@ -323,7 +323,8 @@ def _(i):
     spans = P.lifespans(obs).select("stem", "identity", "last_frame_index")
     after = obs.select(F.col("stem").alias("other"), "identity", (F.col("frame_index") - 1).alias("last_frame_index"))
     endings = spans.join(after, ["identity", "last_frame_index"]).where(F.col("other") != F.col("stem")).groupBy("stem", "identity").agg(F.min("other").alias("mechanism"))
-    return spans.withColumn("reaches_end", F.col("last_frame_index") == 29).join(endings, ["stem", "identity"], "left")
+    ended = spans.join(i.recordings().select("stem", "n_frames"), "stem").withColumn("reaches_end", F.col("last_frame_index") == F.col("n_frames") - 1).drop("n_frames")
+    return ended.join(endings, ["stem", "identity"], "left")
 
 
 @query(

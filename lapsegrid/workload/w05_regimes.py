@@ -130,12 +130,12 @@ def _(i):
 
 @query(
     "event_clock",
-    f"""WITH {EVT}, g AS (SELECT DISTINCT event, CAST(unnest(range(10)) AS INTEGER) AS bin FROM evh) SELECT event, bin, bin*72.0 AS from_hours, coalesce(n,0) AS n
+    f"""WITH {EVT}, g AS (SELECT DISTINCT event, CAST(unnest(range((SELECT CAST(floor(max(hours)/72) AS INTEGER) + 1 FROM evh))) AS INTEGER) AS bin FROM evh) SELECT event, bin, bin*72.0 AS from_hours, coalesce(n,0) AS n
  FROM g LEFT JOIN (SELECT event, CAST(floor(hours/72) AS INTEGER) AS bin, count(*) AS n FROM evh GROUP BY 1,2) USING (event, bin)""",
     "from_hours",
 )
 def _(i):
-    return G.event_clock(life_events(i), 72.0, 10)
+    return G.event_clock(life_events(i), 72.0)
 
 
 @query("event_accumulation", f"WITH {EVT}, a AS (SELECT event, hours, count(*) AS here FROM evh GROUP BY 1,2) SELECT *, CAST(sum(here) OVER (PARTITION BY event ORDER BY hours) AS BIGINT) AS accumulated FROM a", "hours")
@@ -145,15 +145,16 @@ def _(i):
 
 @query(
     "fate_flow",
-    f"""WITH {DAILY_SQL}, {LIFE} SELECT CASE WHEN f0=0 THEN 'present' WHEN f0<5 THEN 'entered' ELSE 'appeared' END AS start_event, CASE WHEN f1=29 THEN 'present' WHEN f1>24 THEN 'left' ELSE 'lost' END AS end_event, count(*) AS entities FROM life GROUP BY 1,2 HAVING count(*)>=3""",
+    f"""WITH {DAILY_SQL}, {LIFE} SELECT CASE WHEN f0=0 THEN 'present' WHEN f0<5 THEN 'entered' ELSE 'appeared' END AS start_event, CASE WHEN f1=n_frames-1 THEN 'present' WHEN f1>n_frames-6 THEN 'left' ELSE 'lost' END AS end_event, count(*) AS entities FROM life JOIN rec USING (stem) GROUP BY 1,2 HAVING count(*)>=3""",
 )
 def _(i):
     from lapsegrid.operators import presence as P
 
     f0, f1 = F.col("first_frame_index"), F.col("last_frame_index")
-    fates = P.lifespans(i.daily()).select(
+    n = F.col("n_frames")
+    fates = P.lifespans(i.daily()).join(i.recordings().select("stem", "n_frames"), "stem").select(
         F.when(f0 == 0, "present").when(f0 < 5, "entered").otherwise("appeared").alias("start_event"),
-        F.when(f1 == 29, "present").when(f1 > 24, "left").otherwise("lost").alias("end_event"),
+        F.when(f1 == n - 1, "present").when(f1 > n - 6, "left").otherwise("lost").alias("end_event"),
     )
     return G.fate_flow(fates, 3)
 

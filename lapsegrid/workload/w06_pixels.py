@@ -212,18 +212,18 @@ def _(i):
 
 
 _FATES = """v AS (SELECT stem, y, x, CAST(frame_index//7 AS INTEGER) AS "window", identity, count(*) AS n FROM mk GROUP BY ALL), h AS (SELECT stem, y, x, "window", sum(n) AS n, first(identity ORDER BY n DESC, identity) AS owner FROM v GROUP BY 1,2,3,4),
- g AS (SELECT DISTINCT stem, y, x, CAST(unnest(range(4)) AS INTEGER) AS "window" FROM h), f AS (SELECT g.*, n, owner, lag(owner) OVER (PARTITION BY g.stem, g.y, g.x ORDER BY g."window") AS po FROM g LEFT JOIN h USING (stem, y, x, "window")),
+ g AS (SELECT stem, y, x, CAST(unnest(range(nw)) AS INTEGER) AS "window" FROM (SELECT DISTINCT stem, y, x FROM h) JOIN (SELECT stem, max("window") + 1 AS nw FROM h GROUP BY 1) USING (stem)), f AS (SELECT g.*, n, owner, lag(owner) OVER (PARTITION BY g.stem, g.y, g.x ORDER BY g."window") AS po FROM g LEFT JOIN h USING (stem, y, x, "window")),
  ft AS (SELECT stem, y, x, "window", owner, CASE WHEN n IS NULL AND po IS NOT NULL THEN 'vacated' WHEN n IS NULL THEN 'empty' WHEN po<>owner THEN 'transferred' WHEN n/7.0>=0.8 THEN 'core' WHEN n/7.0<=0.3 THEN 'transient' ELSE 'fringe' END AS state FROM f)"""
 
 
 @query("place_fates", f"{PX}, {_FATES} SELECT * FROM ft")
 def _(i):
-    return X.place_fates(i.masks(), 7, 0.8, 0.3, 28)
+    return X.place_fates(i.masks(), 7, 0.8, 0.3)
 
 
 @query("place_fate_transitions", f"""{PX}, {_FATES} SELECT stem, "window", state AS from_state, to_state, count(*) AS places FROM (SELECT *, lead(state) OVER (PARTITION BY stem, y, x ORDER BY "window") AS to_state FROM ft) WHERE to_state IS NOT NULL GROUP BY ALL""")
 def _(i):
-    return X.fate_transitions(X.place_fates(i.masks(), 7, 0.8, 0.3, 28))
+    return X.fate_transitions(X.place_fates(i.masks(), 7, 0.8, 0.3))
 
 
 _EDGE = """ed AS (SELECT m.stem, m.identity, m.frame_index, m.y, m.x FROM mk m LEFT JOIN mk o ON o.stem=m.stem AND o.frame_index=m.frame_index AND o.identity=m.identity AND abs(o.y-m.y)<=1 AND abs(o.x-m.x)<=1 AND NOT (o.y=m.y AND o.x=m.x) GROUP BY ALL HAVING count(o.y)<8)"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lapsegrid.operators import joins as J
 from lapsegrid.operators import pairs as Q
 from lapsegrid.operators import regimes as G
-from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, TRACKS_SQL
+from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, TRACKS_SQL, clock_of, clock_sql, longest_clock
 from lapsegrid.workload.registry import query
 from lapsegrid.workload.w04_joins import HOUR, by_stem
 from lapsegrid.workload.w05_regimes import BASE, MOVES, classed
@@ -52,11 +52,11 @@ def _(i):
 
 @query(
     "closest_approach",
-    f"{TK}, {NBR} SELECT stem, identity, count(nearest_px) AS measured_frames, CASE WHEN count(nearest_px)=28 THEN min(nearest_px) END AS closest_px FROM nb GROUP BY 1,2",
+    f"{TK}, {NBR} SELECT stem, identity, count(nearest_px) AS measured_frames, CASE WHEN count(nearest_px)=max(n_frames) THEN min(nearest_px) END AS closest_px FROM nb JOIN {clock_sql('tk')} USING (stem) GROUP BY 1,2",
     "closest_px",
 )
 def _(i):
-    return Q.closest_approach(neighbours(i), 28)
+    return Q.closest_approach(neighbours(i), clock_of(i.tracks()))
 
 
 PAIRCORR = """pcr AS (SELECT a.stem, a.identity AS identity_a, b.identity AS identity_b, count(*) AS overlap_frames, CASE WHEN count(*)>=8 AND stddev_pop(a.{v})>1e-6 AND stddev_pop(b.{v})>1e-6 THEN corr(a.{v}, b.{v}) END AS correlation
@@ -98,7 +98,7 @@ def _(i):
 
 @query(
     "coordination_contrast",
-    f"""{TK}, {MED}, {_GRAPH}, {PAIRCORR.format(v='mean_raw', t='tk')}, v AS (SELECT * FROM pcr WHERE correlation IS NOT NULL), st AS (SELECT stem, identity, CAST(least(floor(count(*)/28.0*4),3) AS INTEGER) AS stratum FROM tk GROUP BY 1,2),
+    f"""{TK}, {MED}, {_GRAPH}, {PAIRCORR.format(v='mean_raw', t='tk')}, v AS (SELECT * FROM pcr WHERE correlation IS NOT NULL), st AS (SELECT stem, identity, CAST(least(floor(count(*)/CAST(max(n_frames) AS DOUBLE)*4),3) AS INTEGER) AS stratum FROM tk JOIN {clock_sql('tk')} USING (stem) GROUP BY 1,2),
  rp AS (SELECT *, unnest(range(20)) AS replicate FROM st), pl AS (SELECT *, row_number() OVER (PARTITION BY stem, stratum, replicate ORDER BY identity) AS p FROM rp),
  dr AS (SELECT *, row_number() OVER (PARTITION BY stem, stratum, replicate ORDER BY md5(concat_ws('|','11',replicate,stem,identity)), identity) AS p FROM rp),
  mp AS (SELECT pl.stem, pl.replicate, pl.identity, CASE WHEN pl.replicate=0 THEN pl.identity ELSE dr.identity END AS image FROM pl JOIN dr USING (stem, stratum, replicate, p)),
@@ -111,7 +111,7 @@ def _(i):
 )
 def _(i):
     tk = i.tracks()
-    coverage = tk.groupBy("stem", "identity").agg((F.count(F.lit(1)) / F.lit(28.0)).alias("coverage"))
+    coverage = tk.join(clock_of(tk), "stem").groupBy("stem", "identity").agg((F.count(F.lit(1)) / F.max("n_frames").cast("double")).alias("coverage"))
     graph = Q.neighbour_graph(Q.median_positions(tk), 2, 2.0)
     return Q.coordination_contrast(Q.pair_correlations(tk, "mean_raw", 8), graph, coverage, 19, 11)
 
@@ -232,7 +232,7 @@ def _(i):
 
 _Z = "CASE WHEN stddev_pop({c}) OVER w > 1e-9 THEN ({c}-avg({c}) OVER w)/stddev_pop({c}) OVER w ELSE 0.0 END"
 _RQA = f"""sv AS (SELECT stem, identity, row_number() OVER (PARTITION BY stem, identity ORDER BY frame_index) AS p, count(*) OVER w AS n, {_Z.format(c='area_px')} AS z1, {_Z.format(c='mean_raw')} AS z2 FROM tk WINDOW w AS (PARTITION BY stem, identity)),
- ds AS (SELECT a.stem, a.identity, a.n, a.p AS i, b.p AS j, sqrt((a.z1-b.z1)**2+(a.z2-b.z2)**2) AS d FROM sv a JOIN sv b ON a.stem=b.stem AND a.identity=b.identity AND a.p<>b.p WHERE a.n>=8),
+ ds AS (SELECT a.stem, a.identity, a.n, a.p AS i, b.p AS j, round(sqrt((a.z1-b.z1)**2+(a.z2-b.z2)**2),9) AS d FROM sv a JOIN sv b ON a.stem=b.stem AND a.identity=b.identity AND a.p<>b.p WHERE a.n>=8),
  cu AS (SELECT stem, identity, quantile_cont(d,0.1) AS cutoff FROM ds WHERE i<j GROUP BY 1,2), ht AS (SELECT ds.*, cutoff, d<=cutoff AS h FROM ds JOIN cu USING (stem, identity))"""
 
 
@@ -257,15 +257,15 @@ def _(i):
     return Q.recurrence(_vectors(i), 0.1, 8)[1]
 
 
-@query("symbol_sequences", f"{BASE}, g AS (SELECT stem, identity, CAST(unnest(range(28)) AS INTEGER) AS frame_index FROM (SELECT DISTINCT stem, identity FROM cl)) SELECT g.*, coalesce(regime,-1) AS symbol FROM g LEFT JOIN (SELECT stem, identity, frame_index, regime FROM cl) USING (stem, identity, frame_index)")
+@query("symbol_sequences", f"{BASE}, g AS (SELECT stem, identity, CAST(unnest(range(n_frames)) AS INTEGER) AS frame_index FROM (SELECT DISTINCT stem, identity FROM cl) JOIN {clock_sql('tk')} USING (stem)) SELECT g.*, coalesce(regime,-1) AS symbol FROM g LEFT JOIN (SELECT stem, identity, frame_index, regime FROM cl) USING (stem, identity, frame_index)")
 def _(i):
-    return Q.symbol_sequences(classed(i), 28)
+    return Q.symbol_sequences(classed(i), clock_of(i.tracks()))
 
 
 @query("sequence_alignment")
 def _(i):
     symbols = classed(i).select("stem", "identity", "frame_index", F.col("regime").alias("symbol"))
-    return Q.aligned_sequences(symbols, Q.recording_pairs(symbols.select("stem", "identity").distinct()), 28, 4)
+    return Q.aligned_sequences(symbols, Q.recording_pairs(symbols.select("stem", "identity").distinct()), longest_clock(symbols), 4)
 
 
 _RULE = """nx AS (SELECT stem, from_regime, to_regime, count(*) AS n FROM mv GROUP BY 1,2,3), rl AS (SELECT stem, from_regime, first(to_regime ORDER BY n DESC, to_regime) AS expected, CAST(sum(n) AS BIGINT) AS seen FROM nx GROUP BY 1,2),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lapsegrid.operators import lineage as N
-from lapsegrid.sources.canonical import FIELD_HEIGHT as H
+from lapsegrid.sources.canonical import FIELD_HEIGHT as H, clock_of, clock_sql
 from lapsegrid.sources.canonical import FIELD_WIDTH as W
 from lapsegrid.sources.canonical import PIXELS_SQL
 from lapsegrid.workload.registry import query
@@ -37,10 +37,10 @@ LIVES = f"""{RENAMED}, sp AS (SELECT stem, identity, min(frame_index) AS first_f
  dv AS (SELECT stem, partner_identity AS identity, frame_index, 'divided' AS event, event_status, partner_area_px AS area_px, identity AS partner_identity, area_px AS partner_area_px, area_conservation, residual_fraction FROM ss WHERE event='born'),
  gr AS (SELECT l.stem, l.identity, n.identity AS taker, n.unclaimed FROM ls l JOIN lm m ON m.stem=l.stem AND m.identity=l.identity AND m.frame_index=l.frame_index JOIN ln n ON n.stem=l.stem AND n.frame_index=l.frame_index+1 AND n.y=m.y AND n.x=m.x),
  tk2 AS (SELECT stem, identity, max(n) AS n, first(taker ORDER BY n DESC, taker) AS taker FROM (SELECT stem, identity, taker, count(*) AS n FROM gr WHERE taker IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2), rs AS (SELECT stem, identity, count(*) FILTER (WHERE taker IS NOT NULL OR unclaimed) AS r FROM gr GROUP BY 1,2),
- cl AS (SELECT l.*, t.n, taker, coalesce(r,0) AS r FROM ls l LEFT JOIN tk2 t USING (stem, identity) LEFT JOIN rs USING (stem, identity)),
- es AS (SELECT stem, identity, frame_index, CASE WHEN frame_index=27 THEN 'present_at_end' WHEN tb THEN 'left_field' WHEN n>=area_px*0.7 THEN 'absorbed' WHEN r<=area_px*0.3 THEN 'died' ELSE 'lost' END AS event,
- CASE WHEN frame_index=27 THEN 'censored' WHEN tb THEN 'observed' WHEN n>=area_px*0.7 OR r<=area_px*0.3 THEN 'candidate' ELSE 'unproven' END AS event_status, area_px, CASE WHEN frame_index<27 AND NOT tb AND n>=area_px*0.7 THEN taker END AS partner_identity, CAST(NULL AS BIGINT) AS partner_area_px, CAST(NULL AS DOUBLE) AS area_conservation,
- CASE WHEN frame_index<27 AND NOT tb AND NOT coalesce(n>=area_px*0.7,false) THEN r/area_px END AS residual_fraction FROM cl),
+ cl AS (SELECT l.*, n_frames-1 AS ef, t.n, taker, coalesce(r,0) AS r FROM ls l JOIN {clock_sql('ln')} USING (stem) LEFT JOIN tk2 t USING (stem, identity) LEFT JOIN rs USING (stem, identity)),
+ es AS (SELECT stem, identity, frame_index, CASE WHEN frame_index=ef THEN 'present_at_end' WHEN tb THEN 'left_field' WHEN n>=area_px*0.7 THEN 'absorbed' WHEN r<=area_px*0.3 THEN 'died' ELSE 'lost' END AS event,
+ CASE WHEN frame_index=ef THEN 'censored' WHEN tb THEN 'observed' WHEN n>=area_px*0.7 OR r<=area_px*0.3 THEN 'candidate' ELSE 'unproven' END AS event_status, area_px, CASE WHEN frame_index<ef AND NOT tb AND n>=area_px*0.7 THEN taker END AS partner_identity, CAST(NULL AS BIGINT) AS partner_area_px, CAST(NULL AS DOUBLE) AS area_conservation,
+ CASE WHEN frame_index<ef AND NOT tb AND NOT coalesce(n>=area_px*0.7,false) THEN r/area_px END AS residual_fraction FROM cl),
  le AS (SELECT * FROM ss UNION ALL SELECT * FROM dv UNION ALL SELECT * FROM es)"""
 LROWS = """lr AS (SELECT le.stem, le.identity, max(event) FILTER (WHERE event IN ('present_at_start','entered_field','born','appeared')) AS start_event, max(event_status) FILTER (WHERE event IN ('present_at_start','entered_field','born','appeared')) AS start_status,
  max(event) FILTER (WHERE event NOT IN ('present_at_start','entered_field','born','appeared','divided')) AS end_event, max(event_status) FILTER (WHERE event NOT IN ('present_at_start','entered_field','born','appeared','divided')) AS end_status, any_value(first_frame) AS first_frame, any_value(last_frame) AS last_frame,
@@ -49,7 +49,7 @@ LROWS = """lr AS (SELECT le.stem, le.identity, max(event) FILTER (WHERE event IN
 
 
 def events(i):
-    return N.life_events(named(i), 28, H + 1, W + 1, 1, 0.3, 2, 0.3)
+    return N.life_events(named(i), clock_of(named(i)), H + 1, W + 1, 1, 0.3, 2, 0.3)
 
 
 def rows(i):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lapsegrid.operators import features as V
 from lapsegrid.operators import learn as M
 from lapsegrid.operators import rollup as R
-from lapsegrid.sources.canonical import DAILY_SQL, PIXELS_SQL, TRACES_SQL
+from lapsegrid.sources.canonical import DAILY_SQL, PIXELS_SQL, TRACES_SQL, clock_of, clock_sql
 from lapsegrid.sources.tables import scale_area, scale_length, scale_speed
 from lapsegrid.workload.registry import query
 
@@ -28,12 +28,12 @@ def _(i):
     return i.daily().select(*E2, "frame_index", "signal", "activity").unpivot([*E2, "frame_index"], ["signal", "activity"], "metric", "value")
 
 
-_GRID = "gd AS (SELECT s.stem, s.identity, s.frame_index, signal FROM (SELECT stem, identity, CAST(unnest(range(30)) AS INTEGER) AS frame_index FROM (SELECT DISTINCT stem, identity FROM obs)) s LEFT JOIN obs USING (stem, identity, frame_index))"
+_GRID = "gd AS (SELECT s.stem, s.identity, s.frame_index, signal FROM (SELECT stem, identity, CAST(unnest(range(n_frames)) AS INTEGER) AS frame_index FROM (SELECT DISTINCT stem, identity FROM obs) JOIN " + clock_sql("obs") + " USING (stem)) s LEFT JOIN obs USING (stem, identity, frame_index))"
 
 
 @query("dense_entity_grid", f"WITH {DAILY_SQL}, {_GRID} SELECT * FROM gd", "signal")
 def _(i):
-    return V.dense_grid(i.daily(), "signal", 30)
+    return V.dense_grid(i.daily(), "signal", i.recordings())
 
 
 for _n, _k in (("entity", "stem, identity"), ("recording", "stem")):
@@ -41,7 +41,7 @@ for _n, _k in (("entity", "stem, identity"), ("recording", "stem")):
         f"minmax_by_{_n}",
         f"WITH {DAILY_SQL}, {_GRID} SELECT *, CASE WHEN signal IS NULL THEN NULL WHEN max(signal) OVER w=min(signal) OVER w THEN 0.5 ELSE (signal-min(signal) OVER w)/(max(signal) OVER w-min(signal) OVER w) END AS scaled FROM gd WINDOW w AS (PARTITION BY {_k})",
         "signal scaled",
-    )(lambda i, k=_k: V.minmax(V.dense_grid(i.daily(), "signal", 30), "signal", k.split(", ")))
+    )(lambda i, k=_k: V.minmax(V.dense_grid(i.daily(), "signal", i.recordings()), "signal", k.split(", ")))
 
 
 @query("relative_to_median", f"WITH {DAILY_SQL} SELECT stem, identity, frame_index, signal, (signal-m)/nullif(m,0) AS relative FROM obs JOIN (SELECT stem, identity, quantile_cont(signal,0.5) AS m FROM obs GROUP BY 1,2) USING (stem, identity)", "signal relative")
@@ -244,7 +244,7 @@ def _(i):
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    grid = V.minmax(V.dense_grid(i.traces(), "signal", 120), "signal", E2)
+    grid = V.minmax(V.dense_grid(i.traces(), "signal", clock_of(i.traces())), "signal", E2)
     # one value per declared frame of the clock
     rows = grid.groupBy(*E2).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", F.coalesce("scaled", F.lit(0.5)).alias("s")))), lambda v: v["s"]).alias("a"))
     wide = rows.select(*E2, array_to_vector("a").alias("features"))
@@ -265,7 +265,7 @@ def _(i):
 
 @query(
     "hours_since_occupied",
-    f"""WITH {PIXELS_SQL}, g AS (SELECT s.stem, s.y, s.x, CAST(f AS INTEGER) AS frame_index, f*0.5 AS hours, m.y IS NOT NULL AS occ, (f%9)<>4 AS valid FROM (SELECT DISTINCT stem, y, x FROM mk) s CROSS JOIN range(28) r(f) LEFT JOIN mk m ON m.stem=s.stem AND m.y=s.y AND m.x=s.x AND m.frame_index=f),
+    f"""WITH {PIXELS_SQL}, g AS (SELECT s.stem, s.y, s.x, CAST(f AS INTEGER) AS frame_index, f*0.5 AS hours, m.y IS NOT NULL AS occ, (f%9)<>4 AS valid FROM (SELECT stem, y, x, unnest(range(n_frames)) AS f FROM (SELECT DISTINCT stem, y, x FROM mk) JOIN {clock_sql('mk')} USING (stem)) s LEFT JOIN mk m ON m.stem=s.stem AND m.y=s.y AND m.x=s.x AND m.frame_index=f),
  k AS (SELECT *, sum(CASE WHEN NOT valid OR NOT coalesce(pv,false) THEN 1 ELSE 0 END) OVER (PARTITION BY stem, y, x ORDER BY frame_index) AS st FROM (SELECT *, lag(valid) OVER (PARTITION BY stem, y, x ORDER BY frame_index) AS pv FROM g))
  SELECT stem, y, x, frame_index, hours-l AS since_hours FROM (SELECT *, max(CASE WHEN occ AND valid THEN hours END) OVER (PARTITION BY stem, y, x, st ORDER BY frame_index) AS l FROM k) WHERE valid""",
     "since_hours",
@@ -273,7 +273,7 @@ def _(i):
 def _(i):
     m = i.masks()
     keys = ["stem", "y", "x"]
-    grid = m.select(*keys).distinct().withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(27))))
+    grid = m.select(*keys).distinct().join(clock_of(m), "stem").select(*keys, F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame_index"))
     full = grid.join(m.select(*keys, "frame_index", F.lit(True).alias("o")), [*keys, "frame_index"], "left").select(
         *keys, "frame_index", (F.col("frame_index") * 0.5).alias("hours"), F.coalesce("o", F.lit(False)).alias("occ"), (F.col("frame_index") % 9 != 4).alias("valid")
     )
@@ -299,13 +299,13 @@ def _(i):
 
 @query(
     "complete_frame_hours",
-    f"""WITH {_CLK}, o AS (SELECT stem, quantile_cont(hours-frame_index*24.0,0.5) AS origin FROM ck WHERE frame_index%6<>1 GROUP BY 1), g AS (SELECT stem, origin, CAST(unnest(range(30)) AS INTEGER) AS frame_index FROM o)
+    f"""WITH {_CLK}, o AS (SELECT stem, quantile_cont(hours-frame_index*24.0,0.5) AS origin FROM ck WHERE frame_index%6<>1 GROUP BY 1), g AS (SELECT stem, origin, CAST(unnest(range(n_frames)) AS INTEGER) AS frame_index FROM o JOIN {clock_sql('ck')} USING (stem))
  SELECT g.stem, g.frame_index, coalesce(c.hours, origin+g.frame_index*24.0) AS hours, CASE WHEN c.hours IS NULL THEN 'filled' WHEN abs(c.hours-(origin+g.frame_index*24.0))>12 THEN 'mismatch' ELSE 'observed' END AS status FROM g LEFT JOIN (SELECT * FROM ck WHERE frame_index%6<>1) c USING (stem, frame_index)""",
     "hours",
     digits=4,
 )
 def _(i):
-    return V.complete_hours(clock(i).where(F.col("frame_index") % 6 != 1), 30, 24.0)
+    return V.complete_hours(clock(i).where(F.col("frame_index") % 6 != 1), i.recordings(), 24.0)
 
 
 @query(

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from lapsegrid.functions.numeric import NORMAL_UPPER_SQL
 from lapsegrid.operators import contrasts as C
 from lapsegrid.operators import pairs as Q
-from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, TRACKS_SQL
+from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, TRACKS_SQL, clock_of, longest_clock
 from lapsegrid.streaming import streams
 from lapsegrid.workload.registry import query
 from lapsegrid.workload.w01_rollup import customers
 from lapsegrid.workload.w02_presence import STATE_SQL
+from lapsegrid.workload.w07_pairs import _CORR
 from lapsegrid.workload.w08_stats import CU
 
 E2 = ["stem", "identity"]
@@ -109,23 +110,56 @@ def _(i):
     return C.persistence_caveat(declared, dynamics(i)[2], 2.0)
 
 
-@query("autoregressive_surrogates")
+_DRAW = "((('0x' || substr(md5({t}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+_RUN = "row_number() OVER w AS p, coalesce(frame_index - lag(frame_index) OVER w = 1, false) AS near"
+_AR1 = _DRAW.format(t="concat_ws('|','41',replicate,stem,identity,frame_index)")
+_AR2 = _DRAW.format(t="concat_ws('|','b','41',replicate,stem,identity,frame_index)")
+
+
+@query(
+    "autoregressive_surrogates",
+    f"""WITH RECURSIVE {TRACES_SQL}, o AS (SELECT stem, identity, frame_index, signal AS v, lag(signal) OVER w AS pv, {_RUN} FROM tr WHERE signal IS NOT NULL WINDOW w AS (PARTITION BY stem, identity ORDER BY frame_index)),
+ f AS (SELECT stem, identity, avg(v) AS m, stddev_pop(v) AS sd, greatest(least(coalesce({_CORR.format(a='a', b='b')}, 0.0), 1-1e-6), -(1-1e-6)) AS phi FROM (SELECT *, CASE WHEN near THEN v END AS a, CASE WHEN near THEN pv END AS b FROM o) GROUP BY 1,2),
+ e AS (SELECT stem, identity, replicate, frame_index, p, near, sqrt(-2*ln({_AR1}))*cos(2*pi()*{_AR2}) AS e FROM (SELECT *, unnest([1,2]) AS replicate FROM o)),
+ x AS (SELECT stem, identity, replicate, p, frame_index, e AS x FROM e WHERE p=1
+  UNION ALL SELECT e.stem, e.identity, e.replicate, e.p, e.frame_index, CASE WHEN e.near THEN phi*x.x + sqrt(1-phi*phi)*e.e ELSE e.e END FROM x JOIN e ON e.stem=x.stem AND e.identity=x.identity AND e.replicate=x.replicate AND e.p=x.p+1 JOIN f ON f.stem=x.stem AND f.identity=x.identity)
+ SELECT stem, identity, CAST(replicate AS INTEGER) AS replicate, frame_index, m + sd*x AS signal FROM x JOIN f USING (stem, identity)""",
+    "signal",
+    digits=6,
+)
 def _(i):
     return C.autoregressive_surrogates(i.traces(), "signal", 2, 41)
 
 
-@query("persistence_resample")
+_PU = _DRAW.format(t="concat_ws('|','43',stem,identity,frame_index)")
+
+
+@query(
+    "persistence_resample",
+    f"""WITH RECURSIVE {TRACES_SQL}, o AS (SELECT *, lag(s) OVER w AS ps, {_RUN}, {_PU} AS u FROM (SELECT stem, identity, frame_index, coalesce({STATE_SQL},'none') AS s FROM tr) WINDOW w AS (PARTITION BY stem, identity ORDER BY frame_index)),
+ mv AS (SELECT stem, identity, ps, s, count(*) AS n FROM o WHERE near GROUP BY 1,2,3,4), sh AS (SELECT stem, identity, s, count(*) AS n FROM o GROUP BY 1,2,3),
+ cm AS (SELECT stem, identity, ps, s, sum(n) OVER (PARTITION BY stem, identity, ps ORDER BY s)/CAST(sum(n) OVER (PARTITION BY stem, identity, ps) AS DOUBLE) AS upto FROM mv),
+ cs AS (SELECT stem, identity, s, sum(n) OVER (PARTITION BY stem, identity ORDER BY s)/CAST(sum(n) OVER (PARTITION BY stem, identity) AS DOUBLE) AS upto FROM sh),
+ st AS (SELECT o.stem, o.identity, o.p, min(cs.s) AS fresh FROM o JOIN cs ON cs.stem=o.stem AND cs.identity=o.identity AND cs.upto>=o.u WHERE NOT near GROUP BY 1,2,3),
+ nx AS (SELECT o.stem, o.identity, o.p, cm.ps, min(cm.s) AS target FROM o JOIN cm ON cm.stem=o.stem AND cm.identity=o.identity AND cm.upto>=o.u WHERE near GROUP BY 1,2,3,4),
+ w AS (SELECT stem, identity, p, fresh AS state FROM st WHERE p=1
+  UNION ALL SELECT o.stem, o.identity, o.p, CASE WHEN NOT o.near THEN st.fresh ELSE coalesce(nx.target, w.state) END FROM w JOIN o ON o.stem=w.stem AND o.identity=w.identity AND o.p=w.p+1
+  LEFT JOIN st ON st.stem=o.stem AND st.identity=o.identity AND st.p=o.p LEFT JOIN nx ON nx.stem=o.stem AND nx.identity=o.identity AND nx.p=o.p AND nx.ps=w.state)
+ SELECT stem, identity, frame_index, state FROM w JOIN (SELECT stem, identity, p, frame_index FROM o) USING (stem, identity, p)""",
+)
 def _(i):
-    return C.persistence_resample(dynamics(i)[1], i.traces(), ["high", "low", "middle", "none"], 43)
+    rows = i.traces().withColumn("state", F.coalesce(F.expr(STATE_SQL), F.lit("none")))
+    return C.persistence_resample(rows, "state", ["high", "low", "middle", "none"], 43)
 
 
 @query("trajectory_distance")
 def _(i):
     tk = i.tracks()
     s = tk.groupBy("stem").agg(F.avg("area_px").alias("m"), F.stddev_pop("area_px").alias("s"))
-    complete = tk.groupBy(*E2).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 28)
+    clocks = clock_of(tk)
+    complete = tk.groupBy(*E2).agg(F.count(F.lit(1)).alias("n")).join(clocks, "stem").where("n = n_frames")
     rows = tk.join(complete, E2, "left_semi").join(s, "stem").select(*E2, "frame_index", F.array((F.col("area_px") - F.col("m")) / F.col("s"), F.col("mean_raw") / 50.0).alias("symbol"))
-    return Q.aligned_sequences(rows, Q.recording_pairs(rows.select(*E2).distinct()), 28, 3, dims=2)
+    return Q.aligned_sequences(rows, Q.recording_pairs(rows.select(*E2).distinct()), longest_clock(tk), 3, dims=2)
 
 
 @query(
