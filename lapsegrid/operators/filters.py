@@ -133,16 +133,20 @@ def cell_over_recording(rows: DataFrame, cell_levels: DataFrame, recording_level
     )
 
 
-def parse_id_list(df: DataFrame, key: str, text: str, maximum: int) -> DataFrame:
-    """``1, 5, 10-20`` as one row per id; parts that are not ids, run backwards or exceed the bound are dropped."""
-    part = F.trim("part")
-    lo = F.expr("try_cast(regexp_extract(trim(part), '^([0-9]+)', 1) AS int)")
-    hi = F.when(part.rlike(r"^[0-9]+\s*-\s*[0-9]+$"), F.expr("try_cast(regexp_extract(trim(part), '([0-9]+)$', 1) AS int)")).otherwise(lo)
-    good = part.rlike(r"^[0-9]+(\s*-\s*[0-9]+)?$")
-    parts = df.select(key, F.explode(F.split(F.col(text), ",")).alias("part")).where(good).select(key, lo.alias("lo"), hi.alias("hi"))
-    return parts.where((F.col("lo") <= F.col("hi")) & (F.col("hi") <= maximum)).select(
-        key, F.explode(F.sequence("lo", "hi")).alias("id")
-    ).distinct()
+def parse_id_list(df: DataFrame, key: str, text: str, maximum: int = 2**53 - 1, most: int = 100_000) -> DataFrame:
+    """``1, 5; 10-20`` as one row per id. What is not a positive id or a rising range within the bounds is a row
+    with a NULL id and the refused part; nothing is dropped.
+
+    Commas, semicolons and blanks part the list. ``most`` bounds the ids of one range, as a longer one is refused.
+    """
+    part = F.col("part")
+    lo = F.expr("try_cast(regexp_extract(part, '^([0-9]+)', 1) AS bigint)")
+    hi = F.expr("try_cast(regexp_extract(part, '([0-9]+)$', 1) AS bigint)")
+    parts = df.select(key, F.explode(F.split(F.col(text), r"[,;\s]+")).alias("part")).where("part <> ''").distinct()
+    good = part.rlike("^[0-9]+([-–][0-9]+)?$") & lo.isNotNull() & hi.isNotNull() & (lo >= 1) & (hi >= lo) & (hi <= maximum) & (hi - lo < most)
+    judged = parts.withColumn("ok", F.coalesce(good, F.lit(False)))
+    named = judged.where("ok").select(key, F.explode(F.sequence(lo, hi)).alias("id"), F.lit(None).cast("string").alias("refused"))
+    return named.distinct().unionByName(judged.where("NOT ok").select(key, F.lit(None).cast("long").alias("id"), part.alias("refused")))
 
 
 def supported_profile(rings: DataFrame, keys: Sequence[str], n_rings: int, support: float) -> DataFrame:

@@ -220,8 +220,8 @@ def add_runs(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Da
 
 
 def accepted_trace(observed: DataFrame, additions: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Observed rows plus gap additions of measured entities, with the source of each row. An addition for an
-    observed frame is refused."""
+    """Observed rows plus gap additions of measured entities, with the source of each row. What is left out is
+    what ``refused_additions`` returns."""
     keys = list(keys)
     grain = [*keys, "frame_index"]
     measured = additions.join(observed.select(*keys).distinct(), keys, "left_semi")
@@ -229,3 +229,13 @@ def accepted_trace(observed: DataFrame, additions: DataFrame, keys: Sequence[str
     return observed.select(*grain, value).withColumn("provenance", F.lit("observed")).unionByName(
         clean.select(*grain, value).withColumn("provenance", F.lit("added"))
     )
+
+
+def refused_additions(observed: DataFrame, additions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Additions that ``accepted_trace`` refuses, each with its reason: the frame was observed, or the entity never was."""
+    keys = list(keys)
+    known = observed.select(*keys).distinct().withColumn("__known", F.lit(True))
+    frames = observed.select(*keys, "frame_index").distinct().withColumn("__seen", F.lit(True))
+    judged = additions.join(known, keys, "left").join(frames, [*keys, "frame_index"], "left")
+    reason = F.when(F.col("__known").isNull(), "unmeasured_identity").when(F.col("__seen").isNotNull(), "observed_frame")
+    return judged.withColumn("reason", reason).where("reason IS NOT NULL").drop("__known", "__seen")

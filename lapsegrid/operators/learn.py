@@ -61,20 +61,38 @@ def capped_membership(rows: DataFrame, group: str, entity: Sequence[str], row_id
     return taken.withColumn("budget", F.lit(budget).cast("long")).where(F.col("place") <= F.col("budget")).drop("__h")
 
 
-def nearest_centre(vectors: DataFrame, row: str, vector: str, centres: Sequence[tuple[int, Sequence[float]]], outlier: float) -> DataFrame:
-    """Frozen assignment: nearest centre, distance, margin to the runner-up, and a status."""
-    options = F.array(*[
-        F.struct(
-            F.round(F.sqrt(F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)), 9).alias("distance"),
-            F.lit(int(k)).alias("state"),
-        ) for k, c in centres
-    ])
-    ranked = vectors.select(row, F.array_sort(options).alias("o"))
-    best, second = F.col("o")[0], F.col("o")[1]
-    margin = second["distance"] - best["distance"]
-    return ranked.select(
-        row, best["state"].alias("state"), best["distance"].alias("distance"), margin.alias("margin"),
-        F.when(best["distance"] > outlier, "outlier").when(margin < 0.02, "uncertain").otherwise("assigned").alias("status"),
+def nearest_centre(vectors: DataFrame, row: str, vector: str, centres: DataFrame, outlier: float, block: int = 1024) -> DataFrame:
+    """Frozen assignment: nearest centre, distance, margin to the runner-up, and a status.
+
+    ``centres`` has ``state`` and ``centre``, any number of them. Rows meet centres in blocks of either side; a
+    block returns a row's two nearest, and the two nearest of all blocks remain.
+    """
+    sides = {"r": vectors.count(), "c": centres.count()}
+    blocks = {k: max(1, -(-n // block)) for k, n in sides.items()}
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(blocks[k] - 1)))
+    mine = vectors.select(F.col(row).alias("row"), F.col(vector).alias("v"), F.pmod(F.xxhash64(row), F.lit(blocks["r"])).cast("int").alias("rb"), every("c").alias("cb"))
+    theirs = centres.select("state", F.col("centre").alias("v"), F.pmod(F.xxhash64("state"), F.lit(blocks["c"])).cast("int").alias("cb"), every("r").alias("rb"))
+    kind, state = dict(mine.dtypes)["row"], dict(theirs.dtypes)["state"]
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"row": [], "distance": [], "state": []}
+        if len(left) and len(right):
+            x, c, names = np.array(left["v"].tolist(), float), np.array(right["v"].tolist(), float), right["state"].to_numpy()
+            for i, r in enumerate(left["row"].tolist()):
+                d = np.round(np.sqrt(((c - x[i]) ** 2).sum(axis=1)), 9)
+                for j in np.lexsort((names, d))[:2]:
+                    out["row"].append(r)
+                    out["distance"].append(float(d[j]))
+                    out["state"].append(names[j])
+        return pd.DataFrame(out)
+
+    pairs = mine.groupBy("rb", "cb").cogroup(theirs.groupBy("rb", "cb")).applyInPandas(near, f"row {kind}, distance double, state {state}")
+    best = pairs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("distance", "state"))).alias("o"))  # two per block of centres
+    first, second = F.col("o")[0], F.get("o", F.lit(1))
+    margin = second["distance"] - first["distance"]
+    return best.select(
+        F.col("row").alias(row), first["state"].alias("state"), first["distance"].alias("distance"), margin.alias("margin"),
+        F.when(first["distance"] > outlier, "outlier").when(margin < 0.02, "uncertain").otherwise("assigned").alias("status"),
     )
 
 

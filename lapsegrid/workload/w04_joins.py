@@ -114,12 +114,13 @@ def _(i):
 @query(
     "parse_identity_lists",
     """WITH t AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || ', ' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_nationkey + c_custkey % 5 AS VARCHAR) || ', x7, 30-20' AS txt FROM customer)
- SELECT DISTINCT c_custkey, CAST(unnest(range(c_nationkey, c_nationkey + c_custkey % 5 + 1)) AS INTEGER) AS id FROM customer""",
+ SELECT DISTINCT * FROM (SELECT c_custkey, CAST(unnest(range(c_nationkey, c_nationkey + c_custkey % 5 + 1)) AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS refused FROM customer WHERE c_nationkey >= 1
+  UNION ALL SELECT c_custkey, NULL, unnest(['x7', '30-20']) FROM customer UNION ALL SELECT c_custkey, NULL, unnest([CAST(c_nationkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_nationkey + c_custkey % 5 AS VARCHAR)]) FROM customer WHERE c_nationkey < 1)""",
 )
 def _(i):
     nation = F.col("c_nationkey").cast("string")
     text = F.concat(nation, F.lit(", "), nation, F.lit("-"), (F.col("c_nationkey") + F.col("c_custkey") % 5).cast("string"), F.lit(", x7, 30-20"))
-    return L.parse_id_list(i.table("customer").withColumn("txt", text), "c_custkey", "txt", 1000)
+    return L.parse_id_list(i.table("customer").withColumn("txt", text), "c_custkey", "txt")
 
 
 def by_stem(i, stem, source=None):
@@ -341,6 +342,18 @@ def _(i):
     return K.centred_mean(accepted, "signal", 3, "mean_3", KEYS)
 
 
+@query(
+    "refused_additions",
+    f"""WITH {DAILY_SQL}, v AS (SELECT * FROM obs WHERE stem='view'), ad AS (SELECT identity, frame_index, max(signal) AS signal FROM obs WHERE stem IN ('click','purchase') GROUP BY 1,2)
+ SELECT ad.*, CASE WHEN identity NOT IN (SELECT identity FROM v) THEN 'unmeasured_identity' ELSE 'observed_frame' END AS reason FROM ad WHERE identity NOT IN (SELECT identity FROM v) OR (identity, frame_index) IN (SELECT (identity, frame_index) FROM v)""",
+    "signal",
+)
+def _(i):
+    obs = i.daily()
+    additions = obs.where(F.col("stem").isin("click", "purchase")).groupBy("identity", "frame_index").agg(F.max("signal").alias("signal"))
+    return J.refused_additions(by_stem(i, "view", obs), additions, KEYS)
+
+
 @query(
     "residency_mapping",
     f"""WITH {DAILY_SQL} SELECT o.stem, o.identity, o.frame_index+100 AS source_frame, o.frame_index, o.signal FROM obs o WHERE o.frame_index < 25""",

@@ -101,7 +101,7 @@ def _(i):
 
 EVT = f"""{DAILY_SQL}, {LIFE}, {GAPS}, evt AS (
  SELECT stem, identity, 'start' AS event, f0 AS frame_index, CASE WHEN f0=0 THEN 'censored' ELSE 'observed' END AS status FROM life
- UNION ALL SELECT stem, identity, 'end', f1, CASE WHEN f1=29 THEN 'censored' ELSE 'observed' END FROM life
+ UNION ALL SELECT stem, identity, 'end', f1, CASE WHEN f1=n_frames-1 THEN 'censored' ELSE 'observed' END FROM life JOIN rec USING (stem)
  UNION ALL SELECT stem, identity, 'gap', gap_start, 'observed' FROM gaps), evh AS (SELECT *, frame_index*24.0::DOUBLE AS hours FROM evt)"""
 
 
@@ -113,7 +113,8 @@ def life_events(i):
     status = lambda c: F.when(c, F.lit("censored")).otherwise(F.lit("observed")).alias("status")
     first, last = F.col("first_frame_index"), F.col("last_frame_index")
     starts = spans.select("stem", "identity", F.lit("start").alias("event"), first.alias("frame_index"), status(first == 0))
-    ends = spans.select("stem", "identity", F.lit("end").alias("event"), last.alias("frame_index"), status(last == 29))
+    timed = spans.join(i.recordings().select("stem", "n_frames"), "stem")
+    ends = timed.select("stem", "identity", F.lit("end").alias("event"), last.alias("frame_index"), status(last == F.col("n_frames") - 1))
     lost = gaps.select("stem", "identity", F.lit("gap").alias("event"), F.col("gap_start").alias("frame_index"), F.lit("observed").alias("status"))
     return starts.unionByName(ends).unionByName(lost).withColumn("hours", F.col("frame_index") * F.lit(24.0))
 

@@ -143,13 +143,11 @@ def _(i):
     return M.capped_membership(i.daily().select(*E2, "frame_index"), "stem", ["identity"], [*E2, "frame_index"], 3, 300, 2).withColumn("budget", F.col("budget").cast("long"))
 
 
-def label_centres(i, dims=64):
-    """Mean vector of each label. Refused where labels are too many to be a list of centres."""
+def label_centres(i):
+    """(state, centre): the mean vector of each label."""
     e = i.table("embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
-    rows = e.groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c"))
-    if rows.count() > 1000:
-        raise ValueError("too many labels for a list of centres")
-    return sorted((r["label"], [p["m"] for p in r["c"]]) for r in rows.collect())
+    means = e.groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda p: p["m"]).alias("centre")).select(F.col("label").alias("state"), "centre")
 
 
 _CENT = """ct AS (SELECT label, dim, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(range(64)) AS dim, unnest(embedding) AS v FROM embeddings) GROUP BY 1,2), ev AS (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
@@ -179,22 +177,27 @@ def _(i):
 
 @query(
     "state_profiles",
-    f"""WITH {_CENT}, v AS (SELECT vec_id, dim, v FROM ev WHERE dim < 4) SELECT state, CAST(dim AS INTEGER) AS dim, count(*) AS members, quantile_cont(v,0.5) AS median FROM v JOIN na USING (vec_id) GROUP BY 1,2""",
+    f"""WITH {_CENT}, v AS (SELECT vec_id, dim, v FROM ev) SELECT state, CAST(dim AS INTEGER) AS dim, count(*) AS members, quantile_cont(v,0.5) AS median FROM v JOIN na USING (vec_id) GROUP BY 1,2""",
     "median",
 )
 def _(i):
     from lapsegrid.plans.ranks import quantiles
 
-    e = i.table("embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v")).where(F.col("dim") < 4)
+    e = i.table("embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v"))
     rows = assigned(i).select("vec_id", "state").join(e, "vec_id").withColumn("v", F.col("v").cast("double"))
     return quantiles(rows, ["state", "dim"], "v", {"median": 0.5}).withColumnRenamed("total", "members")
 
 
-def ml_vectors(i, size=8):
+def ml_vectors(i, axes=None):
+    """Whole vectors, or their first principal components, fitted on all components of all rows."""
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    e = i.table("embeddings")
-    return e.select("vec_id", "label", array_to_vector(F.transform(F.slice("embedding", 1, size), lambda v: v.cast("double"))).alias("features"))
+    whole = i.table("embeddings").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
+    if axes is None:
+        return whole
+    reduced = PCA(k=axes, inputCol="features", outputCol="axes").fit(whole).transform(whole)
+    return reduced.select("vec_id", "label", F.col("axes").alias("features"))
 
 
 @query("kmeans_states")
@@ -217,7 +220,7 @@ def _(i):
 def _(i):
     from pyspark.ml.functions import vector_to_array
 
-    v = ml_vectors(i, 4).join(split(i), "vec_id")
+    v = ml_vectors(i, axes=4).join(split(i), "vec_id")
     model, count, _scores = M.fit_mixture(v.where(F.col("role") == "training"), "features", [2, 3], v.where(F.col("role") == "selection"), 3)
     out = M.log_density(model.transform(v), model, "features")
     top = F.array_max(vector_to_array("probability"))
