@@ -12,29 +12,96 @@ from lapsegrid.operators.learn import unit_draw
 from lapsegrid.operators.rollup import unit_ledger
 from lapsegrid.plans.compose import entering
 from lapsegrid.plans.durable import cut
+from lapsegrid.plans.ranks import quantiles
 from lapsegrid.plans.scan import frame_bucket, ordered_scan
 
 ENTITY = ["stem", "identity"]
 
 
+#: Tests by name: how many groups they compare (0: any number), whether units are matched, and what their effect is. Fixed names.
+TESTS = {
+    "mannwhitney": (2, False, "median_difference"),
+    "kruskal": (0, False, "epsilon_squared"),
+    "welch_t": (2, False, "hedges_g"),
+    "anova": (0, False, "eta_squared"),
+    "wilcoxon": (2, True, "median_paired_difference"),
+    "paired_t": (2, True, "hedges_g_paired"),
+    "signed_rank": (1, False, "median_against_zero"),
+}
+_CONTRAST = "contrast string, metric string, test string, family string, n_a long, n_b long, statistic double, effect_kind string, effect double, note string, p_value double"
+
+
+def _tested(ledger: DataFrame, c: dict) -> DataFrame:
+    """(family, n_a, n_b, statistic, effect, p_value) of one declared test over a ledger of units."""
+    family, group, groups = c["family"], c["group"], list(c["groups"])
+    count, paired, _ = TESTS[c["test"]]
+    replicates, seed = c.get("replicates", 199), c.get("seed", 7)
+    rows = ledger.where(F.col(group).isin(*groups)).withColumn("__unit", F.concat_ws("|", group, *c["unit"]))
+    none = F.lit(None).cast("long")
+    if c["test"] == "mannwhitney":
+        medians = [quantiles(rows.where(F.col(group) == g), [family], "unit_value", {n: 0.5}).drop("total") for g, n in zip(groups, ("__a", "__b"), strict=True)]
+        t = S.mann_whitney(rows, [family], group, tuple(groups), "unit_value").join(medians[0], family, "left").join(medians[1], family, "left")
+        return t.select(family, "n_a", "n_b", F.col("u_statistic").alias("statistic"), (F.col("__a") - F.col("__b")).alias("effect"), "p_value")
+    if c["test"] == "kruskal":
+        t = S.kruskal_wallis(rows, [family], group, len(groups), "unit_value")
+        return t.select(family, F.col("n").alias("n_a"), none.alias("n_b"), F.col("h_statistic").alias("statistic"), F.col("epsilon_squared").alias("effect"), "p_value")
+    if c["test"] == "welch_t":
+        t = S.welch(rows, [family], group, tuple(groups), "unit_value")
+        p = S.permuted_difference(rows, [family], group, tuple(groups), "__unit", "unit_value", replicates, seed).select(family, "p_value")
+        return t.join(p, family, "left").select(family, "n_a", "n_b", F.col("t_statistic").alias("statistic"), F.col("hedges_g").alias("effect"), "p_value")
+    if c["test"] == "anova":
+        t = S.anova(rows, [family], group, "unit_value")
+        p = S.permuted_f(rows, [family], group, "__unit", "unit_value", replicates, seed)
+        return t.join(p, family, "left").select(family, F.col("n").alias("n_a"), none.alias("n_b"), F.col("f_statistic").alias("statistic"), F.col("eta_squared").alias("effect"), "p_value")
+    if paired:
+        side = [F.max(F.when(F.col(group) == g, F.col("unit_value"))).alias(n) for g, n in zip(groups, ("__a", "__b"), strict=True)]
+        rows = rows.withColumn("__unit", F.concat_ws("|", *c["unit"])).groupBy(family, "__unit").agg(*side).withColumn("d", F.col("__a") - F.col("__b"))
+    else:
+        rows = rows.withColumn("d", F.col("unit_value")).withColumn("__a", F.col("d")).withColumn("__b", F.lit(None).cast("double"))
+    sizes = rows.groupBy(family).agg(F.count("__a").alias("n_a"), (F.count("__b") if paired else none).alias("n_b"))
+    if c["test"] == "paired_t":
+        t = S.paired_t(rows, [family], "d").join(S.sign_flipped(rows, [family], "__unit", "d", replicates, seed), family, "left")
+        g = F.col("effect") * (1 - 3.0 / (4 * (F.col("n") - 1) - 1))
+        return sizes.join(t, family, "left").select(family, "n_a", "n_b", F.col("t_statistic").alias("statistic"), g.alias("effect"), "p_value")
+    t = S.signed_rank(rows, [family], "d").drop("effect")
+    middle = quantiles(rows, [family], "d", {"effect": 0.5}).drop("total")
+    return sizes.join(t, family, "left").join(middle, family, "left").select(family, "n_a", "n_b", F.col("w_plus").alias("statistic"), "effect", "p_value")
+
+
 def declared_contrasts(rows: DataFrame, contrasts: Sequence[dict]) -> DataFrame:
-    """One row per contrast, family and metric; a contrast that cannot be made is a row with a note."""
-    out = None
+    """One row per contrast, family and metric, by the test that the contrast names; a contrast that cannot be made
+    is a row with a note.
+
+    A contrast has name, metrics, test, family, group, groups, unit, aggregate and minimum. Rank tests have normal
+    or chi-square p values; the others have permutation p values (two-sided, plus one) of ``replicates`` draws. q is
+    the Benjamini-Hochberg value within the contrast.
+    """
+    refused, out = [], None
     for c in contrasts:
+        wanted = TESTS.get(c["test"])
         for metric in c["metrics"]:
-            head = [F.lit(c["name"]).alias("contrast"), F.lit(metric).alias("metric"), F.lit(c["test"]).alias("test")]
-            if metric not in rows.columns:
-                part = rows.sparkSession.createDataFrame([(c["name"], metric, c["test"], None, None, None, None, "no such metric")],
-                    "contrast string, metric string, test string, family string, n_a long, n_b long, effect double, note string")
-                part = part.withColumn("p_value", F.lit(None).cast("double"))
-            else:
-                ledger = unit_ledger(rows, [c["family"], c["group"]], c["unit"], metric, c["aggregate"])
-                t = S.mann_whitney(ledger, [c["family"]], c["group"], c["pair"], "unit_value")
-                short = F.least("n_a", "n_b") < c["minimum"]
-                part = t.select(*head, F.col(c["family"]).cast("string").alias("family"), "n_a", "n_b", "effect", F.when(short, "too few units").alias("note"),
-                                F.when(~short, F.col("p_value")).alias("p_value"))
+            note = None
+            if wanted is None:
+                note = f"unknown test {c['test']}"
+            elif wanted[0] and len(c["groups"]) != wanted[0] or not wanted[0] and len(c["groups"]) < 2:
+                note = f"{c['test']} does not take {len(c['groups'])} groups"
+            elif metric not in rows.columns:
+                note = "no such metric"
+            if note:
+                refused.append((c["name"], metric, c["test"], None, None, None, None, wanted[2] if wanted else None, None, note, None))
+                continue
+            ledger = unit_ledger(rows, [c["family"], c["group"]], c["unit"], metric, c["aggregate"])
+            short = F.coalesce(F.least("n_a", "n_b") < c["minimum"], F.lit(True))
+            part = _tested(ledger, c).select(
+                F.lit(c["name"]).alias("contrast"), F.lit(metric).alias("metric"), F.lit(c["test"]).alias("test"), F.col(c["family"]).cast("string").alias("family"), "n_a", "n_b",
+                "statistic", F.lit(wanted[2]).alias("effect_kind"), "effect", F.when(short, "too few units").alias("note"), F.when(~short, F.col("p_value")).alias("p_value"),
+            )
             out = part if out is None else out.unionByName(part)
-    return S.corrected(out, ["contrast"], "p_value").select("contrast", "metric", "test", "family", "n_a", "n_b", "effect", "note", "p_value", F.col("q_bh").alias("q_value"))
+    if refused:
+        kept = rows.sparkSession.createDataFrame(refused, _CONTRAST)
+        out = kept if out is None else out.unionByName(kept)
+    names = [f.split()[0] for f in _CONTRAST.split(", ")]
+    return S.corrected(out, ["contrast"], "p_value").select(*names, F.col("q_bh").alias("q_value"))
 
 
 def treatment_vs_control(changes: DataFrame, unit: Sequence[str], arm: str, matched: str | None, minimum: int) -> DataFrame:

@@ -162,3 +162,22 @@ def complete_hours(observed: DataFrame, recordings: DataFrame, hours_per_frame:
     guess = F.col("origin") + F.col("frame_index") * hours_per_frame
     off = F.abs(F.col("__h") - guess) > hours_per_frame / 2
     return joined.select("stem", "frame_index", F.coalesce("__h", guess).alias("hours"), F.when(F.col("__h").isNull(), "filled").when(off, "mismatch").otherwise("observed").alias("status"))
+
+
+def stable_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str) -> DataFrame:
+    """1-based place of each row in its key; ``-column`` descends, nulls come last either way. The order must be unique.
+
+    Work is cut along the first numeric column, its missing values together in a last bucket.
+    """
+    from lapsegrid.plans.scan import numbered
+
+    out, names = rows, []
+    for n, name in enumerate(order):
+        column, down = F.col(name.lstrip("-")), name.startswith("-")
+        out = out.withColumn(f"__n{n}", column.isNull().cast("int")).withColumn(f"__v{n}", -column if down else column)
+        names += [f"__n{n}", f"__v{n}"]
+    # percentiles of the order's own first column: a bucket is a share of the rows, whatever their spread
+    cuts = out.groupBy(*keys).agg(F.percentile_approx(F.col("__v0").cast("double"), [k / 64 for k in range(1, 64)], 1000).alias("__cuts"))
+    placed = out.join(cuts, list(keys))
+    bucket = F.when(F.col("__n0") == 1, F.lit(64)).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col("__v0")))).cast("long")
+    return numbered(placed.withColumn("__cut", bucket), keys, names, F.col("__cut"), alias).drop("__cuts", "__cut", *names)

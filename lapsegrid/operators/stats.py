@@ -150,6 +150,35 @@ def permuted_difference(units: DataFrame, family: Sequence[str], group: str, pai
     )
 
 
+def sign_flipped(pairs: DataFrame, family: Sequence[str], unit: str, difference: str, replicates: int, seed: int) -> DataFrame:
+    """Mean difference against sign flips drawn by digest: two-sided, plus one."""
+    from lapsegrid.operators.learn import unit_draw
+
+    keys = list(family)
+    rows = pairs.where(F.col(difference).isNotNull()).select(*keys, unit, F.col(difference).alias("d"))
+    seen = rows.groupBy(*keys).agg(F.avg("d").alias("observed"))
+    reps = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    up = unit_draw(F.concat_ws("|", F.lit(str(seed)), "replicate", *keys, unit)) < 0.5
+    null = reps.groupBy(*keys, "replicate").agg(F.avg(F.when(up, F.col("d")).otherwise(-F.col("d"))).alias("m")).join(seen, keys)
+    return null.groupBy(*keys).agg(ratio(F.sum((F.round(F.abs("m"), 9) >= F.round(F.abs("observed"), 9)).cast("long")) + 1, F.count(F.lit(1)) + 1).alias("p_value"))
+
+
+def permuted_f(units: DataFrame, family: Sequence[str], group: str, unit: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """One-way F against relabelled units: group sizes kept, labels dealt in md5 order, plus one."""
+    keys = list(family)
+    rows = units.where(F.col(value).isNotNull()).select(*keys, group, unit, value)
+    seen = anova(rows, keys, group, value).select(*keys, F.col("f_statistic").alias("observed"))
+    sizes = rows.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("__n"))
+    # one row per declared group
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(group))
+    bounds = sizes.withColumn("__upto", upto).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__upto", group))).alias("__b"))
+    reps = rows.drop(group).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    dealt = hash_numbered(reps, [*keys, "replicate"], F.concat_ws("|", F.lit(str(seed)), "replicate", *keys, unit), "position", [unit]).join(bounds, keys)
+    label = F.get(F.filter("__b", lambda e: e["__upto"] >= F.col("position")), F.lit(0))[group]
+    null = anova(dealt.withColumn(group, label), [*keys, "replicate"], group, value).join(seen, keys)
+    return null.groupBy(*keys).agg(ratio(F.sum((F.round("f_statistic", 9) >= F.round("observed", 9)).cast("long")) + 1, F.count(F.lit(1)) + 1).alias("p_value"))
+
+
 def corrected(tests: DataFrame, family: Sequence[str], p: str, two_level: bool | None = None) -> DataFrame:
     """All four corrections in a family. A test without a p keeps its slot as 1, and stays NULL in the result.
 

@@ -258,12 +258,10 @@ def _(i):
     return model.transform(wide).select(*E2, (vector_to_array("pc")[0] * sign).alias("score"))
 
 
-@query("stable_multi_key_order", f"WITH {DAILY_SQL}, s AS (SELECT stem, identity, count(*) AS n, max(signal) AS m FROM obs GROUP BY 1,2) SELECT stem, identity, row_number() OVER (PARTITION BY stem ORDER BY n DESC, m NULLS LAST, identity) AS place FROM s")
+@query("stable_multi_key_order", f"WITH {DAILY_SQL}, s AS (SELECT stem, identity, count(*) AS n, max(CASE WHEN activity>1 THEN signal END) AS m FROM obs GROUP BY 1,2) SELECT stem, identity, row_number() OVER (PARTITION BY stem ORDER BY n DESC, m NULLS LAST, identity) AS place FROM s")
 def _(i):
-    from lapsegrid.plans.scan import numbered
-
-    s = i.daily().groupBy(*E2).agg(F.count(F.lit(1)).alias("n"), F.max("signal").alias("m")).withColumn("neg", -F.col("n"))
-    return numbered(s, ["stem"], ["neg", "m", "identity"], F.col("neg"), "place").select(*E2, "place")
+    s = i.daily().groupBy(*E2).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("activity") > 1, F.col("signal"))).alias("m"))
+    return V.stable_order(s, ["stem"], ["-n", "m", "identity"], "place").select(*E2, "place")
 
 
 @query(

@@ -16,27 +16,75 @@ from lapsegrid.workload.w08_stats import CU
 E2 = ["stem", "identity"]
 _P2 = "least(2.0*" + NORMAL_UPPER_SQL + ", 1.0)"
 
-CONTRASTS = [
-    dict(name="balance", metrics=["value", "weight"], test="mann_whitney", family="region", group="segment", pair=("HOUSEHOLD", "MACHINERY"), unit=["nation"], aggregate="mean", minimum=4),
-    dict(name="balance_median", metrics=["value"], test="mann_whitney", family="region", group="segment", pair=("BUILDING", "FURNITURE"), unit=["nation"], aggregate="median", minimum=6),
-]
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_PAIR = ("HOUSEHOLD", "MACHINERY")
+
+
+def contrast(name, test, groups=_PAIR, metrics=("value",), aggregate="mean", minimum=4):
+    return dict(name=name, metrics=list(metrics), test=test, family="region", group="segment", groups=groups, unit=["nation"], aggregate=aggregate, minimum=minimum)
+
+
+_L = f"""{CU}, l AS (SELECT region, segment, nation, avg(value) AS v FROM cu GROUP BY 1,2,3), f AS (SELECT * FROM l WHERE segment IN {_PAIR}),
+ pr AS (SELECT region, nation, max(v) FILTER (WHERE segment='{_PAIR[0]}') AS a, max(v) FILTER (WHERE segment='{_PAIR[1]}') AS b FROM f GROUP BY 1,2), hs AS (SELECT region, nation, v AS a, CAST(NULL AS DOUBLE) AS b, v AS d FROM l WHERE segment='{_PAIR[0]}')"""
+_AVR = "(rank() OVER (PARTITION BY region ORDER BY {v}) + (count(*) OVER (PARTITION BY region, {v}) - 1)/2.0)"
+_TIES = "(SELECT region, sum(k**3-k) AS t3 FROM (SELECT region, {v}, CAST(count(*) AS DOUBLE) AS k FROM {t} GROUP BY 1,2) GROUP BY 1)"
+_F = "(sum(n*m*m)-sum(n*m)*sum(n*m)/sum(n))/(count(*)-1)/(sum(n*s)/(sum(n)-count(*)))"
+
+
+def _wilcoxon(source):
+    return f"""SELECT region, n_a, n_b, w AS statistic, md AS effect, {_P2.format(z='(abs(w-n*(n+1)/4.0)/sqrt(n*(n+1)*(2*n+1)/24.0-t3/48.0))')} AS p_value FROM (
+ SELECT region, sum(CASE WHEN d>0 THEN r ELSE 0 END) AS w, count(*) AS n FROM (SELECT *, {_AVR.format(v='ab')} AS r FROM (SELECT *, round(abs(d),12) AS ab FROM {source} WHERE d IS NOT NULL AND d<>0)) GROUP BY 1)
+ JOIN {_TIES.format(v='round(abs(d),12)', t=f'(SELECT * FROM {source} WHERE d IS NOT NULL AND d<>0)')} USING (region) JOIN (SELECT region, count(a) AS n_a, {'count(b)' if source != 'hs' else 'CAST(NULL AS BIGINT)'} AS n_b, quantile_cont(d,0.5) AS md FROM {source} GROUP BY 1) USING (region)"""
+
+
+#: The tested part of each SQL answer: (region, n_a, n_b, statistic, effect, p_value).
+_TESTED = {
+    "mannwhitney": f"""SELECT region, n_a, n_b, u AS statistic, ma-mb AS effect, {_P2.format(z='(greatest(abs(u-n_a*n_b/2.0)-0.5,0)/sqrt(s2))')} AS p_value FROM (SELECT *, ra-n_a*(n_a+1)/2.0 AS u, n_a*n_b/12.0*((n_a+n_b+1)-t3/((n_a+n_b)*(n_a+n_b-1.0))) AS s2 FROM (
+ SELECT region, sum(r) FILTER (WHERE segment='{_PAIR[0]}') AS ra, count(*) FILTER (WHERE segment='{_PAIR[0]}') AS n_a, count(*) FILTER (WHERE segment='{_PAIR[1]}') AS n_b, quantile_cont(v,0.5) FILTER (WHERE segment='{_PAIR[0]}') AS ma, quantile_cont(v,0.5) FILTER (WHERE segment='{_PAIR[1]}') AS mb
+ FROM (SELECT *, {_AVR.format(v='v')} AS r FROM f) GROUP BY 1) JOIN {_TIES.format(v='v', t='f')} USING (region))""",
+    "kruskal": f"""SELECT region, n AS n_a, CAST(NULL AS BIGINT) AS n_b, h AS statistic, h/((n*n-1.0)/(n+1)) AS effect, exp(-h/2)*(1+h/2) AS p_value FROM (SELECT region, n, (12.0/(n*(n+1))*q-3*(n+1))/(1-t3/(n*n*n*1.0-n)) AS h FROM (
+ SELECT region, sum(s*s/k) AS q, CAST(sum(k) AS BIGINT) AS n FROM (SELECT region, segment, sum(r) AS s, count(*) AS k FROM (SELECT *, {_AVR.format(v='v')} AS r FROM l) GROUP BY 1,2) GROUP BY 1) JOIN {_TIES.format(v='v', t='l')} USING (region))""",
+    "welch_t": f"""SELECT region, n_a, n_b, (ma-mb)/sqrt(va/n_a+vb/n_b) AS statistic, (ma-mb)/sqrt(((n_a-1)*va+(n_b-1)*vb)/(n_a+n_b-2))*(1-3.0/(4*(n_a+n_b)-9)) AS effect, p_value FROM ob JOIN
+ (SELECT region, (1+count(*) FILTER (WHERE round(abs(d),9)>=round(abs(o),9)))/(count(*)+1) AS p_value FROM (SELECT region, replicate, avg(v) FILTER (WHERE pos<=n_a)-avg(v) FILTER (WHERE pos>n_a) AS d, any_value(ma-mb) AS o FROM dl JOIN ob USING (region) GROUP BY 1,2) GROUP BY 1) USING (region)""",
+    "anova": f"""SELECT region, n_a, CAST(NULL AS BIGINT) AS n_b, statistic, effect, p_value FROM ov JOIN (SELECT region, (1+count(*) FILTER (WHERE round(fs,9)>=round(statistic,9)))/(count(*)+1) AS p_value FROM (
+ SELECT region, replicate, {_F} AS fs FROM (SELECT region, replicate, label, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM (SELECT dn.*, (SELECT min(b.segment) FROM bd b WHERE b.region=dn.region AND b.upto>=dn.pos) AS label FROM dn) GROUP BY 1,2,3) GROUP BY 1,2) JOIN ov USING (region) GROUP BY 1) USING (region)""",
+    "wilcoxon": _wilcoxon("(SELECT *, a-b AS d FROM pr)"),
+    "paired_t": f"""SELECT region, n_a, n_b, m/(sd/sqrt(n)) AS statistic, m/sd*(1-3.0/(4*(n-1)-1)) AS effect, p_value FROM (SELECT region, count(a) AS n_a, count(b) AS n_b, count(a-b) AS n, avg(a-b) AS m, stddev_samp(a-b) AS sd FROM pr GROUP BY 1) JOIN
+ (SELECT region, (1+count(*) FILTER (WHERE round(abs(x),9)>=round(abs(o),9)))/(count(*)+1) AS p_value FROM (SELECT region, replicate, avg(CASE WHEN {{draw}}<0.5 THEN a-b ELSE b-a END) AS x FROM (SELECT *, unnest(range(1,200)) AS replicate FROM pr WHERE a-b IS NOT NULL) GROUP BY 1,2) JOIN (SELECT region, avg(a-b) AS o FROM pr GROUP BY 1) USING (region) GROUP BY 1) USING (region)""",
+    "signed_rank": _wilcoxon("hs"),
+}
+_MORE = {
+    "welch_t": f""", ob AS (SELECT region, count(*) FILTER (WHERE segment='{_PAIR[0]}') AS n_a, count(*) FILTER (WHERE segment='{_PAIR[1]}') AS n_b, avg(v) FILTER (WHERE segment='{_PAIR[0]}') AS ma, avg(v) FILTER (WHERE segment='{_PAIR[1]}') AS mb, var_samp(v) FILTER (WHERE segment='{_PAIR[0]}') AS va, var_samp(v) FILTER (WHERE segment='{_PAIR[1]}') AS vb FROM f GROUP BY 1),
+ dl AS (SELECT *, row_number() OVER (PARTITION BY region, replicate ORDER BY md5(concat_ws('|','7',replicate,region,segment||'|'||nation)), segment||'|'||nation) AS pos FROM (SELECT *, unnest(range(1,200)) AS replicate FROM f))""",
+    "anova": f""", dn AS (SELECT *, row_number() OVER (PARTITION BY region, replicate ORDER BY md5(concat_ws('|','7',replicate,region,segment||'|'||nation)), segment||'|'||nation) AS pos FROM (SELECT *, unnest(range(1,200)) AS replicate FROM l)),
+ bd AS (SELECT region, segment, sum(n) OVER (PARTITION BY region ORDER BY segment) AS upto FROM (SELECT region, segment, count(*) AS n FROM l GROUP BY 1,2)), ov AS (SELECT region, CAST(sum(n) AS BIGINT) AS n_a, {_F} AS statistic, (sum(n*m*m)-sum(n*m)*sum(n*m)/sum(n))/((sum(n*m*m)-sum(n*m)*sum(n*m)/sum(n))+sum(n*s)) AS effect FROM (SELECT region, segment, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM l GROUP BY 1,2) GROUP BY 1)""",
+}
+_SIGN = "(('0x' || substr(md5(concat_ws('|','7',replicate,region,nation)), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+def _contrast_sql(test, refused=()):
+    """The answer for one contrast named after its test, with rows for refused metrics or tests."""
+    rows = "".join(f" UNION ALL SELECT '{n}', '{m}', '{t}', NULL, NULL, NULL, NULL, {k}, NULL, '{note}', NULL" for n, m, t, k, note in refused)
+    return f"""WITH {_L}{_MORE.get(test, '')}, t AS (SELECT 'c' AS contrast, 'value' AS metric, '{test}' AS test, region AS family, n_a, n_b, statistic, '{C.TESTS[test][2]}' AS effect_kind, effect,
+ CASE WHEN least(n_a,n_b)<4 THEN 'too few units' END AS note, CASE WHEN least(n_a,n_b)>=4 THEN p_value END AS p_value FROM ({_TESTED[test].format(draw=_SIGN) if test == 'paired_t' else _TESTED[test]}){rows}),
+ s AS (SELECT *, coalesce(p_value,1.0) AS p, count(*) OVER (PARTITION BY contrast) AS m, count(*) OVER (PARTITION BY contrast ORDER BY coalesce(p_value,1.0)) AS r FROM t)
+ SELECT contrast, metric, test, family, n_a, n_b, statistic, effect_kind, effect, note, p_value, CASE WHEN p_value IS NOT NULL THEN least(min(p*m/r) OVER (PARTITION BY contrast ORDER BY p DESC RANGE UNBOUNDED PRECEDING),1.0) END AS q_value FROM s"""
+
 
+_GROUPS = {"kruskal": _SEGMENTS, "anova": _SEGMENTS, "signed_rank": _PAIR[:1]}
 
-def _mw(name, pair, agg, minimum):
-    return f"""SELECT '{name}' AS contrast, 'value' AS metric, 'mann_whitney' AS test, region AS family, n_a, n_b, 2.0*u/(n_a*n_b)-1 AS effect, CASE WHEN least(n_a,n_b)<{minimum} THEN 'too few units' END AS note, CASE WHEN least(n_a,n_b)>={minimum} AND s2>0 THEN {_P2.format(z='(greatest(abs(u-n_a*n_b/2.0)-0.5,0)/sqrt(s2))')} END AS p_value FROM (
- SELECT region, n_a, n_b, ra-n_a*(n_a+1)/2.0 AS u, n_a*n_b/12.0*((n+1)-t3/(n*(n-1))) AS s2 FROM (SELECT region, sum(rk) FILTER (WHERE segment='{pair[0]}') AS ra, count(*) FILTER (WHERE segment='{pair[0]}') AS n_a, count(*) FILTER (WHERE segment='{pair[1]}') AS n_b, CAST(count(*) AS DOUBLE) AS n, 0.0 AS t3 FROM (
- SELECT *, rank() OVER (PARTITION BY region ORDER BY v) AS rk FROM (SELECT region, segment, nation, {agg} AS v FROM cu WHERE segment IN ('{pair[0]}','{pair[1]}') GROUP BY 1,2,3)) GROUP BY 1))"""
+for _t in C.TESTS:
+    query(f"contrast_{_t}", _contrast_sql(_t), "statistic effect p_value q_value", digits=6)(lambda i, t=_t: C.declared_contrasts(customers(i), [contrast("c", t, _GROUPS.get(t, _PAIR))]))
 
 
 @query(
     "declared_contrasts",
-    f"""WITH {CU}, t AS ({_mw('balance', ('HOUSEHOLD', 'MACHINERY'), 'avg(value)', 4)} UNION ALL {_mw('balance_median', ('BUILDING', 'FURNITURE'), 'quantile_cont(value,0.5)', 6)} UNION ALL SELECT 'balance','weight','mann_whitney',NULL,NULL,NULL,NULL,'no such metric',NULL),
- s AS (SELECT *, coalesce(p_value,1.0) AS p, count(*) OVER (PARTITION BY contrast) AS m, count(*) OVER (PARTITION BY contrast ORDER BY coalesce(p_value,1.0)) AS r FROM t)
- SELECT contrast, metric, test, family, n_a, n_b, effect, note, p_value, CASE WHEN p_value IS NOT NULL THEN least(min(p*m/r) OVER (PARTITION BY contrast ORDER BY p DESC RANGE UNBOUNDED PRECEDING),1.0) END AS q_value FROM s""",
-    "effect p_value q_value",
+    _contrast_sql("mannwhitney", [("c", "weight", "mannwhitney", "'median_difference'", "no such metric"), ("d", "value", "no_such_test", "NULL", "unknown test no_such_test"), ("e", "value", "welch_t", "'hedges_g'", "welch_t does not take 5 groups")]),
+    "statistic effect p_value q_value",
+    digits=6,
 )
 def _(i):
-    return C.declared_contrasts(customers(i), CONTRASTS)
+    return C.declared_contrasts(customers(i), [contrast("c", "mannwhitney", metrics=("value", "weight")), contrast("d", "no_such_test"), contrast("e", "welch_t", _SEGMENTS)])
 
 
 def changes(i):

@@ -71,6 +71,10 @@ def canon(columns, rows):
     return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+#: Queries without an SQL answer; a query that is not named here must have one.
+NO_SQL = {"sequence_alignment", "trajectory_distance", "screened_columns", "principal_component_order", "kmeans_states", "bisecting_states", "mixture_states", "cohort_clusters"}
+
+
 def compare(spark, duck, folder: str, name: str):
     """(ok, message, rows)"""
     from lapsegrid import workload
@@ -79,7 +83,7 @@ def compare(spark, duck, folder: str, name: str):
     left = canon(df.columns, df.collect())
     sql = workload.sql_texts().get(name)
     if sql is None:
-        return True, "no sql", len(left[1])
+        return name in NO_SQL, "no sql", len(left[1])
     cur = duck.execute(sql)
     right = canon([d[0] for d in cur.description], cur.fetchall())
     if left[0] != right[0]:

@@ -157,10 +157,9 @@ def test_windows_without_data_and_zero_baselines(spark):
 
 
 def test_persistence_resample_is_the_same_in_any_chunking(spark):
-    moves = spark.createDataFrame([("s", 1, a, b, 3 if a == b else 1) for a in "xy" for b in "xy"], "stem string, identity long, from_state string, to_state string, n long")
-    frames = obs(spark, [("s", 1, f, float(f), 0.0) for f in range(30)])
-    runs = [sorted((r["frame_index"], r["state"]) for r in contrasts.persistence_resample(moves, frames, ["x", "y"], 5, chunk=c).collect()) for c in (4, 7, 64)]
-    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 30 and {s for _, s in runs[0]} == {"x", "y"}
+    rows = spark.createDataFrame([("s", 1, f, "xxyxyyxxxy"[f % 10]) for f in range(64) if f not in (20, 41)], "stem string, identity long, frame_index int, state string")
+    runs = [sorted((r["frame_index"], r["state"]) for r in contrasts.persistence_resample(rows, "state", ["x", "y"], 5, chunk=c).collect()) for c in (4, 7, 64)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 62 and {s for _, s in runs[0]} == {"x", "y"}
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -193,7 +192,7 @@ def test_readers_and_writers(spark, tmp_path):
 
 def test_contrast_refusals_are_rows(spark):
     rows = spark.createDataFrame([("f", g, u, float(u)) for g in "ab" for u in range(3)], "fam string, g string, unit long, v double")
-    c = dict(name="c", metrics=["v", "nope"], test="mann_whitney", family="fam", group="g", pair=("a", "b"), unit=["unit"], aggregate="mean", minimum=9)
+    c = dict(name="c", metrics=["v", "nope"], test="mannwhitney", family="fam", group="g", groups=("a", "b"), unit=["unit"], aggregate="mean", minimum=9)
     got = {r["metric"]: r["note"] for r in contrasts.declared_contrasts(rows, [c]).collect()}
     assert got == {"v": "too few units", "nope": "no such metric"}
 
@@ -222,3 +221,77 @@ def test_column_groups(spark):
     assert columns_for(groups, ["hours", "@shape", "area"], ["hours", "area", "width"]) == ["hours", "area", "width"]
     with pytest.raises(ValueError):
         columns_for(groups, ["@missing"], ["hours"])
+
+
+def test_order_puts_nulls_last_either_way(spark):
+    from lapsegrid.operators.features import stable_order
+    from lapsegrid.plans.heavy import LIMIT_SETTING
+
+    rows = spark.createDataFrame([("s", 1, 2, 5.0), ("s", 2, 2, None), ("s", 3, None, 1.0), ("s", 4, 7, None), ("s", 5, 2, 1.0), ("t", 6, None, None)], "stem string, identity long, n int, m double")
+    for limit in ("1000000", "1"):
+        spark.conf.set(LIMIT_SETTING, limit)
+        try:
+            got = stable_order(rows, ["stem"], ["-n", "m", "identity"], "place").where("stem = 's'").orderBy("place").collect()
+        finally:
+            spark.conf.unset(LIMIT_SETTING)
+        assert [r["identity"] for r in got] == [4, 5, 1, 2, 3]
+
+
+def test_late_events_and_strong_persistence_show(spark, tmp_path):
+    """An event on day 45 lengthens its recording's clock; a surrogate of a slow entity is as slow."""
+    import datetime
+
+    from lapsegrid.operators import contrasts as C
+    from lapsegrid.operators import presence as P
+    from lapsegrid.sources.canonical import Inputs
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(k, "view", 1, at + datetime.timedelta(days=d), 1.0) for k, d in enumerate((0, 1, 44))] + [(9, "click", 2, at, 2.0)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    i = Inputs(spark, str(tmp_path))
+    assert {r["stem"]: r["n_frames"] for r in i.recordings().collect()} == {"view": 45, "click": 1}
+    assert P.roll_call(i.daily(), i.recordings()).count() == 46
+    assert {r["stem"]: r["missing"] for r in P.presence_audit(i.daily(), i.recordings()).collect()} == {"view": 42, "click": 0}
+
+    import numpy as np
+
+    draw, x = np.random.default_rng(1), [0.0]
+    for _ in range(1999):
+        x.append(0.97 * x[-1] + draw.standard_normal() * (1 - 0.97**2) ** 0.5)
+    series = spark.createDataFrame([("s", 1, k, float(v)) for k, v in enumerate(x)], "stem string, identity long, frame_index int, signal double")
+    got = np.array([r["signal"] for r in C.autoregressive_surrogates(series, "signal", 1, 3).orderBy("frame_index").collect()])
+    assert len(got) == 2000 and np.corrcoef(got[1:], got[:-1])[0, 1] > 0.93
+
+
+def test_walks_start_from_the_shares_and_start_again_after_gaps(spark):
+    from lapsegrid.operators import contrasts as C
+
+    # every other frame is missing: no transition, so each frame is drawn from the shares
+    rows = spark.createDataFrame([("s", e, 2 * k, "b" if k % 4 else "a") for e in range(20) for k in range(200)], "stem string, identity long, frame_index int, state string")
+    got = {r["state"]: r["count"] for r in C.persistence_resample(rows, "state", ["a", "b"], 5).groupBy("state").count().collect()}
+    assert sum(got.values()) == 4000 and 850 < got["a"] < 1150
+
+
+def test_storage_needs_a_name_on_a_cluster():
+    from lapsegrid.plans import durable
+
+    class Context:
+        master = "spark://somewhere"
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        durable.shared_folder(Session())
+
+
+def test_pairs_at_one_time_have_no_slope(spark):
+    from lapsegrid.operators.pairs import robust_trend
+
+    rows = spark.createDataFrame([("s", 1, float(h), float(2 * h + d)) for h in range(6) for d in (0, 0.25)], "stem string, identity long, hours double, v double")
+    r = robust_trend(rows, "v").first()
+    assert abs(r["slope_per_hour"] - 2.0) < 0.06 and r["slope_high"] < 3
