@@ -71,3 +71,18 @@ def test_overlap_join_gives_each_pair_once(spark):
     for width in (0.7, 4.0, 100.0):
         got = ranges.overlap_join(l, r, ["k"], ("la", "lb"), ("ra", "rb"), width)
         assert sorted((round(x.lo, 9), round(x.hi, 9)) for x in got.collect()) == expected
+
+
+def test_a_crowded_key_is_cut_evenly(spark):
+    """Nine rows in ten belong to one entity within one day: no bucket holds more than a small share of them."""
+    from lapsegrid.plans import scan
+
+    rows = spark.range(20_000).select(
+        F.lit("s").alias("stem"), F.when(F.col("id") % 10 < 9, F.lit(1)).otherwise(F.col("id")).alias("identity"), (100 + F.col("id") * 24 / 20_000).alias("hours"), F.col("id").alias("v")
+    )
+    cut = scan.sketched(rows, ["stem", "identity"], "hours", F.floor(F.col("hours") / 4096).cast("long"))
+    sizes = [r["count"] for r in cut.where("identity = 1").groupBy(scan.BUCKET).count().collect()]
+    assert len(sizes) == scan.STRETCHES and max(sizes) < 3 * 18_000 / scan.STRETCHES
+    lagged = scan.ordered_scan(rows, ["stem", "identity"], ["hours"], F.lit(0).cast("long"), lag={"p": "v"}, running={"t": ("sum", "v")}, two_level=True)
+    plain = scan.ordered_scan(rows, ["stem", "identity"], ["hours"], F.lit(0).cast("long"), lag={"p": "v"}, running={"t": ("sum", "v")}, two_level=False)
+    assert lagged.exceptAll(plain).isEmpty() and lagged.count() == 20_000
