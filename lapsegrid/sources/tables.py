@@ -6,6 +6,7 @@ import fnmatch
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -137,8 +138,8 @@ def read_decision_tables(spark: SparkSession, paths: dict[str, str]) -> tuple[di
         try:
             found[name] = spark.read.csv(path, header=True, inferSchema=True)
             record.append((name, "read"))
-        except Exception as error:  # noqa: BLE001 - absence is a result here
-            record.append((name, "absent" if "PATH_NOT_FOUND" in str(error) else "unreadable"))
+        except AnalysisException as error:  # absence is a result here, other faults are not
+            record.append((name, "absent" if error.getCondition() == "PATH_NOT_FOUND" else "unreadable"))
     return found, record
 
 
