@@ -104,25 +104,30 @@ def declared_contrasts(rows: DataFrame, contrasts: Sequence[dict]) -> DataFrame:
     return S.corrected(out, ["contrast"], "p_value").select(*names, F.col("q_bh").alias("q_value"))
 
 
-def treatment_vs_control(changes: DataFrame, unit: Sequence[str], arm: str, matched: str | None, minimum: int) -> DataFrame:
+def treatment_vs_control(changes: DataFrame, unit: Sequence[str], arm: str, matched: str | None, minimum: int, replicates: int = 199, seed: int = 7) -> DataFrame:
     """Unit-level mean changes of two arms, matched by a key or independent, with every reason a comparison is
-    refused, per metric."""
+    refused, per metric. p comes from sign flips of matched units or from relabelled ones (two-sided, plus one), q
+    is its Benjamini-Hochberg value over the metrics; a refused comparison keeps its slot."""
     per = changes.groupBy("metric", arm, *unit).agg(
         F.avg("change").alias("v"), F.count("change").alias("n"), F.count_distinct("definition").alias("__d")
     )
     mixed = per.groupBy("metric").agg(F.max((F.col("__d") > 1).cast("int")).alias("__mixed"))
     if matched is None:
         t = S.welch(per, ["metric"], arm, ("treated", "control"), "v").select("metric", "n_a", "n_b", F.col("difference").alias("estimate"), F.col("t_statistic").alias("statistic"), F.col("hedges_g").alias("effect"))
+        named = per.withColumn("__unit", F.concat_ws("|", arm, *unit))
+        p = S.permuted_difference(named, ["metric"], arm, ("treated", "control"), "__unit", "v", replicates, seed)
     else:
         side = lambda a: per.where(F.col(arm) == a).groupBy("metric", matched).agg(F.avg("v").alias(a))
-        both = side("treated").join(side("control"), ["metric", matched], "full_outer").withColumn("d", F.col("treated") - F.col("control"))
+        both = cut(side("treated").join(side("control"), ["metric", matched], "full_outer").withColumn("d", F.col("treated") - F.col("control")))
         counts = both.groupBy("metric").agg(F.count("treated").alias("n_a"), F.count("control").alias("n_b"))
         t = counts.join(S.paired_t(both, ["metric"], "d"), "metric").select("metric", "n_a", "n_b", F.col("mean_difference").alias("estimate"), F.col("t_statistic").alias("statistic"), "effect")
-    joined = t.join(mixed, "metric")
+        p = S.sign_flipped(both, ["metric"], matched, "d", replicates, seed)
+    joined = t.join(mixed, "metric").join(p.select("metric", "p_value"), "metric", "left")
     reasons = F.concat_ws("; ", F.when(F.col("__mixed") == 1, F.lit("mixed definitions")), F.when(F.col("n_a") < minimum, F.lit("too few treated units")), F.when(F.col("n_b") < minimum, F.lit("too few control units")))
-    out = joined.withColumn("reasons", reasons).drop("__mixed")
+    judged = joined.withColumn("reasons", reasons).drop("__mixed")
     ok = F.col("reasons") == ""
-    return out.select("metric", "n_a", "n_b", *[F.when(ok, F.col(c)).alias(c) for c in ("estimate", "statistic", "effect")], "reasons")
+    out = judged.select("metric", "n_a", "n_b", *[F.when(ok, F.col(c)).alias(c) for c in ("estimate", "statistic", "effect", "p_value")], "reasons", F.lit(0).alias("__family"))
+    return S.corrected(out, ["__family"], "p_value").select("metric", "n_a", "n_b", "estimate", "statistic", "effect", "p_value", F.col("q_bh").alias("q_value"), "reasons")
 
 
 def state_dynamics(rows: DataFrame, state: str, factor: float = 1.5) -> tuple[DataFrame, DataFrame, DataFrame]:

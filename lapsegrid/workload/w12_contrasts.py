@@ -102,12 +102,18 @@ _CH = """bs AS (SELECT nation, region, CASE WHEN segment='HOUSEHOLD' THEN 'treat
  mx AS (SELECT metric, max(d) AS d FROM per GROUP BY 1)"""
 
 
+_Q = """g AS (SELECT metric, n_a, n_b, CASE WHEN d<=1 THEN e END AS estimate, CASE WHEN d<=1 THEN st END AS statistic, CASE WHEN d<=1 THEN ef END AS effect, CASE WHEN d<=1 THEN p END AS p_value, CASE WHEN d>1 THEN 'mixed definitions' ELSE '' END AS reasons FROM s JOIN mx USING (metric) LEFT JOIN pv USING (metric)),
+ k AS (SELECT *, coalesce(p_value,1.0) AS p1, count(*) OVER () AS m, count(*) OVER (ORDER BY coalesce(p_value,1.0)) AS r FROM g)
+ SELECT metric, n_a, n_b, estimate, statistic, effect, p_value, CASE WHEN p_value IS NOT NULL THEN least(min(p1*m/r) OVER (ORDER BY p1 DESC RANGE UNBOUNDED PRECEDING),1.0) END AS q_value, reasons FROM k"""
+_FLIP = "(('0x' || substr(md5(concat_ws('|','7',replicate,metric,nation)), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
 @query(
     "treatment_vs_control_matched",
-    f"""WITH {CU}, {_CH}, b AS (SELECT coalesce(t.metric,c.metric) AS metric, t.v AS t, c.v AS c FROM (SELECT * FROM per WHERE arm='treated') t FULL JOIN (SELECT * FROM per WHERE arm='control') c ON t.metric=c.metric AND t.nation=c.nation),
- s AS (SELECT metric, count(t) AS n_a, count(c) AS n_b, avg(t-c) AS e, avg(t-c)/(stddev_samp(t-c)/sqrt(count(t-c))) AS st, avg(t-c)/stddev_samp(t-c) AS ef FROM b GROUP BY 1)
- SELECT metric, n_a, n_b, CASE WHEN d<=1 THEN e END AS estimate, CASE WHEN d<=1 THEN st END AS statistic, CASE WHEN d<=1 THEN ef END AS effect, CASE WHEN d>1 THEN 'mixed definitions' ELSE '' END AS reasons FROM s JOIN mx USING (metric)""",
-    "estimate statistic effect",
+    f"""WITH {CU}, {_CH}, b AS (SELECT coalesce(t.metric,c.metric) AS metric, coalesce(t.nation,c.nation) AS nation, t.v AS t, c.v AS c FROM (SELECT * FROM per WHERE arm='treated') t FULL JOIN (SELECT * FROM per WHERE arm='control') c ON t.metric=c.metric AND t.nation=c.nation),
+ s AS (SELECT metric, count(t) AS n_a, count(c) AS n_b, avg(t-c) AS e, avg(t-c)/(stddev_samp(t-c)/sqrt(count(t-c))) AS st, avg(t-c)/stddev_samp(t-c) AS ef FROM b GROUP BY 1),
+ pv AS (SELECT metric, (1+count(*) FILTER (WHERE round(abs(x),9)>=round(abs(e),9)))/(count(*)+1) AS p FROM (SELECT metric, replicate, avg(CASE WHEN {_FLIP}<0.5 THEN t-c ELSE c-t END) AS x FROM (SELECT *, unnest(range(1,200)) AS replicate FROM b WHERE t-c IS NOT NULL) GROUP BY 1,2) JOIN s USING (metric) GROUP BY 1), {_Q}""",
+    "estimate statistic effect p_value q_value",
     digits=6,
 )
 def _(i):
@@ -116,9 +122,11 @@ def _(i):
 
 @query(
     "treatment_vs_control_independent",
-    f"""WITH {CU}, {_CH}, s AS (SELECT metric, count(v) FILTER (WHERE arm='treated') AS n_a, count(v) FILTER (WHERE arm='control') AS n_b, avg(v) FILTER (WHERE arm='treated') AS ma, avg(v) FILTER (WHERE arm='control') AS mb, var_samp(v) FILTER (WHERE arm='treated') AS va, var_samp(v) FILTER (WHERE arm='control') AS vb FROM per GROUP BY 1)
- SELECT metric, n_a, n_b, CASE WHEN d<=1 THEN ma-mb END AS estimate, CASE WHEN d<=1 THEN (ma-mb)/sqrt(va/n_a+vb/n_b) END AS statistic, CASE WHEN d<=1 THEN (ma-mb)/sqrt(((n_a-1)*va+(n_b-1)*vb)/(n_a+n_b-2))*(1-3.0/(4*(n_a+n_b)-9)) END AS effect, CASE WHEN d>1 THEN 'mixed definitions' ELSE '' END AS reasons FROM s JOIN mx USING (metric)""",
-    "estimate statistic effect",
+    f"""WITH {CU}, {_CH}, s AS (SELECT *, ma-mb AS e, (ma-mb)/sqrt(va/n_a+vb/n_b) AS st, (ma-mb)/sqrt(((n_a-1)*va+(n_b-1)*vb)/(n_a+n_b-2))*(1-3.0/(4*(n_a+n_b)-9)) AS ef FROM (
+ SELECT metric, count(v) FILTER (WHERE arm='treated') AS n_a, count(v) FILTER (WHERE arm='control') AS n_b, avg(v) FILTER (WHERE arm='treated') AS ma, avg(v) FILTER (WHERE arm='control') AS mb, var_samp(v) FILTER (WHERE arm='treated') AS va, var_samp(v) FILTER (WHERE arm='control') AS vb FROM per GROUP BY 1)),
+ dl AS (SELECT *, row_number() OVER (PARTITION BY metric, replicate ORDER BY md5(concat_ws('|','7',replicate,metric,arm||'|'||nation)), arm||'|'||nation) AS pos FROM (SELECT *, unnest(range(1,200)) AS replicate FROM per WHERE v IS NOT NULL)),
+ pv AS (SELECT metric, (1+count(*) FILTER (WHERE round(abs(x),9)>=round(abs(o),9)))/(count(*)+1) AS p FROM (SELECT metric, replicate, avg(v) FILTER (WHERE pos<=n_a)-avg(v) FILTER (WHERE pos>n_a) AS x, any_value(e) AS o FROM dl JOIN s USING (metric) GROUP BY 1,2) GROUP BY 1), {_Q}""",
+    "estimate statistic effect p_value q_value",
     digits=6,
 )
 def _(i):
