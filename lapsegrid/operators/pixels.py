@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio
-from lapsegrid.plans.blocks import entity_pair_moments
 from lapsegrid.plans.ranks import quantiles
 from lapsegrid.plans.scan import frame_bucket, ordered_scan
 
@@ -189,17 +188,16 @@ def territory_overlap(masks: DataFrame) -> DataFrame:
     """Places two entities both ever held, for pairs that share any, with the share of either territory and how
     many of those places a third entity also held.
 
-    Blocks of entities are multiplied over stretches of places, so a crowded place costs one matrix row and its
-    owners are never paired off one by one.
+    Owners meet at their places; every pair that meets is a pair of the result, and its places are summed before
+    they leave a task. A crowded place is one join key, which the adaptive planner splits.
     """
     owners = masks.select(*ENTITY, "y", "x").distinct()
     sizes = owners.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("union_px"))
-    crowd = owners.groupBy("stem", "y", "x").agg((F.count(F.lit(1)) > 2).cast("double").alias("contested"))
-    # a field is at most 65,536 places wide
-    held = owners.join(crowd, ["stem", "y", "x"]).withColumn("place", F.col("y").cast("long") * 65536 + F.col("x"))
-    m = entity_pair_moments(held, ["stem"], "identity", "place", "contested", times_per_chunk=65536)
-    shared = m.select(
-        "stem", F.col("a").alias("identity_a"), F.col("b").alias("identity_b"), F.col("n").cast("long").alias("shared_px"), F.col("sxy").cast("long").alias("contested_px")
+    crowd = owners.groupBy("stem", "y", "x").agg((F.count(F.lit(1)) > 2).cast("long").alias("contested"))
+    left = owners.join(crowd, ["stem", "y", "x"]).withColumnRenamed("identity", "identity_a")
+    right = owners.withColumnRenamed("identity", "identity_b")
+    shared = left.join(right, ["stem", "y", "x"]).where("identity_a < identity_b").groupBy("stem", "identity_a", "identity_b").agg(
+        F.count(F.lit(1)).alias("shared_px"), F.sum("contested").alias("contested_px")
     )
     for side in ("a", "b"):
         shared = shared.join(
@@ -280,13 +278,11 @@ def fate_transitions(fates: DataFrame) -> DataFrame:
 
 
 def boundary(masks: DataFrame) -> DataFrame:
-    """Pixels lacking one of their eight neighbours in the same mask."""
-    around = spread(masks.select(*CELL, "y", "x").withColumn("__y", F.col("y")).withColumn("__x", F.col("x")), offsets(1, 0, "square"))
-    inside = around.join(masks.select(*CELL, "y", "x"), [*CELL, "y", "x"]).groupBy(*CELL, F.col("__y").alias("y"), F.col("__x").alias("x")).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    full = inside.where(F.col("__n") == 8).select(*CELL, "y", "x")
-    return masks.select(*CELL, "y", "x").join(full, [*CELL, "y", "x"], "left_anti")
+    """Pixels lacking one of their eight neighbours in the same mask: each pixel tells its neighbours, in one shuffle."""
+    own = masks.select(*CELL, "y", "x", F.lit(0).alias("__n"), F.lit(1).alias("__self"))
+    told = spread(masks.select(*CELL, "y", "x"), offsets(1, 0, "square")).select(*CELL, "y", "x", F.lit(1).alias("__n"), F.lit(0).alias("__self"))
+    heard = own.unionAll(told).groupBy(*CELL, "y", "x").agg(F.sum("__n").alias("__n"), F.max("__self").alias("__self"))
+    return heard.where("__self = 1 AND __n < 8").select(*CELL, "y", "x")
 
 
 def contacts(masks: DataFrame, dilations: Sequence[int]) -> DataFrame:
