@@ -137,7 +137,7 @@ def links(points: DataFrame, threshold: int = 4, k: int = 15, block: int = BLOCK
     counts = counts.where((F.col("homes") > 0) & (F.col("all") > 1)).select(
         "anchor", F.ceil(F.col("homes") / block).cast("int").alias("nh"), F.ceil(F.col("all") / block).cast("int").alias("nc")
     )
-    dealt = copies.join(counts, "anchor")
+    dealt = copies.join(F.broadcast(counts), "anchor")  # at most 2**k rows
     mix = F.xxhash64("bits")
     as_home = dealt.where("home").select("anchor", F.pmod(mix, "nh").cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("c"), "bits", F.lit(True).alias("home"))
     as_copy = dealt.select("anchor", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("h"), F.pmod(mix, "nc").cast("int").alias("c"), "bits", F.lit(False).alias("home"))
@@ -193,8 +193,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4, k: int
     return prints.join(classes, "bits").select("doc_id", "bits", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 5, threshold: int = 4, k: int = 15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their class (all columns); of rows repeating that id with the same text, one."""
+def keep_first(docs: DataFrame, words: int = 5, threshold: int = 6, k: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their class (all columns); of rows repeating that id, one.
+
+    Six bits of a fingerprint over five-word shingles stand for a similarity of 0.8: rewriting a word changes five
+    shingles, so most pairs of that similarity lie some ten bits apart, but from seven bits on pairs of less similar
+    texts come in too. Fewer anchors than for four bits keep the copies of a point few.
+    """
     firsts = near_duplicates(docs, words, threshold, k, id_column, text_column).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(firsts, docs[id_column].cast("long") == F.col("__id"), "left_semi")
     return kept.dropDuplicates([id_column])

@@ -293,7 +293,7 @@ def test_simhash(docs, rows, none):
     found = simhash.near_duplicates(docs).collect()
     assert collections.Counter((r["doc_id"], r["component_id"]) for r in found) == expected
     assert all(r["bits"] % 2**64 in {fingerprint(t) for _, t in rows} for r in found)
-    kept = [r["doc_id"] for r in simhash.keep_first(docs, words=4).collect()]
+    kept = [r["doc_id"] for r in simhash.keep_first(docs, words=4, threshold=4).collect()]
     assert sorted(kept) == sorted({i for (i, c) in expected if i == c and i is not None})
     assert simhash.near_duplicates(none).count() == 0
 
@@ -311,11 +311,11 @@ def test_links_lose_nothing(spark):
             seed = p if draw.random() < 0.3 else seed
     points = sorted(set(points))
     df = spark.createDataFrame([(p,) for p in points], "bits long")
-    for block in (7, 2048):
-        edges = simhash.links(df, 4, 10, block)
+    for block, threshold in ((7, 4), (2048, 6)):
+        edges = simhash.links(df, threshold, 10, block)
         found = simhash.components(edges, df.select("bits", F.col("bits").alias("least")))
         got = {r["bits"]: r["least"] for r in found.collect()}
-        assert collections.Counter((p, got.get(p, p)) for p in points) == brute_classes([(p, p) for p in points], 4)
+        assert collections.Counter((p, got.get(p, p)) for p in points) == brute_classes([(p, p) for p in points], threshold)
 
 
 def test_nearest(spark):
