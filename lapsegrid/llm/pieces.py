@@ -143,15 +143,19 @@ class Pieces:
     @lru_cache(maxsize=4096)  # noqa: B019  one model per worker
     def _marks(self, n: int) -> list[int]:
         """Ids of a run of marks: equal scores merge from the left, as long as a token of that length exists."""
-        groups = [1] * n
-        at = 0
-        while at < len(groups) - 1:
-            if groups[at] + groups[at + 1] in self.runs:
-                groups[at : at + 2] = [groups[at] + groups[at + 1]]
-                at = max(0, at - 1)
-            else:
-                at += 1
-        return [self.runs[g] for g in groups]
+        settled: list[int] = []  # lengths of tokens, no two neighbours of which merge
+        left = n
+        while left:
+            token, left = 1, left - 1
+            while True:
+                if settled and settled[-1] + token in self.runs:
+                    token += settled.pop()
+                elif left and token + 1 in self.runs:
+                    token, left = token + 1, left - 1
+                else:
+                    break
+            settled.append(token)
+        return [self.runs[t] for t in settled]
 
     def _cut(self, cut: str) -> list[int]:
         body = cut.lstrip(MARK)

@@ -327,7 +327,10 @@ def find(text: str | None, model: Boosted | None) -> tuple[dict[str, list[Span]]
         cover(a, b)
     proposed = [c for c in candidates(text) if covered.find(1, c[1], c[2]) < 0] if model else []
     if proposed:
-        x = np.array([features(text[max(0, a - 60) : b + 60], k, a - max(0, a - 60), b - max(0, a - 60)) for k, a, b in proposed])
+        x = np.concatenate([
+            np.array([features(text[max(0, a - 60) : b + 60], k, a - max(0, a - 60), b - max(0, a - 60)) for k, a, b in proposed[i : i + 10_000]])
+            for i in range(0, len(proposed), 10_000)
+        ])
         score = model.score(x)
         keep = score >= model.select[x[:, 0].astype(np.int64)]
         for i in np.argsort(-score, kind="stable").tolist():

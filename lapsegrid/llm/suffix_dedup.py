@@ -7,8 +7,8 @@ once their rank is unique:
 1. offset 40: every `length`-byte window names one position, the last smallest hashed 40-gram in it. That choice
    depends on the window's content only, so equal windows name equal positions. A 40-gram that Spark counts once
    ends all windows that name it.
-2. offset 200: the pair of that rank and the rank of the 200 bytes after the position (windows that begin less than
-   200 bytes before it) or before it (the others) is counted likewise.
+2. offset 200, half of `length`: the pair of that rank and the rank of the 200 bytes after the position (windows that
+   begin less than 200 bytes before it) or before it (the others) is counted likewise.
 3. offset `length` and more: the run of windows that name the position from one side is ranked as a whole. A run
    that occurs twice is repeated in full.
 4. Different runs under one pair are compared window by window: inside a task where a pair has few runs, otherwise
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lapsegrid.llm.common import blocked_bloom, bloom_hits, saved, slices
 
-GRAM, HALF = 40, 200
+GRAM = 40
 STRETCH = 2**20 - 4096
 #: Different runs under one pair beyond which their windows are counted as rows.
 FEW_RUNS = 4096
@@ -168,6 +168,7 @@ RUN_SCHEMA = "h long, g long, id long, pair long, run long, first long, last lon
 def ranked_runs(docs: DataFrame, bloom: np.ndarray, length: int, id_column: str, text_column: str) -> DataFrame:
     """One row per run and side of its position: rank pair at offset 200, rank of the whole run, window starts."""
     shipped = docs.sparkSession.sparkContext.broadcast(bloom)
+    half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, STRETCH):
@@ -178,10 +179,10 @@ def ranked_runs(docs: DataFrame, bloom: np.ndarray, length: int, id_column: str,
                 hit = bloom_hits(shipped.value, gram.view(np.int64))
                 doc, first, last, at, gram = doc[hit], first[hit], last[hit], at[hit], gram[hit]
                 for side in (0, 1):
-                    lo, hi = (np.maximum(first, at - HALF + 1), last) if side else (first, np.minimum(last, at - HALF))
+                    lo, hi = (np.maximum(first, at - half + 1), last) if side else (first, np.minimum(last, at - half))
                     ok = lo <= hi
                     d, a, b, p = doc[ok], lo[ok], hi[ok], at[ok]
-                    around = ranks.of(p, p + HALF) if side else ranks.of(p - HALF, p)
+                    around = ranks.of(p, p + half) if side else ranks.of(p - half, p)
                     pair = _mixed(gram[ok] ^ (around * np.uint64(3)) ^ np.uint64(side + 1))
                     whole = _mixed(ranks.of(a, b + length) ^ ((p - a).astype(np.uint64) << np.uint64(32)) ^ (b - a).astype(np.uint64))
                     cols = [*(k[d] for k in key), pair.view(np.int64), whole.view(np.int64), a - limits[d] + offset, b - limits[d] + offset]
@@ -260,6 +261,8 @@ def compared_runs(contents: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(h, g, spans): for each text key with repeats, its covered stretches of bytes, as an array of (lo, hi); they may overlap."""
+    if length < 2 * GRAM:
+        raise ValueError(f"passages shorter than {2 * GRAM} bytes are not searched")
     bloom = blocked_bloom(repeated_grams(docs, length, text_column))
     rows = saved(ranked_runs(docs, bloom, length, id_column, text_column), "runs")
     runs = rows.groupBy("pair", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("h", "g", "id", "first", "last")).alias("sample"))
