@@ -33,6 +33,8 @@ from lapsegrid.llm.common import map_texts, saved
 BITS = np.array([[(v >> b) & 1 for b in range(8)] for v in range(256)], np.int64)
 #: Members of one anchor's block of homes, and of copies, that one task step compares.
 BLOCK = 2048
+#: Rows of blocks that are handed to Python together, on average.
+GROUP = 100_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -91,7 +93,16 @@ def near_anchors(points: np.ndarray, k: int, threshold: int) -> Iterator[tuple[i
 def forest(a: np.ndarray, b: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between points a and points b, found by growing from each unseen point of a."""
     edges: list[tuple[int, int]] = []
-    every, seen = np.unique(np.concatenate([a, b])), None
+    ends_a, ends_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for at in range(0, len(a), 256):  # most points have no link; the search is among those that do
+        distance = np.bitwise_count(a[at : at + 256, None] ^ b[None, :])
+        hit = (distance <= threshold) & (distance > 0)
+        ends_a[at : at + 256] = hit.any(axis=1)
+        ends_b |= hit.any(axis=0)
+    a, b = a[ends_a], b[ends_b]
+    if not len(a):
+        return edges
+    every = np.unique(np.concatenate([a, b]))
     seen = np.zeros(len(every), bool)
     in_a, in_b = np.isin(every, a), np.isin(every, b)
     for start in np.flatnonzero(in_a):
@@ -116,7 +127,6 @@ def links(points: DataFrame, threshold: int = 4, k: int = 15, block: int = BLOCK
 
     No pair within the threshold is lost; of the pairs at one anchor, only a spanning forest is returned.
     """
-    spark = points.sparkSession
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,18 +157,17 @@ def links(points: DataFrame, threshold: int = 4, k: int = 15, block: int = BLOCK
         found = forest(np.unique(bits[home]), np.unique(bits[~home]), threshold)
         return pd.DataFrame(found, columns=["bits", "other"]).astype("int64")
 
-    # anchors are handled many to a group: a group of one call each would cost more than the comparing
-    many = 64
+    # blocks are handled many to a group: a group of one call each would cost more than the comparing
+    parts = max(1, copies.count() // GROUP)
 
     def compare_many(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [compare(g) for _, g in pdf.groupby(["anchor", "h", "c"], sort=False) if len(g) > 1]
+        out = [compare(g) for _, g in pdf.groupby("block", sort=False) if len(g) > 1]
         return pd.concat(out) if out else pd.DataFrame({"bits": [], "other": []}).astype("int64")
 
-    single = (F.col("h") == 0) & (F.col("c") == 0)
-    group = F.when(single, F.pmod(F.xxhash64("anchor"), F.lit(2**k // many))).otherwise(F.xxhash64("anchor", "h", "c"))
-    both = as_home.unionAll(as_copy).withColumn("group", group)
+    named = [side.select(F.xxhash64("anchor", "h", "c").alias("block"), "bits", "home") for side in (as_home, as_copy)]
+    both = named[0].unionAll(named[1]).withColumn("group", F.pmod("block", F.lit(parts)))  # blocks of one name are only compared more
     edges = both.groupBy("group").applyInPandas(compare_many, "bits long, other long")
-    return saved(edges.distinct(), "edges") if spark else edges
+    return saved(edges.distinct(), "edges")
 
 
 def components(edges: DataFrame, label: DataFrame) -> DataFrame:
@@ -193,12 +202,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4, k: int
     return prints.join(classes, "bits").select("doc_id", "bits", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 5, threshold: int = 6, k: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, threshold: int = 8, k: int = 12, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of their class (all columns); of rows repeating that id, one.
 
-    Six bits of a fingerprint over five-word shingles stand for a similarity of 0.8: rewriting a word changes five
-    shingles, so most pairs of that similarity lie some ten bits apart, but from seven bits on pairs of less similar
-    texts come in too. Fewer anchors than for four bits keep the copies of a point few.
+    Eight bits of a fingerprint over five-word shingles stand for a similarity of 0.8: rewriting one word changes five
+    shingles, so pairs of that similarity lie some ten bits apart, and beyond eight bits less similar texts come in.
+    Fewer anchors than for four bits keep the copies of a point few.
     """
     firsts = near_duplicates(docs, words, threshold, k, id_column, text_column).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(firsts, docs[id_column].cast("long") == F.col("__id"), "left_semi")

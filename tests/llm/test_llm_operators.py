@@ -311,7 +311,7 @@ def test_links_lose_nothing(spark):
             seed = p if draw.random() < 0.3 else seed
     points = sorted(set(points))
     df = spark.createDataFrame([(p,) for p in points], "bits long")
-    for block, threshold in ((7, 4), (2048, 6)):
+    for block, threshold in ((7, 4), (2048, 8)):
         edges = simhash.links(df, threshold, 10, block)
         found = simhash.components(edges, df.select("bits", F.col("bits").alias("least")))
         got = {r["bits"]: r["least"] for r in found.collect()}
