@@ -111,7 +111,7 @@ def components(edges: DataFrame, key: str, a: str, b: str, nodes: DataFrame, nod
     """Smallest node of each connected group, by repeated label passing with pointer jumping.
 
     Each round takes the least label among neighbours and then the label of that label, so chains halve. The
-    label table is checkpointed each round, and edges to a hub are combined map-side.
+    label table is written each round, and edges to a hub are combined map-side.
     """
     both = edges.select(key, F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(key, F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     both = cut(both)

@@ -33,7 +33,7 @@ def k_nearest(
     A point is settled in a round once its k-th neighbour is no further than the cell width, since nothing
     outside the cells searched can be closer. Points left over search again with cells twice as wide, until
     a cell spans everything, when whatever was found is final. Crowded places settle in the first, small
-    cells, so only sparse points ever look far. Rounds are cut by a reliable checkpoint.
+    cells, so only sparse points ever look far. Each round is written to the shared folder.
     """
     keys, point_id = list(keys), list(point_id)
     # every round reads both sides again
