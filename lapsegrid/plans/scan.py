@@ -32,14 +32,14 @@ def sketched(df: DataFrame, keys: Sequence[str], first: str, bucket: Column) ->
     held = cut(df)
     value = F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp") else F.col(first)
     shares = [k / STRETCHES for k in range(1, STRETCHES)]
-    cuts = held.groupBy(*keys).agg(F.percentile_approx(value.cast("double"), shares, 2000).alias("__cuts"))
+    cuts = held.groupBy(*keys).agg(F.percentile_approx(value.cast("double"), shares, 2000).alias("__sketch"))
     same = None
     for k in keys:  # a missing key is a key
         both = held[k].eqNullSafe(F.col(f"__k_{k}"))
         same = both if same is None else same & both
-    named = cuts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cuts")
-    place = F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < value.cast("double"))))
-    return held.join(named, same, "left").withColumn(BUCKET, place.cast("long")).drop("__cuts", *[f"__k_{k}" for k in keys])
+    named = cuts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__sketch")
+    place = F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.coalesce("__sketch", F.array().cast("array<double>")), lambda c: c < value.cast("double"))))
+    return held.join(named, same, "left").withColumn(BUCKET, place.cast("long")).drop("__sketch", *[f"__k_{k}" for k in keys])
 
 
 def ordered_scan(
