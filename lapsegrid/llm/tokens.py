@@ -1,8 +1,8 @@
 """Ids of whole texts by the tokenizers library, through a memo of pieces.
 
 A text is cut where no token of the vocabulary's pre-tokenizer crosses, so the ids of a text are those of its pieces
-in turn. Each distinct piece goes to the library once; a bounded memo in the worker keeps the result. Strings of
-special tokens in a text are ordinary text.
+in turn. Each distinct piece goes to the library once; a bounded memo in the worker keeps the result. A text that
+holds the string of an added token, in any case, goes to the library whole, which gives that token's own id.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I).search
+        # what each of them begins with up to its first letter is looked for before the pattern runs
+        self.begins = {re.match("[^A-Za-z]*", t)[0] for t in added}
         self.pieces = CUTS[name].findall
         self.memo: dict[str, bytes] = {}
         # Pieces share a call where the ids show the borders: by an id of its own between them, or by ids that end a word.
@@ -77,6 +80,15 @@ class Coder:
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text (None: empty) as little-endian unsigned 32-bit integers."""
+        whole = [i for i, t in enumerate(texts) if t and any(b in t for b in self.begins) and self.added(t)]
+        if whole:
+            rest = list(texts)
+            for i in whole:
+                rest[i] = None
+            out = self.encode(rest)
+            for i in whole:  # one at a time, as such a text may be long
+                out[i] = self._ids([texts[i]])[0].tobytes()
+            return out
         cut = [self.pieces(t) if t else [] for t in texts]
         memo = self.memo
         new = set().union(*cut).difference(memo)
