@@ -110,7 +110,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 _SPELLED = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[\[(] ?at ?[\])]| at ) ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z0-9-]{1,63}+){1,8}", re.I
 )
-_HINT = re.compile(r"@|[\[( ]at[\]) ]", re.I)
+_HINT = re.compile(r"@|[\[(] ?at ?[\])]| at(?= )", re.I)
 _RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/]{0,2}[0-9])*+")
 _GROUP = re.compile(r"[0-9]+")
 #: Digit groups of one candidate at most: a card, a number or an address has no more.
@@ -124,15 +124,14 @@ _WORDS = {
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping (kind, start, end) with high recall."""
     out: set[tuple[str, int, int]] = set()
-    if "@" in text or " at " in text or "at)" in text or "at]" in text:
-        for hint in _HINT.finditer(text):
-            # a local part is at most 64 characters long, so look from there on
-            begin = hint.start()
-            while begin and hint.start() - begin < 64 and text[begin - 1] in _LOCAL:
-                begin -= 1
-            m = _SPELLED.match(text, begin) if begin < hint.start() else None
-            if m:
-                out.add(("email", m.start(), m.end()))
+    for hint in _HINT.finditer(text):
+        # one blank may stand before the hint; a local part is at most 64 characters long, so look from there on
+        end = begin = hint.start() - text.startswith(" ", max(0, hint.start() - 1), hint.start())
+        while begin and end - begin < 64 and text[begin - 1] in _LOCAL:
+            begin -= 1
+        m = _SPELLED.match(text, begin) if begin < end else None
+        if m:
+            out.add(("email", m.start(), m.end()))
     for m in _RUN.finditer(text):
         if m.end() - m.start() < 7:
             continue
