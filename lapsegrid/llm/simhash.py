@@ -168,8 +168,8 @@ def components(edges: DataFrame, label: DataFrame) -> DataFrame:
     """
     both = edges.select("bits", "other").unionAll(edges.select(F.col("other").alias("bits"), F.col("bits").alias("other"))).distinct()
     both = saved(both, "links")
-    # parent: the node whose label is followed; a node's parent is the reachable node with the smallest (least, bits)
-    state = saved(label.join(both.select("bits").distinct(), "bits").select("bits", F.struct("least", "bits").alias("root")), "roots")
+    # parent: the node whose label is followed; a node's parent is the reachable node with the smallest (least, bits), nulls last
+    state = saved(label.join(both.select("bits").distinct(), "bits").select("bits", F.struct(F.col("least").isNull().alias("none"), "least", "bits").alias("root")), "roots")
     while True:
         around = both.join(state.select(F.col("bits").alias("other"), "root"), "other").groupBy("bits").agg(F.min("root").alias("near"))
         hooked = state.join(around, "bits", "left").select("bits", "root", F.least("root", "near").alias("new"))
