@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsegrid.llm import ann, id_files, packing, pii, quality, sharding, simhash, suffix_dedup, url_filter
+from lapsegrid.llm import ann, decontaminate, filter_audit, id_files, packing, pii, prefix_trie, quality, sharding, simhash, suffix_dedup, url_filter
 from lapsegrid.llm import pieces as piece_models
 from lapsegrid.llm.common import map_texts, slices, table
 
@@ -98,11 +98,25 @@ def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("key")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_id_files, op2_hash_tree, op3_packing, op4_repetition_quality, op5_personal_data, op6_url_filter, op7_pieces, op8_simhash_components,
-        op9_forest, op10_suffix_dedup,
+        op9_forest, op10_suffix_dedup, op11_decontamination, op12_filter_audit, op13_prefix_trie,
     )
 }
 
@@ -131,6 +145,8 @@ def _rule_sql(value: int) -> str:
     return found
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _KEY = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
 
 #: Where SQL can say the whole answer. Tokenizers, XXH64 fingerprints, boosted trees and packing
@@ -172,5 +188,73 @@ k AS (SELECT *, coalesce(place || CASE WHEN q <> '' THEN '?' || q ELSE '' END, '
 l AS (SELECT DISTINCT canonical FROM k WHERE regexp_matches(host, '(^|[.-])({_FLAGS})([.-]|$)') AND canonical <> '')
 SELECT page_id, host, path, {_rule_sql(1)} AS rule, coalesce({_rule_sql(0)}, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM k LEFT JOIN l USING (canonical)
+""",
+    "op11_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM benchmark),
+s AS (SELECT item, w, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM s)),
+x AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM g) WHERE len(w) >= size),
+h AS (SELECT r, item, i, size FROM (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM x) JOIN g USING (size, gram)),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM h) GROUP BY r),
+m AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+""",
+    "op12_filter_audit": """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, good, toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS mask
+  FROM w LEFT JOIN l USING (doc_id)
+),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT '' AS o, 0 AS k UNION ALL SELECT o || x, k + 1 FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE k < 5 AND NOT contains(o, x)),
+s AS (SELECT o AS filter_order, step, o[step] AS x FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE k = 5),
+a AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN translate(filter_order[1:step], mask, '') = filter_order[1:step] THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(mask, x) AND translate(filter_order[1:step - 1], mask, '') = filter_order[1:step - 1] THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(mask, x) AND translate(filter_order[1:step - 1], mask, '') <> filter_order[1:step - 1] THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(mask, x) AND translate(filter_order[1:step - 1], mask, '') = filter_order[1:step - 1] THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(mask, x) AND translate(filter_order[1:step - 1], mask, '') = filter_order[1:step - 1] THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM a
+""",
+    "op13_prefix_trie": """
+WITH RECURSIVE step AS (
+  SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, sha256(len(role) || ':' || role || text) AS x, len(text) AS size FROM r),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(len(CAST(conv_id AS VARCHAR))), lambda j: CAST(ascii(CAST(conv_id AS VARCHAR)[j + 1:j + 1]) AS BIGINT))),
+      lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), crc
+),
+p AS (SELECT c.conv_id, o.i, o.x, o.size FROM c JOIN o ON o.conv_id = c.base AND o.i <= h UNION ALL SELECT c.conv_id, o.i, o.x, o.size FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > h),
+q AS (SELECT c.conv_id, coalesce(list(x ORDER BY i) FILTER (WHERE x IS NOT NULL), []) AS path, coalesce(list(size ORDER BY i) FILTER (WHERE x IS NOT NULL), []) AS sizes FROM c LEFT JOIN p USING (conv_id) GROUP BY c.conv_id),
+e AS (SELECT conv_id, unnest(range(len(path) + 1)) AS d, path, sizes FROM q),
+n AS (
+  SELECT path[1:d] AS pre, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN any_value(sizes[d]) ELSE 0 END AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = d), '')) AS ends_sha256
+  FROM e GROUP BY pre, d
+),
+k AS (SELECT pre[1:d - 1] AS pre, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (pre)),
+u AS (SELECT pre[1:j] AS pre, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM (SELECT *, unnest(range(d + 1)) AS j FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, above.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN u USING (pre) LEFT JOIN v AS above ON v.d > 0 AND above.pre = v.pre[1:v.d - 1]
 """,
 }
