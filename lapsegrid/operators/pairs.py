@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
@@ -331,32 +332,36 @@ def recurrence(vectors: DataFrame, quantile: float, max_lag: int, block: int = B
 # --- sequences -------------------------------------------------------------------------------------------
 
 
-def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band: int, chunk: int = 512, dims: int = 0) -> DataFrame:
-    """Banded alignment of two symbol sequences on one frame axis, -1 where missing.
+def aligned_sequences(symbols: DataFrame, pairs: DataFrame, clocks: DataFrame, band: int, chunk: int = 512, dims: int = 0, min_overlap: int = 0) -> DataFrame:
+    """Banded alignment of two symbol sequences on their recording's frame axis, -1 where missing.
 
-    With ``dims`` the symbols are vectors of that length, the cost is the squared distance, and the result is
-    the root of the total per frame; both sequences must then be complete.
+    clocks: (stem, n_frames), each recording's own length; the alignment of a pair ends with it. With ``dims`` the
+    symbols are vectors of that length, the cost is the squared distance, and the result is the root of the total
+    per frame; both sequences must then be complete. Symbol pairs with fewer than ``min_overlap`` aligned steps that
+    both sequences have are left out.
 
     Moves are tried up, left, diagonal and the first cheapest wins. Frames are taken a chunk at a time: a round
     sees one chunk of the first sequence, the matching stretch of the second and the band's running state, and
-    the state is written between rounds. So a sequence of any length needs a bounded amount of memory.
+    the state is written between rounds. So a sequence of any length needs a bounded amount of memory. A pair whose
+    clock has ended takes no part in later rounds' work but for being carried along.
     """
     width = 2 * band + 1
     names = ("cost", "steps", "shift", "both")
     id_type = symbols.schema["identity"].dataType
     stem_type = symbols.schema["stem"].dataType
     out = T.StructType(
-        [T.StructField("stem", stem_type), T.StructField("identity_a", id_type), T.StructField("identity_b", id_type)]
+        [T.StructField("stem", stem_type), T.StructField("identity_a", id_type), T.StructField("identity_b", id_type), T.StructField("n_frames", T.IntegerType())]
         + [T.StructField(s, T.ArrayType(T.DoubleType())) for s in names]
     )
-    state = pairs.select("stem", "identity_a", "identity_b")
+    state = pairs.select("stem", "identity_a", "identity_b").join(clocks.select("stem", F.col("n_frames").cast("int").alias("n_frames")), "stem")
     for s in names:
         # before the first row only the corner costs nothing
         start = [0.0] * width if s != "cost" else [float("inf")] * band + [0.0] + [float("inf")] * band
         state = state.withColumn(s, F.array(*[F.lit(v) for v in start]))
-    rounds = -(-n_frames // chunk)
+    longest = clocks.agg(F.max("n_frames")).first()[0] or 0
+    rounds = max(1, -(-longest // chunk))
     for r in range(rounds):
-        lo, hi = r * chunk, min((r + 1) * chunk, n_frames)
+        lo, hi = r * chunk, min((r + 1) * chunk, longest)
 
         def stretch(side: str, a: int, b: int) -> DataFrame:
             part = symbols.where((F.col("frame_index") >= a) & (F.col("frame_index") < b))
@@ -366,13 +371,14 @@ def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band:
             ).withColumnRenamed("identity", f"identity_{side}")
 
         joined = state.join(stretch("a", lo, hi), ["stem", "identity_a"], "left").join(
-            stretch("b", max(0, lo - band), min(n_frames, hi + band)), ["stem", "identity_b"], "left"
+            stretch("b", max(0, lo - band), min(longest, hi + band)), ["stem", "identity_b"], "left"
         )
 
         def advance(batches, lo=lo, hi=hi):
             first_b = lo - band
             for pdf in batches:
                 n = len(pdf)
+                ends = pdf["n_frames"].to_numpy()
                 tail = (dims,) if dims else ()
                 left = np.full((n, hi - lo, *tail), -1.0)
                 right = np.full((n, hi - lo + 2 * band, *tail), -1.0)
@@ -380,13 +386,14 @@ def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band:
                     for row, (frames, values) in enumerate(zip(pdf[f], pdf[s])):
                         if frames is not None and len(frames):
                             dest[row, np.asarray(frames, int) - base] = np.array(list(values), float)
-                prev = {s: np.array(pdf[s].tolist(), float) for s in names}
-                for i in range(lo, hi):
-                    cur = {s: np.zeros((n, width)) for s in names}
-                    cur["cost"][:] = np.inf
+                prev = {s: np.array(pdf[s].tolist(), float).reshape(n, width) for s in names}
+                for i in range(lo, min(hi, ends.max(initial=0))):
+                    going = i < ends
+                    cur = {s: np.where(going[:, None], 0.0, prev[s]) for s in names}
+                    cur["cost"][going] = np.inf
                     for k in range(width):
                         j = i + k - band
-                        if j < 0 or j >= n_frames:
+                        if j < 0:
                             continue
                         inf = np.full(n, np.inf)
                         # parents: (i-1, j), (i, j-1), (i-1, j-1); row -1 and column -1 hold only the corner
@@ -395,27 +402,103 @@ def aligned_sequences(symbols: DataFrame, pairs: DataFrame, n_frames: int, band:
                         diag = prev["cost"][:, k] if (i > 0 and j > 0) or (i == 0 and j == 0) else inf
                         choice = np.argmin(np.stack([up, back, diag]), axis=0)
                         a, b = left[:, i - lo], right[:, j - first_b]
-                        cur["cost"][:, k] = np.choose(choice, [up, back, diag]) + (((a - b) ** 2).sum(axis=1) if dims else (a != b))
+                        open_ = going & (j < ends)
+                        cost = np.choose(choice, [up, back, diag]) + (((a - b) ** 2).sum(axis=1) if dims else (a != b))
+                        cur["cost"][:, k] = np.where(open_, cost, cur["cost"][:, k])
                         both = np.ones(n) if dims else ((a >= 0) & (b >= 0)).astype(float)
                         for s, add in (("steps", 1.0), ("shift", both * (j - i)), ("both", both)):
                             u = prev[s][:, k + 1] if k + 1 < width else np.zeros(n)
                             v = cur[s][:, k - 1] if k > 0 else np.zeros(n)
-                            cur[s][:, k] = np.choose(choice, [u, v, prev[s][:, k]]) + add
+                            cur[s][:, k] = np.where(open_, np.choose(choice, [u, v, prev[s][:, k]]) + add, cur[s][:, k])
                     prev = cur
-                yield pd.DataFrame({"stem": pdf["stem"], "identity_a": pdf["identity_a"], "identity_b": pdf["identity_b"], **{s: list(prev[s]) for s in names}})
+                keys = {c: pdf[c] for c in ("stem", "identity_a", "identity_b", "n_frames")}
+                yield pd.DataFrame({**keys, **{s: list(prev[s]) for s in names}})
 
         state = joined.mapInPandas(advance, out)
         if r + 1 < rounds:
             state = cut(state)
     end = {s: F.element_at(s, band + 1) for s in names}
     if dims:
-        return state.select("stem", "identity_a", "identity_b", F.sqrt(end["cost"] / F.lit(float(n_frames))).alias("trajectory_distance"))
-    return state.select(
+        return state.select("stem", "identity_a", "identity_b", F.sqrt(ratio(end["cost"], F.col("n_frames").cast("double"))).alias("trajectory_distance"))
+    return state.where(end["both"] >= min_overlap).select(
         "stem", "identity_a", "identity_b", F.when(end["cost"] < float("inf"), ratio(end["cost"], end["steps"])).alias("dtw_distance"),
         ratio(end["shift"], end["both"]).alias("alignment_offset_frames"), end["both"].cast("long").alias("alignment_overlap_steps"),
     )
 
 
+def observed_segments(rows: DataFrame, minimum: int) -> DataFrame:
+    """(stem, identity, first_frame, last_frame): runs of consecutive observed frames, `minimum` long or longer."""
+    runs = runs_of(rows.select(*ENTITY, "frame_index"))
+    return runs.where(F.col("last_frame") - F.col("first_frame") + 1 >= minimum)
+
+
+def runs_of(rows: DataFrame) -> DataFrame:
+    """Runs of consecutive frames of each entity."""
+    seen = numbered(rows.distinct(), ENTITY, ["frame_index"], frame_bucket("frame_index"), "__n")
+    return seen.groupBy(*ENTITY, (F.col("frame_index") - F.col("__n")).alias("__run")).agg(
+        F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame")
+    ).drop("__run")
+
+
+def common_window(segments: DataFrame, minimum: int, entities: int) -> DataFrame:
+    """(stem, window_first, window_last, window_entities): the longest stretch of frames that at least `entities` entities of a recording were
+    observed throughout; of equally long ones that of most entities, then the earliest. A recording without one has no row.
+
+    Only the `entities` latest ends of each first frame matter for the length, so a recording is one small row group.
+    """
+    late = Window.partitionBy("stem", "first_frame").orderBy(F.desc("last_frame"))
+    counted = segments.groupBy("stem", "first_frame", "last_frame").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(late.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = counted.withColumn("__before", before).where(F.col("__before") < entities).drop("__before")
+    stem_type = segments.schema["stem"].dataType
+    out = T.StructType([T.StructField("stem", stem_type), T.StructField("window_first", T.IntegerType()), T.StructField("window_last", T.IntegerType())])
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first_frame", kind="stable")
+        heap: list[int] = []
+        longest, found = 0, []
+        for first, group in pdf.groupby("first_frame", sort=True):
+            for last, n in zip(group["last_frame"], group["n"]):
+                for _ in range(min(int(n), entities)):
+                    (heapq.heappush if len(heap) < entities else heapq.heappushpop)(heap, int(last))
+            length = heap[0] - int(first) + 1 if len(heap) == entities else 0
+            if length >= max(minimum, longest, 1):
+                found = [*([] if length > longest else found), (pdf["stem"].iloc[0], int(first), heap[0])]
+                longest = length
+        return pd.DataFrame(found, columns=["stem", "window_first", "window_last"])
+
+    longest = tops.groupBy("stem").applyInPandas(candidates, out)
+    covering = segments.join(longest, "stem").where("first_frame <= window_first AND last_frame >= window_last")
+    counts = covering.groupBy("stem", "window_first", "window_last").agg(F.count(F.lit(1)).alias("window_entities"))
+    best = F.max(F.struct("window_entities", (-F.col("window_first")).alias("__early"), "window_last"))
+    return counts.groupBy("stem").agg(best.alias("w")).select("stem", (-F.col("w.__early")).alias("window_first"), "w.window_last", "w.window_entities")
+
+
+def trajectory_window(rows: DataFrame, minimum: int, entities: int) -> DataFrame:
+    """One row per entity: its recording's common window and whether the entity can be compared in it, or why not."""
+    segments = cut(observed_segments(rows, minimum))
+    window = common_window(segments, minimum, entities)
+    longest = segments.groupBy(*ENTITY).agg(F.max(F.col("last_frame") - F.col("first_frame") + 1).cast("int").alias("longest_segment"))
+    inside = segments.join(window, "stem").where("first_frame <= window_first AND last_frame >= window_last").select(*ENTITY, F.lit(True).alias("__in"))
+    all_ = rows.select(*ENTITY).distinct().join(window, "stem", "left").join(longest, ENTITY, "left").join(inside, ENTITY, "left")
+    status = (
+        F.when(F.col("longest_segment").isNull(), "too_few_consecutive_frames")
+        .when(F.col("window_first").isNull(), "no_common_window")
+        .when(F.col("__in").isNull(), "insufficient_common_window_coverage")
+        .otherwise("available")
+    )
+    return all_.select(*ENTITY, "window_first", "window_last", "window_entities", F.coalesce("longest_segment", F.lit(0)).alias("longest_segment"), status.alias("status"))
+
+
+def trajectory_distances(rows: DataFrame, vector: Column, dims: int, band: int, minimum: int, entities: int) -> DataFrame:
+    """Bounded warping distance of every two entities of a recording over the recording's common window."""
+    window = cut(trajectory_window(rows, minimum, entities).where("status = 'available'"))
+    taken = rows.join(window.select(*ENTITY, "window_first", "window_last"), ENTITY).where(F.col("frame_index").between(F.col("window_first"), F.col("window_last")))
+    symbols = taken.select(*ENTITY, (F.col("frame_index") - F.col("window_first")).alias("frame_index"), vector.alias("symbol"))
+    clocks = window.select("stem", (F.col("window_last") - F.col("window_first") + 1).alias("n_frames")).distinct()
+    return aligned_sequences(symbols, recording_pairs(window.select(*ENTITY)), clocks, band, dims=dims)
+
+
 def recording_pairs(entities: DataFrame) -> DataFrame:
     """Every two entities of a recording, for a result that has a row for each of them. The recording is named
     as an equality, so the planner shuffles on it."""

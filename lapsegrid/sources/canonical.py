@@ -20,11 +20,6 @@ def clock_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("stem").agg((F.max("frame_index") + 1).cast("int").alias("n_frames"))
 
 
-def longest_clock(rows: DataFrame) -> int:
-    """Frames of the longest clock: one number."""
-    return (rows.agg(F.max("frame_index")).first()[0] or 0) + 1
-
-
 class Inputs:
     """Lazy access to the tables of one data folder."""
 

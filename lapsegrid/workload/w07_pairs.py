@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lapsegrid.operators import joins as J
 from lapsegrid.operators import pairs as Q
 from lapsegrid.operators import regimes as G
-from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, TRACKS_SQL, clock_of, clock_sql, longest_clock
+from lapsegrid.sources.canonical import DAILY_SQL, EVENTS_SQL, TRACES_SQL, TRACKS_SQL, clock_of, clock_sql
 from lapsegrid.workload.registry import query
 from lapsegrid.workload.w04_joins import HOUR, by_stem
 from lapsegrid.workload.w05_regimes import BASE, MOVES, classed
@@ -262,12 +262,6 @@ def _(i):
     return Q.symbol_sequences(classed(i), clock_of(i.tracks()))
 
 
-@query("sequence_alignment")
-def _(i):
-    symbols = classed(i).select("stem", "identity", "frame_index", F.col("regime").alias("symbol"))
-    return Q.aligned_sequences(symbols, Q.recording_pairs(symbols.select("stem", "identity").distinct()), longest_clock(symbols), 4)
-
-
 _RULE = """nx AS (SELECT stem, from_regime, to_regime, count(*) AS n FROM mv GROUP BY 1,2,3), rl AS (SELECT stem, from_regime, first(to_regime ORDER BY n DESC, to_regime) AS expected, CAST(sum(n) AS BIGINT) AS seen FROM nx GROUP BY 1,2),
  mm AS (SELECT stem, CAST(floor((hours%4)/0.5) AS INTEGER) AS bin, avg(CASE WHEN to_regime<>expected THEN 1.0 ELSE 0.0 END) AS mismatch, count(*) AS n FROM mv JOIN rl USING (stem, from_regime) GROUP BY 1,2)"""
 

@@ -28,18 +28,75 @@ def alignment(left, right, window):
 
 @pytest.mark.parametrize("chunk", [4, 64])
 def test_sequence_alignment_in_rounds(spark, chunk):
+    """Two recordings with clocks of two lengths: each pair's alignment ends with its own."""
     rng = np.random.default_rng(2)
-    n, band = 13, 3
-    seqs = {e: np.where(rng.random(n) < 0.2, -1, rng.integers(0, 3, n)) for e in range(4)}
-    rows = [("s", e, f, int(v)) for e, s in seqs.items() for f, v in enumerate(s) if v >= 0]
+    band, clocks = 3, {"s": 13, "short": 6}
+    seqs = {(stem, e): np.where(rng.random(n) < 0.2, -1, rng.integers(0, 3, n)) for stem, n in clocks.items() for e in range(4)}
+    rows = [(stem, e, f, int(v)) for (stem, e), s in seqs.items() for f, v in enumerate(s) if v >= 0]
     symbols = spark.createDataFrame(rows, "stem string, identity long, frame_index int, symbol int")
-    got = Q.aligned_sequences(symbols, Q.recording_pairs(symbols.select("stem", "identity").distinct()), n, band, chunk=chunk).collect()
-    assert len(got) == 6
+    pairs = Q.recording_pairs(symbols.select("stem", "identity").distinct())
+    lengths = spark.createDataFrame(list(clocks.items()), "stem string, n_frames int")
+    got = Q.aligned_sequences(symbols, pairs, lengths, band, chunk=chunk).collect()
+    assert len(got) == 12
     for r in got:
-        d, off, both = alignment(seqs[r["identity_a"]], seqs[r["identity_b"]], band)
+        d, off, both = alignment(seqs[r["stem"], r["identity_a"]], seqs[r["stem"], r["identity_b"]], band)
         assert r["dtw_distance"] == pytest.approx(d)
         assert r["alignment_overlap_steps"] == both
         assert r["alignment_offset_frames"] == (None if off is None else pytest.approx(off))
+    enough = Q.aligned_sequences(symbols, pairs, lengths, band, chunk=chunk, min_overlap=6).collect()
+    assert {tuple(r) for r in enough} == {tuple(r) for r in got if r["alignment_overlap_steps"] >= 6} and len(enough) < len(got)
+
+
+def test_sequences_that_never_agree_differ_by_one_on_any_clock(spark):
+    rows = [(stem, e, f, e) for stem, n in (("long", 20), ("short", 10)) for e in (0, 1) for f in range(n)]
+    symbols = spark.createDataFrame(rows, "stem string, identity long, frame_index int, symbol int")
+    lengths = symbols.groupBy("stem").agg((F.max("frame_index") + 1).alias("n_frames"))
+    got = Q.aligned_sequences(symbols, Q.recording_pairs(symbols.select("stem", "identity").distinct()), lengths, 4).collect()
+    assert sorted((r["stem"], r["dtw_distance"]) for r in got) == [("long", 1.0), ("short", 1.0)]
+
+
+def brute_window(segments, minimum, entities):
+    best = None
+    for first in sorted({s[1] for s in segments}):
+        for last in {s[2] for s in segments}:
+            n = sum(s[1] <= first and s[2] >= last for s in segments)
+            if last - first + 1 >= minimum and n >= entities:
+                best = max(best or (0,), (last - first + 1, n, -first, last))
+    return (-best[2], best[3], best[1]) if best else None
+
+
+def test_common_window_and_its_distances(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for stem, n, entities in (("a", 20, 6), ("b", 10, 4), ("few", 12, 2), ("gaps", 16, 3)):
+        for e in range(entities):
+            missing = set(rng.integers(0, n, 2).tolist()) if stem != "b" else {9 - e} if e == 3 else set()
+            rows += [(stem, e, f, float(e)) for f in range(n) if f not in missing and not (stem == "gaps" and f % 3 == 2)]
+    df = spark.createDataFrame(rows, "stem string, identity long, frame_index int, v double")
+    segments = {}
+    for stem, e, f, _ in rows:
+        own = segments.setdefault((stem, e), [])
+        if own and own[-1][2] == f - 1:
+            own[-1][2] = f
+        else:
+            own.append([e, f, f])
+    got = {(r["stem"], r["identity"]): r for r in Q.trajectory_window(df, 4, 3).collect()}
+    assert set(got) == set(segments)
+    for stem in ("a", "b", "few", "gaps"):
+        long_ = [s for (st, _), own in segments.items() if st == stem for s in own if s[2] - s[1] >= 3]
+        want = brute_window(long_, 4, 3)
+        for (st, e), r in got.items():
+            if st == stem:
+                assert (None if want is None else (r["window_first"], r["window_last"], r["window_entities"])) == want
+                inside = want is not None and any(s[1] <= want[0] and s[2] >= want[1] for s in segments[st, e])
+                assert (r["status"] == "available") == inside
+    assert {r["status"] for (st, _), r in got.items() if st == "few"} == {"no_common_window"}
+    assert {r["status"] for (st, _), r in got.items() if st == "gaps"} == {"too_few_consecutive_frames"}
+    distance = Q.trajectory_distances(df, F.array("v"), 1, 2, 4, 3).collect()
+    available = {k for k, r in got.items() if r["status"] == "available"}
+    assert {(r["stem"], r["identity_a"], r["identity_b"]) for r in distance} == {(s, a, b) for s, a in available for t, b in available if s == t and a < b}
+    for r in distance:
+        assert r["trajectory_distance"] == pytest.approx(r["identity_b"] - r["identity_a"])
 
 
 def test_trend_in_blocks_equals_one_task(spark):
