@@ -36,7 +36,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what `saved` wrote for tables that no later plan reads, so a long job's disk does not grow with its rounds."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

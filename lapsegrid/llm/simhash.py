@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsegrid.llm.common import map_texts, saved
+from lapsegrid.llm.common import discard, map_texts, saved
 
 BITS = np.array([[(v >> b) & 1 for b in range(8)] for v in range(256)], np.int64)
 #: Members of one anchor's block of homes, and of copies, that one task step compares.
@@ -169,18 +169,21 @@ def components(edges: DataFrame, label: DataFrame) -> DataFrame:
     both = edges.select("bits", "other").unionAll(edges.select(F.col("other").alias("bits"), F.col("bits").alias("other"))).distinct()
     both = saved(both, "links")
     # parent: the node whose label is followed; a node's parent is the reachable node with the smallest (least, bits), nulls last
-    state = saved(label.join(both.select("bits").distinct(), "bits").select("bits", F.struct(F.col("least").isNull().alias("none"), "least", "bits").alias("root")), "roots")
+    root = F.struct(F.col("least").isNull().alias("none"), "least", "bits").alias("root")
+    state = saved(label.join(both.select("bits").distinct(), "bits").select("bits", root), "roots")
     while True:
         around = both.join(state.select(F.col("bits").alias("other"), "root"), "other").groupBy("bits").agg(F.min("root").alias("near"))
         hooked = state.join(around, "bits", "left").select("bits", "root", F.least("root", "near").alias("new"))
         # the node that a label names may itself know a smaller one, and learns of the smallest its followers saw
         told = hooked.groupBy(F.col("root.bits").alias("bits")).agg(F.min("new").alias("told"))
         known = saved(hooked.join(told, "bits", "left").select("bits", "root", F.least("new", "told").alias("new")), "roots")
+        discard(state)
         jump = known.select(F.col("bits").alias("__to"), F.col("new").alias("__new"))
-        moved = known.join(jump, F.col("new.bits") == F.col("__to"), "left").select("bits", F.least("new", "__new").alias("root"), F.col("root").alias("was"))
-        moved = saved(moved, "roots")
-        state = moved.select("bits", "root")
-        if moved.where(F.col("root") != F.col("was")).isEmpty():
+        moved = known.join(jump, F.col("new.bits") == F.col("__to"), "left").select("bits", F.least("new", "__new").alias("root"), (F.least("new", "__new") != F.col("root")).alias("moved"))
+        state = saved(moved, "roots")
+        discard(known)
+        if state.where("moved").isEmpty():
+            discard(both)
             return state.select("bits", F.col("root.least").alias("least"))
 
 
@@ -191,10 +194,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4, k: int
     found = components(links(points, threshold, k), points)
     classes = points.join(found.withColumnRenamed("least", "reached"), "bits", "left").select("bits", F.coalesce("reached", "least").alias("component_id"))
     return prints.join(classes, "bits").select("doc_id", "bits", "component_id")
-
-
-def keep_first(docs: DataFrame, words: int = 5, threshold: int = 4, k: int = 15, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their class (all columns); of rows repeating that id with the same text, one."""
-    firsts = near_duplicates(docs, words, threshold, k, id_column, text_column).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(firsts, docs[id_column].cast("long") == F.col("__id"), "left_semi")
-    return kept.dropDuplicates([id_column])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsegrid.llm.common import blocked_bloom, bloom_hits, saved, slices
+from lapsegrid.llm.common import blocked_bloom, bloom_hits, discard, saved, slices
 
 GRAM = 40
 STRETCH = 2**20 - 4096
@@ -277,9 +277,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     held = held.where(F.octet_length("b") >= length).join(wanted, ["h", "g", "id"]).select("b", F.explode("wanted").alias("w"))
     contents = held.select("w.pair", "w.run", "w.n_runs", F.lit(parts).alias("parts"), F.substring(F.col("b"), F.col("w.first").cast("int") + 1, (F.col("w.last") - F.col("w.first") + length).cast("int")).alias("content"))
     found = saved(compared_runs(contents, length).unionAll(whole), "found")
+    discard(runs)
     spans = rows.select("h", "g", "pair", "run", "first").distinct().join(found, ["pair", "run"])
     spans = spans.select("h", "g", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).distinct()
-    return spans.groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = saved(spans.groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
+    discard(rows, found)
+    return spans
 
 
 def united(spans: list | None) -> list[list[int]]:

@@ -1,6 +1,7 @@
 """The pipeline's stages one after the other, and the queries that have an SQL answer."""
 
 import collections
+import random
 
 import pytest
 
@@ -44,3 +45,44 @@ def test_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     tokens = packed.groupBy("doc_id", "doc_tokens").sum("length").collect()
     assert len(tokens) == docs.count() and all(r["doc_tokens"] == r["sum(length)"] for r in tokens)
+
+
+def test_passages_of_over_50_words_are_cut(spark):
+    """Passages of 51 to 60 words go from every document that holds them; what stands around them, and documents without them, stay."""
+    draw = random.Random(9)
+    vocab = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 7))) for _ in range(4000)]
+    own = lambda n: " ".join(draw.choice(vocab) for _ in range(n))
+    rows, passages = [], []
+    for n in range(51, 61):
+        passage = own(n)
+        passages.append(passage)
+        rows += [(len(rows) + k, own(150) + "\n" + passage + "\n" + own(150)) for k in range(2)]
+    clean = [(1000 + k, own(300)) for k in range(20)]
+    docs = spark.createDataFrame(rows + clean + [(None, None), (3, "")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    left = sum(passages[i // 2] in out[i] for i in range(20))
+    assert left == 0
+    assert all(abs(len(out[i]) - (len(t) - len(passages[i // 2]))) <= 4 for i, t in rows)
+    assert all(out[i] == t for i, t in clean)
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Null, empty and repeated rows, null ids, a long text, clashing column names; and a table without rows."""
+    draw = random.Random(4)
+    text = lambda n: " ".join(f"w{draw.randint(0, 5000)}" for _ in range(n))
+    copy, unique = text(80), [text(60) for _ in range(30)]
+    rows = [(None, None), (1, None), (2, ""), (3, " \n"), (4, copy), (5, copy), (5, copy), (None, unique[0]), (None, unique[1]), (8, unique[2]), (8, unique[3]), (9, text(60_000))]
+    rows += [(20 + k, t) for k, t in enumerate(unique[4:])]
+    names = "doc_id long, text string, lang string, source string, n_chars long, h long, bits string, key int, part int, mine int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "b", 2, 3, 4) for i, t in rows], names)
+    for some in (docs, docs.where("false")):
+        left = some
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = saved(stage(spark, left, FOLDER), "odd")
+            assert after.columns == docs.columns and after.count() <= left.count()
+            left = after
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, FOLDER)
+        assert packed.select("doc_id").distinct().count() == left.select("doc_id").distinct().count()
+        if some is docs:
+            kept = collections.Counter(r["text"] for r in left.collect())
+            assert kept[copy] == 1 and all(kept[t] == 1 for t in unique) and None not in kept
