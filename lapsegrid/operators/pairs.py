@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from lapsegrid.functions.numeric import circular_gap, corr_from_moments, ratio, safe_corr
+from lapsegrid.functions.numeric import circular_gap, corr_from_moments, rank_p_value, ratio, safe_corr
 from lapsegrid.plans.blocks import BLOCK, block_pairs, entity_pair_moments, select_pair_ranks, split
 from lapsegrid.plans.durable import cut
 from lapsegrid.plans.heavy import has_heavy_key
 from lapsegrid.plans.nearest import k_nearest, within_reach
 from lapsegrid.plans.ranks import metric_quantiles, quantiles, with_average_rank
+from lapsegrid.plans.slopes import BLOCK as SLOPE_BLOCK, select_slopes
 from lapsegrid.plans.scan import frame_bucket, hash_numbered, numbered, ordered_scan
 
 ENTITY = ["stem", "identity"]
@@ -191,49 +192,89 @@ def _slopes(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
     return dv[keep] / dt[keep]
 
 
-def robust_trend(df: DataFrame, value: str, minimum: int = 5, block: int = BLOCK) -> DataFrame:
-    """Median of all pair slopes with a rank interval at alpha 0.95, least-squares slope, change over the span
-    and rank correlation with time."""
-    rows = df.where(F.col(value).isNotNull()).select(*ENTITY, F.col("hours").alias("t"), F.col(value).cast("double").alias("v"))
-    big = has_heavy_key(rows, ENTITY)
-    counts = rows.groupBy(*ENTITY, "v").agg(F.count(F.lit(1)).alias("k"))
+#: Upper normal quantile at 0.025, a fixed value.
+_Z = 1.959963984540054
+
+
+def _interval_ranks(pairs: float, sigma: float) -> tuple[int, int]:
+    """0-based ranks of the slopes that bound the interval at 0.95."""
+    return max(int(np.round((pairs - _Z * sigma) / 2)) - 1, 0), min(int(np.round((pairs + _Z * sigma) / 2)), int(pairs) - 1)
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
+def _small_trend(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The trend of one entity of at most a block of rows."""
+    pdf = pdf.sort_values(["t", "v"])
+    t, v = pdf["t"].to_numpy(float), pdf["v"].to_numpy(float)
+    s = np.sort(_slopes(pdf, pdf, True))
+    out = {k: pdf[k].iloc[0] for k in ENTITY}
+    if not len(s):
+        return pd.DataFrame(columns=[*ENTITY, *_TREND])
+    n, k = len(v), np.unique(v, return_counts=True)[1].astype(float)
+    lo, hi = _interval_ranks(len(s), math.sqrt((n * (n - 1) * (2 * n + 5) - (k * (k - 1) * (2 * k + 5)).sum()) / 18))
+    rt, rv = _average_ranks(t), _average_ranks(v)
+    flat = rv.std() <= 1e-9 * rv.max() or rt.std() <= 1e-9 * rt.max()
+    dt = t - t.mean()
+    out |= {
+        "observations": n, "span_hours": t[-1] - t[0], "level_median": float(np.median(v)), "slope_per_hour": (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, "slope_low": s[lo], "slope_high": s[hi],
+        "slope_least_squares": float((dt * (v - v.mean())).sum() / (dt * dt).sum()), "monotone_rho": None if flat else float(((rt - rt.mean()) * (rv - rv.mean())).mean() / (rt.std() * rv.std())),
+    }
+    return pd.DataFrame([out])
+
+
+_TREND = ["observations", "span_hours", "level_median", "slope_per_hour", "slope_low", "slope_high", "slope_least_squares", "monotone_rho"]
+
+
+def _large_trend(rows: DataFrame, counts: DataFrame, slope_block: int) -> DataFrame:
+    """The trend of entities of any size: slopes by inversion counts, ranks and the median by counted values. counts: (stem, identity, n)."""
     k, n = F.col("k"), F.col("n")
-    # variance of the pair-order sum, corrected for equal values
-    tie = counts.groupBy(*ENTITY).agg(F.sum("k").alias("n"), F.sum(k * (k - 1) * (2 * k + 5)).alias("__tie")).where(n >= minimum)
-    z = 1.959963984540054  # fixed value: upper normal quantile at 0.025
-    sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("__tie")) / 18.0)
+    tie = rows.groupBy(*ENTITY, "v").agg(F.count(F.lit(1)).alias("k")).groupBy(*ENTITY).agg(F.sum((k * (k - 1) * (2 * k + 5)).cast("double")).alias("__tie"))
     same_time = rows.groupBy(*ENTITY, "t").agg(F.count(F.lit(1)).alias("k")).groupBy(*ENTITY).agg(F.sum(k * (k - 1)).alias("__same"))
     pairs = ((n * (n - 1) - F.col("__same")) / 2).cast("long")
-    sized = tie.join(same_time, ENTITY).withColumn("pairs", pairs).where("pairs > 0").drop("__same")
-    hi = F.least(F.bround((F.col("pairs") + z * sigma) / 2).cast("long"), F.col("pairs") - 1)
-    lo = F.greatest(F.bround((F.col("pairs") - z * sigma) / 2).cast("long") - 1, F.lit(0).cast("long"))
-    mid0, mid1 = F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2)
-    ranks = sized.select(*ENTITY, F.inline(F.array(*[
-        F.struct(F.lit(t).alias("target"), r.cast("long").alias("rank")) for t, r in (("lo", lo), ("hi", hi), ("m0", mid0), ("m1", mid1))])))
-    placed = numbered(rows.join(sized.select(*ENTITY), ENTITY), ENTITY, ["t"], F.floor(F.col("t") / 4096).cast("long"), "position", two_level=big)
-    longest = sized.agg(F.max("n")).first()[0] or 0
-    if longest <= block:
-        # every entity is one block: its slopes fit one task and no passes are needed
-        out = T.StructType([*[f for f in rows.schema.fields if f.name in ENTITY], T.StructField("target", T.StringType()), T.StructField("value", T.DoubleType())])
-        packed = ranks.groupBy(*ENTITY).agg(F.collect_list(F.struct("target", "rank")).alias("__r"))
-
-        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("position")
-            s = np.sort(_slopes(pdf, pdf, True))
-            want = pdf["__r"].iloc[0]
-            return pd.DataFrame({"stem": pdf["stem"].iloc[0], "identity": pdf["identity"].iloc[0], "target": [w["target"] for w in want], "value": [s[w["rank"]] for w in want]})
-
-        values = placed.join(packed, ENTITY).groupBy(*ENTITY).applyInPandas(pick, out)
-    else:
-        values = select_pair_ranks(block_pairs(placed, ENTITY, "position", block), ENTITY, "position", _slopes, ranks)
+    m = n.cast("double")
+    sigma = F.sqrt((m * (m - 1) * (2 * m + 5) - F.col("__tie")) / 18.0)
+    sized = counts.join(tie, ENTITY).join(same_time, ENTITY).withColumn("pairs", pairs).where("pairs > 0")
+    hi = F.least(F.bround((F.col("pairs") + _Z * sigma) / 2).cast("long"), F.col("pairs") - 1)
+    lo = F.greatest(F.bround((F.col("pairs") - _Z * sigma) / 2).cast("long") - 1, F.lit(0).cast("long"))
+    middles = (("m0", F.floor((F.col("pairs") - 1) / 2)), ("m1", F.floor(F.col("pairs") / 2)))
+    ranks = sized.select(*ENTITY, "pairs", F.inline(F.array(*[F.struct(F.lit(t).alias("target"), r.cast("long").alias("rank")) for t, r in (("lo", lo), ("hi", hi), *middles)])))
+    placed = numbered(rows, ENTITY, ["t", "v"], F.floor(F.col("t") / 4096).cast("long"), "position")
+    values = select_slopes(placed, ENTITY, ranks, slope_block)
     at = lambda t: F.max(F.when(F.col("target") == t, F.col("value")))
     slopes = values.groupBy(*ENTITY).agg(((at("m0") + at("m1")) / 2).alias("slope_per_hour"), at("lo").alias("slope_low"), at("hi").alias("slope_high"))
-    ranked = with_average_rank(with_average_rank(rows, ENTITY, "t", "rt", two_level=big), ENTITY, "v", "rv", two_level=big)
+    ranked = with_average_rank(with_average_rank(rows, ENTITY, "t", "rt"), ENTITY, "v", "rv")
     rest = ranked.groupBy(*ENTITY).agg(
         F.count(F.lit(1)).alias("observations"), (F.max("t") - F.min("t")).alias("span_hours"),
         F.regr_slope("v", "t").alias("slope_least_squares"), safe_corr("rt", "rv").alias("monotone_rho"),
     )
-    return rest.join(slopes, ENTITY).withColumn("change_over_recording", F.col("slope_per_hour") * F.col("span_hours"))
+    level = metric_quantiles(rows, ENTITY, ["v"], {"median": 0.5}).withColumnRenamed("v_median", "level_median")
+    return rest.join(slopes, ENTITY).join(level, ENTITY).select(*ENTITY, *_TREND)
+
+
+def robust_trend(df: DataFrame, value: str, minimum: int = 5, block: int = BLOCK, slope_block: int = SLOPE_BLOCK) -> DataFrame:
+    """Level median, median of all pair slopes with a rank interval at alpha 0.95, least-squares slope, change over the span
+    and rank correlation with time, with its two-sided p.
+
+    Entities of at most ``block`` rows are one task step each. Larger ones never form their pairs: a wanted slope is found
+    by counting inversions (``plans/slopes.py``). Entities whose rows all have one time have no slope and no row.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*ENTITY, F.col("hours").cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    counts = cut(rows.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum))
+    fields = [f for f in rows.schema.fields if f.name in ENTITY]
+    kind = lambda c: T.LongType() if c == "observations" else T.DoubleType()
+    out = T.StructType([*fields, *(T.StructField(c, kind(c)) for c in _TREND)])
+    small = rows.join(counts.where(F.col("n") <= block).select(*ENTITY), ENTITY, "left_semi").groupBy(*ENTITY).applyInPandas(_small_trend, out)
+    large = counts.where(F.col("n") > block)
+    if not large.isEmpty():
+        held = cut(rows.join(large.select(*ENTITY), ENTITY, "left_semi"))
+        small = small.unionByName(_large_trend(held, large, slope_block))
+    return small.withColumn("change_over_recording", F.col("slope_per_hour") * F.col("span_hours")).withColumn(
+        "monotone_p_value", rank_p_value(F.col("monotone_rho"), F.col("observations"))
+    )
 
 
 def state_vectors(df: DataFrame, metrics: Sequence[str], minimum: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lapsegrid.functions.numeric import rank_p_value_sql
 from lapsegrid.operators import joins as J
 from lapsegrid.operators import pairs as Q
 from lapsegrid.operators import regimes as G
@@ -221,9 +222,9 @@ _AR = "((rank() OVER (PARTITION BY stem, identity ORDER BY {c}) + (count(*) OVER
  sg AS (SELECT ti.*, s, len(s) AS np, sqrt((n*(n-1)*(2*n+5)-t)/18.0) AS sigma FROM ti JOIN sl USING (stem, identity) WHERE n>=5),
  q AS (SELECT stem, identity, (s[(np-1)//2+1]+s[np//2+1])/2 AS slope_per_hour, s[greatest(CAST(round_even((np-1.959963984540054*sigma)/2,0) AS BIGINT)-1,0)+1] AS slope_low, s[least(CAST(round_even((np+1.959963984540054*sigma)/2,0) AS BIGINT),np-1)+1] AS slope_high FROM sg),
  r AS (SELECT stem, identity, hours, signal, {_AR.format(c='hours')} AS rt, {_AR.format(c='signal')} AS rv FROM tr)
- SELECT stem, identity, count(*) AS observations, max(hours)-min(hours) AS span_hours, regr_slope(signal,hours) AS slope_least_squares, {_CORR.format(a='rt', b='rv')} AS monotone_rho, any_value(slope_per_hour) AS slope_per_hour, any_value(slope_low) AS slope_low, any_value(slope_high) AS slope_high, any_value(slope_per_hour)*(max(hours)-min(hours)) AS change_over_recording
- FROM r JOIN q USING (stem, identity) GROUP BY 1,2""",
-    "span_hours slope_least_squares monotone_rho slope_per_hour slope_low slope_high change_over_recording",
+ SELECT *, {rank_p_value_sql('monotone_rho', 'observations')} AS monotone_p_value FROM (SELECT stem, identity, count(*) AS observations, max(hours)-min(hours) AS span_hours, median(signal) AS level_median, regr_slope(signal,hours) AS slope_least_squares, {_CORR.format(a='rt', b='rv')} AS monotone_rho, any_value(slope_per_hour) AS slope_per_hour, any_value(slope_low) AS slope_low, any_value(slope_high) AS slope_high, any_value(slope_per_hour)*(max(hours)-min(hours)) AS change_over_recording
+ FROM r JOIN q USING (stem, identity) GROUP BY 1,2)""",
+    "span_hours level_median monotone_p_value slope_least_squares monotone_rho slope_per_hour slope_low slope_high change_over_recording",
     digits=9,
 )
 def _(i):

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lapsegrid.functions.numeric import rank_p_value
 from lapsegrid.operators import pairs as Q
+from lapsegrid.plans import slopes
 
 
 def alignment(left, right, window):
@@ -102,16 +104,56 @@ def test_common_window_and_its_distances(spark):
 def test_trend_in_blocks_equals_one_task(spark):
     rng = np.random.default_rng(4)
     rows = [("s", e, float(t), float(v)) for e in (1, 2) for t, v in zip(range(0, 60, e), rng.integers(-9, 9, 60))]
+    rows += [("s", 1, float(t), float(t % 3)) for t in range(0, 60, 7)]  # several values at one time
     df = spark.createDataFrame(rows, "stem string, identity long, hours double, v double")
     one = {r["identity"]: r for r in Q.robust_trend(df, "v", block=1000).collect()}
-    many = {r["identity"]: r for r in Q.robust_trend(df, "v", block=16).collect()}
+    many = {r["identity"]: r for r in Q.robust_trend(df, "v", block=16, slope_block=16).collect()}
+    assert set(one) == set(many) == {1, 2}
     for e in one:
-        for c in ("slope_per_hour", "slope_low", "slope_high", "monotone_rho"):
-            assert many[e][c] == pytest.approx(one[e][c])
+        for c in ("observations", "span_hours", "level_median", "slope_per_hour", "slope_low", "slope_high", "slope_least_squares", "change_over_recording", "monotone_rho", "monotone_p_value"):
+            assert many[e][c] == pytest.approx(one[e][c], abs=1e-12), c
         t = np.array([r[2] for r in rows if r[1] == e])
         v = np.array([r[3] for r in rows if r[1] == e])
-        i, j = np.triu_indices(len(t), 1)
+        i, j = np.nonzero(t[:, None] < t[None, :])
         assert one[e]["slope_per_hour"] == pytest.approx(np.median((v[j] - v[i]) / (t[j] - t[i])))
+        assert one[e]["level_median"] == pytest.approx(np.median(v))
+
+
+@pytest.mark.parametrize("kind", ["smooth", "whole", "flat", "steep"])
+def test_slopes_of_any_rank_without_the_pairs(spark, kind):
+    """Ranks from all over the list of slopes, with brackets that must shrink to 30 pairs, and blocks of 50 rows."""
+    rng = np.random.default_rng(7)
+    n = 260
+    t = np.sort(rng.random(n) * 90) if kind == "smooth" else np.sort(rng.integers(0, 150, n)).astype(float)
+    v = {"smooth": rng.normal(size=n), "whole": rng.integers(0, 4, n).astype(float), "flat": np.full(n, 2.0), "steep": 1e6 * t + rng.normal(size=n)}[kind]
+    t, v = t[np.lexsort((v, t))], v[np.lexsort((v, t))]
+    i, j = np.nonzero(t[:, None] < t[None, :])
+    s = np.sort((v[j] - v[i]) / (t[j] - t[i]))
+    rows = spark.createDataFrame([("s", 1, k + 1, float(a), float(b)) for k, (a, b) in enumerate(zip(t, v))], "stem string, identity long, position long, t double, v double")
+    wanted = sorted({0, 1, len(s) // 7, len(s) // 2 - 1, len(s) // 2, len(s) - 2, len(s) - 1})
+    ranks = spark.createDataFrame([("s", 1, str(r), r, len(s)) for r in wanted], "stem string, identity long, target string, rank long, pairs long")
+    got = {int(r["target"]): r["value"] for r in slopes.select_slopes(rows, ["stem", "identity"], ranks, block=50, listed=30).collect()}
+    assert set(got) == set(wanted)
+    for r in wanted:
+        assert got[r] == pytest.approx(s[r], rel=1e-9, abs=1e-11)
+
+
+def test_rank_p_value(spark):
+    """Against the tail of Student's t by plain summation of its density."""
+    cases = [(rho, n) for rho in (-0.7, 0.0, 0.05, 0.4, 0.999, 1.0, None) for n in (3, 4, 5, 10, 31, 400)]
+    df = spark.createDataFrame(cases, "rho double, n long")
+    for r in df.select("*", rank_p_value(F.col("rho"), F.col("n")).alias("p")).collect():
+        if r["rho"] is None:
+            assert r["p"] is None
+            continue
+        v = r["n"] - 2
+        if abs(r["rho"]) == 1.0:
+            assert r["p"] == 0.0
+            continue
+        angle = (np.arange(400_000) + 0.5) / 400_000 * np.pi / 2
+        density = np.cos(angle) ** (v - 1)
+        limit = np.arctan(abs(r["rho"]) * np.sqrt(v / (1 - r["rho"] ** 2)) / np.sqrt(v))
+        assert r["p"] == pytest.approx(density[angle > limit].sum() / density.sum(), abs=1e-4)
 
 
 def test_line_gives_its_slope_back_and_one_wild_value_does_not_move_it(spark):
