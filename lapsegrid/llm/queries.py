@@ -75,20 +75,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = suffix_dedup.with_spans(docs)
     marked = marked.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"), "__spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             made = []
             for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone, digest, done = suffix_dedup.united(spans), hashlib.sha256(), 0
+                gone, kept, done = suffix_dedup.united(spans), [], 0
                 for lo, hi in gone:
-                    digest.update(data[done:lo])
+                    kept.append(data[done:lo])
                     done = hi
-                digest.update(data[done:])
-                made.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), digest.hexdigest()))
+                left = b"".join([*kept, data[done:]])
+                # the digest is that of the bytes; in the text, what is left of a character cut in part goes
+                made.append((len(data), sum(hi - lo for lo, hi in gone), len(gone), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")))
             cols = list(zip(*made, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])], names=[f.split()[0] for f in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], names=[f.split()[0] for f in schema.split(", ")])
 
     return marked.mapInArrow(run, schema)
 

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from lapsegrid.llm.common import blocked_bloom, bloom_hits, discard, saved, slices
 
 GRAM = 40
-STRETCH = 2**20 - 4096
+#: Bytes of one step; some twelve arrays of as many 64-bit values are held at once.
+STRETCH = 2**19 - 4096
 #: Different runs under one pair beyond which their windows are counted as rows.
 FEW_RUNS = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -57,8 +58,8 @@ class _Tables:
     ready: _Tables | None = None
 
     def __init__(self) -> None:
-        self.up = _powers(_BASE, 2**20 + 4096)
-        self.down = _powers(pow(_BASE, -1, 2**64), 2**20 + 4096)
+        self.up = _powers(_BASE, STRETCH + 2**13)
+        self.down = _powers(pow(_BASE, -1, 2**64), STRETCH + 2**13)
         self.byte = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
 
     @classmethod
