@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio
-from lapsegrid.plans.ranks import quantiles
-from lapsegrid.plans.scan import frame_bucket, ordered_scan
+from lapsegrid.plans.distance import distance_map
+from lapsegrid.plans.nearest import k_nearest
+from lapsegrid.plans.ranks import metric_quantiles, quantiles
+from lapsegrid.plans.scan import frame_bucket, islands, ordered_scan
 
 ENTITY = ["stem", "identity"]
 CELL = [*ENTITY, "frame_index"]
@@ -320,8 +322,6 @@ def chebyshev(r: int) -> Column:
 
 def contact_summary(pair_frames: DataFrame, hours_per_frame: float) -> DataFrame:
     """Pair-level totals over frames in contact, with the longest unbroken run."""
-    from lapsegrid.plans.scan import islands
-
     keys = ["stem", "identity_a", "identity_b", "dilation_px"]
     runs = islands(pair_frames, keys, ["frame_index"], F.col("frame_index") - F.col("__p") != 1, frame_bucket(), lag={"__p": "frame_index"}, alias="bout")
     per_bout = runs.groupBy(*keys, "bout").agg(
@@ -466,41 +466,67 @@ def channel_tracks(cells: DataFrame, field: DataFrame) -> DataFrame:
     return q.join(d, ENTITY).join(t, ENTITY).withColumn("level_iqr", F.col("q75") - F.col("q25")).withColumnRenamed("total", "frames").drop("q25", "q75")
 
 
+def _moving_and_fixed(object_pixels: DataFrame) -> list[tuple[DataFrame, list[str]]]:
+    """Object places with the keys under which masks meet them: objects of a frame meet that frame's masks, fixed ones (frame null) all frames'."""
+    if "frame_index" not in object_pixels.columns:
+        return [(object_pixels, ["stem"])]
+    return [(object_pixels.where("frame_index IS NULL").drop("frame_index"), ["stem"]), (object_pixels.where("frame_index IS NOT NULL"), ["stem", "frame_index"])]
+
+
 def object_shapes(object_pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """Area, centre and border flag of each reference object, with the objects of its set."""
-    keys = ["stem", "object_set", "object"]
-    shapes = object_pixels.groupBy(*keys).agg(
+    """Area, centre and border flag of each reference object, with the objects of its set; per frame where the objects have frames."""
+    base = ["stem", "frame_index", "object_set"] if "frame_index" in object_pixels.columns else ["stem", "object_set"]
+    shapes = object_pixels.groupBy(*base, "object").agg(
         F.count(F.lit(1)).alias("area_px"), F.avg("y").alias("y"), F.avg("x").alias("x"),
         F.max(((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)).cast("int")).alias("__b"),
     )
-    counts = shapes.groupBy("stem", "object_set").agg(F.count(F.lit(1)).alias("objects_in_set"))
-    return shapes.join(counts, ["stem", "object_set"]).withColumn("touches_border", F.col("__b") == 1).drop("__b")
+    # the sets of a frame: a frame that is null is one, too
+    counts = Window.partitionBy(*base)
+    return shapes.withColumn("objects_in_set", F.count(F.lit(1)).over(counts)).withColumn("touches_border", F.col("__b") == 1).drop("__b")
 
 
-def object_overlap(masks: DataFrame, object_pixels: DataFrame) -> DataFrame:
-    """Places an entity shares with each object set at each frame, and the share of its mask."""
-    area = masks.groupBy(*CELL).agg(F.count(F.lit(1)).alias("area_px"))
-    sets = object_pixels.select("stem", "object_set").distinct()
-    places = object_pixels.select("stem", "object_set", "y", "x").distinct()
-    hits = masks.select(*CELL, "y", "x").join(places, ["stem", "y", "x"]).groupBy(*CELL, "object_set").agg(F.count(F.lit(1)).alias("overlap_px"))
-    return area.join(sets, "stem").join(hits, [*CELL, "object_set"], "left").withColumn(
-        "overlap_px", F.coalesce("overlap_px", F.lit(0).cast("long"))
-    ).withColumn("overlap_share", ratio("overlap_px", "area_px")).withColumn("touching", F.col("overlap_px") > 0)
+def object_overlap(masks: DataFrame, object_pixels: DataFrame, height: int, width: int, cell: float = 4.0) -> DataFrame:
+    """How near each entity comes to each object set at each frame, and how much of its mask lies in it.
 
+    The edge distance of an entity is the least value of the set's distance map over its mask (0 inside an object), with the
+    object it leads to; the centre distance is that of the nearest object's mean place (ties: the smaller object). A frame in
+    which a set of moving objects has none has no distance and an object count of 0.
+    """
+    area = masks.groupBy(*CELL).agg(F.count(F.lit(1)).alias("area_px"), F.avg("y").alias("y"), F.avg("x").alias("x"))
+    parts = []
+    for pixels, keys in _moving_and_fixed(object_pixels):
+        by_set = [*keys, "object_set"]
+        sets = pixels.select("stem", "object_set").distinct()
+        places = pixels.groupBy(*by_set, "y", "x").agg(F.min("object").alias("owner"))
+        on_map = masks.select(*CELL, "y", "x").join(distance_map(places, by_set, height, width), [*keys, "y", "x"])
+        near = on_map.groupBy(*CELL, "object_set").agg(F.min(F.struct("d2", "owner")).alias("n"), F.count_if(F.col("d2") == 0).alias("overlap_px"))
+        near = near.select(*CELL, "object_set", F.col("n.owner").alias("nearest_object"), F.sqrt("n.d2").alias("nearest_edge_px"), "overlap_px")
+        shapes = pixels.groupBy(*by_set, "object").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+        counts = shapes.groupBy(*by_set).agg(F.count(F.lit(1)).alias("object_count"))
+        cells = area.join(sets, "stem")
+        centre = k_nearest(cells.select(*CELL, "object_set", "y", "x"), shapes, by_set, [c for c in CELL if c not in by_set], 1, cell, order=("t_object",))
+        centre = centre.select(*CELL, "object_set", F.col("t_object").alias("nearest_centre"), F.col("distance").alias("nearest_centre_px"))
+        parts.append(cells.drop("y", "x").join(counts, by_set, "left").join(near, [*CELL, "object_set"], "left").join(centre, [*CELL, "object_set"], "left"))
+    whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    none = F.lit(0).cast("long")
+    return whole.withColumn("object_count", F.coalesce("object_count", none)).withColumn("overlap_px", F.coalesce("overlap_px", none)).withColumn(
+        "overlap_share", ratio("overlap_px", "area_px")
+    ).withColumn("touching", F.col("overlap_px") > 0)
 
-def object_tracks(cells: DataFrame, hours_per_frame: float) -> DataFrame:
-    from lapsegrid.plans.scan import islands
 
+def object_tracks(cells: DataFrame, hours_per_frame: float) -> DataFrame:
+    """Over an entity's frames: how often, how long and how closely it met a set of objects."""
     keys = [*ENTITY, "object_set"]
     touching = cells.where("touching")
     runs = islands(touching, keys, ["frame_index"], F.col("frame_index") - F.col("__p") != 1, frame_bucket(), lag={"__p": "frame_index"}, alias="run")
     longest = runs.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("longest_run"))
     base = cells.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("frames"), F.sum(F.col("touching").cast("long")).alias("contact_frames"),
-        ratio(F.sum(F.col("touching").cast("long")), F.count(F.lit(1))).alias("contact_share"),
+        ratio(F.sum(F.col("touching").cast("long")), F.count(F.lit(1))).alias("contact_share"), F.min("nearest_edge_px").alias("least_distance_px"),
     )
-    med = quantiles(cells, keys, "overlap_px", {"median_overlap_px": 0.5}).drop("total")
-    return base.join(longest, keys, "left").join(med, keys).withColumn("longest_run", F.coalesce("longest_run", F.lit(0).cast("long"))).withColumn(
+    middle = metric_quantiles(cells, keys, ["overlap_px", "overlap_share", "nearest_edge_px"], {"median": 0.5})
+    middle = middle.select(*keys, F.col("overlap_px_median").alias("median_overlap_px"), F.col("overlap_share_median").alias("median_overlap_share"), F.col("nearest_edge_px_median").alias("median_distance_px"))
+    return base.join(longest, keys, "left").join(middle, keys).withColumn("longest_run", F.coalesce("longest_run", F.lit(0).cast("long"))).withColumn(
         "contact_hours", F.col("contact_frames") * F.lit(hours_per_frame)
     )
 
@@ -557,8 +583,6 @@ def fixed_apertures(centres: DataFrame, values: DataFrame, radius: float, height
 
 def domains(masks: DataFrame, height: int, width: int, cell: float) -> DataFrame:
     """Places of the field nearest to each entity (ties: the smaller identity)."""
-    from lapsegrid.plans.nearest import k_nearest
-
     grid = masks.select("stem", "frame_index").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
         "x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
     )
@@ -569,10 +593,8 @@ def domains(masks: DataFrame, height: int, width: int, cell: float) -> DataFrame
 
 
 def edge_distances(masks: DataFrame, cell: float) -> DataFrame:
-    """Nearest other entity by edge-to-edge distance."""
-    from lapsegrid.plans.nearest import k_nearest
-
-    px = masks.select(*PLACE, "identity")
+    """Nearest other entity by edge-to-edge distance. Two masks are nearest at places of their boundaries, so inner places neither search nor are found."""
+    px = boundary(masks)
     near = k_nearest(px, px, ["stem", "frame_index"], ["y", "x"], 1, cell, F.col("t_identity") != F.col("identity"), ("t_identity",))
     return near.groupBy(*CELL).agg(F.min(F.struct("distance", "t_identity")).alias("b")).select(
         *CELL, F.col("b.distance").alias("nearest_edge_px"), F.col("b.t_identity").alias("nearest_edge_identity")

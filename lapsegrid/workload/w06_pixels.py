@@ -368,23 +368,65 @@ def _(i):
     return X.object_shapes(objects(i), H, W)
 
 
-_OV = f"""{OBJ}, ar AS (SELECT stem, identity, frame_index, count(*) AS area_px FROM mk GROUP BY 1,2,3), pl AS (SELECT DISTINCT stem, object_set, y, x FROM ob), hit AS (SELECT mk.stem, identity, frame_index, object_set, count(*) AS n FROM mk JOIN pl USING (stem, y, x) GROUP BY ALL),
- ov AS (SELECT ar.*, object_set, coalesce(n,0) AS overlap_px, coalesce(n,0)/area_px AS overlap_share, coalesce(n,0)>0 AS touching FROM ar JOIN (SELECT DISTINCT stem, object_set FROM ob) USING (stem) LEFT JOIN hit USING (stem, identity, frame_index, object_set))"""
+_MOVING = """om AS (SELECT stem, frame_index, 'background' AS object_set, concat('T', y//5, x//5) AS object, y, x FROM px WHERE identity IS NULL AND NOT unclaimed)"""
 
 
-@query("object_overlap", f"{PX}, {_OV} SELECT * FROM ov", "overlap_share")
+def moving_objects(i):
+    """Background places of each frame, in tiles of five by five."""
+    tile = F.concat(F.lit("T"), F.floor(F.col("y") / 5).cast("string"), F.floor(F.col("x") / 5).cast("string"))
+    return i.pixels().where("identity IS NULL AND NOT unclaimed").select("stem", "frame_index", F.lit("background").alias("object_set"), tile.alias("object"), "y", "x")
+
+
+def _overlap_sql(rows, keys):
+    """cells x sets with overlap and distances. rows: object places; keys: what masks and objects share."""
+    k, using = ", ".join(keys), ", ".join(keys)
+    on = " AND ".join(f"mk.{c}=o.{c}" for c in keys)
+    return f"""ar AS (SELECT stem, identity, frame_index, count(*) AS area_px, avg(y) AS y, avg(x) AS x FROM mk GROUP BY 1,2,3),
+ pl AS (SELECT {k}, object_set, y, x, min(object) AS object FROM {rows} GROUP BY ALL), sh AS (SELECT {k}, object_set, object, avg(y) AS y, avg(x) AS x FROM {rows} GROUP BY ALL), oc AS (SELECT {k}, object_set, count(*) AS object_count FROM sh GROUP BY ALL),
+ ne AS (SELECT mk.stem, mk.identity, mk.frame_index, object_set, min((mk.y-o.y)**2+(mk.x-o.x)**2) AS d2, first(object ORDER BY (mk.y-o.y)**2+(mk.x-o.x)**2, object) AS nearest_object, count(*) FILTER (WHERE mk.y=o.y AND mk.x=o.x) AS overlap_px FROM mk JOIN pl o ON {on} GROUP BY ALL),
+ ce AS (SELECT mk.stem, mk.identity, mk.frame_index, object_set, first(object ORDER BY sqrt((mk.y-o.y)**2+(mk.x-o.x)**2), object) AS nearest_centre, min(sqrt((mk.y-o.y)**2+(mk.x-o.x)**2)) AS nearest_centre_px FROM ar mk JOIN sh o ON {on} GROUP BY ALL),
+ ov AS (SELECT stem, identity, frame_index, area_px, object_set, coalesce(object_count,0) AS object_count, nearest_object, sqrt(d2) AS nearest_edge_px, coalesce(overlap_px,0) AS overlap_px, nearest_centre, nearest_centre_px, coalesce(overlap_px,0)/area_px AS overlap_share, coalesce(overlap_px,0)>0 AS touching
+  FROM ar JOIN (SELECT DISTINCT stem, object_set FROM {rows}) USING (stem) LEFT JOIN oc USING ({using}, object_set) LEFT JOIN ne USING (stem, identity, frame_index, object_set) LEFT JOIN ce USING (stem, identity, frame_index, object_set))"""
+
+
+_OV, _OVM = f"{OBJ}, {_overlap_sql('ob', ['stem'])}", f"{_MOVING}, {_overlap_sql('om', ['stem', 'frame_index'])}"
+_DISTANCES = "overlap_share nearest_edge_px nearest_centre_px"
+
+
+@query("object_overlap", f"{PX}, {_OV} SELECT * FROM ov", _DISTANCES)
+def _(i):
+    return X.object_overlap(masks(i), objects(i), H, W)
+
+
+@query("moving_object_overlap", f"{PX}, {_OVM} SELECT * FROM ov", _DISTANCES)
 def _(i):
-    return X.object_overlap(i.masks(), objects(i))
+    return X.object_overlap(masks(i), moving_objects(i), H, W)
 
 
 @query(
-    "object_tracks",
-    f"""{PX}, {_OV}, r AS (SELECT *, frame_index-row_number() OVER (PARTITION BY stem, identity, object_set ORDER BY frame_index) AS g FROM ov WHERE touching), l AS (SELECT stem, identity, object_set, max(n) AS m FROM (SELECT stem, identity, object_set, g, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)
- SELECT ov.stem, ov.identity, ov.object_set, count(*) AS frames, count(*) FILTER (WHERE touching) AS contact_frames, count(*) FILTER (WHERE touching)/count(*) AS contact_share, coalesce(max(m),0) AS longest_run, quantile_cont(CAST(overlap_px AS DOUBLE),0.5) AS median_overlap_px, count(*) FILTER (WHERE touching)*0.5 AS contact_hours FROM ov LEFT JOIN l USING (stem, identity, object_set) GROUP BY 1,2,3""",
-    "contact_share median_overlap_px contact_hours",
+    "moving_object_shapes",
+    f"""{PX}, {_MOVING}, s AS (SELECT stem, frame_index, object_set, object, count(*) AS area_px, avg(y) AS y, avg(x) AS x, bool_or(y=0 OR x=0 OR y={H - 1} OR x={W - 1}) AS touches_border FROM om GROUP BY 1,2,3,4)
+ SELECT s.*, count(*) OVER (PARTITION BY stem, frame_index, object_set) AS objects_in_set FROM s""",
+    "y x",
 )
 def _(i):
-    return X.object_tracks(X.object_overlap(masks(i), objects(i)), 0.5)
+    return X.object_shapes(moving_objects(i), H, W)
+
+
+_TRACKED = """ r AS (SELECT *, frame_index-row_number() OVER (PARTITION BY stem, identity, object_set ORDER BY frame_index) AS g FROM ov WHERE touching), l AS (SELECT stem, identity, object_set, max(n) AS m FROM (SELECT stem, identity, object_set, g, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)
+ SELECT ov.stem, ov.identity, ov.object_set, count(*) AS frames, count(*) FILTER (WHERE touching) AS contact_frames, count(*) FILTER (WHERE touching)/count(*) AS contact_share, coalesce(max(m),0) AS longest_run, quantile_cont(CAST(overlap_px AS DOUBLE),0.5) AS median_overlap_px,
+  quantile_cont(overlap_share,0.5) AS median_overlap_share, quantile_cont(nearest_edge_px,0.5) AS median_distance_px, min(nearest_edge_px) AS least_distance_px, count(*) FILTER (WHERE touching)*0.5 AS contact_hours FROM ov LEFT JOIN l USING (stem, identity, object_set) GROUP BY 1,2,3"""
+_TRACK_DOUBLES = "contact_share median_overlap_px median_overlap_share median_distance_px least_distance_px contact_hours"
+
+
+@query("object_tracks", f"{PX}, {_OV}, {_TRACKED}", _TRACK_DOUBLES)
+def _(i):
+    return X.object_tracks(i.kept("overlap", lambda: X.object_overlap(masks(i), objects(i), H, W)), 0.5)
+
+
+@query("moving_object_tracks", f"{PX}, {_OVM}, {_TRACKED}", _TRACK_DOUBLES)
+def _(i):
+    return X.object_tracks(i.kept("overlap", lambda: X.object_overlap(masks(i), moving_objects(i), H, W)), 0.5)
 
 
 _CEN = "cen AS (SELECT stem, identity, frame_index, CAST(floor(y+0.5) AS INTEGER) AS y, CAST(floor(x+0.5) AS INTEGER) AS x FROM tk)"

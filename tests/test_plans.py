@@ -86,3 +86,19 @@ def test_a_crowded_key_is_cut_evenly(spark):
     lagged = scan.ordered_scan(rows, ["stem", "identity"], ["hours"], F.lit(0).cast("long"), lag={"p": "v"}, running={"t": ("sum", "v")}, two_level=True)
     plain = scan.ordered_scan(rows, ["stem", "identity"], ["hours"], F.lit(0).cast("long"), lag={"p": "v"}, running={"t": ("sum", "v")}, two_level=False)
     assert lagged.exceptAll(plain).isEmpty() and lagged.count() == 20_000
+
+
+def test_distance_map_is_the_nearest_place(spark):
+    """Against all places, on fields higher than a tile, with ties, a lone place, and one owner with several places."""
+    import random
+
+    from lapsegrid.plans.distance import distance_map
+
+    draw = random.Random(5)
+    height, width = 70, 9
+    places = [("a", f"f{k}", y, x, draw.choice(["p", "q", "r"])) for k in range(3) for y, x in {(draw.randrange(height), draw.randrange(width)) for _ in range((1, 4, 90)[k])}]
+    df = spark.createDataFrame(places, "stem string, field string, y int, x int, owner string")
+    got = {(r["field"], r["y"], r["x"]): (r["d2"], r["owner"]) for r in distance_map(df, ["stem", "field"], height, width).collect()}
+    assert len(got) == 3 * height * width
+    for (field, y, x), found in got.items():
+        assert found == min(((y - p[2]) ** 2 + (x - p[3]) ** 2, p[4]) for p in places if p[1] == field)
