@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lapsegrid.functions.numeric import circular_gap, corr_from_moments, rank_p_value, ratio, safe_corr
+from lapsegrid.operators.joins import nearest_unique
 from lapsegrid.plans.blocks import BLOCK, block_pairs, entity_pair_moments, select_pair_ranks, split
 from lapsegrid.plans.durable import cut
 from lapsegrid.plans.heavy import has_heavy_key
@@ -81,6 +82,50 @@ def neighbour_graph(positions: DataFrame, k: int, cell: float) -> DataFrame:
     return near.select("stem", F.least("identity", "t_identity").alias("identity_a"), F.greatest("identity", "t_identity").alias("identity_b")).distinct()
 
 
+def paired_rows(pairs: DataFrame, rows: DataFrame, at: Sequence[str], carry: dict[str, str]) -> DataFrame:
+    """Rows of two entities that meet at equal ``at``, for the pairs of a pair table (stem, identity_a, identity_b) only.
+
+    ``carry`` names columns and what they become, with _a and _b behind. The table bounds the work: an entity's rows are
+    repeated once for each pair it is in.
+    """
+    out = pairs.select("stem", "identity_a", "identity_b")
+    for s, on in (("a", []), ("b", list(at))):
+        side = rows.select("stem", F.col("identity").alias(f"identity_{s}"), *at, *[F.col(c).alias(f"{alias}_{s}") for c, alias in carry.items()])
+        out = out.join(side, ["stem", f"identity_{s}", *on])
+    return out
+
+
+def switching_association(moves: DataFrame, pairs: DataFrame, hours_per_frame: float, minimum: int, least_hours: float, least_span: float, tolerance: int) -> DataFrame:
+    """Do two entities change state at the same time? Per pair of a pair table: phi of their change indicators over the intervals that
+    both were observed through, and how many of their changes find each other within a tolerance of frames.
+
+    A pair needs ``minimum`` joint intervals, ``least_hours`` of them and ``least_span`` from first to last, or is insufficient; one
+    whose entities never or always change is constant. Changes match as nearest-unique events: equidistant candidates and partners
+    wanted twice are ambiguous and count for neither.
+    """
+    steps = moves.select(*ENTITY, F.col("to_frame_index").alias("frame_index"), "hours", (F.col("from_regime") != F.col("to_regime")).cast("double").alias("change"))
+    keys = ["stem", "identity_a", "identity_b"]
+    joint = cut(paired_rows(pairs, steps, ["frame_index"], {"change": "change", "hours": "hours"}))
+    summary = joint.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("joint_intervals"), (F.count(F.lit(1)) * F.lit(hours_per_frame)).alias("joint_hours"), (F.max("hours_a") - F.min("hours_a")).alias("span_hours"),
+        F.sum("change_a").cast("long").alias("changes_a"), F.sum("change_b").cast("long").alias("changes_b"), safe_corr("change_a", "change_b").alias("__phi"),
+    )
+    side = lambda s: joint.where(F.col(f"change_{s}") == 1).select(*keys, F.col("frame_index").cast("long").alias("frame"))
+    matches = nearest_unique(side("a"), side("b"), keys, "frame", 0, tolerance, 4096)
+    met = matches.groupBy(*keys).agg(F.count_if(F.col("match_status") == "matched").alias("matched"), F.count_if(F.col("match_status").isin("equidistant", "collision")).alias("ambiguous"))
+    none = F.lit(0).cast("long")
+    out = pairs.select(*keys).join(summary, keys, "left").join(met, keys, "left")
+    for c in ("joint_intervals", "changes_a", "changes_b", "matched", "ambiguous"):
+        out = out.withColumn(c, F.coalesce(c, none))
+    few = (F.col("joint_intervals") < minimum) | (F.col("joint_hours") < least_hours) | (F.col("span_hours") < least_span)
+    status = F.when(F.coalesce(few, F.lit(True)), "insufficient").when(F.col("__phi").isNull(), "constant").otherwise("descriptive")
+    return out.select(
+        *keys, "joint_intervals", F.coalesce("joint_hours", F.lit(0.0)).alias("joint_hours"), "span_hours", "changes_a", "changes_b", "matched", "ambiguous",
+        ratio("matched", "changes_a").alias("matched_share_a"), ratio("matched", "changes_b").alias("matched_share_b"),
+        F.when(status == "descriptive", F.col("__phi")).alias("phi"), status.alias("status"),
+    )
+
+
 def coordination_contrast(pairs: DataFrame, graph: DataFrame, coverage: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Mean correlation of neighbours minus that of the rest, against relabellings of whole entities inside
     quarters of coverage. A replicate touches only the graph's edges: the rest follows from the totals."""

@@ -321,22 +321,6 @@ def _(i):
     return p.groupBy("stem", "window", pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("entities"))
 
 
-@query(
-    "sliding_pair_windows",
-    f"""WITH {TRACKS_SQL}, p AS (SELECT a.stem, a.identity AS identity_a, b.identity AS identity_b, a.hours, sqrt((a.y-b.y)**2+(a.x-b.x)**2) AS distance, a.mean_raw AS va, b.mean_raw AS vb FROM tk a JOIN tk b ON a.stem=b.stem AND a.frame_index=b.frame_index AND b.identity=a.identity+1),
- w AS (SELECT *, unnest(range(CAST(greatest(ceil((hours-4+1e-9)/2),0) AS BIGINT), CAST(floor(hours/2) AS BIGINT)+1)) AS win FROM p),
- s AS (SELECT stem, identity_a, identity_b, win AS "window", count(*) AS n, avg(distance) AS mean_distance, min(distance) AS min_distance, max(distance) AS max_distance, CASE WHEN count(*)>=5 THEN {_OKC.format(a='va', b='vb')} END AS coordination FROM w WHERE hours>=win*2 AND hours<win*2+4 GROUP BY 1,2,3,4)
- SELECT *, CASE WHEN n<5 THEN 'insufficient' WHEN coordination IS NULL THEN 'constant' ELSE 'estimated' END AS status FROM s""",
-    "mean_distance min_distance max_distance coordination",
-)
-def _(i):
-    tk = i.tracks()
-    a = tk.select("stem", "frame_index", "hours", F.col("identity").alias("identity_a"), F.col("y").alias("ya"), F.col("x").alias("xa"), F.col("mean_raw").alias("va"))
-    b = tk.select("stem", "frame_index", (F.col("identity") - 1).alias("identity_a"), F.col("identity").alias("identity_b"), F.col("y").alias("yb"), F.col("x").alias("xb"), F.col("mean_raw").alias("vb"))
-    pairs = a.join(b, ["stem", "frame_index", "identity_a"]).withColumn("distance", F.hypot(F.col("ya") - F.col("yb"), F.col("xa") - F.col("xb")))
-    return S.sliding_pair_windows(pairs, ["stem", "identity_a", "identity_b"], "hours", 4.0, 2.0, 5)
-
-
 @query(
     "characteristic_distance_relation",
     f"""WITH {TRACKS_SQL}, {MED}, c AS (SELECT stem, identity, avg(area_px) AS c FROM tk GROUP BY 1,2), p AS (SELECT a.stem, abs(a.c-b.c) AS d, sqrt((ma.y-mb.y)**2+(ma.x-mb.x)**2) AS g FROM c a JOIN c b ON a.stem=b.stem AND a.identity<b.identity JOIN md ma ON ma.stem=a.stem AND ma.identity=a.identity JOIN md mb ON mb.stem=b.stem AND mb.identity=b.identity),

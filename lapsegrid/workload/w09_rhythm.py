@@ -89,18 +89,6 @@ def _(i):
     return Y.population_phase(subsets, ["stem", "subset"])
 
 
-@query(
-    "phase_differences",
-    f"""WITH {EVV}, {_COS} SELECT a.stem, a.identity AS identity_a, b.identity AS identity_b, a.phase AS phase_a, b.phase AS phase_b, ((a.phase-b.phase+0.5)%1.0+1.0)%1.0-0.5 AS phase_difference, (((a.phase-b.phase+0.5)%1.0+1.0)%1.0-0.5)*24 AS difference_hours FROM csn a JOIN csn b ON a.stem=b.stem AND b.identity=a.identity+1""",
-    "phase_a phase_b phase_difference difference_hours",
-    digits=5,
-)
-def _(i):
-    fits = Y.cosinor(raw(i), E2, "signal", 24.0)
-    declared = fits.select("stem", F.col("identity").alias("identity_a"), (F.col("identity") + 1).alias("identity_b"))
-    return Q.phase_difference(fits, 24.0, declared)
-
-
 @query(
     "null_false_positive_rates",
     f"""WITH {LONG}, s0 AS (SELECT stem, identity, metric, hours, value, unnest(range(1,4)) AS replicate FROM lg),
