@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lapsegrid.functions.numeric import ratio
 from lapsegrid.plans.blocks import entity_pair_moments
 from lapsegrid.plans.ranks import metric_quantiles, quantiles, with_average_rank
-from lapsegrid.plans.scan import frame_bucket, islands, ordered_scan
+from lapsegrid.plans.scan import frame_bucket, islands, numbered, numbered_by, ordered_scan
 from lapsegrid.functions.numeric import corr_from_moments
 
 ENTITY = ["stem", "identity"]
@@ -87,8 +87,10 @@ def column_correlations(long: DataFrame, row: str, column: str, value: str) -> D
 
 
 def screened_columns(long: DataFrame, row: str, column: str, value: str, max_missing: float, redundancy: float) -> DataFrame:
-    """Each column with the reason it is dropped: too much missing, constant, or redundant with an earlier kept
-    one. The greedy pass runs over the small table of column pairs."""
+    """Each column with the reason it is dropped: too much missing, constant, or redundant with an earlier kept one, and which.
+
+    The greedy pass is a fold over the ordered columns, each with those it is close to: one row of declared columns, inside Spark.
+    """
     stats = long.groupBy(column).agg(
         F.avg(F.col(value).isNull().cast("double")).alias("missing"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
     )
@@ -96,25 +98,18 @@ def screened_columns(long: DataFrame, row: str, column: str, value: str, max_mis
         "reason", F.when(F.col("missing") > max_missing, "missing").when(F.col("__lo").isNull() | (F.col("__lo") == F.col("__hi")), "constant")
     ).select(column, "missing", "reason")
     pairs = column_correlations(long, row, column, value).where(F.abs("spearman") >= redundancy)
-    # columns are declared metrics: both tables are bounded by their number, not by the rows
-    listed = sorted(basic.collect(), key=lambda r: r[column])
-    close: dict = {}
-    for r in pairs.collect():
-        close.setdefault(r["column_a"], set()).add(r["column_b"])
-        close.setdefault(r["column_b"], set()).add(r["column_a"])
-    kept: set = set()
-    out = []
-    for r in listed:
-        reason, twin = r["reason"], None
-        if reason is None:
-            earlier = sorted(kept & close.get(r[column], set()))
-            if earlier:
-                reason, twin = "redundant", earlier[0]
-            else:
-                kept.add(r[column])
-        out.append((r[column], r["missing"], reason, twin))
+    both = F.array(F.struct(F.col("column_a").alias("c"), F.col("column_b").alias("o")), F.struct(F.col("column_b").alias("c"), F.col("column_a").alias("o")))
+    close = pairs.select(F.inline(both)).groupBy(F.col("c").alias(column)).agg(F.collect_set("o").alias("close"))
     kind = long.schema[column].dataType.simpleString()
-    return long.sparkSession.createDataFrame(out, f"{column} {kind}, missing double, reason string, redundant_with {kind}")
+    none = F.array().cast(f"array<{kind}>")
+    listed = basic.join(close, column, "left").select(F.struct(F.col(column).alias("c"), "missing", "reason", F.coalesce("close", none).alias("close")).alias("x"))
+    packed = listed.agg(F.sort_array(F.collect_list("x")).alias("all"))
+    keep = lambda kept, x: F.when(x["reason"].isNull() & ~F.arrays_overlap(kept, x["close"]), F.array_append(kept, x["c"])).otherwise(kept)
+    judged = packed.select("all", F.aggregate("all", none, keep).alias("kept")).select("kept", F.inline("all"))
+    twin = F.array_min(F.array_intersect("kept", "close"))
+    redundant = F.col("reason").isNull() & ~F.array_contains("kept", F.col("c"))
+    # a column that is not kept was close to one kept before it, the least of those it is close to
+    return judged.select(F.col("c").alias(column), "missing", F.when(redundant, "redundant").otherwise(F.col("reason")).alias("reason"), F.when(redundant, twin).alias("redundant_with"))
 
 
 def feature_table(base: DataFrame, axis_table: DataFrame, axis: str, axis_values: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:
@@ -142,8 +137,6 @@ def snapshots(clock: DataFrame, requested: Sequence[float]) -> DataFrame:
 
 def spread_snapshots(clock: DataFrame, count: int) -> DataFrame:
     """``count`` actual frames spaced evenly over the frames a recording has."""
-    from lapsegrid.plans.scan import numbered
-
     placed = numbered(clock, ["stem"], ["frame_index"], frame_bucket(), "position")
     n = placed.groupBy("stem").agg(F.max("position").alias("__n"))
     want = n.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select(
@@ -165,19 +158,6 @@ def complete_hours(observed: DataFrame, recordings: DataFrame, hours_per_frame:
 
 
 def stable_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], alias: str) -> DataFrame:
-    """1-based place of each row in its key; ``-column`` descends, nulls come last either way. The order must be unique.
-
-    Work is cut along the first numeric column, its missing values together in a last bucket.
-    """
-    from lapsegrid.plans.scan import numbered
-
-    out, names = rows, []
-    for n, name in enumerate(order):
-        column, down = F.col(name.lstrip("-")), name.startswith("-")
-        out = out.withColumn(f"__n{n}", column.isNull().cast("int")).withColumn(f"__v{n}", -column if down else column)
-        names += [f"__n{n}", f"__v{n}"]
-    # percentiles of the order's own first column: a bucket is a share of the rows, whatever their spread
-    cuts = out.groupBy(*keys).agg(F.percentile_approx(F.col("__v0").cast("double"), [k / 64 for k in range(1, 64)], 1000).alias("__cuts"))
-    placed = out.join(cuts, list(keys))
-    bucket = F.when(F.col("__n0") == 1, F.lit(64)).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col("__v0")))).cast("long")
-    return numbered(placed.withColumn("__cut", bucket), keys, names, F.col("__cut"), alias).drop("__cuts", "__cut", *names)
+    """1-based place of each row in its key; ``-column`` descends, nulls come last either way, columns are of any type. The order must be unique."""
+    sorts = [F.col(c.lstrip("-")).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order]
+    return numbered_by(rows, keys, sorts, alias)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapsegrid.plans.heavy import has_heavy_key
+from lapsegrid.plans.heavy import LIMIT_SETTING as LIMIT_SETTING, has_heavy_key, limit_of
 
 BUCKET = "__bucket"
 FRAMES_PER_BUCKET = 4096
@@ -17,29 +17,21 @@ def frame_bucket(frame: str = "frame_index", width: float = FRAMES_PER_BUCKET) -
     return F.floor(F.col(frame) / F.lit(width)).cast("long")
 
 
-#: Stretches that a heavy key's order is cut into.
-STRETCHES = 64
+#: Rows of a stretch at least, where a lowered limit would cut finer.
+LEAST_STRETCH = 64
 
 
-def sketched(df: DataFrame, keys: Sequence[str], first: str, bucket: Column) -> DataFrame:
-    """df, written once, with the bucket of each row: for a numeric order, the place of its first column among the
-    key's own percentiles, so that a key crowded into a short span is cut as evenly as any; else ``bucket``."""
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df, written once, with the bucket of each row: consecutive stretches of about half of the heavy-key limit.
+
+    Spark samples and cuts the rows along the keys and the whole order, whatever its types and directions, so a key
+    crowded into a short span, or into one value of the first column, is cut as evenly as any.
+    """
     from lapsegrid.plans.durable import cut
 
-    kind = dict(df.dtypes)[first]
-    if not (kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp") or kind.startswith("decimal")):
-        return df.withColumn(BUCKET, bucket)
     held = cut(df)
-    value = F.unix_micros(F.col(first).cast("timestamp")) if kind in ("date", "timestamp") else F.col(first)
-    shares = [k / STRETCHES for k in range(1, STRETCHES)]
-    cuts = held.groupBy(*keys).agg(F.percentile_approx(value.cast("double"), shares, 2000).alias("__sketch"))
-    same = None
-    for k in keys:  # a missing key is a key
-        both = held[k].eqNullSafe(F.col(f"__k_{k}"))
-        same = both if same is None else same & both
-    named = cuts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__sketch")
-    place = F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.coalesce("__sketch", F.array().cast("array<double>")), lambda c: c < value.cast("double"))))
-    return held.join(named, same, "left").withColumn(BUCKET, place.cast("long")).drop("__sketch", *[f"__k_{k}" for k in keys])
+    stretches = max(1, -(-held.count() // max(limit_of(df) // 2, LEAST_STRETCH)))
+    return cut(held.repartitionByRange(stretches, *[F.col(k) for k in keys], *order).withColumn(BUCKET, F.spark_partition_id().cast("long")))
 
 
 def ordered_scan(
@@ -58,8 +50,8 @@ def ordered_scan(
 ) -> DataFrame:
     """Add order-dependent columns to ``df`` within ``keys``.
 
-    ``bucket`` must not decrease along ``order``, and ``order`` must be unique within ``keys``. It serves orders
-    that start with a text; the buckets of numeric ones come from a sketch of the key's own order.
+    ``order`` must be unique within ``keys``. ``bucket`` tells what a stretch of the order is where one is known; the cut
+    itself is taken from the rows (``ranged``), so no stretch outgrows the limit.
 
     * ``lag`` / ``lead``: ``{new: column}``, value on the previous / next row;
     * ``running`` / ``remaining``: ``{new: (sum|min|max, column)}`` from the first row to this one,
@@ -80,7 +72,7 @@ def ordered_scan(
     if not two_level:
         return _one_level(df, keys, order, lag, lead, running, remaining, fill_forward, fill_backward)
 
-    rows = sketched(df, keys, order[0], bucket)
+    rows = ranged(df, keys, [F.col(c).asc() for c in order])
     stamp = F.struct(*[F.col(c) for c in order])
     inner = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     inner_desc = Window.partitionBy(*keys, BUCKET).orderBy(*[F.col(c).desc() for c in order])
@@ -194,6 +186,24 @@ def numbered(
     ).drop("__one")
 
 
+def numbered_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], alias: str, two_level: bool | None = None) -> DataFrame:
+    """1-based row number within a key along any sort order, directions and places of nulls included. The order must be unique."""
+    keys = list(keys)
+    if two_level is None:
+        two_level = has_heavy_key(df, keys)
+    if not two_level:
+        return df.withColumn(alias, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    rows = ranged(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"__k_{k}") for k in keys]
+    edges = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n")).select(*named, F.col(BUCKET).alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = F.col(BUCKET) == F.col("__b")
+    for k in keys:  # a missing key is a key
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    inner = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order)))
+    return inner.join(edges, same).withColumn(alias, F.col("__in") + F.col("__before")).select(*df.columns, alias)
+
+
 def hash_numbered(
     df: DataFrame, keys: Sequence[str], seed: Column, alias: str = "draw", tie: Sequence[str] = (), two_level: bool | None = None
 ) -> DataFrame:

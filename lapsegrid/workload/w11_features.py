@@ -116,7 +116,15 @@ def _(i):
     return V.column_correlations(long_vectors(i), "vec_id", "dim", "value")
 
 
-@query("screened_columns")
+@query(
+    "screened_columns",
+    f"""WITH RECURSIVE {LONGV}, {_CORRV}, b AS (SELECT dim, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing, CASE WHEN avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END)>0.5 THEN 'missing' WHEN min(value) IS NULL OR min(value)=max(value) THEN 'constant' END AS reason FROM lv GROUP BY 1),
+ nr AS (SELECT column_a AS dim, column_b AS o FROM cr WHERE abs(spearman)>=0.1 UNION ALL SELECT column_b, column_a FROM cr WHERE abs(spearman)>=0.1), n AS (SELECT b.*, coalesce((SELECT list(o) FROM nr WHERE nr.dim=b.dim), []) AS close, row_number() OVER (ORDER BY dim) AS i FROM b),
+ g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT n.i, CASE WHEN reason IS NULL AND NOT list_has_any(kept, close) THEN list_append(kept, dim) ELSE kept END FROM g JOIN n ON n.i=g.i+1),
+ k AS (SELECT kept FROM g ORDER BY i DESC LIMIT 1)
+ SELECT dim, missing, CASE WHEN reason IS NULL AND NOT list_contains(kept, dim) THEN 'redundant' ELSE reason END AS reason, CASE WHEN reason IS NULL AND NOT list_contains(kept, dim) THEN list_min(list_intersect(kept, close)) END AS redundant_with FROM n, k""",
+    "missing",
+)
 def _(i):
     return V.screened_columns(long_vectors(i), "vec_id", "dim", "value", 0.5, 0.1)
 
@@ -258,6 +266,11 @@ def _(i):
     return model.transform(wide).select(*E2, (vector_to_array("pc")[0] * sign).alias("score"))
 
 
+@query("stable_order_of_texts", "SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment DESC, c_acctbal DESC, c_custkey) AS place FROM customer")
+def _(i):
+    return V.stable_order(i.table("customer"), ["c_nationkey"], ["-c_mktsegment", "-c_acctbal", "c_custkey"], "place").select("c_custkey", "c_mktsegment", "place")
+
+
 @query("stable_multi_key_order", f"WITH {DAILY_SQL}, s AS (SELECT stem, identity, count(*) AS n, max(CASE WHEN activity>1 THEN signal END) AS m FROM obs GROUP BY 1,2) SELECT stem, identity, row_number() OVER (PARTITION BY stem ORDER BY n DESC, m NULLS LAST, identity) AS place FROM s")
 def _(i):
     s = i.daily().groupBy(*E2).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("activity") > 1, F.col("signal"))).alias("m"))

@@ -74,7 +74,7 @@ def canon(columns, rows):
 
 
 #: Queries without an SQL answer; a query that is not named here must have one.
-NO_SQL = {"screened_columns", "principal_component_order", "kmeans_states", "bisecting_states", "mixture_states", "cohort_clusters"}
+NO_SQL = {"principal_component_order", "kmeans_states", "bisecting_states", "mixture_states", "cohort_clusters"}
 
 
 def compare(spark, duck, folder: str, name: str):

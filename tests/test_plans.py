@@ -73,19 +73,36 @@ def test_overlap_join_gives_each_pair_once(spark):
         assert sorted((round(x.lo, 9), round(x.hi, 9)) for x in got.collect()) == expected
 
 
-def test_a_crowded_key_is_cut_evenly(spark):
-    """Nine rows in ten belong to one entity within one day: no bucket holds more than a small share of them."""
-    from lapsegrid.plans import scan
+@pytest.mark.parametrize("first", ["spread", "equal", "text"])
+def test_a_crowded_key_is_cut_evenly(spark, first):
+    """Nine tenths of the rows in one key, crowded into a short span, into one first value, or ordered by text: the stretches stay bounded."""
+    n = 20_000
+    first_value = {"spread": F.when(F.col("id") < 10, F.col("id") * 1e6).otherwise(F.col("id") / 1e6), "equal": F.lit(1.0), "text": F.concat(F.lit("same beginning "), F.col("id").cast("string"))}[first]
+    rows = spark.range(n).select(F.lit("s").alias("stem"), F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(-1).alias("identity"), first_value.alias("at"), F.col("id"))
+    spark.conf.set(scan.LIMIT_SETTING, "1000")
+    try:
+        cut = scan.ranged(rows, ["stem", "identity"], [F.col("at").desc_nulls_last(), F.col("id").asc()])
+        sizes = [r["count"] for r in cut.groupBy("stem", "identity", scan.BUCKET).count().collect()]
+        heavy = cut.where("identity = -1").groupBy(scan.BUCKET).count().count()
+        placed = scan.numbered_by(rows, ["stem", "identity"], [F.col("at").desc_nulls_last(), F.col("id").asc()], "place", two_level=True)
+        plain = scan.numbered_by(rows, ["stem", "identity"], [F.col("at").desc_nulls_last(), F.col("id").asc()], "place", two_level=False)
+        assert placed.exceptAll(plain).isEmpty() and placed.count() == n
+    finally:
+        spark.conf.unset(scan.LIMIT_SETTING)
+    assert heavy >= 30 and max(sizes) <= 1000
 
-    rows = spark.range(20_000).select(
-        F.lit("s").alias("stem"), F.when(F.col("id") % 10 < 9, F.lit(1)).otherwise(F.col("id")).alias("identity"), (100 + F.col("id") * 24 / 20_000).alias("hours"), F.col("id").alias("v")
-    )
-    cut = scan.sketched(rows, ["stem", "identity"], "hours", F.floor(F.col("hours") / 4096).cast("long"))
-    sizes = [r["count"] for r in cut.where("identity = 1").groupBy(scan.BUCKET).count().collect()]
-    assert len(sizes) == scan.STRETCHES and max(sizes) < 3 * 18_000 / scan.STRETCHES
-    lagged = scan.ordered_scan(rows, ["stem", "identity"], ["hours"], F.lit(0).cast("long"), lag={"p": "v"}, running={"t": ("sum", "v")}, two_level=True)
-    plain = scan.ordered_scan(rows, ["stem", "identity"], ["hours"], F.lit(0).cast("long"), lag={"p": "v"}, running={"t": ("sum", "v")}, two_level=False)
-    assert lagged.exceptAll(plain).isEmpty() and lagged.count() == 20_000
+
+def test_order_by_any_columns_with_missing_values(spark):
+    from lapsegrid.operators.features import stable_order
+
+    rows = [("k", t, v, i) for i, (t, v) in enumerate([("b", 1.0), (None, 2.0), ("b", None), ("a", 5.0), ("b", 7.0), (None, None), ("c", 0.0)])]
+    df = spark.createDataFrame(rows, "key string, t string, v double, id long")
+    want = [r[3] for r in sorted(rows, key=lambda r: (r[1] is None, [-ord(c) for c in r[1] or ""], r[2] is None, r[2] or 0.0))]
+    for limit in ("1000000", "1"):
+        spark.conf.set(scan.LIMIT_SETTING, limit)
+        got = stable_order(df, ["key"], ["-t", "v", "id"], "place").orderBy("place").collect()
+        spark.conf.unset(scan.LIMIT_SETTING)
+        assert [r["id"] for r in got] == want and [r["place"] for r in got] == list(range(1, 8))
 
 
 def test_distance_map_is_the_nearest_place(spark):
