@@ -344,14 +344,8 @@ def _upper_distances(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.
     return d[np.triu_indices(len(left), 1)] if same else d.ravel()
 
 
-def recurrence(vectors: DataFrame, quantile: float, max_lag: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Returns to an earlier state: the distance below which the closest share of pairs lies, the rate of
-    returns by lag, and the shares of returns on diagonal and vertical runs.
-
-    Each block carries the row before and after it, so whether a return has a neighbour on its diagonal or
-    column is known inside one task.
-    """
-    vectors = cut(vectors)  # the cutoff and the hits must see the same bits
+def recurrence_cutoffs(vectors: DataFrame, quantile: float, block: int = BLOCK) -> DataFrame:
+    """(stem, identity, n, cutoff): the distance below which the closest share of an entity's pairs of frames lies."""
     sizes = vectors.groupBy(*ENTITY).agg(F.max("position").alias("n")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
     at = (F.col("pairs") - 1) * F.lit(float(quantile))
     ranks = sizes.select(*ENTITY, F.inline(F.array(*[
@@ -369,17 +363,28 @@ def recurrence(vectors: DataFrame, quantile: float, max_lag: int, block: int = B
         chosen = select_pair_ranks(block_pairs(vectors, ENTITY, "position", block), ENTITY, "position", _upper_distances, ranks)
         ends = chosen.groupBy(*ENTITY).agg(*[F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in ("lo", "hi")])
     frac = at - F.floor(at)
-    cutoff = ends.join(sizes, ENTITY).select(*ENTITY, "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("cutoff"))
+    return ends.join(sizes, ENTITY).select(*ENTITY, "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("cutoff"))
 
-    # halo: a row also belongs to the neighbouring block when it touches its edge
+
+def returns_by_lag(vectors: DataFrame, cutoff: DataFrame, keys: Sequence[str], max_lag: int, block: int = BLOCK) -> DataFrame:
+    """(keys, lag_frames, hits, d, v): returns at each lag (all longer ones together), and those on diagonal and vertical runs.
+
+    ``keys`` begin with the entity; more of them (a replicate) make an entity's surrogates groups of their own, all judged by
+    the entity's cutoff in one pass. Each block carries the row before and after it, so whether a return has a neighbour on
+    its diagonal or column is known inside one task; only counts leave it.
+    """
+    keys = list(keys)
+    key_fields = [vectors.schema[k] for k in keys]
     p = F.col("position") - 1
+    # halo: a row also belongs to the neighbouring block when it touches its edge
     homes = F.array_distinct(F.array(F.floor(p / block), F.floor((p - 1) / block), F.floor((p + 1) / block)))
     haloed = vectors.join(cutoff, ENTITY).withColumn("own", F.explode(homes)).where(
         (F.col("own") >= 0) & (F.col("own") <= F.floor((F.col("n") - 1) / block))
     ).withColumn("own", F.col("own").cast("int"))
     spread = haloed.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
     tasks = spread.withColumn("bi", F.least(F.col("own"), F.col("__o").cast("int"))).withColumn("bj", F.greatest(F.col("own"), F.col("__o").cast("int"))).drop("__o")
-    out = T.StructType([*key_fields, T.StructField("lag_frames", T.IntegerType()), T.StructField("hits", T.LongType()), T.StructField("diagonal", T.LongType()), T.StructField("vertical", T.LongType())])
+    counts = ("hits", "diagonal", "vertical")
+    out = T.StructType([*key_fields, T.StructField("lag_frames", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in counts)])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
@@ -399,20 +404,63 @@ def recurrence(vectors: DataFrame, quantile: float, max_lag: int, block: int = B
         frame = pd.DataFrame({"lag": lag, "h": hit[core], "d": 2 * diagonal[core].astype("int64"), "v": rows_run[core].astype("int64") + cols_run[core]})
         frame["lag"] = np.minimum(frame["lag"], max_lag + 1)
         g = frame.groupby("lag", sort=False).sum()
-        return pd.DataFrame({"stem": pdf["stem"].iloc[0], "identity": pdf["identity"].iloc[0], "lag_frames": g.index.astype("int32"),
-                             "hits": g["h"].astype("int64").to_numpy(), "diagonal": g["d"].astype("int64").to_numpy(), "vertical": g["v"].astype("int64").to_numpy()})
+        named = {k: pdf[k].iloc[0] for k in keys}
+        return pd.DataFrame({**named, "lag_frames": g.index.astype("int32"), "hits": g["h"].astype("int64").to_numpy(), "diagonal": g["d"].astype("int64").to_numpy(), "vertical": g["v"].astype("int64").to_numpy()})
 
-    counted = tasks.groupBy(*ENTITY, "bi", "bj").applyInPandas(count, out).groupBy(*ENTITY, "lag_frames").agg(
+    return tasks.groupBy(*keys, "bi", "bj").applyInPandas(count, out).groupBy(*keys, "lag_frames").agg(
         F.sum("hits").alias("hits"), F.sum("diagonal").alias("d"), F.sum("vertical").alias("v")
     )
-    rates = counted.where(F.col("lag_frames") <= max_lag).join(cutoff, ENTITY).select(
-        *ENTITY, "lag_frames", ratio("hits", F.col("n") - F.col("lag_frames")).alias("recurrence_rate"), (F.col("n") - F.col("lag_frames")).alias("recurrence_pairs")
-    )
-    total = counted.groupBy(*ENTITY).agg(F.sum("hits").alias("h"), F.sum("d").alias("d"), F.sum("v").alias("v"))
-    shares = total.join(cutoff, ENTITY).select(
-        *ENTITY, "cutoff", F.coalesce(ratio("d", 2 * F.col("h")), F.lit(0.0)).alias("determinism"), F.coalesce(ratio("v", 2 * F.col("h")), F.lit(0.0)).alias("laminarity")
-    )
-    return rates, shares
+
+
+def _rates(counted: DataFrame, cutoff: DataFrame, keys: Sequence[str], max_lag: int) -> DataFrame:
+    pairs = F.col("n") - F.col("lag_frames")
+    return counted.where(F.col("lag_frames") <= max_lag).join(cutoff, ENTITY).select(*keys, "lag_frames", ratio("hits", pairs).alias("recurrence_rate"), pairs.alias("recurrence_pairs"))
+
+
+def _shares(counted: DataFrame, cutoff: DataFrame, keys: Sequence[str]) -> DataFrame:
+    total = counted.groupBy(*keys).agg(F.sum("hits").alias("h"), F.sum("d").alias("d"), F.sum("v").alias("v"))
+    share = lambda c: F.coalesce(ratio(c, 2 * F.col("h")), F.lit(0.0))
+    return total.join(cutoff, ENTITY).select(*keys, "cutoff", share("d").alias("determinism"), share("v").alias("laminarity"))
+
+
+def recurrence(vectors: DataFrame, quantile: float, max_lag: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Returns to an earlier state: the rate of returns by lag, and the shares of returns on diagonal and vertical runs."""
+    vectors = cut(vectors)  # the cutoff and the hits must see the same bits
+    cutoff = recurrence_cutoffs(vectors, quantile, block)
+    counted = returns_by_lag(vectors, cutoff, ENTITY, max_lag, block)
+    return _rates(counted, cutoff, ENTITY, max_lag), _shares(counted, cutoff, ENTITY)
+
+
+def detrended(df: DataFrame, metrics: Sequence[str], time: str = "hours") -> DataFrame:
+    """Each metric less its own least-squares line over the entity, so that steady growth is no return."""
+    lines = df.groupBy(*ENTITY).agg(*[f(m, time).alias(f"__{a}_{m}") for m in metrics for a, f in (("a", F.regr_intercept), ("b", F.regr_slope))])
+    left = {m: F.col(m) - (F.coalesce(F.col(f"__a_{m}"), F.lit(0.0)) + F.coalesce(F.col(f"__b_{m}"), F.lit(0.0)) * F.col(time)) for m in metrics}
+    return df.join(lines, ENTITY).select(*[left[c].alias(c) if c in left else c for c in df.columns])
+
+
+def shuffled_vectors(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Surrogates of state vectors: each component of an entity dealt to its own frames by an md5 order of its own, per replicate."""
+    long = vectors.select(*ENTITY, "position", F.posexplode("state").alias("dim", "z")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    keys = [*ENTITY, "replicate"]
+    text = F.concat_ws("|", F.lit(str(seed)), "replicate", *ENTITY, "dim", "position")
+    dealt = hash_numbered(long, [*keys, "dim"], text, "__at", ["position"])
+    state = F.transform(F.sort_array(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"])
+    return dealt.groupBy(*keys, F.col("__at").alias("position")).agg(state.alias("state"))
+
+
+def recurrence_bands(vectors: DataFrame, quantile: float, max_lag: int, replicates: int, seed: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``recurrence`` beside matched noise: mean and central 95 % of the rate at each lag over the surrogates, and their mean
+    determinism and laminarity. Surrogates are judged by the entity's own cutoff."""
+    vectors = cut(vectors)
+    cutoff = cut(recurrence_cutoffs(vectors, quantile, block))
+    noise = cut(shuffled_vectors(vectors, replicates, seed))
+    keys = [*ENTITY, "replicate"]
+    counted, null = cut(returns_by_lag(vectors, cutoff, ENTITY, max_lag, block)), cut(returns_by_lag(noise, cutoff, keys, max_lag, block))
+    # one value a replicate: a declared, bounded number
+    at = lambda q: F.percentile("recurrence_rate", F.lit(q))
+    band = _rates(null, cutoff, keys, max_lag).groupBy(*ENTITY, "lag_frames").agg(F.avg("recurrence_rate").alias("surrogate_mean"), at(0.025).alias("surrogate_low"), at(0.975).alias("surrogate_high"))
+    shares = _shares(null, cutoff, keys).groupBy(*ENTITY).agg(F.avg("determinism").alias("determinism_surrogate"), F.avg("laminarity").alias("laminarity_surrogate"))
+    return _rates(counted, cutoff, ENTITY, max_lag).join(band, [*ENTITY, "lag_frames"]), _shares(counted, cutoff, ENTITY).join(shares, ENTITY)
 
 
 # --- sequences -------------------------------------------------------------------------------------------

@@ -258,6 +258,44 @@ def _(i):
     return Q.recurrence(_vectors(i), 0.1, 8)[1]
 
 
+_REPLICATES, _SEED = 9, 51
+_LINE = "{c}-(coalesce(regr_intercept({c},hours) OVER w,0)+coalesce(regr_slope({c},hours) OVER w,0)*hours)"
+_DEAL = "row_number() OVER (PARTITION BY stem, identity, replicate ORDER BY md5(concat_ws('|','" + str(_SEED) + "',replicate,stem,identity,{d},p)), p)"
+_BANDS = f"""dt AS (SELECT stem, identity, frame_index, {_LINE.format(c='area_px')} AS d1, {_LINE.format(c='mean_raw')} AS d2 FROM tk WINDOW w AS (PARTITION BY stem, identity)),
+ sv AS (SELECT stem, identity, row_number() OVER (PARTITION BY stem, identity ORDER BY frame_index) AS p, count(*) OVER w AS n, {_Z.format(c='d1')} AS z1, {_Z.format(c='d2')} AS z2 FROM dt WINDOW w AS (PARTITION BY stem, identity)),
+ rp AS (SELECT sv.*, {_DEAL.format(d=0)} AS q1, {_DEAL.format(d=1)} AS q2 FROM (SELECT *, unnest(range(1,{_REPLICATES + 1})) AS replicate FROM sv WHERE n>=8) sv),
+ su AS (SELECT stem, identity, 0 AS replicate, p, n, z1, z2 FROM sv WHERE n>=8 UNION ALL SELECT a.stem, a.identity, a.replicate, a.q1, a.n, a.z1, b.z2 FROM rp a JOIN rp b ON a.stem=b.stem AND a.identity=b.identity AND a.replicate=b.replicate AND a.q1=b.q2),
+ ds AS (SELECT a.stem, a.identity, a.replicate, a.n, a.p AS i, b.p AS j, round(sqrt((a.z1-b.z1)**2+(a.z2-b.z2)**2),9) AS d FROM su a JOIN su b ON a.stem=b.stem AND a.identity=b.identity AND a.replicate=b.replicate AND a.p<>b.p),
+ cu AS (SELECT stem, identity, quantile_cont(d,0.1) AS cutoff FROM ds WHERE i<j AND replicate=0 GROUP BY 1,2), ht AS (SELECT ds.*, cutoff, d<=cutoff AS h FROM ds JOIN cu USING (stem, identity))"""
+
+
+def _detrended_vectors(i):
+    return Q.state_vectors(Q.detrended(i.tracks(), ["area_px", "mean_raw"]), ["area_px", "mean_raw"], 8)
+
+
+@query(
+    "recurrence_bands",
+    f"""{TK}, {_BANDS}, r AS (SELECT stem, identity, replicate, CAST(j-i AS INTEGER) AS lag_frames, count(*) FILTER (WHERE h)/any_value(n-(j-i)) AS rate, any_value(n-(j-i)) AS recurrence_pairs FROM ht WHERE i<j AND j-i<=8 GROUP BY 1,2,3,4)
+ SELECT o.stem, o.identity, o.lag_frames, o.rate AS recurrence_rate, o.recurrence_pairs, avg(s.rate) AS surrogate_mean, quantile_cont(s.rate,0.025) AS surrogate_low, quantile_cont(s.rate,0.975) AS surrogate_high FROM r o JOIN r s USING (stem, identity, lag_frames) WHERE o.replicate=0 AND s.replicate>0 GROUP BY ALL""",
+    "recurrence_rate surrogate_mean surrogate_low surrogate_high",
+)
+def _(i):
+    return Q.recurrence_bands(_detrended_vectors(i), 0.1, 8, _REPLICATES, _SEED)[0]
+
+
+@query(
+    "recurrence_quantification_bands",
+    f"""{TK}, {_BANDS}, pt AS (SELECT * FROM ht WHERE h), mk2 AS (SELECT p.stem, p.identity, p.replicate, p.i, p.j, max(CASE WHEN q.i=p.i+1 AND q.j=p.j+1 OR q.i=p.i-1 AND q.j=p.j-1 THEN 1 ELSE 0 END) AS dg, max(CASE WHEN q.j=p.j AND abs(q.i-p.i)=1 THEN 1 ELSE 0 END) AS vt
+ FROM pt p LEFT JOIN pt q ON q.stem=p.stem AND q.identity=p.identity AND q.replicate=p.replicate AND abs(q.i-p.i)<=1 AND abs(q.j-p.j)<=1 GROUP BY 1,2,3,4,5),
+ sh AS (SELECT g.stem, g.identity, g.replicate, coalesce(avg(dg),0) AS dt, coalesce(avg(vt),0) AS lm FROM (SELECT DISTINCT stem, identity, replicate FROM su) g LEFT JOIN mk2 USING (stem, identity, replicate) GROUP BY 1,2,3)
+ SELECT cu.stem, cu.identity, cutoff, any_value(dt) FILTER (WHERE replicate=0) AS determinism, any_value(lm) FILTER (WHERE replicate=0) AS laminarity, avg(dt) FILTER (WHERE replicate>0) AS determinism_surrogate, avg(lm) FILTER (WHERE replicate>0) AS laminarity_surrogate FROM cu JOIN sh USING (stem, identity) GROUP BY 1,2,3""",
+    "cutoff determinism laminarity determinism_surrogate laminarity_surrogate",
+    digits=7,
+)
+def _(i):
+    return Q.recurrence_bands(_detrended_vectors(i), 0.1, 8, _REPLICATES, _SEED)[1]
+
+
 @query("symbol_sequences", f"{BASE}, g AS (SELECT stem, identity, CAST(unnest(range(n_frames)) AS INTEGER) AS frame_index FROM (SELECT DISTINCT stem, identity FROM cl) JOIN {clock_sql('tk')} USING (stem)) SELECT g.*, coalesce(regime,-1) AS symbol FROM g LEFT JOIN (SELECT stem, identity, frame_index, regime FROM cl) USING (stem, identity, frame_index)")
 def _(i):
     return Q.symbol_sequences(classed(i), clock_of(i.tracks()))
