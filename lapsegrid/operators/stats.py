@@ -361,6 +361,59 @@ def within_changes(assessed: DataFrame, baseline: str, near_zero: float, thresho
     return rows.select(*keys, "window", "mean", "baseline", change.alias("change"), relative.alias("relative_change"), refused.alias("relative_refused"), outcome.alias("outcome"))
 
 
+def change_evidence(
+    observations: DataFrame, assessed: DataFrame, metrics: dict[str, float], anchor: float, windows: Sequence[tuple[str, float, float]], baseline: str, alpha: float
+) -> DataFrame:
+    """A test behind each entity's change from its baseline window to another: estimate with a pointwise interval, rank-sum p, q within the
+    measurement's family, and what may be said.
+
+    ``metrics`` names measurements with their meaningful size, in their own unit. Only comparisons whose windows are both eligible are
+    tested; the others keep their slot in the family. An outcome is increase or decrease (supported and of meaningful size),
+    detected_below_meaningful_threshold, no_detected_change, or inconclusive (not tested). No detected change is not shown absence.
+    """
+    keys = [*ENTITY, "metric", "window"]
+    others = [n for n, _, _ in windows if n != baseline]
+    declared = F.array(*[F.struct(F.lit(n).alias("at"), F.lit(anchor + a).alias("w0"), F.lit(anchor + b).alias("w1")) for n, a, b in windows])
+    long = observations.select(*ENTITY, "hours", *metrics).unpivot([*ENTITY, "hours"], list(metrics), "metric", "value").where(F.col("value").isNotNull())
+    inside = long.select("*", F.inline(declared)).where((F.col("hours") >= F.col("w0")) & (F.col("hours") < F.col("w1")))
+    # the baseline meets each other window: a declared, short list
+    met = F.when(F.col("at") == baseline, F.array(*[F.lit(o) for o in others])).otherwise(F.array("at"))
+    rows = cut(inside.select(*ENTITY, "metric", F.explode(met).alias("window"), F.when(F.col("at") == baseline, "baseline").otherwise("target").alias("side"), "value"))
+    side = lambda f, s: f(F.when(F.col("side") == s, F.col("value")))
+    sums = rows.groupBy(*keys).agg(*[side(f, s).alias(f"{n}_{s}") for s in ("target", "baseline") for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
+    ranks = mann_whitney(rows, keys, "side", ("target", "baseline"), "value").select(*keys, F.col("p_value").alias("__p"), "effect")
+    base = assessed.where(F.col("window") == baseline).select(*ENTITY, "metric", F.col("eligible").alias("__be"))
+    asked = assessed.where(F.col("window").isin(others)).join(base, [*ENTITY, "metric"]).select(*keys, (F.col("eligible") & F.col("__be")).alias("eligible"))
+    joined = asked.join(sums, keys, "left").join(ranks, keys, "left")
+    spread = F.sqrt(F.col("var_target") / F.col("n_target") + F.col("var_baseline") / F.col("n_baseline")) * 1.959963984540054
+    estimate = F.when(F.col("eligible"), F.col("mean_target") - F.col("mean_baseline"))
+    tested = joined.select(
+        *keys, "eligible", F.coalesce("n_baseline", F.lit(0).cast("long")).alias("baseline_observations"), F.coalesce("n_target", F.lit(0).cast("long")).alias("target_observations"),
+        estimate.alias("estimate"), (estimate - spread).alias("interval_low"), (estimate + spread).alias("interval_high"),
+        F.when(F.col("eligible"), F.col("effect")).alias("effect"), F.when(F.col("eligible"), F.col("__p")).alias("p_value"),
+    )
+    judged = corrected(tested, ["metric"], "p_value").withColumnRenamed("q_bh", "q_value").withColumnRenamed("family_size", "family_requested").drop("p_bonferroni", "p_sidak")
+    size = F.lit(None).cast("double")
+    for name, least in metrics.items():
+        size = F.when(F.col("metric") == name, F.lit(float(least))).otherwise(size)
+    supported, large = F.coalesce(F.col("q_value") <= alpha, F.lit(False)), F.coalesce(F.abs("estimate") >= size, F.lit(False)) & (F.col("estimate") != 0)
+    outcome = (
+        F.when(supported & large, F.when(F.col("estimate") > 0, "increase").otherwise("decrease")).when(supported, "detected_below_meaningful_threshold")
+        .when(F.col("p_value").isNotNull(), "no_detected_change").otherwise("inconclusive")
+    )
+    return judged.withColumn("outcome", outcome).withColumn("meaningful_size", size)
+
+
+def evidence_decision(evidence: DataFrame) -> DataFrame:
+    """Per entity: responding if any comparison supports a response, else whether anything was tested at all."""
+    moved = F.count_if(F.col("outcome").isin("increase", "decrease"))
+    tested = F.count("p_value")
+    return evidence.groupBy(*ENTITY).agg(
+        F.count(F.lit(1)).alias("requested_comparisons"), tested.alias("tested_comparisons"), moved.alias("responding_comparisons"),
+        F.when(moved > 0, "responding").when(tested > 0, "no_detected_response").otherwise("inconclusive").alias("decision"),
+    )
+
+
 def entity_decision(outcomes: DataFrame) -> DataFrame:
     """One verdict per entity over its windows and metrics."""
     has = lambda o: F.max((F.col("outcome") == o).cast("int")) == 1

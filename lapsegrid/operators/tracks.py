@@ -103,14 +103,15 @@ def median_then_mean(df: DataFrame, value: str, alias: str, keys=tuple(ENTITY))
     return centred_mean(with_mid, "__med", 3, alias, keys).withColumnRenamed("__med", alias + "_median")
 
 
-def running_baseline(df: DataFrame, value: str, half_window: int, keys=tuple(ENTITY)) -> DataFrame:
-    """Centred mean of whatever frames exist within the window, the residual, and whether the window is cut
-    by an end of the trace."""
+def running_baseline(df: DataFrame, value: str, half_window: int, keys=tuple(ENTITY), statistic: str = "mean") -> DataFrame:
+    """Centred mean or median of whatever frames exist within the window, the residual, and whether the window is cut
+    by an end of the trace. A value goes to the frames it counts for, so a group is one window, whatever the trace."""
     spread = df.where(F.col(value).isNotNull()).select(
         *keys, F.explode(F.sequence(F.col("frame_index") - half_window, F.col("frame_index") + half_window)).alias("frame_index"),
         F.col(value).alias("__v"),
     )
-    means = spread.groupBy(*keys, "frame_index").agg(F.avg("__v").alias("baseline"))
+    middle = {"mean": F.avg, "median": F.median}[statistic]("__v").cast("double")
+    means = spread.groupBy(*keys, "frame_index").agg(middle.alias("baseline"))
     ends = df.groupBy(*keys).agg(F.min("frame_index").alias("__f0"), F.max("frame_index").alias("__f1"))
     edge = (F.col("frame_index") - half_window < F.col("__f0")) | (F.col("frame_index") + half_window > F.col("__f1"))
     return (

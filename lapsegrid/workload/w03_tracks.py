@@ -77,6 +77,17 @@ def _(i):
     return K.running_baseline(i.traces().select("stem", "identity", "frame_index", "signal"), "signal", 8)
 
 
+@query(
+    "running_median_baseline",
+    f"""WITH {TRACES_SQL} SELECT stem, identity, frame_index, signal, median(signal) OVER w AS baseline, signal - median(signal) OVER w AS residual,
+ frame_index-8 < min(frame_index) OVER (PARTITION BY stem, identity) OR frame_index+8 > max(frame_index) OVER (PARTITION BY stem, identity) AS edge FROM tr
+ WINDOW w AS (PARTITION BY stem, identity ORDER BY frame_index RANGE BETWEEN 8 PRECEDING AND 8 FOLLOWING)""",
+    "signal baseline residual",
+)
+def _(i):
+    return K.running_baseline(i.traces().select("stem", "identity", "frame_index", "signal"), "signal", 8, statistic="median")
+
+
 @query(
     "linear_detrend",
     f"""WITH {TRACES_SQL}, l AS (SELECT stem, identity, coalesce(regr_slope(signal, hours),0) AS b, avg(hours) AS t, avg(signal) AS m FROM tr GROUP BY 1,2)

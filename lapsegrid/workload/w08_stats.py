@@ -294,6 +294,39 @@ def _(i):
     return S.within_changes(assessed(i), "before", 1e-6, 0.1)
 
 
+_SIZES, _ALPHA = {"signal": 10.0, "activity": 0.3}, 0.4
+_EK = 'stem, identity, metric, "window"'
+_EV = f"""ei AS (SELECT i.stem, i.identity, i.metric, t.w AS "window", i.value, i."window"<>'before' AS target FROM ins i JOIN (VALUES ('early'),('late')) t(w) ON i."window"=t.w OR i."window"='before' WHERE i.value IS NOT NULL),
+ er AS (SELECT *, {_rank(_EK, 'value')} AS rk FROM ei), et AS (SELECT {_EK}, sum(k**3-k) AS t3, sum(k) AS n FROM (SELECT {_EK}, value, CAST(count(*) AS DOUBLE) AS k FROM ei GROUP BY ALL) GROUP BY ALL),
+ es AS (SELECT {_EK}, sum(rk) FILTER (WHERE target) AS ra, count(*) FILTER (WHERE target) AS na, count(*) FILTER (WHERE NOT target) AS nb, avg(value) FILTER (WHERE target)-avg(value) FILTER (WHERE NOT target) AS est, var_samp(value) FILTER (WHERE target) AS va, var_samp(value) FILTER (WHERE NOT target) AS vb FROM er GROUP BY ALL),
+ eu AS (SELECT es.*, ra-na*(na+1)/2.0 AS u, na*nb/12.0*((n+1)-t3/nullif(n*(n-1),0)) AS s2 FROM es JOIN et USING ({_EK})), ez AS (SELECT *, CASE WHEN na>0 AND nb>0 AND s2>0 THEN greatest(abs(u-na*nb/2.0)-0.5,0)/sqrt(s2) END AS z FROM eu),
+ eq AS (SELECT a.stem, a.identity, a.metric, a."window", a.reasons='' AND b.reasons='' AS eligible FROM ass a JOIN ass b ON a.stem=b.stem AND a.identity=b.identity AND a.metric=b.metric AND b."window"='before' WHERE a."window"<>'before'),
+ ep AS (SELECT eq.*, coalesce(nb,0) AS baseline_observations, coalesce(na,0) AS target_observations, CASE WHEN eligible THEN est END AS estimate, CASE WHEN eligible THEN est END-1.959963984540054*sqrt(va/na+vb/nb) AS interval_low, CASE WHEN eligible THEN est END+1.959963984540054*sqrt(va/na+vb/nb) AS interval_high,
+  CASE WHEN eligible THEN 2.0*u/(na*nb)-1 END AS effect, CASE WHEN eligible AND z IS NOT NULL THEN {_P2.format(z='z')} END AS p_value FROM eq LEFT JOIN ez USING ({_EK})),
+ ec AS (SELECT *, count(*) OVER (PARTITION BY metric) AS family_requested, coalesce(p_value,1.0)*count(*) OVER (PARTITION BY metric)/count(*) OVER (PARTITION BY metric ORDER BY coalesce(p_value,1.0)) AS raw FROM ep),
+ ed AS (SELECT * EXCLUDE (raw), CASE WHEN p_value IS NOT NULL THEN least(min(raw) OVER (PARTITION BY metric ORDER BY coalesce(p_value,1.0) DESC),1.0) END AS q_value, CASE metric WHEN 'signal' THEN 10.0 ELSE 0.3 END AS meaningful_size FROM ec),
+ ef AS (SELECT *, CASE WHEN q_value<={_ALPHA} AND abs(estimate)>=meaningful_size AND estimate<>0 THEN CASE WHEN estimate>0 THEN 'increase' ELSE 'decrease' END WHEN q_value<={_ALPHA} THEN 'detected_below_meaningful_threshold' WHEN p_value IS NOT NULL THEN 'no_detected_change' ELSE 'inconclusive' END AS outcome FROM ed)"""
+
+
+def _evidence(i):
+    windows = [("before", -120.0, 0.0), ("early", 0.0, 120.0), ("late", 240.0, 420.0)]
+    return S.change_evidence(i.traces(), assessed(i), _SIZES, 360.0, windows, "before", _ALPHA)
+
+
+@query("change_evidence", f"WITH {TRACES_SQL}, {_AW}, {_EV} SELECT * FROM ef", "estimate interval_low interval_high effect p_value q_value meaningful_size")
+def _(i):
+    return _evidence(i)
+
+
+@query(
+    "evidence_decisions",
+    f"""WITH {TRACES_SQL}, {_AW}, {_EV} SELECT stem, identity, count(*) AS requested_comparisons, count(p_value) AS tested_comparisons, count(*) FILTER (WHERE outcome IN ('increase','decrease')) AS responding_comparisons,
+ CASE WHEN count(*) FILTER (WHERE outcome IN ('increase','decrease'))>0 THEN 'responding' WHEN count(p_value)>0 THEN 'no_detected_response' ELSE 'inconclusive' END AS decision FROM ef GROUP BY 1,2""",
+)
+def _(i):
+    return S.evidence_decision(_evidence(i))
+
+
 @query(
     "entity_decisions",
     f"""WITH {TRACES_SQL}, {_AW}, {_WC} SELECT stem, identity, CASE WHEN bool_or(outcome='increase') AND bool_or(outcome='decrease') THEN 'mixed' WHEN bool_or(outcome='increase') THEN 'increase' WHEN bool_or(outcome='decrease') THEN 'decrease' WHEN bool_or(outcome IN ('below_threshold','no_change')) THEN 'no_detected_change' ELSE 'inconclusive' END AS decision, count(*) AS tests FROM wo GROUP BY 1,2""",
