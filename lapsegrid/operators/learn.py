@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio
+from lapsegrid.plans.durable import cut
 from lapsegrid.plans.scan import hash_numbered
 
 
@@ -61,6 +62,10 @@ def capped_membership(rows: DataFrame, group: str, entity: Sequence[str], row_id
     return taken.withColumn("budget", F.lit(budget).cast("long")).where(F.col("place") <= F.col("budget")).drop("__h")
 
 
+#: Differences that one step of an assignment holds.
+SCORES = 4_000_000
+
+
 def nearest_centre(vectors: DataFrame, row: str, vector: str, centres: DataFrame, outlier: float, block: int = 1024) -> DataFrame:
     """Frozen assignment: nearest centre, distance, margin to the runner-up, and a status.
 
@@ -75,16 +80,19 @@ def nearest_centre(vectors: DataFrame, row: str, vector: str, centres: DataFrame
     kind, state = dict(mine.dtypes)["row"], dict(theirs.dtypes)["state"]
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"row": [], "distance": [], "state": []}
-        if len(left) and len(right):
-            x, c, names = np.array(left["v"].tolist(), float), np.array(right["v"].tolist(), float), right["state"].to_numpy()
-            for i, r in enumerate(left["row"].tolist()):
-                d = np.round(np.sqrt(((c - x[i]) ** 2).sum(axis=1)), 9)
-                for j in np.lexsort((names, d))[:2]:
-                    out["row"].append(r)
-                    out["distance"].append(float(d[j]))
-                    out["state"].append(names[j])
-        return pd.DataFrame(out)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"row": [], "distance": [], "state": []})
+        right = right.sort_values("state")  # of equally far centres the smaller name comes first
+        x, c, names = np.array(left["v"].tolist(), float), np.array(right["v"].tolist(), float), right["state"].to_numpy()
+        step = max(1, SCORES // c.size)
+        best, far = [], []
+        for at in range(0, len(x), step):
+            d = np.round(np.sqrt(((x[at : at + step, None, :] - c[None, :, :]) ** 2).sum(axis=2)), 9)
+            two = np.argsort(d, axis=1, kind="stable")[:, :2]
+            best.append(two)
+            far.append(np.take_along_axis(d, two, axis=1))
+        two, d = np.concatenate(best), np.concatenate(far)
+        return pd.DataFrame({"row": np.repeat(left["row"].to_numpy(), two.shape[1]), "distance": d.ravel(), "state": names[two.ravel()]})
 
     pairs = mine.groupBy("rb", "cb").cogroup(theirs.groupBy("rb", "cb")).applyInPandas(near, f"row {kind}, distance double, state {state}")
     best = pairs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("distance", "state"))).alias("o"))  # two per block of centres
@@ -109,6 +117,52 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return j.select(F.col("total").alias("rows"), ratio(F.col("both") - expected, (F.col("sa") + F.col("sb")) / 2 - expected).alias("adjusted_rand"))
 
 
+def refit_stability(vectors: DataFrame, row: str, vector: str, states: int, refits: int, share: float, rounds: int, seed: int) -> DataFrame:
+    """How alike are the groupings of k-means refits? (refit_a, refit_b, rows, adjusted_rand) over all pairs of refits.
+
+    Each refit draws its own share of the rows by md5, starts from the rows with its smallest md5 keys and takes ``rounds`` rounds of
+    nearest centre and mean, all refits in one job a round; then every row of the table, drawn or not, is placed by every refit. Centres
+    are a declared, small number of vectors and travel as one array a refit; rows never leave Spark.
+    """
+    text = lambda kind: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(kind), "refit", row))
+    every = vectors.select(F.col(row), F.col(vector).alias("v")).withColumn("refit", F.explode(F.sequence(F.lit(0), F.lit(refits - 1))))
+    drawn = F.conv(F.substring(text("draw"), 1, 8), 16, 10).cast("double") / 2.0**32 < share
+    members = cut(every.where(drawn))
+    centres = _smallest(members, text("start"), states)
+    for _ in range(rounds):
+        near = _placed(members, centres).select("refit", "state", F.posexplode("v").alias("dim", "x"))
+        means = near.groupBy("refit", "state", "dim").agg(F.avg("x").alias("m"))
+        means = means.groupBy("refit", "state").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda d: d["m"]).alias("c"))
+        centres = cut(means)
+    placed = cut(_placed(every, centres).select(row, "refit", "state"))
+    both = placed.select(row, F.col("refit").alias("refit_a"), F.col("state").alias("a")).join(placed.select(row, F.col("refit").alias("refit_b"), F.col("state").alias("b")), row)
+    keys = ["refit_a", "refit_b"]
+    cell = cut(both.where("refit_a < refit_b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
+    whole = cell.groupBy(*keys).agg(two("n").alias("both"), F.sum("n").alias("rows"))
+    sides = [cell.groupBy(*keys, side).agg(F.sum("n").alias("n")).groupBy(*keys).agg(two("n").alias("s" + side)) for side in ("a", "b")]
+    joined = whole.join(sides[0], keys).join(sides[1], keys)
+    expected = F.col("sa") * F.col("sb") / (F.col("rows") * (F.col("rows") - 1) / 2.0)
+    return joined.select(*keys, "rows", ratio(F.col("both") - expected, (F.col("sa") + F.col("sb")) / 2 - expected).alias("adjusted_rand"))
+
+
+def _smallest(members: DataFrame, key: Column, states: int) -> DataFrame:
+    """The members with the smallest keys of each refit, as its first centres: partial minima first, so no refit is sorted whole."""
+    parts = members.withColumn("__key", key).withColumn("__part", F.substring("__key", 1, 2))
+    inner = Window.partitionBy("refit", "__part").orderBy("__key")
+    few = parts.withColumn("__n", F.row_number().over(inner)).where(F.col("__n") <= states)
+    place = F.row_number().over(Window.partitionBy("refit").orderBy("__key"))
+    return cut(few.withColumn("state", place - 1).where(F.col("state") < states).select("refit", "state", F.col("v").alias("c")))
+
+
+def _placed(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Each row with the state of the nearest centre of its refit (of equally far ones the smaller)."""
+    packed = centres.groupBy("refit").agg(F.collect_list(F.struct("state", "c")).alias("__c"))
+    far = lambda v, c: F.sqrt(F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    near = F.array_min(F.transform("__c", lambda c: F.struct(F.round(far(F.col("v"), c["c"]), 9).alias("d"), c["state"].alias("state"))))
+    return rows.join(packed, "refit").withColumn("state", near["state"]).drop("__c")
+
+
 def fit_mixture(vectors: DataFrame, features: str, counts: Sequence[int], selection: DataFrame, seed: int):
     """Gaussian mixtures for each count, scored by mean log likelihood on held-out rows; the smallest count
     within one standard error of the best is kept. Returns (model, chosen count, scores)."""

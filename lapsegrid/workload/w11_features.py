@@ -208,6 +208,31 @@ def ml_vectors(i, axes=None):
     return reduced.select("vec_id", "label", F.col("axes").alias("features"))
 
 
+_REFITS = dict(states=4, refits=4, share=0.8, rounds=3, seed=61)
+
+
+def _refit_sql(states, refits, share, rounds, seed):
+    key = lambda kind: f"md5(concat_ws('|','{seed}','{kind}',refit,vec_id))"
+    near = "first(state ORDER BY round(list_distance(v, c), 9), state)"
+    parts = [f"""ev AS (SELECT vec_id, v, CAST(refit AS INTEGER) AS refit FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), range({refits}) t(refit)),
+ me AS (SELECT * FROM ev WHERE CAST('0x' || substr({key('draw')},1,8) AS BIGINT)/4294967296.0 < {share}),
+ c0 AS (SELECT refit, row_number() OVER (PARTITION BY refit ORDER BY {key('start')})-1 AS state, v AS c FROM me QUALIFY row_number() OVER (PARTITION BY refit ORDER BY {key('start')}) <= {states})"""]
+    for r in range(1, rounds + 1):
+        parts.append(f"""a{r} AS (SELECT refit, vec_id, any_value(v) AS v, {near} AS state FROM me JOIN c{r - 1} USING (refit) GROUP BY 1,2),
+ c{r} AS (SELECT refit, state, list(m ORDER BY d) AS c FROM (SELECT refit, state, d, avg(x) AS m FROM (SELECT refit, state, unnest(v) AS x, unnest(range(len(v))) AS d FROM a{r}) GROUP BY 1,2,3) GROUP BY 1,2)""")
+    parts.append(f"""pl AS (SELECT refit, vec_id, {near} AS state FROM ev JOIN c{rounds} USING (refit) GROUP BY 1,2),
+ ce AS (SELECT a.refit AS refit_a, b.refit AS refit_b, a.state AS a, b.state AS b, CAST(count(*) AS DOUBLE) AS n FROM pl a JOIN pl b ON a.vec_id=b.vec_id AND a.refit<b.refit GROUP BY ALL),
+ wh AS (SELECT refit_a, refit_b, sum(n*(n-1)/2) AS both_, sum(n) AS n FROM ce GROUP BY 1,2), sa AS (SELECT refit_a, refit_b, sum(n*(n-1)/2) AS sa FROM (SELECT refit_a, refit_b, a, sum(n) AS n FROM ce GROUP BY 1,2,3) GROUP BY 1,2), sb AS (SELECT refit_a, refit_b, sum(n*(n-1)/2) AS sb FROM (SELECT refit_a, refit_b, b, sum(n) AS n FROM ce GROUP BY 1,2,3) GROUP BY 1,2)
+ SELECT refit_a, refit_b, CAST(n AS BIGINT) AS rows, (both_-sa*sb/(n*(n-1)/2))/nullif((sa+sb)/2-sa*sb/(n*(n-1)/2),0) AS adjusted_rand FROM wh JOIN sa USING (refit_a, refit_b) JOIN sb USING (refit_a, refit_b)""")
+    return "WITH " + ", ".join(parts)
+
+
+@query("refit_stability", _refit_sql(**_REFITS), "adjusted_rand")
+def _(i):
+    vectors = i.table("embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    return M.refit_stability(vectors, "vec_id", "v", **_REFITS)
+
+
 @query("kmeans_states")
 def _(i):
     from pyspark.ml.clustering import KMeans
