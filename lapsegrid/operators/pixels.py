@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsegrid.functions.numeric import ratio
 from lapsegrid.plans.distance import distance_map
+from lapsegrid.plans.durable import cut
 from lapsegrid.plans.nearest import k_nearest
 from lapsegrid.plans.ranks import metric_quantiles, quantiles
 from lapsegrid.plans.scan import frame_bucket, islands, ordered_scan
@@ -555,6 +556,41 @@ def expanded_outlines(pixels: DataFrame, margin: float) -> DataFrame:
     )
 
 
+def outline_signal(pixels: DataFrame, margin: float, inner: float, outer: float, minimum: int, blocked: str = "unclaimed") -> DataFrame:
+    """Total of each mask and of its exclusive outline, less the background around it.
+
+    A free place within ``margin`` of a mask belongs to the nearest one (ties: the smaller identity), unless it is blocked. The background
+    is the free places further than ``inner`` and no further than ``outer`` from the outline that are in nobody's outline and not blocked;
+    with fewer than ``minimum`` of them the corrected total is missing and the status says so. ``clipped_px`` are the places within the
+    margin that the outline did not get. Only the boundary of a mask or an outline looks around itself.
+    """
+    masks = pixels.where(F.col("identity").isNotNull()).select(*CELL, "y", "x", "raw")
+    free = pixels.where(F.col("identity").isNull() & ~F.coalesce(F.col(blocked), F.lit(False))).select(*PLACE, "raw")
+    field = pixels.select(*PLACE)
+    # outwards only: of the places around a boundary, those of other masks and of the mask itself fall away in the joins
+    around = cut(spread(boundary(masks), offsets(margin, 0.0)).groupBy(*CELL, "y", "x").agg(F.min("d").alias("d")))
+    claims = around.groupBy(*PLACE).agg(F.min(F.struct("d", "identity")).alias("c"))
+    added = free.join(claims, PLACE).select(*PLACE, F.col("c.identity").alias("identity"), "raw")
+    grown = cut(masks.withColumn("added", F.lit(0)).unionByName(added.withColumn("added", F.lit(1))))
+    wanted = around.join(masks.select(*CELL, "y", "x"), [*CELL, "y", "x"], "left_anti").join(field, PLACE, "left_semi").groupBy(*CELL).agg(F.count(F.lit(1)).alias("__wanted"))
+    totals = grown.groupBy(*CELL).agg(
+        F.count_if(F.col("added") == 0).alias("area_px"), F.count(F.lit(1)).alias("expanded_px"), F.sum(F.when(F.col("added") == 0, F.col("raw"))).alias("original_total"), F.sum("raw").alias("expanded_total"),
+    )
+    open_ = free.join(grown.select(*PLACE), PLACE, "left_anti")
+    ring = spread(boundary(grown), offsets(outer, 0.0)).groupBy(*CELL, "y", "x").agg(F.min("d").alias("d")).where(F.col("d") > inner)
+    # a mask's surroundings hold no more places than its field
+    level = ring.join(open_, PLACE).where(F.col("raw").isNotNull()).groupBy(*CELL).agg(F.count(F.lit(1)).alias("background_px"), F.avg("raw").alias("__mean"), F.median("raw").alias("__median"))
+    out = totals.join(level, CELL, "left").join(wanted, CELL, "left")
+    none = F.lit(0).cast("long")
+    enough = F.coalesce("background_px", none) >= minimum
+    background = F.when(enough, F.col("__mean"))
+    return out.select(
+        *CELL, "area_px", "expanded_px", "original_total", "expanded_total", F.coalesce("background_px", none).alias("background_px"), background.alias("background_mean"),
+        F.when(enough, F.col("__median")).alias("background_median"), (F.col("expanded_total") - background * F.col("expanded_px")).alias("corrected_total"),
+        (F.col("area_px") + F.coalesce("__wanted", none) - F.col("expanded_px")).alias("clipped_px"), F.when(enough, "ok").otherwise("insufficient_background").alias("status"),
+    )
+
+
 def fixed_apertures(centres: DataFrame, values: DataFrame, radius: float, height: int, width: int) -> DataFrame:
     """Total of a value over a fixed disc at a fractional centre, each disc point read bilinearly from its four
     places. A disc that leaves the field or meets a place without a value has a status instead of a total."""

@@ -452,6 +452,24 @@ def _(i):
     return X.expanded_outlines(i.pixels(), 2.0)
 
 
+_D2 = "(m.y-f.y)**2+(m.x-f.x)**2"
+_AT = "m.stem=f.stem AND m.frame_index=f.frame_index"
+
+
+@query(
+    "outline_signal",
+    f"""{PX}, f AS (SELECT stem, frame_index, y, x, raw FROM px WHERE identity IS NULL AND NOT unclaimed), c AS (SELECT f.stem, f.frame_index, f.y, f.x, first(m.identity ORDER BY {_D2}, m.identity) AS identity, any_value(f.raw) AS raw FROM f JOIN mk m ON {_AT} AND {_D2}<=4 GROUP BY 1,2,3,4),
+ g AS (SELECT stem, identity, frame_index, y, x, raw, 0 AS added FROM mk UNION ALL SELECT stem, identity, frame_index, y, x, raw, 1 FROM c), t AS (SELECT stem, identity, frame_index, count(*) FILTER (WHERE added=0) AS area_px, count(*) AS expanded_px, sum(raw) FILTER (WHERE added=0) AS original_total, sum(raw) AS expanded_total FROM g GROUP BY 1,2,3),
+ w AS (SELECT m.stem, m.identity, m.frame_index, count(DISTINCT f.y*1000+f.x) AS n FROM px f JOIN mk m ON {_AT} AND {_D2}<=4 GROUP BY 1,2,3), o AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.stem=f.stem AND c.frame_index=f.frame_index AND c.y=f.y AND c.x=f.x)),
+ r AS (SELECT m.stem, m.identity, m.frame_index, f.y, f.x, any_value(f.raw) AS raw, min({_D2}) AS d FROM o f JOIN g m ON {_AT} AND {_D2}<=25 GROUP BY ALL), b AS (SELECT stem, identity, frame_index, count(raw) AS n, avg(raw) AS mean, median(raw) AS med FROM r WHERE d>1 GROUP BY 1,2,3)
+ SELECT t.stem, t.identity, t.frame_index, area_px, expanded_px, original_total, expanded_total, coalesce(b.n,0) AS background_px, CASE WHEN b.n>=25 THEN mean END AS background_mean, CASE WHEN b.n>=25 THEN med END AS background_median,
+ CASE WHEN b.n>=25 THEN expanded_total-mean*expanded_px END AS corrected_total, w.n-expanded_px AS clipped_px, CASE WHEN b.n>=25 THEN 'ok' ELSE 'insufficient_background' END AS status FROM t JOIN w USING (stem, identity, frame_index) LEFT JOIN b USING (stem, identity, frame_index)""",
+    "original_total expanded_total background_mean background_median corrected_total",
+)
+def _(i):
+    return X.outline_signal(i.kept("pixels", i.pixels), 2.0, 1.0, 5.0, 25)
+
+
 @query(
     "fixed_apertures",
     f"""WITH {TRACKS_SQL}, o AS (SELECT a.v-2 AS dy, b.v-2 AS dx FROM range(5) a(v), range(5) b(v) WHERE (a.v-2)**2+(b.v-2)**2<=4), cr AS (SELECT * FROM (VALUES (0,0),(0,1),(1,0),(1,1)) v(cy,cx)),
