@@ -24,7 +24,8 @@ import ahocorasick
 from lapsegrid.llm.common import tokenizer_path
 
 MARK = "▁"
-MEMO = 400_000
+#: Cuts that a worker remembers, at most, some 250 bytes each; and answers of pair tests.
+MEMO, PAIRS = 1_000_000, 1_600_000
 UNKNOWN = -1
 _models: dict[str, Pieces] = {}
 
@@ -65,7 +66,7 @@ class Pieces:
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         border = "" if "\n" in inside else "\\n"
         self.cuts: Callable = re.compile(rf"{MARK}+[^{MARK}{border}]*|[^{MARK}{border}]+" + (rf"|{border}" if border else "")).findall
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def _split(self, piece: str) -> tuple[str, str] | None:
@@ -100,7 +101,7 @@ class Pieces:
                 before_left, left = at_left, parts[left][1]
             else:
                 before_right, right = at_right, parts[right][0]
-        if len(self.pairs) > 4 * MEMO:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[key] = answer
         return answer
@@ -181,7 +182,7 @@ class Pieces:
                 for cut in self.cuts(MARK + t.replace(" ", MARK)):
                     found = memo.get(cut)
                     if found is None:
-                        found = self._cut(cut)
+                        found = tuple(self._cut(cut))
                         if len(cut) < 200:
                             memo[cut] = found
                     ids += found
