@@ -7,7 +7,7 @@ than `block` rows is dealt to several tasks, each of which gets the leaf's queri
 rows with exact cosines in double precision, and the best of all leaves are ranked.
 
 Equal vectors are indexed once with their smallest ids, as many as an answer can hold. Vectors that are null, zero, hold
-null or non-finite components, or have another length than most take no part. Rows repeating an id and vector count once.
+null or non-finite components, or have another length than most vectors of the table take no part, as queries neither. Rows repeating an id and vector count once.
 Ties go to the smaller id. Fewer candidates than asked for: all that the leaves hold, and a small table is one leaf.
 """
 
@@ -108,21 +108,27 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, size)
 
 
-def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> tuple[DataFrame, int]:
-    """(vec_id, v) of vectors that take part, and their length."""
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1: no square under- or overflows, and no bit of a cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
+def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", size: int | None = None) -> tuple[DataFrame, int]:
+    """(vec_id, v) of vectors that take part, and their length: the one given, or that of most."""
     v = F.col(vector_column)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = sizes["n"] if sizes else 0
+    if size is None:
+        sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        size = sizes["n"] if sizes else 0
     return rows.where(F.size("v") == size), size
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: ForestSettings = ForestSettings(), id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of queries, which is a part of vectors."""
     rows, size = usable(vectors, id_column, vector_column)
-    asked = usable(queries, id_column, vector_column)[0].distinct()
+    asked = usable(queries, id_column, vector_column, size)[0].distinct()
     spark = vectors.sparkSession
     # equal vectors: one point with the k + 1 smallest ids, one of which may be the query's own
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -131,11 +137,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Forest
     n = points.count()
     every = -(-n // settings.sample) if n else 1
     sample = points.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).select("v").limit(2 * settings.sample).toArrow()["v"].combine_chunks()
-    forest = Forest.fit(_matrix(sample, size) if n else np.zeros((0, 1)), settings)
+    forest = Forest.fit(scaled(_matrix(sample, size)) if n else np.zeros((0, 1)), settings)
     shipped = spark.sparkContext.broadcast(forest)
     trees, budget = settings.trees, settings.leaves
 
     def unit(x: np.ndarray) -> np.ndarray:
+        x = scaled(x)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Forest
     def best(q: pa.Table, x: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(q) and len(x):
-            qs, xs = _matrix(q.column("v").combine_chunks(), size), _matrix(x.column("v").combine_chunks(), size)
+            qs, xs = (scaled(_matrix(t.column("v").combine_chunks(), size)) for t in (q, x))
             lengths = np.linalg.norm(xs, axis=1)
             ids = x.column("ids").to_pylist()
             least = np.array([i[0] for i in ids])

@@ -347,6 +347,25 @@ def test_nearest(spark):
     assert ann.nearest(few.where("vec_id = -1"), few.where("vec_id = -1")).count() == 0
 
 
+def test_nearest_of_odd_vectors(spark):
+    """Queries of another length than the table's are left out, and vectors of any magnitude have their cosine."""
+    draw = np.random.default_rng(12)
+    x = draw.standard_normal((60, 4))
+    scale = [1e-200, 1e200, 1.0]
+    rows = [(i, (v * scale[i % 3]).tolist()) for i, v in enumerate(x)] + [(100, [1.0, 2.0]), (101, [3.0, 4.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = ann.nearest(vectors, vectors.where("vec_id IN (0, 1, 2, 100, 101)")).orderBy("query_id", "rank").collect()
+    assert {r["query_id"] for r in found} == {0, 1, 2} and len(found) == 15
+    for q in (0, 1, 2):
+        s = y @ y[q]
+        s[q] = -9
+        mine = [r for r in found if r["query_id"] == q]
+        assert [r["vec_id"] for r in mine] == np.argsort(-s, kind="stable")[:5].tolist()
+        assert [r["score"] for r in mine] == pytest.approx(np.sort(s)[::-1][:5].tolist())
+    assert ann.nearest(vectors, vectors.where("vec_id > 99")).count() == 0
+
+
 def removed(texts, length):
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
