@@ -58,11 +58,12 @@ def test_passages_of_over_50_words_are_cut(spark):
         passages.append(passage)
         rows += [(len(rows) + k, own(150) + "\n" + passage + "\n" + own(150)) for k in range(2)]
     clean = [(1000 + k, own(300)) for k in range(20)]
-    docs = spark.createDataFrame(rows + clean + [(None, None), (3, "")], "doc_id long, text string")
+    docs = spark.createDataFrame(rows + clean + [(None, None), (2000, "")], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
     left = sum(passages[i // 2] in out[i] for i in range(20))
     assert left == 0
-    assert all(abs(len(out[i]) - (len(t) - len(passages[i // 2]))) <= 4 for i, t in rows)
+    # the line ends around a passage repeat with it, and the letters beside them may by chance
+    assert all(0 <= len(t) - len(passages[i // 2]) - len(out[i]) <= 12 for i, t in rows)
     assert all(out[i] == t for i, t in clean)
 
 
