@@ -24,10 +24,10 @@ def percentile_position(df: DataFrame, keys: Sequence[str], value: str, alias: s
 
 def classify(df: DataFrame, keys: Sequence[str], size: str, movement: str, cuts: tuple[float, float] = (1 / 3, 2 / 3)) -> DataFrame:
     """Nine classes from two percentile axes, with the distance to the class centre, the runner-up class and
-    the margin between them."""
-    complete = df.where(F.col(size).isNotNull() & F.col(movement).isNotNull())
+    the margin between them. Values equal to nine digits share a rank, whatever the last bits of a root."""
+    complete = df.where(F.col(size).isNotNull() & F.col(movement).isNotNull()).withColumn("__size", F.round(size, 9)).withColumn("__movement", F.round(movement, 9))
     big = has_heavy_key(complete, keys)
-    placed = percentile_position(percentile_position(complete, keys, size, "size_position", big), keys, movement, "movement_position", big)
+    placed = percentile_position(percentile_position(complete, keys, "__size", "size_position", big), keys, "__movement", "movement_position", big).drop("__size", "__movement")
 
     def level(c: str) -> Column:
         return F.when(F.col(c) < cuts[0], 0).when(F.col(c) < cuts[1], 1).otherwise(2)

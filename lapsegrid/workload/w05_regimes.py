@@ -12,7 +12,7 @@ from lapsegrid.workload.w03_tracks import STEPS
 _P = "(rank() OVER (PARTITION BY stem ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY stem, {c}) - 1)/2.0)/greatest(count(*) OVER (PARTITION BY stem)-1,1)"
 _LV = "CASE WHEN {c} < 1.0/3 THEN 0 WHEN {c} < 2.0/3 THEN 1 ELSE 2 END"
 CLASSED = f"""k0 AS (SELECT stem, identity, frame_index, hours, area_px, step_px_gapless FROM st JOIN (SELECT stem, identity, frame_index, area_px FROM tk) USING (stem, identity, frame_index) WHERE step_px_gapless IS NOT NULL),
- k1 AS (SELECT *, {_P.format(c='area_px')} AS size_position, {_P.format(c='step_px_gapless')} AS movement_position FROM k0),
+ k1 AS (SELECT *, {_P.format(c='area_px')} AS size_position, {_P.format(c='round(step_px_gapless, 9)')} AS movement_position FROM k0),
  k2 AS (SELECT *, CAST(({_LV.format(c='size_position')})*3 + ({_LV.format(c='movement_position')}) AS INTEGER) AS regime FROM k1),
  ctr AS (SELECT s*3+m AS r, (2*s+1)/6.0 AS cs, (2*m+1)/6.0 AS cm FROM range(3) a(s), range(3) b(m)),
  kd AS (SELECT k2.*, r, round(sqrt((size_position-cs)**2+(movement_position-cm)**2),9) AS d FROM k2, ctr),

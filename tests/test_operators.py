@@ -295,3 +295,14 @@ def test_pairs_at_one_time_have_no_slope(spark):
     rows = spark.createDataFrame([("s", 1, float(h), float(2 * h + d)) for h in range(6) for d in (0, 0.25)], "stem string, identity long, hours double, v double")
     r = robust_trend(rows, "v").first()
     assert abs(r["slope_per_hour"] - 2.0) < 0.06 and r["slope_high"] < 3
+
+
+def test_equal_moves_share_a_class_position(spark):
+    """Lengths that differ in the last bit of their root are ties."""
+    from lapsegrid.operators.regimes import classify
+
+    moves = [0.1 + 0.2, 0.3, 0.7, 0.1]
+    df = spark.createDataFrame([("s", k, 1.0, v) for k, v in enumerate(moves)], "stem string, identity int, area double, step double")
+    got = {r["identity"]: r for r in classify(df, ["stem"], "area", "step").collect()}
+    assert got[0]["movement_position"] == got[1]["movement_position"] == 0.5
+    assert got[0]["step"] != got[1]["step"]
