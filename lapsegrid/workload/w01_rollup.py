@@ -140,18 +140,18 @@ def _(i):
     return R.histogram(i.daily(), ["stem"], "signal", [0, 10, 20, 50, 100, 500])
 
 
-_EVEN = """s AS (SELECT stem, min({v}) AS lo0, max({v}) AS hi0 FROM obs GROUP BY 1),
- h AS (SELECT o.stem, CAST(least(floor(({v}-lo0)/((hi0-lo0)/10.0)), 9) AS INTEGER) AS bin, count(*) AS n FROM obs o JOIN s USING (stem) GROUP BY 1,2)
+_EVEN = """s AS (SELECT stem, min({v}) AS lo0, max({v}) AS hi0 FROM {t} GROUP BY 1),
+ h AS (SELECT o.stem, CAST(least(floor(({v}-lo0)/((hi0-lo0)/10.0)), 9) AS INTEGER) AS bin, count(*) AS n FROM {t} o JOIN s USING (stem) GROUP BY 1,2)
  SELECT g.stem, g.bin, {f}(lo0+g.bin*((hi0-lo0)/10.0)) AS lo, {f}(lo0+(g.bin+1)*((hi0-lo0)/10.0)) AS hi, coalesce(n,0) AS n
  FROM (SELECT *, CAST(unnest(range(10)) AS INTEGER) AS bin FROM s) g LEFT JOIN h USING (stem, bin)"""
 
 
-@query("linear_histogram", f"WITH {DAILY_SQL}, " + _EVEN.format(v="signal", f=""), "lo hi")
+@query("linear_histogram", f"WITH {DAILY_SQL}, " + _EVEN.format(v="signal", f="", t="obs"), "lo hi")
 def _(i):
     return R.even_histogram(i.daily(), ["stem"], "signal", 10)
 
 
-@query("log_histogram", f"WITH {DAILY_SQL}, " + _EVEN.format(v="ln(signal)", f="exp"), "lo hi")
+@query("log_histogram", f"WITH {DAILY_SQL}, " + _EVEN.format(v="ln(signal)", f="exp", t="(SELECT * FROM obs WHERE signal > 0)"), "lo hi")
 def _(i):
     return R.even_histogram(i.daily(), ["stem"], "signal", 10, log=True)
 

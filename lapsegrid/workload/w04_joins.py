@@ -18,10 +18,12 @@ HOUR = 3_600_000_000
 def facts(i):
     """Per-entity facts: presence, metric summaries, events; the signal floor of quiet entities is unknown."""
     tr = i.traces()
+    # the mean in whole billionths: sums of whole numbers do not depend on the order of the rows
+    mean = F.expr("(2 * sum(CAST(round(signal * 1e9D) AS BIGINT)) + count(signal)) div (2 * count(signal))") / F.lit(1e9)
     base = tr.join(clock_of(tr), "stem").groupBy("stem", "identity").agg(
         F.count(F.lit(1)).alias("observed"),
         ((F.max("n_frames") - F.count(F.lit(1))) / F.max("n_frames").cast("double")).alias("missing_share"),
-        F.avg("signal").alias("signal_mean"),
+        mean.alias("signal_mean"),
         F.max("signal").alias("signal_max"),
         F.when(F.min("signal") < 1, F.min("signal")).alias("signal_floor"),
     )
@@ -30,7 +32,7 @@ def facts(i):
     return L.event_fact(with_event, ["identity"], None, "had_fusion")
 
 
-FACTS = f"""{TRACES_SQL}, facts AS (SELECT stem, identity, count(*) AS observed, (max(n_frames)-count(*))/CAST(max(n_frames) AS DOUBLE) AS missing_share, avg(signal) AS signal_mean, max(signal) AS signal_max,
+FACTS = f"""{TRACES_SQL}, facts AS (SELECT stem, identity, count(*) AS observed, (max(n_frames)-count(*))/CAST(max(n_frames) AS DOUBLE) AS missing_share, ((2*CAST(sum(CAST(round(signal*1e9) AS BIGINT)) AS BIGINT)+count(signal))//(2*count(signal)))/1e9 AS signal_mean, max(signal) AS signal_max,
  CASE WHEN min(signal) < 1 THEN min(signal) END AS signal_floor,
  identity IN (SELECT identity FROM ev WHERE stem='error' AND cents > 20000) AS had_large_error, CAST(NULL AS BOOLEAN) AS had_fusion FROM tr JOIN {clock_sql('tr')} USING (stem) GROUP BY 1,2)"""
 
