@@ -36,10 +36,10 @@ def frame_neighbours(tracks: DataFrame, k: int, radius: float, cell: float) -> D
     summary = near.groupBy(*FRAME, "identity").agg(
         F.min("distance").alias("nearest_px"), F.min_by("t_identity", "rank").alias("nearest_identity"), F.avg("distance").alias("mean_k_px")
     )
-    close = within_reach(at, at, FRAME, radius).where(other & (F.col("distance") <= radius)).groupBy(*FRAME, "identity").agg(
+    close = within_reach(at, at, FRAME, radius).where(other & (F.round("distance", 9) <= radius)).groupBy(*FRAME, "identity").agg(
         F.count(F.lit(1)).alias("within_radius")
     )
-    return at.select(*FRAME, "identity").join(summary, [*FRAME, "identity"], "left").join(close, [*FRAME, "identity"], "left").withColumn(
+    return at.select(*FRAME, "identity").join(summary.hint("merge"), [*FRAME, "identity"], "left").join(close.hint("merge"), [*FRAME, "identity"], "left").withColumn(
         "within_radius", F.coalesce("within_radius", F.lit(0).cast("long"))
     )
 

@@ -210,7 +210,7 @@ def _(i):
 
 @query(
     "moving_neighbours",
-    f"""WITH {TRACKS_SQL}, r AS (SELECT a.stem, a.frame_index, a.identity, b.identity AS o, sqrt((a.y-b.y)**2+(a.x-b.x)**2) AS d, row_number() OVER (PARTITION BY a.stem, a.frame_index, a.identity ORDER BY sqrt((a.y-b.y)**2+(a.x-b.x)**2), b.identity) AS k FROM tk a JOIN tk b ON a.stem=b.stem AND a.frame_index=b.frame_index AND a.identity<>b.identity)
+    f"""WITH {TRACKS_SQL}, r AS (SELECT a.stem, a.frame_index, a.identity, b.identity AS o, sqrt((a.y-b.y)**2+(a.x-b.x)**2) AS d, row_number() OVER (PARTITION BY a.stem, a.frame_index, a.identity ORDER BY round(sqrt((a.y-b.y)**2+(a.x-b.x)**2),9), b.identity) AS k FROM tk a JOIN tk b ON a.stem=b.stem AND a.frame_index=b.frame_index AND a.identity<>b.identity)
  SELECT stem, frame_index, least(identity,o) AS identity_a, greatest(identity,o) AS identity_b, min(d) AS distance FROM r WHERE k<=2 GROUP BY 1,2,3,4""",
     "distance",
 )

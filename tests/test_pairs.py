@@ -219,3 +219,46 @@ def test_nearest_by_growing_cells(spark):
     for i in range(len(pts)):
         mine = sorted(r["distance"] for r in got if r["identity"] == i)
         assert mine == pytest.approx(sorted(d[i])[:3])
+
+
+def test_places_equally_far_tie_whatever_the_last_bits(spark):
+    """Moves whose lengths are equal but for the last bit of the root: the smaller identity is the nearer one."""
+    from lapsegrid.plans.nearest import k_nearest
+
+    both = [(a / 3, b / 3, c / 3, d / 3) for a in range(1, 40) for b in range(a, 40) for c in range(a + 1, 40) for d in range(c, 40) if a * a + b * b == c * c + d * d]
+    moves = spark.createDataFrame(both, "a double, b double, c double, d double")
+    split = moves.where("hypot(a, b) <> hypot(c, d)").orderBy("a", "b", "c", "d").first()
+    assert split is not None
+    far, near = sorted([(split.a, split.b), (split.c, split.d)], key=lambda p: -spark.range(1).select(F.hypot(F.lit(p[0]), F.lit(p[1]))).first()[0])
+    df = spark.createDataFrame([("s", 9, 0.0, 0.0), ("s", 1, *far), ("s", 2, *near)], "stem string, identity long, y double, x double")
+    got = k_nearest(df, df, ["stem"], ["identity"], 1, 0.5, F.col("t_identity") != F.col("identity"), ("t_identity",)).collect()
+    assert [r["t_identity"] for r in got if r["identity"] == 9] == [1]
+
+
+def test_neighbour_searches_gather_no_side_on_the_driver(spark):
+    """Written tables look small on disk; neither the search nor the distance map may broadcast them."""
+    from lapsegrid.operators import pixels as X
+    from lapsegrid.plans.nearest import within_reach
+
+    rows = [("s", e, f, e, (e * 7 + f) % 20, 1.0) for e in range(12) for f in range(3)]
+    masks = spark.createDataFrame(rows, "stem string, identity long, frame_index int, y int, x int, raw double")
+    at = masks.select("stem", "frame_index", "identity", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    plans = [within_reach(at, at, ["stem", "frame_index"], 4.0), Q.frame_neighbours(at, 2, 4.0, 4.0), X.domains(masks, 15, 20)]
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_domains_are_the_nearest_masks(spark):
+    from lapsegrid.operators import pixels as X
+
+    rng = np.random.default_rng(3)
+    places = {(int(p) // 20, int(p) % 20): int(e) for p, e in zip(rng.choice(300, 40, replace=False), rng.integers(1, 6, 40))}
+    masks = spark.createDataFrame([("s", e, 4, y, x) for (y, x), e in places.items()], "stem string, identity long, frame_index int, y int, x int")
+    want = {}
+    for y in range(15):
+        for x in range(20):
+            owner = min(((y - a) ** 2 + (x - b) ** 2, e) for (a, b), e in places.items())[1]
+            want[owner] = want.get(owner, 0) + 1
+    got = {r["identity"]: r for r in X.domains(masks, 15, 20).collect()}
+    assert {e: r["domain_px"] for e, r in got.items()} == want
+    assert all(r["domain_occupancy"] == pytest.approx(sum(e == o for o in places.values()) / r["domain_px"]) for e, r in got.items())
