@@ -50,7 +50,11 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
 
 def simhash(text: str | None, words: int, seed: int = 42) -> int:
     """The signed 64-bit fingerprint; a bit is set if it is set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, words, seed)
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed fingerprint of the shingles' hashes."""
     if not len(h):
         return 0
     lanes = h.view(np.uint8).reshape(-1, 8) + (np.arange(8, dtype=np.int64) * 256)

@@ -1,9 +1,10 @@
-"""Near-duplicates by Jaccard similarity of word shingles: banded minima propose, exact sets decide.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and banded minima propose, exact sets decide.
 
-A 64-bit fingerprint cannot stand for a similarity of 0.8: such pairs differ in ten bits on average and in up to
-twenty, where most pairs of a corpus meet. So SimHash takes no part here; BANDS keys of ROWS minima of the shingles'
-hashes bring texts together; a pair of similarity 0.8 shares no key with a chance of 3 in a million, a more similar one
-with less. A link is a pair whose sets of shingles have the similarity, counted exactly.
+SimHash fingerprints within NEAR bits propose first: a fingerprint's points meet its first point, and the first points of
+linked fingerprints meet. A 64-bit fingerprint alone cannot stand for a similarity of 0.8: such pairs differ in ten bits on
+average and in up to twenty, where most pairs of a corpus meet. So BANDS keys of ROWS minima of the shingles' hashes bring
+the other texts together; a pair of similarity 0.8 shares no key with a chance of 3 in a million, a more similar one
+with less. A link is a pair whose sets of shingles have the similarity, counted exactly; bits alone link nothing.
 
 Equal texts are one point. First each point under a key meets the key's first point, and links make classes. Then the
 points of every key that still holds several classes meet in blocks, bounded in points and in shingles: a block brings the
@@ -28,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsegrid.llm.common import bloom_hits, blocked_bloom, discard, map_texts, saved, slices
-from lapsegrid.llm.simhash import components, shingle_hashes
+from lapsegrid.llm.simhash import components, links, majority, shingle_hashes
 
 BANDS, ROWS = 24, 4
+#: Bits in which two fingerprints may differ to propose a pair.
+NEAR = 4
 #: Odd factors, one for each minimum.
 FACTORS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Products that one step holds.
@@ -184,27 +187,41 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return saved(met.where(both * least.denominator >= every * least.numerator).select("bits", "other"), "similar")
 
 
+def _by_fingerprint(points: DataFrame) -> DataFrame:
+    """Pairs (bits, other) that SimHash proposes. points: (bits, print)."""
+    prints = saved(points.groupBy("print").agg(F.min("bits").alias("one"), F.count(F.lit(1)).alias("n")), "prints")
+    same = points.join(prints.where("n > 1"), "print").where("bits > one").select(F.col("one").alias("bits"), F.col("bits").alias("other"))
+    edges = links(prints.select(F.col("print").alias("bits")), NEAR)
+    ends = edges.select(F.col("bits").alias("a"), F.col("other").alias("b"))
+    for side, name in (("a", "bits"), ("b", "other")):
+        ends = ends.join(prints.select(F.col("print").alias(side), F.col("one").alias(name)), side)
+    return same.unionAll(ends.select(F.least("bits", "other").alias("bits"), F.greatest("bits", "other").alias("other")))
+
+
 def classes(
     docs: DataFrame, words: int = 5, least: Fraction = Fraction(4, 5), id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, volume: int = VOLUME
 ) -> DataFrame:
     """(bits, first) for every distinct text: its point, and no_id, id and bits of the first row of its class, by id with nulls last."""
 
     def work(texts: list) -> list[pa.Array]:
-        return [_lists([band_keys(shingle_hashes(t, words)) for t in texts])]
+        hashes = [shingle_hashes(t, words) for t in texts]
+        return [_lists([band_keys(h) for h in hashes]), pa.array([majority(h) for h in hashes], pa.int64())]
 
     point, doc_id = _point(text_column).alias("bits"), F.col(id_column).cast("long")
-    keyed = map_texts(docs, [point, F.col(text_column), doc_id.alias("id")], work, "bits binary, id long, keys array<long>")
+    keyed = map_texts(docs, [point, F.col(text_column), doc_id.alias("id")], work, "bits binary, id long, keys array<long>, print long")
     first_row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("row")
-    points = keyed.groupBy("bits").agg(first_row, F.first("keys").alias("keys"))
-    points = saved(points.select("bits", F.struct("row.no_id", "row.id", "bits").alias("least"), "keys"), "points")
+    points = keyed.groupBy("bits").agg(first_row, F.first("keys").alias("keys"), F.first("print").alias("print"))
+    points = saved(points.select("bits", F.struct("row.no_id", "row.id", "bits").alias("least"), "keys", "print"), "points")
     labels, texts = points.select("bits", "least"), docs.select(point, F.col(text_column).alias("text"))
 
     keys = points.select("bits", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("bits").alias("one"), F.max("bits").alias("last")).where("one < last").select("key", "one")
     met = saved(keys.join(shared, "key"), "met")
-    sets = shingle_sets(texts, met.select("bits").distinct(), words)
-    tried = met.where("bits > one").select(F.col("one").alias("bits"), F.col("bits").alias("other")).distinct()
+    proposed = saved(_by_fingerprint(points.select("bits", "print")), "proposed")
+    sets = shingle_sets(texts, met.select("bits").unionAll(proposed.select(F.explode(F.array("bits", "other")))).distinct(), words)
+    tried = met.where("bits > one").select(F.col("one").alias("bits"), F.col("bits").alias("other")).unionAll(proposed).distinct()
     found = _checked(tried, sets, least)
+    discard(proposed)
 
     held = components(found, labels)
     held = met.select("key", "bits").join(held, "bits", "left").select("key", "bits", F.coalesce("least.bits", "bits").alias("held"))

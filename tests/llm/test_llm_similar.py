@@ -68,3 +68,18 @@ def test_pairs_from_similarity_0_8_are_found_and_no_others(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
     small = similar.classes(docs, block=3).select("first.id").distinct().collect()
     assert sorted(r["id"] for r in small) == sorted(least.values())
+
+
+def test_fingerprints_propose_pairs(spark):
+    """Points of one fingerprint meet its first point; first points of fingerprints up to four bits apart meet; others do not."""
+    prints = {b"a": 0, b"b": 0, b"c": 0b1111, b"d": 0b11111 << 40, b"e": -1}
+    points = spark.createDataFrame([(bytearray(k), v) for k, v in prints.items()], "bits binary, print long")
+    got = {(bytes(r.bits), bytes(r.other)) for r in similar._by_fingerprint(points).collect()}
+    assert got == {(b"a", b"b"), (b"a", b"c")}
+
+
+def test_a_fingerprint_alone_links_nothing(spark):
+    """Reordered words in short texts: whatever their bits, only the sets' similarity counts."""
+    texts = ["", None, "one two three four five six", "one two three four five six seven", "six five four three two one"]
+    docs = spark.createDataFrame([(n, t, "") for n, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [0, 2, 3, 4]
