@@ -656,11 +656,14 @@ def mismatch_by_cycle(moves: DataFrame, rule: DataFrame, keys: Sequence[str], pe
 
 
 def cycle_vector(binned: DataFrame, keys: Sequence[str], weight: str, bins: int) -> DataFrame:
-    """Length and direction of the weighted mean vector around a cycle of bins."""
+    """Length and direction of the weighted mean vector around a cycle of bins, in parts of the weight to nine digits: a
+    vector that cancels out has length 0 and no direction, whatever the last bits of its sums."""
     angle = (F.col("bin") + 0.5) * F.lit(2 * math.pi / bins)
-    s = binned.groupBy(*keys).agg(F.sum(F.col(weight) * F.cos(angle)).alias("c"), F.sum(F.col(weight) * F.sin(angle)).alias("s"), F.sum(weight).alias("w"))
+    part = lambda wave: F.round(ratio(F.sum(F.col(weight) * wave(angle)), F.sum(weight)), 9) + 0.0
+    s = binned.groupBy(*keys).agg(part(F.cos).alias("c"), part(F.sin).alias("s"))
+    turn = F.round(F.pmod(F.atan2("s", "c") / F.lit(2 * math.pi), F.lit(1.0)), 9)
     return s.select(
-        *keys, ratio(F.hypot("c", "s"), "w").alias("vector_length"), F.pmod(F.atan2("s", "c") / F.lit(2 * math.pi), F.lit(1.0)).alias("mean_direction_cycles")
+        *keys, F.hypot("c", "s").alias("vector_length"), F.when((F.col("c") != 0) | (F.col("s") != 0), F.pmod(turn, F.lit(1.0))).alias("mean_direction_cycles")
     )
 
 

@@ -318,8 +318,8 @@ def _(i):
 
 @query(
     "cycle_vector",
-    f"""{BASE}, {MOVES}, {_RULE}, s AS (SELECT stem, sum(mismatch*cos((bin+0.5)*2*pi()/8)) AS c, sum(mismatch*sin((bin+0.5)*2*pi()/8)) AS s, sum(mismatch) AS w FROM mm GROUP BY 1)
- SELECT stem, sqrt(c*c+s*s)/nullif(w,0) AS vector_length, ((atan2(s,c)/(2*pi()))%1.0+1.0)%1.0 AS mean_direction_cycles FROM s""",
+    f"""{BASE}, {MOVES}, {_RULE}, s AS (SELECT stem, round(sum(mismatch*cos((bin+0.5)*2*pi()/8))/nullif(sum(mismatch),0),9)+0.0 AS c, round(sum(mismatch*sin((bin+0.5)*2*pi()/8))/nullif(sum(mismatch),0),9)+0.0 AS s FROM mm GROUP BY 1)
+ SELECT stem, sqrt(c*c+s*s) AS vector_length, CASE WHEN c<>0 OR s<>0 THEN round(((atan2(s,c)/(2*pi()))%1.0+1.0)%1.0,9)%1.0 END AS mean_direction_cycles FROM s""",
     "vector_length mean_direction_cycles",
     digits=6,
 )

@@ -262,3 +262,11 @@ def test_domains_are_the_nearest_masks(spark):
     got = {r["identity"]: r for r in X.domains(masks, 15, 20).collect()}
     assert {e: r["domain_px"] for e, r in got.items()} == want
     assert all(r["domain_occupancy"] == pytest.approx(sum(e == o for o in places.values()) / r["domain_px"]) for e, r in got.items())
+
+
+def test_a_cycle_vector_that_cancels_out_has_no_direction(spark):
+    """Equal weights all around cancel out but for the last bits of their sums; a weight in one bin does not."""
+    rows = [("even", b, 0.1) for b in range(8)] + [("half", b, 0.7) for b in (1, 5)] + [("none", b, 0.0) for b in range(8)] + [("one", 2, 0.3)]
+    got = {r.stem: (r.vector_length, r.mean_direction_cycles) for r in Q.cycle_vector(spark.createDataFrame(rows, "stem string, bin int, w double"), ["stem"], "w", 8).collect()}
+    assert got["even"] == (0.0, None) and got["half"] == (0.0, None) and got["none"] == (None, None)
+    assert got["one"] == pytest.approx((1.0, 2.5 / 8), abs=1e-9)
