@@ -8,12 +8,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lapsegrid.functions.numeric import circular_gap, corr_from_moments, rank_p_value, ratio, safe_corr
 from lapsegrid.operators.joins import nearest_unique
-from lapsegrid.plans.blocks import BLOCK, block_pairs, entity_pair_moments, select_pair_ranks, split
+from lapsegrid.plans.blocks import BLOCK, block_pairs, entity_pair_moments, in_tasks, select_pair_ranks, split
 from lapsegrid.plans.durable import cut
 from lapsegrid.plans.heavy import has_heavy_key
 from lapsegrid.plans.nearest import k_nearest, within_reach
@@ -333,12 +334,19 @@ def state_vectors(df: DataFrame, metrics: Sequence[str], minimum: int) -> DataFr
     return numbered(joined.select(*ENTITY, "frame_index", F.array(*z).alias("state")), ENTITY, ["frame_index"], frame_bucket(), "position")
 
 
-def _distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances to nine digits: a closest share of pairs is cut at one of them, and ties must not depend on the last bits."""
-    a, b = np.array(left["state"].tolist(), float), np.array(right["state"].tolist(), float)
     return np.round(np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0)), 9)
 
 
+def _distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    return _apart(np.array(left["state"].tolist(), float), np.array(right["state"].tolist(), float))
+
+
+def _states(table: pa.Table) -> np.ndarray:
+    return table["state"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+
 def _upper_distances(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
     d = _distances(left, right)
     return d[np.triu_indices(len(left), 1)] if same else d.ravel()
@@ -350,15 +358,14 @@ def recurrence_cutoffs(vectors: DataFrame, quantile: float, block: int = BLOCK)
     at = (F.col("pairs") - 1) * F.lit(float(quantile))
     ranks = sizes.select(*ENTITY, F.inline(F.array(*[
         F.struct(F.lit(t).alias("target"), r.cast("long").alias("rank")) for t, r in (("lo", F.floor(at)), ("hi", F.ceil(at)))])))
-    key_fields = [f for f in vectors.schema.fields if f.name in ENTITY]
     if (sizes.agg(F.max("n")).first()[0] or 0) <= block:
-        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-            d = np.sort(_upper_distances(pdf, pdf, True))
+        def pick(table: pa.Table) -> dict[str, np.ndarray]:
+            z = _states(table)
+            d = np.sort(_apart(z, z)[np.triu_indices(len(z), 1)])
             q = (len(d) - 1) * quantile
-            lo, hi = d[int(math.floor(q))], d[int(math.ceil(q))]
-            return pd.DataFrame({"stem": [pdf["stem"].iloc[0]], "identity": [pdf["identity"].iloc[0]], "lo": [lo], "hi": [hi]})
+            return {"lo": d[[math.floor(q)]], "hi": d[[math.ceil(q)]]}
 
-        ends = vectors.groupBy(*ENTITY).applyInPandas(pick, T.StructType([*key_fields, T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+        ends = in_tasks(vectors.select(*ENTITY, "position", "state"), ENTITY, "position", ENTITY, pick, [T.StructField(c, T.DoubleType()) for c in ("lo", "hi")])
     else:
         chosen = select_pair_ranks(block_pairs(vectors, ENTITY, "position", block), ENTITY, "position", _upper_distances, ranks)
         ends = chosen.groupBy(*ENTITY).agg(*[F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in ("lo", "hi")])
@@ -374,7 +381,6 @@ def returns_by_lag(vectors: DataFrame, cutoff: DataFrame, keys: Sequence[str], m
     its diagonal or column is known inside one task; only counts leave it.
     """
     keys = list(keys)
-    key_fields = [vectors.schema[k] for k in keys]
     p = F.col("position") - 1
     # halo: a row also belongs to the neighbouring block when it touches its edge
     homes = F.array_distinct(F.array(F.floor(p / block), F.floor((p - 1) / block), F.floor((p + 1) / block)))
@@ -384,32 +390,33 @@ def returns_by_lag(vectors: DataFrame, cutoff: DataFrame, keys: Sequence[str], m
     spread = haloed.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
     tasks = spread.withColumn("bi", F.least(F.col("own"), F.col("__o").cast("int"))).withColumn("bj", F.greatest(F.col("own"), F.col("__o").cast("int"))).drop("__o")
     counts = ("hits", "diagonal", "vertical")
-    out = T.StructType([*key_fields, T.StructField("lag_frames", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in counts)])
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        left = pdf[pdf["own"] == bi].drop_duplicates("position").sort_values("position")
-        right = pdf[pdf["own"] == bj].drop_duplicates("position").sort_values("position")
-        pl, pr = left["position"].to_numpy(), right["position"].to_numpy()
-        hit = _distances(left, right) <= float(pdf["cutoff"].iloc[0])
+
+    def count(table: pa.Table) -> dict[str, np.ndarray]:
+        bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
+        own, position, z = table["own"].to_numpy(), table["position"].to_numpy(), _states(table)
+        # a row may come twice, once for each way to its block pair
+        (pl, il), (pr, ir) = (np.unique(np.where(own == b, position, 0), return_index=True) for b in (bi, bj))
+        (pl, il), (pr, ir) = ((q[q > 0], i[q > 0]) for q, i in ((pl, il), (pr, ir)))
+        hit = _apart(z[il], z[ir]) <= table["cutoff"][0].as_py()
         hit &= pl[:, None] != pr[None, :]
         pad = np.pad(hit, 1)
         diagonal = hit & (pad[:-2, :-2] | pad[2:, 2:])
         # runs along either axis: the matrix is symmetric, so both orientations of a pair are looked at
         rows_run = hit & (pad[:-2, 1:-1] | pad[2:, 1:-1])
         cols_run = hit & (pad[1:-1, :-2] | pad[1:-1, 2:])
-        core = ((pl - 1) // block == bi)[:, None] & ((pr - 1) // block == bj)[None, :]
-        core = core & (pr[None, :] > pl[:, None])
-        lag = (pr[None, :] - pl[:, None])[core]
-        frame = pd.DataFrame({"lag": lag, "h": hit[core], "d": 2 * diagonal[core].astype("int64"), "v": rows_run[core].astype("int64") + cols_run[core]})
-        frame["lag"] = np.minimum(frame["lag"], max_lag + 1)
-        g = frame.groupby("lag", sort=False).sum()
-        named = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame({**named, "lag_frames": g.index.astype("int32"), "hits": g["h"].astype("int64").to_numpy(), "diagonal": g["d"].astype("int64").to_numpy(), "vertical": g["v"].astype("int64").to_numpy()})
-
-    return tasks.groupBy(*keys, "bi", "bj").applyInPandas(count, out).groupBy(*keys, "lag_frames").agg(
-        F.sum("hits").alias("hits"), F.sum("diagonal").alias("d"), F.sum("vertical").alias("v")
+        lag = pr[None, :] - pl[:, None]
+        core = ((pl - 1) // block == bi)[:, None] & ((pr - 1) // block == bj)[None, :] & (lag > 0)
+        at = np.minimum(lag[core], max_lag + 1)
+        total = lambda *what: sum(np.bincount(at, w[core], max_lag + 2) for w in what).astype(np.int64)
+        found = np.flatnonzero(np.bincount(at, minlength=max_lag + 2))
+        sums = {"hits": total(hit), "diagonal": 2 * total(diagonal), "vertical": total(rows_run, cols_run)}
+        return {"lag_frames": found.astype(np.int32), **{c: sums[c][found] for c in counts}}
+
+    found = in_tasks(
+        tasks.select(*keys, "bi", "bj", "own", "position", "state", "cutoff"), [*keys, "bi", "bj"], "position", keys, count,
+        [T.StructField("lag_frames", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in counts)],
     )
+    return found.groupBy(*keys, "lag_frames").agg(F.sum("hits").alias("hits"), F.sum("diagonal").alias("d"), F.sum("vertical").alias("v"))
 
 
 def _rates(counted: DataFrame, cutoff: DataFrame, keys: Sequence[str], max_lag: int) -> DataFrame:
@@ -440,10 +447,13 @@ def detrended(df: DataFrame, metrics: Sequence[str], time: str = "hours") -> Dat
 
 def shuffled_vectors(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Surrogates of state vectors: each component of an entity dealt to its own frames by an md5 order of its own, per replicate."""
-    long = vectors.select(*ENTITY, "position", F.posexplode("state").alias("dim", "z")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    big = has_heavy_key(vectors, ENTITY)
+    # an entity's surrogates are made where its rows are
+    home = vectors.select(*ENTITY, "position", "state").repartition(*ENTITY)
+    long = home.select(*ENTITY, "position", F.posexplode("state").alias("dim", "z")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     keys = [*ENTITY, "replicate"]
     text = F.concat_ws("|", F.lit(str(seed)), "replicate", *ENTITY, "dim", "position")
-    dealt = hash_numbered(long, [*keys, "dim"], text, "__at", ["position"])
+    dealt = hash_numbered(long, [*keys, "dim"], text, "__at", ["position"], two_level=big)
     state = F.transform(F.sort_array(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"])
     return dealt.groupBy(*keys, F.col("__at").alias("position")).agg(state.alias("state"))
 

@@ -270,3 +270,33 @@ def test_a_cycle_vector_that_cancels_out_has_no_direction(spark):
     got = {r.stem: (r.vector_length, r.mean_direction_cycles) for r in Q.cycle_vector(spark.createDataFrame(rows, "stem string, bin int, w double"), ["stem"], "w", 8).collect()}
     assert got["even"] == (0.0, None) and got["half"] == (0.0, None) and got["none"] == (None, None)
     assert got["one"] == pytest.approx((1.0, 2.5 / 8), abs=1e-9)
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_small_keys_share_a_call_of_python_and_cut_keys_wait(spark, batch):
+    """Groups of one to nine rows, in batches that cut them: each group is worked on once, whole and in order."""
+    from pyspark.sql import types as T
+
+    from lapsegrid.plans.blocks import in_tasks
+
+    rows = [(f"s{k % 3}", k, i, float(i)) for k in range(20) for i in range(1, k % 9 + 2)]
+    df = spark.createDataFrame(rows[::-1], "stem string, identity long, position int, v double")
+
+    def work(table):
+        return {"n": np.array([len(table)]), "sorted": np.array([table["position"].to_pylist() == list(range(1, len(table) + 1))])}
+
+    set_to = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(set_to)
+    spark.conf.set(set_to, batch)
+    try:
+        got = in_tasks(df, ["stem", "identity"], "position", ["identity"], work, [T.StructField("n", T.LongType()), T.StructField("sorted", T.BooleanType())]).collect()
+    finally:
+        spark.conf.set(set_to, before)
+    assert sorted((r["identity"], r["n"]) for r in got) == [(k, k % 9 + 1) for k in range(20)] and all(r["sorted"] for r in got)
+
+
+def test_recurrence_of_many_entities_takes_no_call_for_each(spark):
+    rows = [("s", e, i, float((i * 7 + e) % 5), float(i % 3)) for e in range(30) for i in range(12)]
+    df = spark.createDataFrame(rows, "stem string, identity long, frame_index int, a double, b double")
+    rates, _ = Q.recurrence(Q.state_vectors(df, ["a", "b"], 5), 0.1, 5)
+    assert "FlatMapGroupsInPandas" not in rates._jdf.queryExecution().executedPlan().toString() and rates.count() == 150
