@@ -20,7 +20,7 @@ from lapsegrid.plans.heavy import has_heavy_key
 from lapsegrid.plans.nearest import k_nearest, within_reach
 from lapsegrid.plans.ranks import metric_quantiles, quantiles, with_average_rank
 from lapsegrid.plans.slopes import BLOCK as SLOPE_BLOCK, select_slopes
-from lapsegrid.plans.scan import frame_bucket, hash_numbered, numbered, ordered_scan
+from lapsegrid.plans.scan import frame_bucket, hash_numbered, numbered, ordered_scan, redealt
 
 ENTITY = ["stem", "identity"]
 FRAME = ["stem", "frame_index"]
@@ -166,42 +166,47 @@ def coordination_contrast(pairs: DataFrame, graph: DataFrame, coverage: DataFram
 # --- lags ------------------------------------------------------------------------------------------------
 
 
-def lagged_pairs(df: DataFrame, a: str, b: str, max_lag: int, keys=tuple(ENTITY)) -> DataFrame:
-    """Value of ``a`` at a frame with ``b`` ``lag`` frames later, lags of both signs; only frames that exist."""
-    first = df.select(*keys, "frame_index", F.col(a).alias("va")).withColumn("lag_frames", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    first = first.withColumn("frame_index", (F.col("frame_index") + F.col("lag_frames")).cast("int"))
-    return first.join(df.select(*keys, "frame_index", F.col(b).alias("vb")), [*keys, "frame_index"])
-
-
-def lag_profile(df: DataFrame, a: str, b: str, max_lag: int, minimum: int, keys=tuple(ENTITY)) -> DataFrame:
-    return lagged_pairs(df, a, b, max_lag, keys).groupBy(*keys, "lag_frames").agg(
+def lagged_pairs(df: DataFrame, a: str, b: str, max_lag: int, keys=tuple(ENTITY), two_level: bool | None = None) -> DataFrame:
+    """Value of ``a`` at a frame with ``b`` ``lag`` frames later, lags of both signs; only frames that exist. Where every key is
+    small, a frame looks at the frames around it in its key's own order, and is shuffled once."""
+    if two_level is None:
+        two_level = has_heavy_key(df, keys)
+    if two_level:
+        first = df.select(*keys, "frame_index", F.col(a).alias("va")).withColumn("lag_frames", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
+        first = first.withColumn("frame_index", (F.col("frame_index") + F.col("lag_frames")).cast("int"))
+        return first.join(df.select(*keys, "frame_index", F.col(b).alias("vb")), [*keys, "frame_index"])
+    named = df
+    for k in (*keys, "frame_index"):
+        named = named.where(F.col(k).isNotNull())
+    around = Window.partitionBy(*keys).orderBy("frame_index").rangeBetween(-max_lag, max_lag)
+    near = F.collect_list(F.struct(F.col("frame_index").alias("__at"), F.col(b).alias("vb"))).over(around)
+    met = named.select(*keys, F.col("frame_index").alias("__f"), F.col(a).alias("va"), near.alias("__near")).select(*keys, "__f", "va", F.inline("__near"))
+    return met.select(*keys, F.col("__at").alias("frame_index"), "va", (F.col("__at") - F.col("__f")).alias("lag_frames"), "vb")
+
+
+def lag_profile(df: DataFrame, a: str, b: str, max_lag: int, minimum: int, keys=tuple(ENTITY), two_level: bool | None = None) -> DataFrame:
+    return lagged_pairs(df, a, b, max_lag, keys, two_level).groupBy(*keys, "lag_frames").agg(
         safe_corr("va", "vb").alias("correlation"), F.count(F.lit(1)).alias("pairs")
     ).where(F.col("pairs") >= minimum)
 
 
-def shuffled(df: DataFrame, columns: Sequence[str], replicates: int, seed: int, keys=tuple(ENTITY)) -> DataFrame:
+def shuffled(df: DataFrame, columns: Sequence[str], replicates: int, seed: int, keys=tuple(ENTITY), kept: Sequence[str] = (), two_level: bool | None = None) -> DataFrame:
     """Each entity's values dealt to its own frames in md5 order, per replicate (drawn alike everywhere)."""
-    keys = list(keys)
-    reps = df.select(*keys, "frame_index", *columns).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rk = [*keys, "replicate"]
-    big = has_heavy_key(df, keys)
-    place = numbered(reps.select(*rk, "frame_index"), rk, ["frame_index"], frame_bucket(), "position", two_level=big)
     text = F.concat_ws("|", F.lit(str(seed)), "replicate", *keys, "frame_index")
-    dealt = hash_numbered(reps, rk, text, "position", ["frame_index"], two_level=big).select(*rk, "position", *columns)
-    return place.join(dealt, [*rk, "position"]).drop("position")
+    return redealt(df, keys, ["frame_index"], text, replicates, columns, kept, two_level)
 
 
 def lag_null_band(df: DataFrame, a: str, b: str, max_lag: int, minimum: int, replicates: int, seed: int) -> DataFrame:
     """Lag profile with the mean and 2.5 / 97.5 % band of profiles against shuffled partners."""
-    observed = lag_profile(df, a, b, max_lag, minimum)
-    deal = shuffled(df, [b], replicates, seed)
-    paired = deal.join(df.select(*ENTITY, "frame_index", a), [*ENTITY, "frame_index"])
-    null = lag_profile(paired, a, b, max_lag, minimum, (*ENTITY, "replicate")).where(F.col("correlation").isNotNull())
+    big = has_heavy_key(df, ENTITY)
+    observed = lag_profile(df, a, b, max_lag, minimum, two_level=big)
+    paired = shuffled(df, [b], replicates, seed, kept=[a], two_level=big)
+    null = lag_profile(paired, a, b, max_lag, minimum, (*ENTITY, "replicate"), big).where(F.col("correlation").isNotNull())
     keys = [*ENTITY, "lag_frames"]
-    mean = null.groupBy(*keys).agg(F.avg("correlation").alias("surrogate_mean"))
-    # a declared number of replicates per group
-    band = quantiles(null, keys, "correlation", {"surrogate_lo": 0.025, "surrogate_hi": 0.975}, two_level=False).drop("total")
-    return observed.join(mean, keys, "left").join(band, keys, "left")
+    # one value a replicate: a declared, bounded number
+    at = lambda q: F.percentile("correlation", F.lit(q))
+    band = null.groupBy(*keys).agg(F.avg("correlation").alias("surrogate_mean"), at(0.025).alias("surrogate_lo"), at(0.975).alias("surrogate_hi"))
+    return observed.join(band, keys, "left")
 
 
 def population_lags(profile: DataFrame) -> DataFrame:

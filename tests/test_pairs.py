@@ -300,3 +300,21 @@ def test_recurrence_of_many_entities_takes_no_call_for_each(spark):
     df = spark.createDataFrame(rows, "stem string, identity long, frame_index int, a double, b double")
     rates, _ = Q.recurrence(Q.state_vectors(df, ["a", "b"], 5), 0.1, 5)
     assert "FlatMapGroupsInPandas" not in rates._jdf.queryExecution().executedPlan().toString() and rates.count() == 150
+
+
+def test_lags_and_redealt_values_of_small_and_heavy_keys_agree(spark):
+    from lapsegrid.plans.scan import redealt
+
+    rng = np.random.default_rng(4)
+    rows = [("s", e, int(f), float(rng.normal()), None if f % 7 == 3 else float(f)) for e in range(5) for f in rng.permutation(40)[:25]]
+    df = spark.createDataFrame([*rows, ("s", None, 1, 1.0, 1.0)], "stem string, identity long, frame_index int, a double, b double")
+    lags = [sorted(map(str, Q.lagged_pairs(df, "a", "b", 3, two_level=big).select("identity", "frame_index", "lag_frames", "va", "vb").collect())) for big in (False, True)]
+    text = F.concat_ws("|", F.lit("5"), "replicate", "identity", "frame_index")
+    deals = [sorted(map(str, redealt(df, ["stem", "identity"], ["frame_index"], text, 3, ["b"], ["a"], big).where("identity IS NOT NULL").collect())) for big in (False, True)]
+    assert lags[0] == lags[1] and deals[0] == deals[1] and len(deals[0]) == 3 * len(rows)
+
+
+def test_lag_band_shuffles_a_row_once_whatever_the_copies(spark):
+    df = spark.createDataFrame([("s", e, f, float(f % 5), float(f % 3)) for e in range(4) for f in range(20)], "stem string, identity long, frame_index int, a double, b double")
+    plan = Q.shuffled(df, ["b"], 9, 5, kept=["a"]).groupBy("stem", "identity", "replicate").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
