@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lapsegrid.functions.numeric import ratio
 from lapsegrid.plans.blocks import entity_pair_moments
 from lapsegrid.plans.ranks import metric_quantiles, quantiles, with_average_rank
-from lapsegrid.plans.scan import frame_bucket, islands, numbered, numbered_by, ordered_scan
+from lapsegrid.plans.scan import frame_bucket, numbered, numbered_by, ordered_scan
 from lapsegrid.functions.numeric import corr_from_moments
 
 ENTITY = ["stem", "identity"]
@@ -121,12 +121,13 @@ def feature_table(base: DataFrame, axis_table: DataFrame, axis: str, axis_values
     return base.join(wide, list(keys), "left")
 
 
-def since_occupied(grid: DataFrame, keys: Sequence[str], occupied: str, valid: str) -> DataFrame:
+def since_occupied(grid: DataFrame, keys: Sequence[str], occupied: str, valid: str, two_level: bool | None = None) -> DataFrame:
     """Hours since a place was last held, started afresh after every unobserved frame."""
-    runs = islands(grid, keys, ["frame_index"], ~F.col(valid) | ~F.coalesce(F.col("__pv"), F.lit(False)), frame_bucket(), lag={"__pv": valid}, alias="stretch")
-    marked = runs.withColumn("__at", F.when(F.col(occupied) & F.col(valid), F.col("hours")))
-    last = ordered_scan(marked, [*keys, "stretch"], ["frame_index"], frame_bucket(), fill_forward={"__last": "__at"})
-    return last.where(F.col(valid)).select(*keys, "frame_index", (F.col("hours") - F.col("__last")).alias("since_hours"))
+    held = F.when(F.col(occupied) & F.col(valid), F.struct("frame_index", "hours"))
+    marked = grid.withColumn("__held", held).withColumn("__lost", F.when(~F.coalesce(F.col(valid), F.lit(False)), F.col("frame_index")))
+    last = ordered_scan(marked, keys, ["frame_index"], frame_bucket(), running={"__from": ("max", "__lost")}, fill_forward={"__last": "__held"}, two_level=two_level)
+    fresh = F.col("__from").isNull() | (F.col("__last.frame_index") > F.col("__from"))
+    return last.where(F.col(valid)).select(*keys, "frame_index", F.when(fresh, F.col("hours") - F.col("__last.hours")).alias("since_hours"))
 
 
 def snapshots(clock: DataFrame, requested: Sequence[float]) -> DataFrame:

@@ -306,3 +306,30 @@ def test_equal_moves_share_a_class_position(spark):
     got = {r["identity"]: r for r in classify(df, ["stem"], "area", "step").collect()}
     assert got[0]["movement_position"] == got[1]["movement_position"] == 0.5
     assert got[0]["step"] != got[1]["step"]
+
+
+def test_hours_since_a_place_was_held_in_one_scan(spark):
+    from lapsegrid.operators import features as V
+
+    held, lost = {1, 2, 6, 11}, {4, 8, 9}
+    rows = [("s", k, f, f * 0.5, f in held and k == 0, f not in lost) for k in (0, 1) for f in range(13)]
+    df = spark.createDataFrame(rows, "stem string, k int, frame_index int, hours double, occ boolean, valid boolean")
+    plan = V.since_occupied(df, ["stem", "k"], "occ", "valid", False)
+    got = {(r["k"], r["frame_index"]): r["since_hours"] for r in plan.collect()}
+    want = {}
+    for f in range(13):
+        near = [g for g in held if g <= f and not lost & set(range(g, f + 1))]
+        if f not in lost:
+            want[0, f], want[1, f] = ((f - max(near)) * 0.5 if near else None), None
+    assert got == want
+
+
+def test_coverage_order_of_a_walk_and_of_one_place(spark):
+    """A mask that never moves covers alike in any order; a walk's curve is the mean share covered."""
+    from lapsegrid.operators import stats as S
+
+    rows = [("s", 1, f, 0, f) for f in range(6)] + [("s", 2, f, 3, 3) for f in range(6)]
+    df = spark.createDataFrame(rows, "stem string, identity long, frame_index int, y int, x int")
+    plan = S.coverage_order_test(df, 9, 13)
+    got = {r["identity"]: r for r in plan.collect()}
+    assert abs(got[1]["observed"] - 21 / 36) < 1e-12 and got[2]["observed"] == 1.0 and got[2]["null_mean"] == 1.0 and got[2]["p_value"] == 1.0
