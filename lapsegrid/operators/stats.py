@@ -226,19 +226,22 @@ def bootstrap_band(aligned: DataFrame, value: str, group: Sequence[str], event:
 
 def coverage_order_test(masks: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Area under the coverage curve of each entity against the same frames in shuffled order."""
-    firsts = masks.select(*ENTITY, "y", "x", "frame_index")
-    frames = masks.select(*ENTITY, "frame_index").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    masks = cut(masks.select(*ENTITY, "frame_index", "y", "x").where("stem IS NOT NULL AND identity IS NOT NULL AND frame_index IS NOT NULL"))
+    own = masks.select(*ENTITY, "frame_index").distinct()
+    big = has_heavy_key(own, ENTITY)
+    frames = own.repartition(*ENTITY).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     rk = [*ENTITY, "replicate"]
-    slot = F.floor(F.col("frame_index") / 4096).cast("long")
-    actual = numbered(frames.where(F.col("replicate") == 0), rk, ["frame_index"], slot, "slot")
-    dealt = hash_numbered(frames.where(F.col("replicate") > 0), rk, F.concat_ws("|", F.lit(str(seed)), "replicate", *ENTITY, "frame_index"), "slot", ["frame_index"])
-    order = actual.unionByName(dealt)
-    n = masks.groupBy(*ENTITY).agg(F.count_distinct("frame_index").alias("n"), F.count_distinct("y", "x").alias("union_px"))
+    text = F.concat_ws("|", F.lit(str(seed)), "replicate", *ENTITY, "frame_index")
+    # the order as it was sorts by nothing but the frame
+    dealt = numbered(frames.withColumn("__md5", F.when(F.col("replicate") > 0, F.md5(text)).otherwise("")), rk, ["__md5", "frame_index"], F.lit(0), "slot", two_level=big)
+    order = dealt.groupBy(*ENTITY, "frame_index").agg(F.sort_array(F.collect_list(F.struct("replicate", "slot")))["slot"].alias("slots"))
+    # a frame carries its slot in every order, so a place of a mask is shuffled once whatever the number of orders;
     # a place first covered in slot s counts in every slot from s on
-    first = firsts.join(order, [*ENTITY, "frame_index"]).groupBy(*rk, "y", "x").agg(F.min("slot").alias("s"))
-    auc = first.join(n, ENTITY).groupBy(*rk).agg(
-        ratio(F.sum(F.col("n") - F.col("s") + 1), F.max(F.col("n") * F.col("union_px"))).alias("auc")
-    )
+    placed = masks.join(order, [*ENTITY, "frame_index"])
+    first = placed.groupBy(*ENTITY, "y", "x").agg(F.array(*[F.min(F.col("slots")[r]) for r in range(replicates + 1)]).alias("s"))
+    area = first.select(*ENTITY, F.posexplode("s").alias("replicate", "s")).groupBy(*rk).agg(F.sum("s").alias("__s"), F.count(F.lit(1)).alias("__u"))
+    n = own.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("n"))
+    auc = area.join(n, ENTITY).select(*rk, ratio((F.col("n") + 1) * F.col("__u") - F.col("__s"), F.col("n") * F.col("__u")).alias("auc"))
     seen = auc.where(F.col("replicate") == 0).select(*ENTITY, F.col("auc").alias("observed"))
     null = auc.where(F.col("replicate") > 0).join(seen, ENTITY)
     centre = null.groupBy(*ENTITY).agg(F.avg("auc").alias("null_mean"))
