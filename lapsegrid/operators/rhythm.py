@@ -33,12 +33,13 @@ def periodogram(df: DataFrame, keys: Sequence[str], value: str, periods: Sequenc
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("__m"), F.var_samp(value).alias("__v"))
     grid = F.array(*[F.struct(F.lit(k).alias("period_index"), F.lit(float(p)).alias("period")) for k, p in enumerate(periods)])
     at = F.lit(TAU) * F.col("hours") / F.col("period")
+    # cos 2x and sin 2x follow from cos x and sin x: two waves are computed for each observation and period, not four
     sums = (
         rows.select(*keys, "hours", value).join(stats.select(*keys, "__m"), keys).withColumn("__y", F.col(value) - F.col("__m"))
-        .select(*keys, "hours", "__y", F.inline(grid))
+        .select(*keys, "hours", "__y", F.inline(grid)).select(*keys, "period_index", "period", "__y", F.cos(at).alias("__c"), F.sin(at).alias("__s"))
         .groupBy(*keys, "period_index", "period").agg(
-            F.sum(F.col("__y") * F.cos(at)).alias("c"), F.sum(F.col("__y") * F.sin(at)).alias("s"),
-            F.sum(F.cos(2 * at)).alias("c2"), F.sum(F.sin(2 * at)).alias("s2"),
+            F.sum(F.col("__y") * F.col("__c")).alias("c"), F.sum(F.col("__y") * F.col("__s")).alias("s"),
+            F.sum(1 - 2 * F.col("__s") * F.col("__s")).alias("c2"), F.sum(2 * F.col("__s") * F.col("__c")).alias("s2"),
         )
     )
     wt = F.atan2("s2", "c2") / 2

@@ -100,19 +100,16 @@ def _(i):
     "observed_rate null_rate excess",
 )
 def _(i):
-    from lapsegrid.plans.heavy import has_heavy_key
-    from lapsegrid.plans.scan import frame_bucket, hash_numbered, numbered
+    from lapsegrid.plans.durable import cut
+    from lapsegrid.plans.scan import redealt
 
     rows = long_traces(i)
     keys = [*E2, "metric", "replicate"]
-    reps = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    big = has_heavy_key(rows, [*E2, "metric"])
-    place = numbered(reps.drop("value"), keys, ["hours"], frame_bucket("hours"), "position", two_level=big)
     text = F.concat_ws("|", F.lit("23"), "replicate", *E2, "metric", F.col("hours").cast("int"))
-    dealt = hash_numbered(reps, keys, text, "position", ["hours"], two_level=big).select(*keys, "position", "value")
-    null = place.join(dealt, [*keys, "position"]).drop("position")
-    both = rows.withColumn("replicate", F.lit(0)).unionByName(null)
-    out = Y.screen(both, keys, ["stem", "metric", "replicate"], "value", PERIODS, 10)
+    null = redealt(rows, [*E2, "metric"], ["hours"], text, 3, ["value"])
+    # the screen reads its rows several times, and both rates read the screen
+    both = cut(rows.withColumn("replicate", F.lit(0)).unionByName(null))
+    out = cut(Y.screen(both, keys, ["stem", "metric", "replicate"], "value", PERIODS, 10).select("stem", "metric", "replicate", "p_value"))
     return Y.null_rates(out.where(F.col("replicate") == 0), out.where(F.col("replicate") > 0), ["stem", "metric"], 0.05)
 
 

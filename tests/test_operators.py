@@ -333,3 +333,10 @@ def test_coverage_order_of_a_walk_and_of_one_place(spark):
     plan = S.coverage_order_test(df, 9, 13)
     got = {r["identity"]: r for r in plan.collect()}
     assert abs(got[1]["observed"] - 21 / 36) < 1e-12 and got[2]["observed"] == 1.0 and got[2]["null_mean"] == 1.0 and got[2]["p_value"] == 1.0
+
+
+def test_false_positive_rates_read_one_written_screen(spark):
+    from lapsegrid import workload
+
+    plan = workload.callables()["null_false_positive_rates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
