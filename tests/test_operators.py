@@ -340,3 +340,14 @@ def test_false_positive_rates_read_one_written_screen(spark):
 
     plan = workload.callables()["null_false_positive_rates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_tracks_of_objects_search_for_no_centre(spark):
+    from lapsegrid.operators import pixels as X
+
+    masks = spark.createDataFrame([("s", e, f, (e * 3 + f) % 6, x) for e in (1, 2) for f in range(4) for x in (e, e + 1)], "stem string, identity int, frame_index int, y int, x int")
+    things = spark.createDataFrame([("s", "a", "o1", 0, 0), ("s", "a", "o2", 3, 4), ("s", "b", "o3", 5, 1)], "stem string, object_set string, object string, y int, x int")
+    whole, slim = (X.object_overlap(masks, things, 6, 6, named=n) for n in (True, False))
+    assert set(whole.columns) - set(slim.columns) == {"nearest_object", "nearest_centre", "nearest_centre_px"}
+    assert "FlatMapGroupsInPandas" not in slim._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, whole.select(*slim.columns).collect())) == sorted(map(str, slim.collect()))
