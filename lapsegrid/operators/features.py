@@ -80,9 +80,9 @@ def robust_scaled(long: DataFrame, training: DataFrame, row: str, column: str, v
 
 def column_correlations(long: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Spearman r of every two columns over rows having both: ranks per column, then blocks of columns times
-    blocks of rows."""
+    blocks of rows, of which there are many more."""
     ranked = with_average_rank(long.where(F.col(value).isNotNull()), [column], value, "__r").withColumn("__g", F.lit("all"))
-    m = entity_pair_moments(ranked, ["__g"], column, row, "__r")
+    m = entity_pair_moments(ranked, ["__g"], column, row, "__r", stretches=4)
     return m.select(F.col("a").alias("column_a"), F.col("b").alias("column_b"), F.col("n").cast("long").alias("n"), corr_from_moments(tolerance=1e-12).alias("spearman"))
 
 

@@ -207,6 +207,31 @@ def test_pair_moments_in_blocks(spark):
             assert got[a, b]["sx"] == pytest.approx(sum(series[a][t] for t in both))
 
 
+def test_pair_moments_shuffle_no_pairs(spark):
+    """What is shuffled are values of entities: no stage adds up rows of pairs, of which there are many more."""
+    from lapsegrid.plans.blocks import entity_pair_moments
+
+    rng = np.random.default_rng(2)
+    rows = [(s, f"e{e}", t, float(rng.normal())) for s in ("p", "q") for e in range(7) for t in range(-5, 15) if (e + t) % 3]
+    df = spark.createDataFrame(rows, "stem string, identity string, t int, v double")
+    got = entity_pair_moments(df, ["stem"], "identity", "t", "v", block=2, times_per_chunk=4)
+    parts = entity_pair_moments(df, ["stem"], "identity", "t", "v", block=2, times_per_chunk=4, stretches=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")]
+    found = {(r["stem"], r["a"], r["b"]): r for r in got.collect()}
+    for r in parts.collect():
+        assert list(found[r["stem"], r["a"], r["b"]]) == pytest.approx(list(r))
+    assert parts.count() == len(found)
+    of = {(s, e, t): v for s, e, t, v in rows}
+    wanted = {(s, f"e{a}", f"e{b}") for s in ("p", "q") for a in range(7) for b in range(a + 1, 7) if any((s, f"e{a}", t) in of and (s, f"e{b}", t) in of for t in range(-5, 15))}
+    assert set(found) == wanted
+    for (s, a, b), r in found.items():
+        both = [(of[s, a, t], of[s, b, t]) for t in range(-5, 15) if (s, a, t) in of and (s, b, t) in of]
+        x, y = np.array(both).T
+        assert [r[k] for k in ("n", "sx", "sy", "sxx", "syy", "sxy")] == pytest.approx([len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y])
+
+
 def test_nearest_by_growing_cells(spark):
     from lapsegrid.plans.nearest import k_nearest
 
