@@ -57,6 +57,27 @@ def test_sequences_that_never_agree_differ_by_one_on_any_clock(spark):
     assert sorted((r["stem"], r["dtw_distance"]) for r in got) == [("long", 1.0), ("short", 1.0)]
 
 
+def test_last_bits_of_a_move_reach_neither_alignment_nor_rule(spark):
+    """Two entities that move alike but for the last bit of one length, which lies where classes part: their sequences align and their rule is that of equal lengths."""
+    from lapsegrid.operators import regimes as G
+
+    move = 2**0.5
+
+    def results(other):
+        rows = [("s", e, f, f * 0.5, 5.0, [1.0, length, 3.0, 3.0][f % 4]) for e, length in ((1, move), (2, other)) for f in range(12)]
+        df = spark.createDataFrame(rows, "stem string, identity long, frame_index int, hours double, area_px double, step_px_gapless double")
+        classed = G.classify(df, ["stem"], "area_px", "step_px_gapless")
+        symbols = classed.select("stem", "identity", "frame_index", F.col("regime").alias("symbol"))
+        clocks = symbols.groupBy("stem").agg((F.max("frame_index") + 1).alias("n_frames"))
+        aligned = Q.aligned_sequences(symbols, Q.recording_pairs(symbols.select("stem", "identity").distinct()), clocks, 4).collect()
+        moves = G.transitions(classed)
+        return aligned, sorted(Q.mismatch_by_cycle(moves, Q.next_state_rule(moves, ["stem"]), ["stem"], 4.0, 8).collect())
+
+    aligned, mismatch = results(float(np.nextafter(move, 2)))
+    assert [r["dtw_distance"] for r in aligned] == [0.0]
+    assert (aligned, mismatch) == results(move)
+
+
 def brute_window(segments, minimum, entities):
     best = None
     for first in sorted({s[1] for s in segments}):
