@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapsegrid.functions.numeric import corr_from_moments, moments, ratio, safe_corr, wrap_angle
+from lapsegrid.functions.numeric import corr_from_moments, heading_of, moments, ratio, safe_corr, wrap_angle
 from lapsegrid.plans.heavy import has_heavy_key
 from lapsegrid.plans.ranks import metric_quantiles, quantiles, with_average_rank
 from lapsegrid.plans.scan import frame_bucket, islands, numbered, ordered_scan
@@ -23,7 +23,9 @@ def steps(tracks: DataFrame, two_level: bool | None = None) -> DataFrame:
         slim, ENTITY, ["frame_index"], frame_bucket(),
         lag={"py": "y", "px": "x", "pf": "frame_index", "ph": "hours"}, two_level=big,
     )
-    step = F.hypot(F.col("y") - F.col("py"), F.col("x") - F.col("px"))
+    dy, dx = F.col("y") - F.col("py"), F.col("x") - F.col("px")
+    # as in the SQL: hypot may round to the other side of a floor
+    step = F.sqrt(dy * dy + dx * dx)
     stepped = (
         lagged.withColumn("frame_gap", (F.col("frame_index") - F.col("pf")).cast("long"))
         .withColumn("step_px", step)
@@ -48,10 +50,8 @@ def segments(stepped: DataFrame) -> DataFrame:
 
 def turns(stepped: DataFrame, floor: float, two_level: bool | None = None) -> DataFrame:
     """Heading of each consecutive step of at least ``floor`` and the wrapped turn from the step before it."""
-    heading = F.when(
-        (F.col("frame_gap") == 1) & (F.col("step_px") >= floor),
-        F.atan2(F.col("y") - F.col("py"), F.col("x") - F.col("px")),
-    )
+    headed = (F.col("frame_gap") == 1) & (F.col("step_px") >= floor)
+    heading = heading_of(F.when(headed, F.col("y") - F.col("py")), F.when(headed, F.col("x") - F.col("px")))
     headed = stepped.withColumn("heading", heading).select(*ENTITY, "frame_index", "frame_gap", "step_px", "heading")
     lagged = ordered_scan(
         headed, ENTITY, ["frame_index"], frame_bucket(), lag={"ph": "heading"}, two_level=two_level

@@ -351,3 +351,28 @@ def test_tracks_of_objects_search_for_no_centre(spark):
     assert set(whole.columns) - set(slim.columns) == {"nearest_object", "nearest_centre", "nearest_centre_px"}
     assert "FlatMapGroupsInPandas" not in slim._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, whole.select(*slim.columns).collect())) == sorted(map(str, slim.collect()))
+
+
+def test_half_turns_and_steps_at_the_floor_are_those_of_the_sql(spark):
+    """Opposite headings differ by pi give or take a last bit, which decides the sign; a step may be the floor give or take one."""
+    import itertools
+    import math
+
+    rows, legs = [], [(a / n, b / n) for n in (3, 7, 13) for a in range(-13, 14) for b in range(-13, 14) if math.hypot(a, b) > n / 2]
+    for i, (dy, dx) in enumerate(legs):
+        rows += [("s", i, f, f * 0.5, y, x) for f, (y, x) in enumerate(((3.0, 5.0), (3.0 + dy, 5.0 + dx), (3.0, 5.0)))]
+    for i, (k, l) in enumerate(itertools.product(range(0, 80), range(0, 60, 7)), len(legs)):
+        rows += [("s", i, 0, 0.0, k / 10, l / 10), ("s", i, 1, 0.5, (k + 3) / 10, (l + 4) / 10)]
+    schema = "stem string, identity long, frame_index int, hours double, y double, x double"
+    got = tracks.turns(tracks.steps(spark.createDataFrame(rows, schema)), 0.5).collect()
+    where = {(r[1], r[2]): r[4:] for r in rows}
+    for r in got:
+        at, before = where[r.identity, r.frame_index], where.get((r.identity, r.frame_index - 1))
+        if before is None:
+            continue
+        dy, dx = at[0] - before[0], at[1] - before[1]
+        heading = math.atan2(dy, dx) if math.sqrt(dy * dy + dx * dx) >= 0.5 else None
+        assert r.heading == heading, (before, at)
+        if r.frame_index == 2:
+            diff = heading - math.atan2(*(b - a for a, b in zip(where[r.identity, 0], before)))
+            assert (r.turn > 0) == (math.atan2(math.sin(diff), math.cos(diff)) > 0), (before, at)
