@@ -69,3 +69,10 @@ def test_places_cross_the_network_once_and_fields_not_at_all(spark, field):
     plan = X.object_overlap(points, objects.withColumn("frame_index", F.lit(0)), HEIGHT, WIDTH, named=False)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*\b[yx]#", plan), plan
     assert "Generate explode" not in plan
+
+
+def test_moving_objects_and_masks_read_one_written_table(spark):
+    from lapsegrid import workload
+
+    plan = workload.callables()["moving_object_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_partkey" not in plan
