@@ -76,3 +76,13 @@ def test_moving_objects_and_masks_read_one_written_table(spark):
 
     plan = workload.callables()["moving_object_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_partkey" not in plan
+
+
+def test_tracks_of_moving_objects_derive_the_pixels_once(spark, monkeypatch):
+    from lapsegrid.sources.canonical import Inputs
+    from lapsegrid.workload.registry import ENTRIES
+
+    derived, pixels = [], Inputs.pixels
+    monkeypatch.setattr(Inputs, "pixels", lambda self: derived.append(1) or pixels(self))
+    ENTRIES["moving_object_tracks"].build(Inputs(spark, "/root/testdata/sf0.001"))
+    assert len(derived) == 1
