@@ -364,3 +364,19 @@ def test_lag_band_shuffles_a_row_once_whatever_the_copies(spark):
     df = spark.createDataFrame([("s", e, f, float(f % 5), float(f % 3)) for e in range(4) for f in range(20)], "stem string, identity long, frame_index int, a double, b double")
     plan = Q.shuffled(df, ["b"], 9, 5, kept=["a"]).groupBy("stem", "identity", "replicate").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_a_pair_leaves_its_task_as_its_correlation(spark):
+    """The same bits as the column expression gives on the six sums, and none of those reach the network or the JVM."""
+    from lapsegrid.functions.numeric import corr_from_moments
+    from lapsegrid.plans.blocks import entity_pair_moments
+
+    rng = np.random.default_rng(4)
+    rows = [("s", e, f, 7.0 if e == 3 else float(rng.integers(0, 40)) / 7) for e in range(12) for f in range(14) if rng.random() < (0.2 if e == 5 else 0.8)]
+    df = spark.createDataFrame(rows + [("t", 1, 0, 1.0), ("t", 2, 1, 1.0)], "stem string, identity long, frame_index int, v double")
+    plan = Q.pair_correlations(df, "v", 4)
+    assert "sxx" not in plan._jdf.queryExecution().executedPlan().toString()
+    sums = entity_pair_moments(df, ["stem"], "identity", "frame_index", "v")
+    want = {(r.a, r.b): (int(r.n), r.r) for r in sums.select("a", "b", "n", F.when(F.col("n") >= 4, corr_from_moments(tolerance=1e-12)).alias("r")).collect()}
+    got = {(r.identity_a, r.identity_b): (r.overlap_frames, r.correlation) for r in plan.collect()}
+    assert got == want and len(got) > 50 and any(r is None for _, r in got.values())
